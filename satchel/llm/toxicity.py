@@ -1,15 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-For each class (toxic, ordinary) a bigram model with absolute discounting:
+The toxic and the ordinary model give a word after another one
 
-    p(w | v) = (max(c(vw) - D, 0) + D * types(v) * p(w)) / c(v)        class bigrams
-    p(w)     = (max(n(w) - D, 0) + D * types * q(w)) / n               class continuation counts
-    q(w)     = (max(m(w) - D, 0) + D * types / V) / m                  continuation counts of both classes
+    p_c(w | v) = p(w | v) * a_c(vw) / e_c(vw)
 
-c counts bigrams of the class, n and m count the different words before w, in the class
-and in both. q is shared, so expressions that are rare in one class fall back to what
-both have seen of them. A text's evidence is the difference of its two log-likelihoods
-per word; two-fold cross-fitting calibrates it to a probability.
+with the shared p, whose counts are those of both classes together. e_c is the class's
+share of the shared count as the next shorter expression has it, and a_c the class's own
+count moved toward e_c by an absolute discount: all of the way, if it lies within
+D * (1 + sqrt(e_c)) of it. So an expression takes its class evidence from its own counts
+as far as they tell more than chance, and else from what it backs off to:
+
+    bigram -> word -> its first 6, 5, 4, 3 characters -> the class's share of all.
+
+Below the bigrams counts are continuation counts: of the different words before. The
+comparison of the two log-likelihoods of a text, per word, is its evidence (the shared p
+cancels); two-fold cross-fitting calibrates it to a probability.
 
 The models are fitted in one task on a bounded sample of labelled rows and sent to the
 executors; their size is bounded by the sample. Every text is then scored whole.
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import io
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,53 +36,76 @@ from pyspark.sql import functions as F
 #: Labelled rows of each class that the models are fitted on, at most.
 SAMPLE_ROWS = 6_000
 THRESHOLD = 0.7
-DISCOUNT = 0.75
+#: D above, and the least share that a class keeps of a count.
+DISCOUNT, FLOOR = 2.0, 0.01
+#: Lengths of the beginnings that rare and unseen words back off to.
+BEGINNINGS = (3, 4, 5, 6)
 WORDS = re.compile(r"\w+")
 #: Ids of words outside the models and of a text's start.
 UNKNOWN, START = 0, 1
 
 
+def _shares(n1: np.ndarray, n0: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """The toxic model's share of each count, discounted toward the parent's share."""
+    m = n1 + n0
+
+    def moved(n: np.ndarray, e: np.ndarray) -> np.ndarray:
+        away = n - e
+        return np.maximum(e + np.sign(away) * np.maximum(np.abs(away) - DISCOUNT * (1 + np.sqrt(e)) - e, 0), FLOOR * m)
+
+    a1, a0 = moved(n1, m * parent), moved(n0, m * (1 - parent))
+    return np.where(m > 0, a1 / np.maximum(a1 + a0, 1e-12), parent)
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    return np.log(p / (1 - p))
+
+
 class KneserNey:
     """Log-likelihood ratios of the two models, ready for lookup.
 
-    ``word[w]``: of a word by its class models; ``back[v]``: of the weights of v's
-    backoff; ``pair[k]``: of the bigram with ``keys[k] = v * len(word) + w``.
+    ``word[w]``: of a word or beginning w; ``pair[k]``: of the bigram with
+    ``keys[k] = v * len(word) + w``.
     """
 
-    def __init__(self, word: np.ndarray, back: np.ndarray, keys: np.ndarray, pair: np.ndarray):
-        self.word, self.back, self.keys, self.pair = word, back, keys, pair
+    def __init__(self, word: np.ndarray, keys: np.ndarray, pair: np.ndarray):
+        self.word, self.keys, self.pair = word, keys, pair
 
     @classmethod
-    def fit(cls, ids: list[np.ndarray], toxic: np.ndarray, size: int, d: float = DISCOUNT) -> KneserNey:
-        parts, models = [np.concatenate([[np.int64(0)], *(x[:-1] * size + x[1:] for x, t in zip(ids, toxic, strict=True) if t == c)]).astype(np.int64)[1:] for c in (1, 0)], []
-        pooled = np.unique(np.concatenate([np.unique(p) for p in parts]))
-        m = np.bincount(pooled % size, minlength=size).astype(float)
-        shared = (np.maximum(m - d, 0) + d * np.count_nonzero(m) / size) / max(m.sum(), 1)
-        shared /= shared.sum()
-        for p in parts:
-            keys, c = np.unique(p, return_counts=True)
-            n = np.bincount(keys % size, minlength=size).astype(float)
-            word = (np.maximum(n - d, 0) + d * np.count_nonzero(n) * shared) / max(n.sum(), 1) if n.sum() else shared
-            total = np.bincount(keys // size, weights=c, minlength=size)
-            types = np.bincount(keys // size, minlength=size)
-            back = np.where(total > 0, d * types / np.maximum(total, 1), 1.0)
-            models.append((keys, c, total, back, word))
-        #: A bigram seen once in all gives no evidence of its own.
-        keys, times = np.unique(np.concatenate([np.repeat(x[0], np.minimum(x[1], 2)) for x in models]), return_counts=True)
-        keys = keys[times > 1]
-        logs = []
-        for k, c, total, back, word in models:
+    def fit(cls, ids: list[np.ndarray], toxic: np.ndarray, parent: np.ndarray) -> KneserNey:
+        """parent[w]: what w backs off to, a smaller id; id 0 backs off to nothing."""
+        size = len(parent)
+        counts = []
+        for c in (1, 0):
+            pairs = [x[:-1] * size + x[1:] for x, t in zip(ids, toxic, strict=True) if t == c]
+            counts.append(np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]), return_counts=True))
+        n = [np.bincount(k % size, minlength=size).astype(float) for k, _ in counts]
+        depth = np.zeros(size, np.int64)
+        for i in range(1, size):
+            depth[i] = depth[parent[i]] + 1
+        for d in range(depth.max(), 0, -1):
+            at = np.flatnonzero(depth == d)
+            for x in n:
+                x += np.bincount(parent[at], weights=x[at], minlength=size)
+        total = n[0][0] + n[1][0]
+        share = np.full(size, (n[0][0] + 0.5) / (total + 1))
+        base = _logit(share[0])
+        for d in range(1, depth.max() + 1):
+            at = np.flatnonzero(depth == d)
+            share[at] = _shares(n[0][at], n[1][at], share[parent[at]])
+        keys = np.unique(np.concatenate([k[c > DISCOUNT] for k, c in counts]))
+        own = []
+        for k, c in counts:
             at = np.minimum(np.searchsorted(k, keys), max(len(k) - 1, 0))
-            count = np.where(k[at] == keys, c[at], 0) if len(k) else np.zeros(len(keys))
-            v, w = keys // size, keys % size
-            logs.append(np.log(np.where(total[v] > 0, np.maximum(count - d, 0) / np.maximum(total[v], 1), 0) + back[v] * word[w]))
-        (_, _, _, back1, word1), (_, _, _, back0, word0) = models
-        return cls(np.log(word1 / word0).astype("f4"), np.log(back1 / back0).astype("f4"), keys, (logs[0] - logs[1]).astype("f4"))
+            own.append(np.where(k[at] == keys, c[at], 0).astype(float) if len(k) else np.zeros(len(keys)))
+        shares, words = _shares(*own, share[keys % size]), share[keys % size]
+        told = np.abs(_logit(shares) - _logit(words)) > 1e-6
+        return cls((_logit(share) - base).astype("f4"), keys[told], (_logit(shares[told]) - base).astype("f4"))
 
     def evidence(self, ids: np.ndarray) -> np.ndarray:
         """The log-likelihood ratio of each word after the first id."""
         v, w = ids[:-1], ids[1:]
-        out = self.back[v] + self.word[w]
+        out = self.word[w]
         if len(self.keys):
             key = v * len(self.word) + w
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -103,21 +132,48 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+class Index(dict):
+    """Ids of expressions (words and beginnings); other words have the id of their longest beginning."""
+
+    def __init__(self, expressions: list[tuple[str, int]], most: int = 300_000):
+        """(text, 1 for a beginning or 0 for a word) in the order of their ids, from 2."""
+        self.beginnings = {t: i for i, (t, b) in enumerate(expressions, 2) if b}
+        super().__init__((t, i) for i, (t, b) in enumerate(expressions, 2) if not b)
+        self._most = len(self) + most
+
+    def back(self, word: str) -> int:
+        for k in reversed(BEGINNINGS):
+            if len(word) >= k and (i := self.beginnings.get(word[:k])):
+                return i
+        return UNKNOWN
+
+    def __missing__(self, word: str) -> int:
+        i = self.back(word)
+        if len(self) < self._most:
+            self[word] = i
+        return i
+
+
 class ToxicityModel:
-    def __init__(self, vocabulary: list[str], ratios: KneserNey | None, weights: np.ndarray):
-        self.index = {w: i + 2 for i, w in enumerate(vocabulary)}
+    def __init__(self, expressions: list[tuple[str, int]], ratios: KneserNey | None, weights: np.ndarray):
+        self.expressions, self.index = expressions, Index(expressions)
         self.ratios, self.weights = ratios, weights
 
     @classmethod
     def fit(cls, texts: list[str], toxic: list[int], weight: list[float]) -> ToxicityModel:
         """weight: how many labelled rows each row of the sample stands for."""
         y, weight = np.array(toxic, dtype=np.int64), np.array(weight, dtype=float)
-        index: dict[str, int] = {}
-        ids = [np.fromiter((index.setdefault(w, len(index)) for w in WORDS.findall(t.lower())), np.int64) for t in texts]
-        count = np.bincount(np.concatenate([np.zeros(0, np.int64), *ids]), minlength=len(index))
-        again = count > 1
-        to = np.where(again, np.cumsum(again) + 1, UNKNOWN)
-        vocabulary, size = [w for w, i in index.items() if again[i]], 2 + int(again.sum())
+        words: dict[str, int] = {}
+        ids = [np.fromiter((words.setdefault(w, len(words)) for w in WORDS.findall(t.lower())), np.int64) for t in texts]
+        count = np.bincount(np.concatenate([np.zeros(0, np.int64), *ids]), minlength=len(words))
+        begun: Counter[str] = Counter()
+        for w, k in zip(words, count.tolist(), strict=True):
+            begun.update({w[:n]: k for n in BEGINNINGS if len(w) >= n})
+        expressions = sorted(((t, 1) for t, k in begun.items() if k > 1), key=lambda x: (len(x[0]), x[0]))
+        expressions += [(w, 0) for w, k in zip(words, count.tolist(), strict=True) if k > 1]
+        index = Index(expressions, len(words))
+        to = np.fromiter((index[w] for w in words), np.int64, len(words))
+        parent = np.array([UNKNOWN, UNKNOWN, *(index.back(t[:-1] if b else t) for t, b in expressions)], np.int64)
         ids = [np.concatenate([[START], to[x]]) for x in ids]
         share = (weight * y).sum() / max(weight.sum(), 1)
         prior = np.log((share + 1e-3) / (1 - share + 1e-3))
@@ -125,35 +181,36 @@ class ToxicityModel:
             return cls([], None, np.array([0, 0, prior]))
         fold, total = np.arange(len(y)) % 2, np.zeros(len(y))
         for k in (0, 1):
-            part = KneserNey.fit([x for x, f in zip(ids, fold, strict=True) if f != k], y[fold != k], size)
+            part = KneserNey.fit([x for x, f in zip(ids, fold, strict=True) if f != k], y[fold != k], parent)
             total[fold == k] = [part.evidence(x).sum() for x, f in zip(ids, fold, strict=True) if f == k]
         w = _calibrate(_inputs(total, np.array([len(x) - 1 for x in ids])), y, weight)
-        return cls(vocabulary, KneserNey.fit(ids, y, size), w)
+        return cls(expressions, KneserNey.fit(ids, y, parent), w)
 
     def to_bytes(self) -> bytes:
         r, out = self.ratios, io.BytesIO()
-        arrays = {} if r is None else {"word": r.word, "back": r.back, "keys": r.keys, "pair": r.pair}
-        np.savez_compressed(out, weights=self.weights, vocabulary=np.frombuffer("\n".join(self.index).encode(), np.uint8), **arrays)
+        arrays = {} if r is None else {"word": r.word, "keys": r.keys, "pair": r.pair}
+        texts = np.frombuffer("\n".join(t for t, _ in self.expressions).encode(), np.uint8)
+        np.savez_compressed(out, weights=self.weights, texts=texts, begins=np.array([b for _, b in self.expressions], np.uint8), **arrays)
         return out.getvalue()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> ToxicityModel:
         x = np.load(io.BytesIO(data))
-        vocabulary = x["vocabulary"].tobytes().decode()
-        ratios = KneserNey(x["word"], x["back"], x["keys"], x["pair"]) if "word" in x else None
-        return cls(vocabulary.split("\n") if vocabulary else [], ratios, x["weights"])
+        begins = x["begins"].tolist()
+        ratios = KneserNey(x["word"], x["keys"], x["pair"]) if "word" in x else None
+        return cls([*zip(x["texts"].tobytes().decode().split("\n"), begins, strict=True)] if begins else [], ratios, x["weights"])
 
     def score(self, texts: list[str]) -> np.ndarray:
         words = [WORDS.findall(t.lower()) for t in texts]
         n = np.array([len(w) for w in words], dtype=np.int64)
         total = np.zeros(len(texts))
         if self.ratios is not None and n.sum():
-            get = self.index.get
+            get = self.index.__getitem__
             starts = np.concatenate([[0], np.cumsum(n + 1)[:-1]])
             ids = np.empty(int(n.sum()) + len(n), np.int64)
             for a, ws in zip(starts, words, strict=True):
                 ids[a] = START
-                ids[a + 1 : a + 1 + len(ws)] = np.fromiter((get(w, UNKNOWN) for w in ws), np.int64, len(ws))
+                ids[a + 1 : a + 1 + len(ws)] = np.fromiter(map(get, ws), np.int64, len(ws))
             each = np.concatenate([[0.0], self.ratios.evidence(ids).astype(float)])
             each[starts] = 0  # the step from one text to the next
             total = np.add.reduceat(each, starts)
