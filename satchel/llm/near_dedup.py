@@ -25,6 +25,7 @@ Nothing is collected. Large keys are split into pairs of blocks of bounded size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -93,11 +94,17 @@ class Shingler:
         return (out & np.uint32(255)).astype(np.uint8)
 
 
+@lru_cache(4)
+def _shingler(width: int) -> Shingler:
+    """One per Python worker, kept for its later tasks."""
+    return Shingler(width)
+
+
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     """row_id, doc_id, text_hash, n, d1, d2 (a digest of the set), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
+        shingler = _shingler(width)
         for batch in batches:
             n, d1, d2, sigs = [], [], [], []
             for text in batch.column(3):
@@ -214,7 +221,7 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, pe
     texts = texts.join(keyed, (F.col("__h") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("cls", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
+        shingler = _shingler(width)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

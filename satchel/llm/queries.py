@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from satchel.llm import exact_dedup, mixing, packing, quality, token_counts, toxicity
+from satchel.llm import exact_dedup, mixing, near_dedup, packing, quality, token_counts, toxicity, url_filter
 from satchel.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -34,8 +38,22 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("row_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_exact_dedup, op5_source_mixing, op6_token_counts, op7_best_fit_packing, op8_quality_classifier)}
+    found = (
+        op2_toxicity,
+        op3_url_filter,
+        op4_exact_dedup,
+        op5_source_mixing,
+        op6_token_counts,
+        op7_best_fit_packing,
+        op8_quality_classifier,
+        op10_minhash_near_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
