@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from satchel.llm import exact_dedup, mixing, near_dedup, packing, quality, token_counts, toxicity, url_filter
+from satchel.llm import exact_dedup, mixing, near_dedup, neighbours, packing, quality, token_counts, toxicity, url_filter
 from satchel.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("row_id")
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_token_counts,
         op7_best_fit_packing,
         op8_quality_classifier,
+        op9_nearest_neighbours,
         op10_minhash_near_dedup,
     )
     return {f.__name__: f for f in found}
