@@ -17,9 +17,11 @@ into one task.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,8 +32,8 @@ from satchel.llm.common import materialise
 CAPACITY = 2048
 #: Rows in a bucket of the two-level ranking, about.
 BUCKET_ROWS = 20_000
-#: Units whose ids a task keeps, and the longest unit kept.
-MAX_UNITS, MAX_UNIT_CHARS = 400_000, 64
+#: Units in a generation that a worker keeps, and the longest unit kept.
+MAX_UNITS, MAX_UNIT_CHARS = 150_000, 48
 
 
 class UnitEncoder:
@@ -44,7 +46,7 @@ class UnitEncoder:
     """
 
     def __init__(self, tokenizer, max_units: int = MAX_UNITS):
-        self._library, self._most, self._known = tokenizer, max_units, {}
+        self._library, self._most, self._known, self._old = tokenizer, max_units, {}, {}
         vocab = tokenizer.get_vocab()
         self._starts = {i for piece, i in vocab.items() if piece.startswith("Ġ")}
         self._special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
@@ -68,20 +70,26 @@ class UnitEncoder:
     def _regular(self, text: str) -> bool:
         return bool(text) and not ("  " in text or text[0].isspace() or text[-1].isspace() or any(s in text for s in self._special))
 
+    def _recall(self, units: set[str]) -> dict[str, bytes]:
+        """The units' ids; what is kept is the last and the present generation of units met."""
+        known, old = self._known, self._old
+        fresh = units - known.keys()
+        back = {u: old[u] for u in fresh if u in old}
+        learned = self._learn([u for u in fresh if u not in back and not (u[0].isspace() or u[-1].isspace())])
+        if len(known) + len(fresh) > self._most:
+            self._old, self._known = known, {}
+            back |= {u: known[u] for u in units if u in known}
+        self._known.update(back)
+        self._known.update((u, b) for u, b in learned.items() if len(u) <= MAX_UNIT_CHARS)
+        return learned
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The first unit has no space before it and is asked for on its own."""
         units = [t.split(" ") if self._regular(t) else None for t in texts]
-        fresh = {u for us in units if us for u in us[1:]} - self._known.keys()
-        if len(self._known) + len(fresh) > self._most:
-            self._known.clear()
-            fresh = {u for us in units if us for u in us[1:]}
-        sound = [u for u in fresh if not (u[0].isspace() or u[-1].isspace())]
-        found = self._learn(sound)
+        learned = self._recall({u for us in units if us for u in us[1:]})
         known = self._known
-        known.update((u, b) for u, b in found.items() if len(u) <= MAX_UNIT_CHARS)
-        firsts = {us[0] for us in units if us}
-        heads = dict(zip(firsts, self._library.encode_batch_fast(list(firsts), add_special_tokens=False), strict=True)) if firsts else {}
-        heads = {u: self._bytes(e.ids) for u, e in heads.items()}
+        firsts = [*{us[0] for us in units if us}]
+        heads = dict(zip(firsts, (self._bytes(e.ids) for e in self._library.encode_batch_fast(firsts, add_special_tokens=False)), strict=True))
         out = []
         for text, us in zip(texts, units, strict=True):
             if us is None:
@@ -90,8 +98,8 @@ class UnitEncoder:
             try:
                 out.append(heads[us[0]] + b"".join(map(known.__getitem__, us[1:])))
             except KeyError:  # a very long unit, or one with other white space at an end
-                bad = any(u[0].isspace() or u[-1].isspace() for u in us)
-                out.append(self.whole(text) if bad else heads[us[0]] + b"".join(known[u] if u in known else found[u] for u in us[1:]))
+                odd = any(u[0].isspace() or u[-1].isspace() for u in us)
+                out.append(self.whole(text) if odd else heads[us[0]] + b"".join(known[u] if u in known else learned[u] for u in us[1:]))
         return out
 
     @staticmethod
@@ -99,21 +107,27 @@ class UnitEncoder:
         return pa.array(ids, pa.uint32()).buffers()[1].to_pybytes() if ids else b""
 
 
+@lru_cache(1)
+def _encoder(path: str | None) -> UnitEncoder:
+    """One per Python worker, kept for its later tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return UnitEncoder(Tokenizer.from_file(path))
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        path = tokenizer_path
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path("byte_bpe_50k.json")
-        encoder, end = UnitEncoder(Tokenizer.from_file(path)), end_id.to_bytes(4, "little")
+        encoder, end = _encoder(tokenizer_path), end_id.to_bytes(4, "little")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(encoder.encode(part.column(1).to_pylist())):
                     ids += end
