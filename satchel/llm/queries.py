@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from satchel.llm import exact_dedup, mixing, near_dedup, neighbours, packing, quality, token_counts, toxicity, url_filter
+from satchel.llm import exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, quality, token_counts, toxicity, url_filter
 from satchel.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_lm_scoring,
         op2_toxicity,
         op3_url_filter,
         op4_exact_dedup,
