@@ -58,8 +58,9 @@ def canonical_hash(generated: bool = False) -> Column:
 
 def proportional_key() -> Column:
     """Equal for instances that differ by a factor only: the values by their greatest common divisor."""
-    unit = gcd(all_values())
-    return F.sha2(F.array_join(F.transform(all_values(), lambda v: (v / F.greatest(unit, F.lit(1))).cast("long").cast("string")), ","), 256)
+    # Repeated beside the values, so that it is computed once and not for each of them.
+    unit = F.array_repeat(F.greatest(gcd(all_values()), F.lit(1).cast("long")), F.size("weights") + F.size("profit") + 1)
+    return F.sha2(F.array_join(F.zip_with(all_values(), unit, lambda v, u: ((v - v % u) / u).cast("long").cast("string")), ","), 256)
 
 
 @F.pandas_udf(StringType())
