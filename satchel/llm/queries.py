@@ -68,7 +68,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_HOST = f"translate(coalesce(regexp_extract({{0}}, '^(?s:.*?)://([^/?#]*)', 1), ''), {_UPPER})"
+_PATH = "coalesce(regexp_extract({0}, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
+#: The rules, longest first, over columns host and path.
+_RULE = "CASE " + " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(url_filter.RULES, key=lambda r: (len(r[0] + r[1]), r[0] + r[1]), reverse=True)
+) + " END"
+_VERDICT = "CASE rule " + " ".join(f"WHEN '{h}{p}' THEN '{v}'" for h, p, v in url_filter.RULES) + " END"
+_BARE = "regexp_replace(trim({0}, ' '), '#.*$', '')"
+
+
+def _plain(url: str) -> str:
+    bare = _BARE.format(url)
+    rest = f"regexp_extract({bare}, '^[^:/?#]*://[^/?#]*(.*)$', 1)"
+    scheme = f"regexp_extract({bare}, '^([^:/?#]*)://', 1)"
+    return f"CASE WHEN {scheme} = '' THEN {bare} ELSE lower({scheme}) || '://' || {_HOST.format(bare)} || CASE WHEN {rest} = '' THEN '/' ELSE {rest} END END"
+
+
+_TARGET = """CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:/?#]*)://', 1) || ':' || t
+  WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^:/?#]*)://', 1) || '://' || regexp_extract(url, '^[^:/?#]*://([^/?#]*)', 1) || t END"""
+_LINKS = [
+    r"(?is)<link\b[^>]*\brel\s*=\s*[\"'']?canonical\b[^>]*\bhref\s*=\s*[\"'']?([^\"''\s>]+)", r"(?is)<link\b[^>]*\bhref\s*=\s*[\"'']?([^\"''\s>]+)[^>]*\brel\s*=\s*[\"'']?canonical\b",
+    r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b[^>]*\bcontent\s*=\s*[\"''][^\"''>]*?\burl\s*=\s*([^\"''\s>]+)", r"(?is)<meta\b[^>]*\bcontent\s*=\s*[\"''][^\"''>]*?\burl\s*=\s*([^\"''\s>]+)[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b",
+]
+
 ORACLE = {
+    "op3_url_filter": f"""
+        WITH RECURSIVE judged AS (SELECT page_id, url, host, path, {_RULE} AS rule FROM (SELECT page_id, url, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path FROM pages)),
+        found AS ({' UNION ALL '.join(f"SELECT url, replace(regexp_extract(html, '{x}', 1), '&amp;', '&') AS t FROM pages WHERE url IS NOT NULL AND html IS NOT NULL" for x in _LINKS)}),
+        targets AS (SELECT url, {_TARGET} AS t FROM found WHERE t <> ''),
+        edges AS (SELECT DISTINCT {_plain('url')} AS a, {_plain('t')} AS b FROM targets WHERE t IS NOT NULL),
+        ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+        reach(a, b) AS (SELECT a, a FROM ways UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a),
+        nodes AS (SELECT b, {_VERDICT} AS v FROM (SELECT b, {_RULE} AS rule FROM (SELECT b, {_HOST.format('b')} AS host, {_PATH.format('b')} AS path FROM (SELECT DISTINCT b FROM reach)))),
+        blocked AS (SELECT r.a FROM reach r JOIN nodes n ON r.b = n.b GROUP BY r.a HAVING max(CAST(n.v = 'block' AS INT)) = 1 AND coalesce(max(CAST(n.v = 'allow' AS INT)), 0) = 0)
+        SELECT page_id, host, path, rule, coalesce({_VERDICT}, CASE WHEN blocked.a IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM judged LEFT JOIN blocked ON {_plain('url')} = blocked.a""",
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
