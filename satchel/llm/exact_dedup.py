@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from satchel.llm.common import ascii_lower, materialise
+from satchel.llm.common import ascii_lower, materialise, spare_name
 
 #: Characters in a block.
 BLOCK_CHARS = 4096
@@ -118,9 +118,10 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns (see ``exact_dedup``)."""
-    key = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("__id"), F.isnull("doc_id").alias("__no_id")]
-    kept = exact_dedup(docs, block_chars).where("kept").select(*key, F.col("text_sha256").alias("__sha"))
-    rows = docs.select("*", *key, F.sha2(ascii_lower(F.col("text")), 256).alias("__sha"))
+    p = spare_name(docs)
+    on = [f"{p}id", f"{p}no_id", f"{p}sha"]
+    key = [F.coalesce("doc_id", F.lit(0).cast("long")).alias(on[0]), F.isnull("doc_id").alias(on[1])]
+    kept = exact_dedup(docs, block_chars).where("kept").select(*key, F.col("text_sha256").alias(on[2]))
+    rows = docs.select("*", *key, F.sha2(ascii_lower(F.col("text")), 256).alias(on[2]))
     #: Repeated rows agree in the key; dropDuplicates needs no shuffle after this join.
-    on = ["__id", "__no_id", "__sha"]
     return rows.join(kept, on, "left_semi").dropDuplicates(on).select(*docs.columns)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import WORD, materialise
+from satchel.llm.common import WORD, materialise, spare_name
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -131,5 +131,6 @@ def reject_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFra
     Rows of one doc_id with different texts may differ in their scores; the id stays if
     any of them is kept.
     """
-    kept = classify_quality(docs, labels, **options).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    mark = f"{spare_name(docs)}kept"
+    kept = classify_quality(docs, labels, **options).where("kept").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi")
