@@ -24,10 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from satchel.llm.common import WORD, materialise
+from satchel.llm.common import WORD, materialise, spare_name
 
 #: Words in a block, and blocks in an output shard on average.
 BLOCK_WORDS, SHARD_BLOCKS = 32, 8192
+#: Shards of slots that a task expands.
+TASK_SHARDS = 16
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Words of the mix as a share of all words; most words as a share of a source's.
@@ -113,7 +115,9 @@ def slots(plan: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = 0) -> D
                 yield pd.DataFrame({"source_no": r.source_no, "shard": r.shard, "slot": slot, "block": block})
 
     drawn = plan.where("quota > 0").select("source", "source_no", "blocks", "quota", "shards").mapInPandas(draw, "source string, source_no long, blocks long, shard long, first long, n long")
-    return drawn.where("n > 0").repartition("source_no", "shard").mapInPandas(expand, "source_no long, shard long, slot long, block long")
+    total = plan.agg(F.sum("quota")).head()[0] or 0
+    parts = max(1, -(-total // (TASK_SHARDS * shard_blocks)))  # given, as the few small rows grow when expanded
+    return drawn.where("n > 0").repartition(int(parts), "source_no", "shard").mapInPandas(expand, "source_no long, shard long, slot long, block long")
 
 
 def _placed(docs: DataFrame, keep: tuple[str, ...], weights, share: float, most: float, block_words: int) -> tuple[DataFrame, DataFrame]:
@@ -142,7 +146,8 @@ def _taken_spans(placed: DataFrame, plan: DataFrame, block_words: int, shard_blo
     low = F.greatest(F.col("start"), F.col("block") * block_words)
     cut = cut.select("row_id", "source_no", "block", (low - F.col("start")).alias("first"), (F.least(end, (F.col("block") + 1) * block_words) - low).alias("words"))
     times = slots(plan, shard_blocks, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-    return cut.join(times, ["source_no", "block"]).select("row_id", "first", "words", "times")
+    # The slots grow out of a row per source, which the planner would take for a small table.
+    return cut.join(times.hint("merge"), ["source_no", "block"]).select("row_id", "first", "words", "times")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 0) -> DataFrame:
@@ -167,15 +172,17 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     Its text is the document's, or the words taken that time, if not all; n_chars, if
     there, is its length. Documents of which nothing is taken are left out.
     """
-    rows = materialise(docs.select("*", F.monotonically_increasing_id().alias("__row")), "mix-input")
-    placed, plan = _placed(rows, ("doc_id", "__row"), weights, share, most, block_words)
+    p = spare_name(docs)
+    rows = materialise(docs.select("*", F.monotonically_increasing_id().alias(f"{p}row")), "mix-input")
+    keyed = rows.select("doc_id", "text", "source", F.col(f"{p}row").alias("mix_row"))
+    placed, plan = _placed(keyed, ("doc_id", "mix_row"), weights, share, most, block_words)
     spans = _taken_spans(placed, plan, block_words, shard_blocks, seed)
-    spans = spans.select("row_id", "first", "words", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("__pass"))
-    passes = spans.groupBy("row_id", "__pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("__spans"), F.sum("words").alias("__words"))
-    passes = passes.join(placed.select("row_id", "__row", F.col("size").alias("__size")), "row_id").drop("row_id")
+    spans = spans.select("row_id", "first", "words", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("pass"))
+    passes = spans.groupBy("row_id", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias(f"{p}spans"), F.sum("words").alias(f"{p}words"))
+    passes = passes.join(placed.select("row_id", F.col("mix_row").alias(f"{p}row"), F.col("size").alias(f"{p}size")), "row_id").drop("row_id", "pass")
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    some = F.ltrim(F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(words, s["first"].cast("int") + 1, s["words"].cast("int")))), ""))
-    out = rows.join(passes, "__row").withColumn("text", F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(some))
+    some = F.ltrim(F.array_join(F.flatten(F.transform(f"{p}spans", lambda s: F.slice(words, s["first"].cast("int") + 1, s["words"].cast("int")))), ""))
+    out = rows.join(passes, f"{p}row").withColumn("text", F.when(F.col(f"{p}words") == F.col(f"{p}size"), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
