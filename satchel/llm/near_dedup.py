@@ -11,12 +11,14 @@ if their sets' Jaccard similarity is at least the threshold.
    some chunk at most one byte differs, and a key is made of each chunk with each one of
    its bytes left out.
 3. Classes that share a key are candidates. Expanding a key's classes into pairs would
-   grow with the square of a group of copies, so first each class is compared to the
-   smallest class with its key only (a star). Candidates within the signature distance
-   are confirmed on the full sets, nearest first, and the links give components.
-4. Pairs that share a key but not a component may still be linked. Exactly those are
-   compared by signature, in blocks without emitting them; the ones within the distance
-   are confirmed on the full sets as well. So no link between different components is
+   grow with the square of a group of copies, so first each class is compared with one
+   centre of its keys, the one it shares the most keys with, then with the next if they
+   are still in different components (STAR_ROUNDS). Candidates within the signature
+   distance are confirmed on the full sets, and the links give components.
+4. Pairs that share a key but not a component may still be linked. They are compared by
+   signature in blocks: first only each class's nearest one is confirmed, for a few
+   rounds, as most that belong together find together so; then all pairs left within the
+   distance are confirmed on the full sets. So no link between different components is
    lost; links inside a component are not needed to know it.
 
 Nothing is collected. Large keys are split into pairs of blocks of bounded size.
@@ -32,10 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import materialise
+from satchel.llm.common import materialise, spare_name
 from satchel.llm.graph import components
 
 SIGNATURE, CHUNKS, MOST_ERRORS = 64, 14, 27
+#: Bytes of the longer signature whose beginning that is, and how many may differ: at 0.8 more do with probability about 5e-6.
+LONG, LONG_ERRORS = 256, 80
+#: Centres that a class is compared with before the pairs left over.
+STAR_ROUNDS = 3
+#: Rounds in which each class is compared with its nearest one in another component, before all pairs left over.
+NEAREST_ROUNDS = 3
 #: Classes of a key that are compared in one block.
 BLOCK = 2_000
 MAX_WORDS = 400_000
@@ -65,8 +73,8 @@ class Shingler:
     def __init__(self, width: int):
         self.width, self._hashes = width, _WordHashes()
         rng = np.random.default_rng(7)
-        self._flip = rng.integers(0, 2**32, (SIGNATURE, 1), np.uint32)
-        self._times = rng.integers(0, 2**32, (SIGNATURE, 1), np.uint32) | np.uint32(1)
+        self._flip = rng.integers(0, 2**32, (LONG, 1), np.uint32)
+        self._times = rng.integers(0, 2**32, (LONG, 1), np.uint32) | np.uint32(1)
 
     @staticmethod
     def _mixed(x: np.ndarray) -> np.ndarray:
@@ -87,9 +95,9 @@ class Shingler:
 
     def signature(self, x: np.ndarray) -> np.ndarray:
         """For each function the low byte of the smallest value."""
-        low, out = (x >> np.uint64(32)).astype(np.uint32), np.full(SIGNATURE, 2**32 - 1, np.uint32)
-        for lo in range(0, len(low), 4096):
-            y = (low[lo : lo + 4096] ^ self._flip) * self._times
+        low, out = (x >> np.uint64(32)).astype(np.uint32), np.full(LONG, 2**32 - 1, np.uint32)
+        for lo in range(0, len(low), 1024):
+            y = (low[lo : lo + 1024] ^ self._flip) * self._times
             np.minimum(out, (y ^ (y >> np.uint32(15))).min(1), out=out)
         return (out & np.uint32(255)).astype(np.uint8)
 
@@ -121,7 +129,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SIGNATURE)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), LONG)
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -129,7 +137,7 @@ def _keys(classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = _matrix(batch.column(1)).astype(np.uint64) if batch.num_rows else np.zeros((0, SIGNATURE), np.uint64)
+            s = _matrix(batch.column(1))[:, :SIGNATURE].astype(np.uint64)
             cls = batch.column(0).to_numpy()
             for chunk in _chunks():
                 for left_out in chunk:
@@ -143,12 +151,24 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "sig").mapInArrow(run, "key long, cls long")
 
 
+def _stars(shared: DataFrame) -> DataFrame:
+    """(a, b, together): each class b with the centres a of its keys, and how many of them a is the centre of.
+
+    A key's centre is its class that shares the most keys with others: the text that
+    copies were made from rather than one of the copies.
+    """
+    degree = shared.groupBy("cls").agg(F.sum("members").alias("degree"))
+    ranked = shared.select("key", "cls").join(degree, "cls")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "cls"))["cls"].alias("a"))
+    return shared.select("key", F.col("cls").alias("b")).join(centre, "key").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
+
+
 def _alike(n1, n2, percent: int):
     return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
 
 
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, d): the pairs of classes whose sizes allow a link and whose signatures differ in d <= MOST_ERRORS bytes."""
+    """(a, b, d): the pairs of classes whose sizes allow a link and whose long signatures differ in d <= LONG_ERRORS bytes."""
     a = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     b = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     both = pairs.join(a, "a").join(b, "b").where(_alike(F.col("na"), F.col("nb"), percent)).select("a", "b", "sa", "sb")
@@ -156,30 +176,52 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(1)
-            keep = np.flatnonzero(d <= MOST_ERRORS)
+            keep = np.flatnonzero(d <= LONG_ERRORS)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(d[keep], pa.int64())], ["a", "b", "d"])
 
     return both.mapInArrow(run, "a long, b long, d long")
 
 
-def _crossing(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): near pairs of one key but of different components.
+def _own_key(differ: np.ndarray) -> np.ndarray:
+    """Of pairs with a shared key: which byte the first of their shared keys leaves out. differ: pair x byte."""
+    starts = np.array([c.start for c in _chunks()])
+    errors = np.add.reduceat(differ, starts, axis=1)
+    chunk = (errors <= 1).argmax(1)
+    wrong = differ.argmax(1) if not len(differ) else np.array([int(d[starts[c] :].argmax()) + starts[c] for d, c in zip(differ, chunk, strict=True)])
+    return np.where(errors[np.arange(len(chunk)), chunk] == 0, starts[chunk], wrong)
+
+
+def _crossing(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(a, b, d): near pairs of one key but of different components, each pair at the first of its keys.
 
+    ``nearest``: for each class only the nearest one later in its group.
     ``members``: key, part_a, part_b, part, cls, comp, n, sig, where a key's classes are
     dealt to parts and each pair of parts is a group; inside a group of one part all pairs
     are compared, else those between the two parts.
     """
 
-    def compare(cls, comp, n, sig, part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        mixed = part[0] != part[-1] or (part != part[0]).any()
+    def compare(key, cls, comp, n, sig, part) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        mixed, left_out = (part != part[0]).any(), (key[0] >> 48) - 1
         for i in range(len(cls) - 1):
             j = np.arange(i + 1, len(cls))
             j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
             if mixed:
                 j = j[part[j] != part[i]]
             if len(j):
-                j = j[(sig[j] != sig[i]).sum(1) <= MOST_ERRORS]
-                yield np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+                differ = sig[j, :SIGNATURE] != sig[i, :SIGNATURE]
+                some = differ.sum(1) <= MOST_ERRORS
+                j, differ = j[some], differ[some]
+            if len(j):
+                d = (sig[j] != sig[i]).sum(1)
+                some = d <= LONG_ERRORS
+                j, d, differ = j[some], d[some], differ[some]
+            if len(j) and nearest:
+                j, d = j[[d.argmin()]], d[[d.argmin()]]
+            elif len(j):
+                own = _own_key(differ) == left_out
+                j, d = j[own], d[own]
+            if len(j):
+                yield np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -189,11 +231,10 @@ def _crossing(members: DataFrame, percent: int) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, (group[:, 1:] != group[:, :-1]).any(0)]) if rows.num_rows else np.zeros(0, int)
             part, cls, comp, n = (rows.column(i).to_numpy() for i in range(3, 7))
             sig = _matrix(rows.column(7)) if rows.num_rows else None
-            found: list[tuple[np.ndarray, np.ndarray]] = []
+            found = [np.zeros((3, 0), np.int64)]
             for s, e in zip(starts, [*starts[1:], rows.num_rows], strict=True):
-                found += compare(cls[s:e], comp[s:e], n[s:e], sig[s:e], part[s:e])
-            a, b = (np.unique(np.concatenate([np.zeros((2, 0), np.int64), *(np.stack(f) for f in found)], 1), axis=1)) if found else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                found += (np.stack(f).astype(np.int64) for f in compare(group[0, s:e], cls[s:e], comp[s:e], n[s:e], sig[s:e], part[s:e]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, 1)], ["a", "b", "d"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -210,7 +251,19 @@ def _crossing(members: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    return members.mapInArrow(run, "a long, b long").distinct()
+    return members.mapInArrow(run, "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
+def _open_groups(shared: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of keys whose classes are in different components, dealt to groups of bounded size."""
+    placed = shared.select("key", "cls").join(comps, "cls")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    part = F.pmod(F.xxhash64("cls"), parts).cast("int")
+    members = placed.join(open_keys.select("key", "members"), "key").join(classes.select("cls", "n", "sig"), "cls").withColumn("parts", parts).withColumn("part", part)
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    members = members.select("key", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "cls", "comp", "n", "sig")
+    return members.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -267,25 +320,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = F.min(F.struct("row_id", "doc_id", "text_hash", "sig")).alias("first")
     classes = materialise(rows.where("n > 0").groupBy("n", "d1", "d2").agg(first).select(F.col("first.row_id").alias("cls"), "n", "d1", "d2", "first.doc_id", "first.text_hash", "first.sig"), "classes")
     keys = _keys(classes)
-    stars = keys.groupBy("key").agg(F.min("cls").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = materialise(keys.join(stars, "key").select("key", "cls", "a"), "shared-keys")
-    pairs = shared.where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
-    near = materialise(_near(pairs, classes, percent), "near-pairs")
-    nearest = near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = _links(materialise(nearest, "nearest"), docs, classes, width, percent)
-    comps = materialise(_component_of(classes, links), "components")
-    placed = shared.select("key", "cls").join(comps, "cls")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("cls"), parts).cast("int")
-    members = placed.join(open_keys.select("key", "members"), "key").join(classes.select("cls", "n", "sig"), "cls").withColumn("parts", parts).withColumn("part", part)
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("key", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "cls", "comp", "n", "sig")
-    members = members.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b")
-    crossing = materialise(_crossing(members, percent), "crossing-pairs")
-    if crossing.head(1):
-        links = links.unionByName(_links(crossing, docs, classes, width, percent))
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = materialise(keys.join(sizes, "key"), "shared-keys")
+    tried = materialise(_stars(shared), "stars")
+    comps, links = classes.select("cls", F.col("cls").alias("comp")), None
+    for _ in range(STAR_ROUNDS):
+        a, b = (comps.select(F.col("cls").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+        apart = materialise(tried.join(a, "a").join(b, "b").where("comp_a <> comp_b").select("a", "b", "together"), "stars")
+        if not apart.head(1):
+            break
+        best = apart.groupBy("b").agg(F.max(F.struct("together", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+        best = materialise(best, "nearest")
+        near = materialise(_near(best, classes, percent), "near-pairs")
+        found = _links(near, docs, classes, width, percent)
+        links = found if links is None else links.unionByName(found)
         comps = materialise(_component_of(classes, links), "components")
+        tried = apart.join(best, ["a", "b"], "left_anti")
+    for round_ in range(NEAREST_ROUNDS + 1):
+        last = round_ == NEAREST_ROUNDS
+        crossing = materialise(_crossing(_open_groups(shared, comps, classes), percent, nearest=not last), "crossing-pairs")
+        if not last:
+            ends = crossing.select("a", "b", "d", F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.min(F.struct("d", "a", "b")).alias("best"))
+            crossing = materialise(ends.select("best.a", "best.b").distinct(), "nearest-pairs")
+        if not crossing.head(1):
+            break
+        found = _links(crossing, docs, classes, width, percent)
+        if found.head(1):
+            links = found if links is None else links.unionByName(found)
+            comps = materialise(_component_of(classes, links), "components")
     of_row = rows.join(classes.select("n", "d1", "d2", "cls"), ["n", "d1", "d2"]).select("row_id", "doc_id", "n", "cls")
     of_row = materialise(of_row.join(comps, "cls").select("row_id", "doc_id", "n", "comp"), "row-components")
     ids = materialise(of_row.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "component-ids")
@@ -295,7 +357,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, with all their columns."""
-    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("__kept"), (F.col("n_shingles") > 0).alias("__words")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return rows
+    """The rows of ``docs`` that stay, with all their columns: of each component those with its id."""
+    mark = f"{spare_name(docs)}kept"
+    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi")
