@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from satchel.llm import logistic
 from satchel.llm.common import WORD, materialise, spare_name
 
 #: Labelled rows that the model is fitted on, at most.
@@ -48,20 +49,10 @@ def features(text: Column) -> list[Column]:
     return [F.log1p(words), chars / words, upper, marks, loose, twice, digits, repeated, shouted]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps; the last is the intercept."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a ridge logistic regression; the last is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-6
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, x.T @ (y - p) - penalty * w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+    return logistic.fit(x, y, np.ones(len(y)), np.r_[np.full(x.shape[1] - 1, ridge), 1e-6])
 
 
 def _logit(p: Column) -> Column:

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from satchel.llm import logistic
+
 #: Labelled rows of each class that the models are fitted on, at most.
 SAMPLE_ROWS = 6_000
 THRESHOLD = 0.7
@@ -121,15 +123,7 @@ def _inputs(total: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-3 * np.eye(len(w))
-        step = np.clip(np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-3 * w), -5, 5)
-        w += step
-        if np.abs(step).max() < 1e-7:
-            break
-    return w
+    return logistic.fit(x, y, weight, np.full(x.shape[1], 1e-3))
 
 
 class Index(dict):
