@@ -21,15 +21,19 @@ Data flow. Texts are dealt to blocks of about BLOCK_CHARS by a hash. Each block
 its words and ids; counts are summed by word over all blocks, and each block gets the
 totals of its own words back, joined by block id. So no task holds more than a block of
 texts and the words in it, and the vocabulary is never in one place. Words are told apart
-by 64-bit hashes. The network's weights are fitted on a bounded sample of training texts
-(SAMPLE_TEXTS, the smallest hashes of ids); their size is set by the tokenizer's
-vocabulary and does not grow with the corpus.
+by 64-bit hashes.
+
+The network is fitted on every training text but one in TUNE: each block counts its ids'
+contexts, and in ROUNDS rounds takes steps over its own windows, each window in one round
+at least; after a round the blocks' moves are averaged, weighted by how often each id was
+seen. Its size is set by the tokenizer's vocabulary. The mixture's weight comes from the
+texts left out, chosen by a hash of the text.
 """
 
 from __future__ import annotations
 
 import io
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,8 +47,12 @@ from satchel.llm.common import materialise
 
 #: Half a window; width of the model; classes.
 HALF, WIDTH, CLASSES = 16, 16, 96
-#: Texts that the weights are fitted on at most, and steps of so many windows.
-SAMPLE_TEXTS, STEPS, BATCH = 2_000, 600, 256
+#: Rounds after which the blocks' weights are merged, a block's steps in all rounds, and windows of a step at least.
+ROUNDS, STEPS, BATCH = 4, 240, 256
+#: One text in so many is kept from the network, for the mixture's weight.
+TUNE = 50
+#: Frequent ids whose neighbourhood tells contexts apart, parts in which contexts and weights are summed, and blocks that are merged at once at most.
+FREQUENT, PARTS, MERGED = 256, 16, 64
 BLOCK_CHARS = 8_000_000
 #: The base counts: what is added to each count.
 ADDED = 0.1
@@ -183,6 +191,18 @@ class AttentionModel:
             out[to] = wanted - np.log(z.sum(-1)) + self.within[target]
         return out
 
+    def rows(self) -> np.ndarray:
+        """All weights in rows of WIDTH, first those of the ids."""
+        return np.concatenate([getattr(self, n).reshape(-1, WIDTH) for n in ("e", "wq", "wk", "wv", "wr", "distance", "wc", "bias")])
+
+    def set_rows(self, rows: np.ndarray) -> None:
+        at = 0
+        for n in ("e", "wq", "wk", "wv", "wr", "distance", "wc", "bias"):
+            old = getattr(self, n)
+            setattr(self, n, rows[at : at + old.size // WIDTH].reshape(old.shape).astype("f4"))
+            at += old.size // WIDTH
+        self.tables()
+
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, *(getattr(self, n) for n in ("e", "wq", "wk", "wv", "wr", "distance", "wc", "bias", "cls", "within")), np.float64(self.mix))
@@ -195,15 +215,24 @@ class AttentionModel:
         return cls(*parts[:10], float(parts[10]))
 
 
-def _contexts(x: np.ndarray, size: int, frequent: np.ndarray) -> np.ndarray:
-    """For each id WIDTH numbers that tell its neighbours apart: a truncated SVD of damped counts."""
+def _frequent(counts: np.ndarray) -> np.ndarray:
+    return np.argsort(-counts, kind="stable")[:FREQUENT]
+
+
+def _pairs(x: np.ndarray, size: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, numbers) of pairs inside texts: key id * 2 * FREQUENT + place of the frequent id before it, or FREQUENT + place of that after it."""
     column = np.full(size, -1)
     column[frequent] = np.arange(len(frequent))
-    parts = []
-    for a, b in ((x[1:], x[:-1]), (x[:-1], x[1:])):
-        seen = column[b] >= 0
-        parts.append(np.bincount(a[seen] * len(frequent) + column[b[seen]], minlength=size * len(frequent)).reshape(size, -1).astype("f4"))
-    m = np.sqrt(np.hstack(parts))
+    keys = []
+    for a, b, at in ((x[1:], x[:-1], 0), (x[:-1], x[1:], FREQUENT)):
+        seen = (column[b] >= 0) & (x[1:] != Subwords.START)
+        keys.append(a[seen] * (2 * FREQUENT) + at + column[b[seen]])
+    return np.unique(np.concatenate(keys), return_counts=True)
+
+
+def _contexts(m: np.ndarray) -> np.ndarray:
+    """For each id WIDTH numbers that tell its neighbours apart: a truncated SVD of damped counts."""
+    m = np.sqrt(m, dtype="f4")
     m /= np.linalg.norm(m, axis=1, keepdims=True) + 1.0
     _, vec = np.linalg.eigh(m.T @ m)
     return m @ vec[:, ::-1][:, :WIDTH]
@@ -234,39 +263,54 @@ def _rows(size: int, ids: np.ndarray, grads: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(flat, weights=g[:, d], minlength=size) for d in range(WIDTH)], 1).astype("f4")
 
 
-def train(ids: list[np.ndarray], counts: np.ndarray, begins: np.ndarray, steps: int = STEPS, seed: int = 5) -> AttentionModel:
-    """Fit on texts' ids (without start and end); counts: of each id in all training texts."""
+def _targets(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(next ids, texts' starts, their sizes) of texts' ids one after another, each after a start."""
+    starts = np.flatnonzero(x == Subwords.START)
+    y = np.append(x[1:], Subwords.START)
+    y[y == Subwords.START] = Subwords.END
+    return y, starts, np.diff(np.append(starts, len(x)))
+
+
+def initial(m: np.ndarray, counts: np.ndarray, begins: np.ndarray, seed: int = 5) -> AttentionModel:
+    """The model before its first step, from contexts' and ids' numbers in all texts."""
     rng, size = np.random.default_rng(seed), len(counts)
-    xs = [np.r_[Subwords.START, i] for i in ids] or [np.array([Subwords.START])]
-    ys = [np.r_[i, Subwords.END] for i in ids] or [np.array([Subwords.END])]
-    x, y = np.concatenate(xs).astype(np.int64), np.concatenate(ys).astype(np.int64)
-    sizes = np.array([len(i) for i in xs])
     counts = counts.astype(float)
-    features = _contexts(x, size, np.argsort(-counts)[:256])
+    features = _contexts(m)
     cls = _classes(features, counts, begins, rng)
     in_class = np.bincount(cls, weights=counts + ADDED, minlength=CLASSES)
     within = np.log((counts + ADDED) / in_class[cls]).astype("f4")
     within[Subwords.END] = 0
     within[[Subwords.PAD, Subwords.START]] = -60
     normal = lambda *s: (rng.normal(size=s) * WIDTH**-0.5).astype("f4")
-    scale = 1 / (features[counts > 0].std() + 1e-9)
+    scale = 1 / (features[counts > 0].std() + 1e-9) if counts.any() else 1.0
     e = (features * scale + 0.1 * rng.normal(size=(size, WIDTH))).astype("f4")
-    first = np.log(np.bincount(cls[y], minlength=CLASSES) + 1.0)
-    m = AttentionModel(e, normal(WIDTH, WIDTH), normal(WIDTH, WIDTH), normal(WIDTH, WIDTH), normal(WIDTH, WIDTH), np.zeros(2 * HALF, "f4"), 0.1 * normal(WIDTH, CLASSES), (first - first.max()).astype("f4"), cls, within, 0.5)
-    at, own = _windows(x, np.cumsum(sizes) - sizes, sizes)
+    first = np.log(np.bincount(cls, weights=counts, minlength=CLASSES) + 1.0)
+    return AttentionModel(e, normal(WIDTH, WIDTH), normal(WIDTH, WIDTH), normal(WIDTH, WIDTH), normal(WIDTH, WIDTH), np.zeros(2 * HALF, "f4"), 0.1 * normal(WIDTH, CLASSES), (first - first.max()).astype("f4"), cls, within, 0.5)
+
+
+def descend(m: AttentionModel, x: np.ndarray, steps: int, part: int = 0, parts: int = 1, seed: int = 5) -> tuple[np.ndarray, int]:
+    """Takes steps over share ``part`` of ``parts`` of the windows, each at least once; (how often each id was in them, next ids in them)."""
+    size = len(m.e)
+    y, starts, sizes = _targets(x)
+    at, own = _windows(x, starts, sizes)
     padded, names = np.append(x, Subwords.PAD), ("e", "wq", "wk", "wv", "wr", "distance", "wc", "bias")
+    order = np.random.default_rng(seed).permutation(len(at))
+    order = order[part::parts] if len(order) >= parts else order
+    seen = np.bincount(padded[at[order]].ravel(), minlength=size), int(own[order].sum())
+    batch = max(BATCH, -(-len(order) // steps))
+    order = np.resize(order, steps * batch)
     mean = {n: np.zeros_like(getattr(m, n)) for n in names}
     square = {n: np.zeros_like(getattr(m, n)) for n in names}
     scale, lag = np.float32(WIDTH**-0.5), np.clip(np.arange(HALF)[:, None] + HALF - np.arange(2 * HALF), 0, 2 * HALF - 1)
     for step in range(1, steps + 1):
-        pick = rng.integers(0, len(at), BATCH)
-        part, mine = at[pick], own[pick]
-        w = padded[part]
+        pick = order[(step - 1) * batch : step * batch]
+        part_at, mine = at[pick], own[pick]
+        w = padded[part_at]
         q_ids = w[:, HALF:]
         a, h, z = m.forward(w)
-        target = np.where(mine, part[:, HALF:], 0)
+        target = np.where(mine, part_at[:, HALF:], 0)
         dz = np.exp(z)
-        dz[np.arange(BATCH)[:, None], np.arange(HALF), cls[y[target]]] -= 1
+        dz[np.arange(batch)[:, None], np.arange(HALF), m.cls[y[target]]] -= 1
         dz *= (mine / np.float32(max(mine.sum(), 1)))[:, :, None]
         g = {"wc": np.tensordot(h, dz, ((0, 1), (0, 1))), "bias": dz.sum((0, 1))}
         dh = dz @ m.wc.T
@@ -279,14 +323,25 @@ def train(ids: list[np.ndarray], counts: np.ndarray, begins: np.ndarray, steps:
         g["wv"], g["wk"] = np.tensordot(ek, dv, ((0, 1), (0, 1))), np.tensordot(ek, dk, ((0, 1), (0, 1)))
         g["wq"], g["wr"] = np.tensordot(eq, dq, ((0, 1), (0, 1))) * scale, np.tensordot(eq, dh, ((0, 1), (0, 1)))
         g["e"] = _rows(size, w, dv @ m.wv.T + dk @ m.wk.T) + _rows(size, q_ids, dq @ m.wq.T * scale + dh @ m.wr.T)
-        rate = 0.02 * min(1, 2 * (1 - step / (steps + 1)))
+        rate = 0.02 * min(1, 2 * (1 - (part + step / (steps + 1)) / parts))
         for n in names:
             mean[n] += 0.1 * (g[n] - mean[n])
             square[n] += 0.01 * (g[n] * g[n] - square[n])
             move = rate * (mean[n] / (1 - 0.9**step)) / (np.sqrt(square[n] / (1 - 0.99**step)) + 1e-8)
             setattr(m, n, (getattr(m, n) - move).astype("f4"))
         m.tables()
-    return m
+    return seen
+
+
+def train(ids: list[np.ndarray], counts: np.ndarray, begins: np.ndarray, steps: int = STEPS, seed: int = 5) -> AttentionModel:
+    """Fit in one place on texts' ids (without start and end); counts: of each id in all training texts."""
+    x = np.concatenate([np.r_[Subwords.START, i] for i in ids] or [np.array([Subwords.START])]).astype(np.int64)
+    m = np.zeros((len(counts), 2 * FREQUENT), "f4")
+    keys, n = _pairs(x, len(counts), _frequent(counts))
+    m.ravel()[keys] = n
+    model = initial(m, counts, begins, seed)
+    descend(model, x, steps, seed=seed)
+    return model
 
 
 class Pieces:
@@ -319,7 +374,7 @@ def _text_log_probs(model: AttentionModel, block: Block, pieces: Pieces, some: n
     return np.add.reduceat(each.astype(float), ends - sizes_w), w
 
 
-def score_texts(docs: DataFrame, model_path: str | None = None, sample_texts: int = SAMPLE_TEXTS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def score_texts(docs: DataFrame, model_path: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
 
     Rows whose crc32(doc_id as text) mod 10 is 0 are held out; the model and all counts
@@ -333,66 +388,107 @@ def score_texts(docs: DataFrame, model_path: str | None = None, sample_texts: in
     size = docs.agg(F.sum(F.length(text)), F.sum((~held_out).cast("long"))).head()
     chars, train_texts = size[0] or 0, size[1] or 0
     blocks = max(8, -(-chars // block_chars))
-    rows = docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("int").alias("block"), "doc_id", held_out.alias("held_out"), text.alias("text"))
+    order = F.xxhash64("doc_id", text)
+    tune = ~held_out & (F.pmod(F.xxhash64(F.lit("tune"), text), F.lit(TUNE)) == 0)
+    rows = docs.select(F.pmod(order, F.lit(blocks)).cast("int").alias("block"), order.alias("order"), "doc_id", held_out.alias("held_out"), tune.alias("tune"), text.alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(block, h, n): a block's words with their numbers in training texts; with block -1, ids (as h) and their numbers."""
-        subwords, held, waiting = _subwords(model_path), {}, 0
+        """(block, h, n, tune, x): a block's words with their numbers in training texts and whether one for tuning has them; with block -1, ids (as h) and their numbers, with -2, those that begin words; with x, the ids of the network's texts."""
+        subwords, held, waiting, parts = _subwords(model_path), {}, 0, 0
+        names = ["block", "h", "n", "tune", "x"]
 
-        def flush(block: int, texts: list[str], learn: list[bool]) -> Iterator[pa.RecordBatch]:
+        def out(block: int, h: np.ndarray, n: np.ndarray, tuned: np.ndarray | None = None) -> pa.RecordBatch:
+            tuned = np.zeros(len(h), bool) if tuned is None else tuned
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block, np.int32)), pa.array(h), pa.array(n.astype(np.int64)), pa.array(tuned), pa.nulls(len(h), pa.binary())], names)
+
+        def flush(block: int, texts: list[str], learn: list[bool], tuned: list[bool]) -> Iterator[pa.RecordBatch]:
+            nonlocal parts
             b = Block(texts)
-            learned = [np.zeros(0, np.int32), *(t for t, ok in zip(b.texts, learn, strict=True) if ok)]
-            n = np.bincount(np.concatenate(learned), minlength=len(b.words))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block, np.int32)), pa.array(b.hashes()), pa.array(n)], ["block", "h", "n"])
+            none = np.zeros(0, np.int32)
+            occurring = lambda wanted: np.bincount(np.concatenate([none, *(t for t, ok in zip(b.texts, wanted, strict=True) if ok)]), minlength=len(b.words))
+            n = occurring(learn)
+            yield out(block, b.hashes(), n, occurring(tuned) > 0)
             ids = subwords.ids(b.words)
             if ids:
                 total = np.bincount(np.concatenate(ids), weights=np.repeat(n, [len(i) for i in ids]), minlength=subwords.size)
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1, np.int32)), pa.array(at), pa.array(total[at].astype(np.int64))], ["block", "h", "n"])
+                begin = np.bincount([i[0] for i in ids if len(i)] or none, weights=n[[len(i) > 0 for i in ids]], minlength=subwords.size)
+                for k, t in ((-1, total), (-2, begin)):
+                    at = np.flatnonzero(t)
+                    yield out(k, at, t[at])
+            start = np.array([Subwords.START], np.int32)
+            x = [i for t, ok, no in zip(b.texts, learn, tuned, strict=True) if ok and not no for i in (start, *(ids[w] for w in t))]
+            if x:
+                parts += 1
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([parts], pa.int64()), pa.array([0], pa.int64()), pa.array([False]), pa.array([np.concatenate(x).astype(np.int32).tobytes()], pa.binary())], names)
 
         for batch in batches:
-            for block, learn, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for block, held_out_, tuned, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 t = t.as_py()
-                held.setdefault(block, ([], []))
-                held[block][0].append(t), held[block][1].append(not learn)
+                of = held.setdefault(block, ([], [], []))
+                of[0].append(t), of[1].append(not held_out_), of[2].append(tuned)
                 waiting += len(t)
             if waiting > 2 * block_chars:
-                for block, (texts, learn) in held.items():
-                    yield from flush(block, texts, learn)
+                for block, of in held.items():
+                    yield from flush(block, *of)
                 held, waiting = {}, 0
-        for block, (texts, learn) in held.items():
-            yield from flush(block, texts, learn)
+        for block, of in held.items():
+            yield from flush(block, *of)
 
     dealt = rows.repartition(int(blocks), "block")
-    counted = dealt.select("block", "held_out", "text").mapInArrow(count, "block int, h long, n long")
-    word = Window.partitionBy(F.col("block") < 0, "h")
-    totals = counted.withColumn("total", F.sum("n").over(word)).withColumn("first", F.row_number().over(word.orderBy("block")) == 1)
-    totals = materialise(totals.select("block", "h", "total", "first"), "word-totals")
+    sorted_rows = dealt.sortWithinPartitions("block", "order").select("block", "held_out", "tune", "text")
+    counted = materialise(sorted_rows.mapInArrow(count, "block int, h long, n long, tune boolean, x binary"), "counted")
+    word = Window.partitionBy(F.least("block", F.lit(0)), "h")
+    totals = counted.where("x IS NULL").withColumn("total", F.sum("n").over(word)).withColumn("first", F.row_number().over(word.orderBy("block")) == 1)
+    totals = materialise(totals.select("block", "h", "tune", "total", "first"), "word-totals")
     seen = totals.where("block >= 0 AND first AND total > 0").agg(F.sum("total"), F.count(F.lit(1))).head()
     n, v = (seen[0] or 0) + train_texts, seen[1] + (train_texts > 0)
-    ids = totals.where("block < 0 AND first").select("h", "total").toPandas()  # no more rows than the tokenizer has ids
-    model = _fit(rows, ids, n, v, train_texts, model_path, sample_texts)
-    shared = spark.sparkContext.broadcast(model)
+    ids = totals.where("block < 0 AND first").select("block", "h", "total").toPandas()  # no more rows than twice the tokenizer's ids
+    texts_ids = counted.where("x IS NOT NULL").select("block", F.col("h").alias("part"), "x").repartition(2 * int(blocks), "block", "part")
+    model = _fit(texts_ids, ids, train_texts, model_path)
     unit = np.log10(n + ADDED * (v + 1)) if n else 0.0
 
-    def score(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        net, subwords = _model(shared), _subwords(model_path)
+    def read(texts: pd.DataFrame, words: pd.DataFrame) -> tuple[Block, Pieces, np.ndarray, np.ndarray]:
+        """(texts, their words' ids, numbers of the words and the end, texts' sizes)."""
         block = Block(texts.text.tolist())
         h = block.hashes()
         known, total = words.h.to_numpy(), words.total.to_numpy()
         order = np.argsort(known)
         c = total[order][np.searchsorted(known[order], h)] if len(h) else np.zeros(0, np.int64)
-        pieces = Pieces(subwords.ids(block.words))
+        return block, Pieces(_subwords(model_path).ids(block.words)), np.append(c, train_texts), np.array([len(t) + 1 for t in block.texts])  # index -1 is the end
+
+    def batches_of(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // 20_000, prepend=-1))
+        return zip(cuts, [*cuts[1:], len(sizes)], strict=True)
+
+    def weigh(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        """(bin, n): words by the logarithm of the network's probability over their share, each word's own occurrence left out of its count."""
+        found = np.zeros(2 * BINS + 1, np.int64)
+        if len(texts):
+            net = _model(shared)
+            block, pieces, c, sizes = read(texts, words)
+            for a, b in batches_of(sizes):
+                each, w = _text_log_probs(net, block, pieces, np.arange(a, b))
+                less = np.maximum(c[w] - 1, 0)
+                ratio = np.where(less > 0, each - np.log((less + ADDED) / (n + ADDED * (v + 1))), np.inf)
+                found += np.bincount(np.clip(np.rint(ratio * PER_UNIT), -BINS, BINS).astype(int) + BINS, minlength=2 * BINS + 1)
+        at = np.flatnonzero(found)
+        return pd.DataFrame({"bin": at - BINS, "n": found[at]})
+
+    shared = spark.sparkContext.broadcast(model)
+    tuning = dealt.where("tune").groupBy("block").cogroup(totals.where("block >= 0 AND tune").select("block", "h", "total").groupBy("block"))
+    bins = tuning.applyInPandas(weigh, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # no more rows than bins
+    mix = _mixture(bins.bin.to_numpy() / PER_UNIT, bins.n.to_numpy())
+
+    def score(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        net = _model(shared)
+        block, pieces, c, sizes = read(texts, words)
         out = []
-        c = np.append(c, train_texts)  # index -1 is the end
         base = np.log10(c + ADDED) - unit
-        share = np.where(c > 0, (1 - net.mix) * 10**base, 0.0)
-        sizes = np.array([len(t) + 1 for t in block.texts])
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // 20_000, prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True):
+        share = np.where(c > 0, (1 - mix) * 10**base, 0.0)
+        for a, b in batches_of(sizes):
             each, w = _text_log_probs(net, block, pieces, np.arange(a, b))
-            mixed = np.log10(net.mix * np.exp(each) + share[w])
-            mixed = np.where(share[w] > 0, mixed, np.log10(net.mix) + each / np.log(10))
+            mixed = np.log10(mix * np.exp(each) + share[w])
+            mixed = np.where(share[w] > 0, mixed, np.log10(mix) + each / np.log(10))
             starts = np.cumsum(sizes[a:b]) - sizes[a:b]
             out.append(np.stack([np.add.reduceat(z, starts) for z in ((c[w] > 0).astype(float), base[w], mixed)], 1))
         out = np.concatenate(out)
@@ -401,10 +497,13 @@ def score_texts(docs: DataFrame, model_path: str | None = None, sample_texts: in
     kind = docs.schema["doc_id"].dataType.simpleString()
     result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     words = totals.where("block >= 0").select("block", "h", "total")
-    return dealt.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(score, result)
+    return dealt.select("block", "doc_id", "held_out", "text").groupBy("block").cogroup(words.groupBy("block")).applyInPandas(score, result)
+
 
+#: Bins on each side of 0, and bins of a unit, of the logarithm by which the mixture's weight is fitted.
+BINS, PER_UNIT = 1_000, 25
 
-_models: dict[int, AttentionModel] = {}
+_models: dict[str, AttentionModel] = {}
 
 
 def _model(shared) -> AttentionModel:
@@ -415,40 +514,87 @@ def _model(shared) -> AttentionModel:
     return _models[shared.value["id"]]
 
 
-def _fit(rows: DataFrame, ids: pd.DataFrame, n: int, v: int, train_texts: int, model_path: str | None, sample_texts: int) -> dict:
-    import uuid
-
-    at, many = ids.h.tolist(), ids.total.tolist()
-    chosen = rows.where("NOT held_out").select("doc_id", F.xxhash64("doc_id", F.length("text")).alias("order")).orderBy("order").limit(sample_texts)
-    last = chosen.agg(F.max("order")).head()[0]
-    sample = rows.where(~F.col("held_out") & (F.xxhash64("doc_id", F.length("text")) <= F.lit(last))).select("doc_id", "text").repartition(1)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        subwords = _subwords(model_path)
-        counts = np.zeros(subwords.size)
-        counts[at] = many
-        counts[Subwords.END] = train_texts
-        texts = pd.concat([pd.DataFrame({"doc_id": [], "text": []}), *frames]).sort_values(["doc_id", "text"]).text.tolist()[:sample_texts]
-        block = Block(texts)
-        pieces = subwords.ids(block.words)
-        begins = np.zeros(subwords.size, bool)
-        begins[np.unique([p[0] for p in pieces if len(p)]).astype(int)] = True
-        model = train([np.concatenate([np.zeros(0, np.int32), *(pieces[w] for w in t)]) for t in block.texts], counts, begins)
-        if texts and n:  # the mixture's weight by EM, each word's own occurrence left out of its count
-            own = Counter(np.concatenate(block.texts).tolist())
-            c = np.array([max(own[i] - 1, 0) for i in range(len(block.words))] + [train_texts]) * 1.0
-            c[:-1] *= n / max(sum(own.values()), 1)
-            some = np.arange(min(len(texts), 200))
-            each, w = _text_log_probs(model, block, Pieces(pieces), some)
-            p, q = np.exp(each), np.where(c[w] > 0, (c[w] + ADDED) / (n + ADDED * (v + 1)), 0)
-            for _ in range(30):
-                model.mix = float(np.clip((model.mix * p / (model.mix * p + (1 - model.mix) * q + 1e-300)).mean(), 0.02, 0.98))
-        yield pd.DataFrame({"model": [model.to_bytes()]})
-
-    found = sample.mapInPandas(run, "model binary").head(1)
-    if found:
-        data = bytes(found[0][0])
-    else:
+def _mixture(ratio: np.ndarray, n: np.ndarray) -> float:
+    """The network's weight by EM over words of given log ratios; a half without words."""
+    mix, r = 0.5, np.exp(ratio)
+    for _ in range(30 if n.sum() else 0):
+        mix = float(np.clip((n * (mix * r / (mix * r + 1 - mix))).sum() / n.sum(), 0.02, 0.98))
+    return mix
+
+
+def _fit(texts: DataFrame, ids: pd.DataFrame, train_texts: int, model_path: str | None) -> dict:
+    """The model fitted on all ``texts`` (block, part, x); ids: (block, h, total), with block -1 each id's number, with -2 of those that begin words."""
+    spark = texts.sparkSession
+    all_ids, begin_ids = (ids[ids.block == k] for k in (-1, -2))
+    at, many, begin = all_ids.h.tolist(), all_ids.total.tolist(), begin_ids.h.tolist()
+
+    def counts() -> np.ndarray:
+        out = np.zeros(_subwords(model_path).size)
+        out[at] = many
+        out[Subwords.END] = train_texts
+        return out
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counts()
+        frequent = _frequent(c)
+        for batch in batches:
+            for x in batch.column(0):
+                k, n = _pairs(np.frombuffer(x.as_py(), np.int32).astype(np.int64), len(c), frequent)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["k", "n"])
+
+    def dense(f: pd.DataFrame) -> pd.DataFrame:
+        """A part's contexts as one matrix: ids part, part + PARTS, ..."""
+        k = f.k.to_numpy()
+        row, column = k // (2 * FREQUENT), k % (2 * FREQUENT)
+        m = np.zeros((int(row.max()) // PARTS + 1, 2 * FREQUENT), "f4")
+        m[row // PARTS, column] = f.n
+        return pd.DataFrame({"part": [int(row[0]) % PARTS], "m": [m.tobytes()]})
+
+    def start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = counts()
+        m, begins = np.zeros((len(c), 2 * FREQUENT), "f4"), np.zeros(len(c), bool)
+        for f in frames:
+            for part, rows in zip(f.part, f.m, strict=True):
+                rows = np.frombuffer(rows, "f4").reshape(-1, 2 * FREQUENT)
+                m[part::PARTS][: len(rows)] = rows
+        begins[begin] = True
+        yield pd.DataFrame({"model": [initial(m, c, begins).to_bytes()]})
+
+    part = F.pmod(F.floor(F.col("k") / (2 * FREQUENT)), F.lit(PARTS))
+    summed = texts.select("x").mapInArrow(pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    found = summed.groupBy(part.alias("p")).applyInPandas(dense, "part int, m binary").repartition(1).mapInPandas(start, "model binary").head(1)  # PARTS rows
+    if not found:
         size = 3 + max([0, *at])
         data = AttentionModel(*(np.zeros(s, "f4") for s in ((size, WIDTH), *[(WIDTH, WIDTH)] * 4, 2 * HALF, (WIDTH, CLASSES), CLASSES)), np.zeros(size, np.int64), np.full(size, -np.log(size), "f4"), 0.5).to_bytes()
-    return {"id": uuid.uuid4().hex, "data": data}
+        return {"id": uuid.uuid4().hex, "data": data}
+    model, steps, rounds = AttentionModel.from_bytes(bytes(found[0][0])), max(1, STEPS // ROUNDS), ROUNDS
+    blocks = texts.agg(F.max("block")).head()[0] + 1
+    moves = "piece int, block long, part long, move binary, seen binary"
+
+    def merge(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["block", "part"])
+        total = lambda c: np.sum([np.frombuffer(x, "f4") for x in c], axis=0, dtype=float).astype("f4").tobytes()
+        return pd.DataFrame({"piece": f.piece.iloc[:1], "block": f.block.iloc[:1], "part": f.part.iloc[:1], "move": [total(f.move)], "seen": [total(f.seen)]})
+
+    for k in range(rounds):
+        shared = spark.sparkContext.broadcast(model.to_bytes())
+
+        def learn(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[pd.DataFrame]:
+            """A block's moves in a round, times how often each row of weights was seen."""
+            for f in batches:
+                for block, part, x in zip(f.block, f.part, f.x, strict=True):
+                    net = AttentionModel.from_bytes(shared.value)
+                    old = net.rows()
+                    ids, own = descend(net, np.frombuffer(x, np.int32).astype(np.int64), steps, k, rounds, seed=int(block))
+                    seen = np.full(len(old), own, "f4")
+                    seen[: len(ids)] = ids
+                    move = (net.rows() - old) * seen[:, None]
+                    yield pd.DataFrame([(i, block, part, a.tobytes(), b.tobytes()) for i, (a, b) in enumerate(zip(np.array_split(move, PARTS), np.array_split(seen, PARTS), strict=True))], columns=["piece", "block", "part", "move", "seen"])
+
+        moved = texts.mapInPandas(learn, moves)
+        if blocks > MERGED:
+            moved = moved.groupBy("piece", F.pmod("block", F.lit(int(blocks**0.5)))).applyInPandas(merge, moves)
+        got = moved.groupBy("piece").applyInPandas(merge, moves).orderBy("piece").collect()  # the size of the model
+        move, seen = (np.concatenate([np.frombuffer(r[c], "f4") for r in got]) for c in ("move", "seen"))
+        model.set_rows(model.rows() + move.reshape(-1, WIDTH) / np.maximum(seen, 1)[:, None])
+    return {"id": uuid.uuid4().hex, "data": model.to_bytes()}

@@ -295,6 +295,38 @@ def test_lm_scores(docs, rows, nothing, monkeypatch):
     assert lm_scoring.score_texts(nothing).count() == 0
 
 
+def test_every_block_moves_the_network(spark, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(lm_scoring, "STEPS", 8)
+    monkeypatch.setattr(lm_scoring, "MERGED", 3)
+    rng = np.random.default_rng(2)
+    xs = [np.concatenate([np.r_[1, rng.integers(3 + 50 * b, 53 + 50 * b, 30)] for _ in range(20)]) for b in range(6)]  # no id is in two blocks
+    size = lm_scoring._subwords(None).size
+    counts = sum(np.bincount(x, minlength=size) for x in xs).astype(float)
+    counts[[1, 2]] = 0, 120
+    m = np.zeros((size, 2 * lm_scoring.FREQUENT), "f4")
+    for x in xs:
+        keys, n = lm_scoring._pairs(x, size, lm_scoring._frequent(counts))
+        m.ravel()[keys] += n
+    at = np.flatnonzero(counts)
+    at = at[at > 2]
+    begins = np.isin(np.arange(size), at[::2])
+    ids = pd.DataFrame([(-1, i, int(counts[i])) for i in at] + [(-2, i, 1) for i in at[::2]], columns=["block", "h", "total"])
+    texts = spark.createDataFrame([(b, 1, x.astype(np.int32).tobytes()) for b, x in enumerate(xs)], "block int, part long, x binary").repartition(3)
+    model = lm_scoring.AttentionModel.from_bytes(lm_scoring._fit(texts, ids, 120, None)["data"])
+    before = lm_scoring.initial(m, counts, begins)
+    moved = (model.e != before.e).any(axis=1)
+    assert moved[at].all() and not moved[3 + 300 :].any() and (model.cls == before.cls).all()
+
+
+def test_mixture_weight():
+    p, q = np.array([0.8, 0.2]), np.array([0.1, 0.9])
+    n = 1000 * (0.3 * p + 0.7 * q)
+    best = min(np.linspace(0.02, 0.98, 97), key=lambda a: -(n * np.log(a * p + (1 - a) * q)).sum())
+    assert lm_scoring._mixture(np.log(p / q), n) == pytest.approx(best, abs=0.02) and lm_scoring._mixture(np.zeros(0), np.zeros(0)) == 0.5
+
+
 def test_windows_score_each_id_once():
     sizes = np.array([1, 15, 16, 17, 100])
     starts = np.cumsum(sizes) - sizes
