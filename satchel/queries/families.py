@@ -81,29 +81,33 @@ def symmetric_tour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shortest_path_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The arcs between nations whose cost is odd."""
-    arcs = _arcs(spark, sf_dir).where(F.col("cost") % 2 == 1)
+    """All arcs between nations."""
+    arcs = _arcs(spark, sf_dir)
     entry = F.concat(F.lit('[{"__tuple__":['), F.col("i").cast("string"), F.lit(","), F.col("j").cast("string"), F.lit("]},"), F.col("cost").cast("string"), F.lit("]"))
     payload = F.concat(F.lit('{"nodes":'), F.to_json(F.sequence(F.lit(0), F.lit(24))), F.lit(',"arc_cost":{"__map__":['), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("]}}"))
     return _features(arcs.agg(payload.alias("payload")).select(F.lit("nations").alias("instance_id"), F.lit("shortest_path").alias("family"), "payload"))
 
 
 def incidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which suppliers deliver parts of a brand: groups of at most the first eight suppliers of each of 25 brands."""
-    line, part = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "part")
-    pairs = line.join(part, line.l_partkey == part.p_partkey).select("p_brand", (F.col("l_suppkey") % 40).alias("s")).where((F.col("l_partkey") % 11) == 0).distinct()
-    groups = pairs.groupBy("p_brand").agg(F.slice(F.array_sort(F.collect_set("s")), 1, 8).alias("g")).agg(F.array_sort(F.collect_list("g")).alias("incidence"))
-    rows = groups.select(F.lit("brands").alias("instance_id"), "incidence")
+    """Which suppliers deliver parts of a brand: for each nation's suppliers an instance with a group for each brand.
+
+    A supplier is in one nation, so every link is in one instance, which grows with a nation's suppliers only.
+    """
+    line, part, supplier = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "part"), _read(spark, sf_dir, "supplier")
+    pairs = line.join(part, line.l_partkey == part.p_partkey).select("p_brand", F.col("l_suppkey").alias("s")).distinct()
+    pairs = pairs.join(supplier.select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("nation")), "s", "left")
+    groups = pairs.groupBy("nation", "p_brand").agg(F.array_sort(F.collect_list("s")).alias("g")).groupBy("nation").agg(F.array_sort(F.collect_list("g")).alias("incidence"))
+    rows = groups.select(F.concat(F.lit("nation_"), F.coalesce(F.col("nation").cast("string"), F.lit("none"))).alias("instance_id"), "incidence")
     both = _payload(rows, "incidence", "incidence").unionByName(_payload(rows, "bipartite", "incidence"))
     return _features(both)
 
 
 def network_flow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capacities of one to the arcs' costs, balances by node, and a bound on some nodes' inflow."""
-    arcs = _arcs(spark, sf_dir).where((F.col("i") < 6) & (F.col("j") < 6))
+    """Capacities of one to the arcs' costs, balances by node, and a bound on some nodes' inflow; all nations and arcs."""
+    arcs = _arcs(spark, sf_dir)
     pair = F.concat(F.lit('{"__tuple__":['), F.col("i").cast("string"), F.lit(","), F.col("j").cast("string"), F.lit("]}"))
     entries = lambda v: F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("["), pair, F.lit(","), v.cast("string"), F.lit("]")))), ",")
-    payload = F.concat(F.lit('{"nodes":[0,1,2,3,4,5],"balance":[5,-1,-1,-1,-1,-1],"node_inflow_capacity":{"__map__":[[2,30],[4,40]]},"arc_cost":{"__map__":['), entries(F.col("cost")), F.lit(']},"capacity":{"__map__":['), entries(1 + F.col("cost") % 50), F.lit("]}}"))
+    payload = F.concat(F.lit('{"nodes":'), F.to_json(F.sequence(F.lit(0), F.lit(24))), F.lit(',"balance":'), F.to_json(F.array(F.lit(24), *[F.lit(-1)] * 24)), F.lit(',"node_inflow_capacity":{"__map__":[[2,30],[4,40]]},"arc_cost":{"__map__":['), entries(F.col("cost")), F.lit(']},"capacity":{"__map__":['), entries(1 + F.col("cost") % 50), F.lit("]}}"))
     return _features(arcs.agg(payload.alias("payload")).select(F.lit("nations").alias("instance_id"), F.lit("network_flow").alias("family"), "payload"))
 
 

@@ -14,3 +14,25 @@ def test_profiles_of_all_orders(spark):
     got = queries["profile_features"](spark, DATA).groupBy("family").sum("rows").collect()
     many = {r[0]: r[1] for r in got}
     assert len(many) == 10 and all(n == orders(spark) * (3 if f == "profile" else 1) for f, n in many.items())
+
+
+def features(spark, name):
+    out = {}
+    for r in queries[name](spark, DATA).collect():
+        assert r.feature[0] != "!", r
+        out.setdefault(r.instance_id, {})[r.feature] = r.value
+    return out
+
+
+def test_all_links_between_brands_and_suppliers(spark):
+    line, part = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("lineitem", "part"))
+    links = line.join(part, line.l_partkey == part.p_partkey).select("p_brand", "l_suppkey").distinct()
+    got = features(spark, "incidence_features")
+    assert round(sum(f["incidence_density"] * f["incidence_group_count"] * f["incidence_universe_size"] for f in got.values())) == links.count()
+    assert sum(f["incidence_universe_size"] for f in got.values()) == links.select("l_suppkey").distinct().count()
+
+
+def test_all_arcs_between_nations(spark):
+    assert features(spark, "shortest_path_features")["nations"]["sp_arc_density"] == 1
+    flow = features(spark, "network_flow_features")["nations"]
+    assert flow["arc_cost_count"] == 600, flow
