@@ -26,13 +26,19 @@ def _payload(rows: DataFrame, family: str, *fields) -> DataFrame:
 
 def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing instances: an order's weights, and bins of its largest weight and a quarter of the rest."""
-    rows = instances(spark, sf_dir).where(F.size("weights") <= 12)
+    rows = instances(spark, sf_dir)
     total = F.aggregate("weights", F.lit(0).cast("long"), lambda a, v: a + v)
     return rows.select("instance_id", F.col("weights").alias("sizes"), (F.array_max("weights") + F.floor((total - F.array_max("weights")) / 4)).alias("capacity"))
 
 
 def packing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _features(_payload(_bins(spark, sf_dir), "packing", "sizes", "capacity")).where(F.col("feature").isin("item_count", "total_size_ratio", "remaining_capacity_fraction", "huge_item_ratio", "large_item_ratio", "medium_item_ratio", "small_item_ratio", "tiny_item_ratio"))
+    """What the SQL covers: orders of at most 12 items, and eight features; ``packing_all_features`` has the rest."""
+    return _features(_payload(_bins(spark, sf_dir).where(F.size("sizes") <= 12), "packing", "sizes", "capacity")).where(F.col("feature").isin("item_count", "total_size_ratio", "remaining_capacity_fraction", "huge_item_ratio", "large_item_ratio", "medium_item_ratio", "small_item_ratio", "tiny_item_ratio"))
+
+
+def packing_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of all orders; no SQL."""
+    return _features(_payload(_bins(spark, sf_dir), "packing", "sizes", "capacity"))
 
 
 def compatibility_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +51,7 @@ def subset_sum_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quadratic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pair profits of the neighbours in an order's item list."""
-    rows = instances(spark, sf_dir).where(F.size("weights").between(3, 8))
+    rows = instances(spark, sf_dir)
     steps = F.sequence(F.lit(0), F.size("weights") - 2)
     pairs = F.transform(steps, lambda i: F.concat(F.lit('[{"__tuple__":['), i.cast("string"), F.lit(","), (i + 1).cast("string"), F.lit("]},"), ((F.get("profit", i) + F.get("profit", i + 1)) % 1000).cast("string"), F.lit("]")))
     payload = F.concat(F.lit('{"weights":'), F.to_json("weights"), F.lit(',"profits":'), F.to_json("profit"), F.lit(',"capacity":'), F.col("capacity").cast("string"), F.lit(',"pair_profit":{"__map__":['), F.array_join(pairs, ","), F.lit("]}}"))
@@ -138,7 +144,7 @@ def profile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (packing_features, compatibility_features, subset_sum_features, quadratic_features, directed_tour_features, symmetric_tour_features, shortest_path_features, incidence_features, network_flow_features, profile_features)
+    for f in (packing_features, packing_all_features, compatibility_features, subset_sum_features, quadratic_features, directed_tour_features, symmetric_tour_features, shortest_path_features, incidence_features, network_flow_features, profile_features)
 }
 
 _BINS = f"WITH {INSTANCES}, bins AS (SELECT instance_id, weights AS sizes, CAST(list_max(weights) + (list_sum(weights) - list_max(weights)) // 4 AS BIGINT) AS capacity FROM kp WHERE n <= 12), s AS (SELECT instance_id, capacity, generate_subscripts(sizes, 1) AS i, unnest(sizes) * 1.0 / capacity AS r FROM bins)"

@@ -1,6 +1,12 @@
 """The queries take in all rows: none is left out by its id, size or cost."""
 
 import importlib
+import random
+
+import numpy as np
+import pytest
+
+from satchel.queries.common import instances
 
 DATA = "/root/testdata/sf0.001"
 queries = importlib.import_module("__spark_entry__").queries()
@@ -36,3 +42,29 @@ def test_all_arcs_between_nations(spark):
     assert features(spark, "shortest_path_features")["nations"]["sp_arc_density"] == 1
     flow = features(spark, "network_flow_features")["nations"]
     assert flow["arc_cost_count"] == 600, flow
+
+
+@pytest.fixture(scope="module")
+def mixed(spark, tmp_path_factory):
+    """Orders of 2, 3, 9, 11, 13 and 16 lines."""
+    rng = random.Random(1)
+    rows = [(n, i, rng.randrange(1, 50), rng.randrange(1, 20), float(rng.randrange(1, 51)), float(rng.randrange(900, 9000))) for n in (2, 3, 9, 11, 13, 16) for i in range(1, n + 1)]
+    folder = tmp_path_factory.mktemp("mixed")
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_optimum_of_orders_of_all_sizes(spark, mixed):
+    got = {r.instance_id: r.objective for r in queries["kp_optimum_all"](spark, mixed).collect()}
+    found = {r.instance_id: r for r in instances(spark, mixed).collect()}
+    assert set(got) == set(found) and len(got) == 6
+    for k, r in found.items():
+        sets = (np.arange(2 ** len(r.weights))[:, None] >> np.arange(len(r.weights))) & 1
+        assert got[k] == (sets @ np.array(r.profit))[sets @ np.array(r.weights) <= r.capacity].max()
+
+
+@pytest.mark.parametrize("name", ["packing_all_features", "compatibility_features", "subset_sum_features", "quadratic_features"])
+def test_features_of_orders_of_all_sizes(spark, mixed, name):
+    rows = queries[name](spark, mixed).collect()
+    assert {r.instance_id for r in rows} == {f"order_{n}" for n in (2, 3, 9, 11, 13, 16)} and all(r.feature[0] != "!" for r in rows)
+    assert name != "packing_all_features" or {"relative_size_mean", "bin_capacity"} <= {r.feature for r in rows}
