@@ -27,7 +27,7 @@ def extract(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 def augment_(spark: SparkSession, a: argparse.Namespace) -> dict:
     rows = tables.read_instances(spark, a.parents).select("instance_id", "weights", "profit", "capacity").withColumn("ord", F.monotonically_increasing_id())
-    parents = [(r.instance_id, (list(r.weights), list(r.profit), r.capacity)) for r in rows.orderBy("ord").limit(a.max_parents).collect()]
+    parents = rows.orderBy("ord").limit(a.max_parents) if a.max_parents else rows
     made = augment.generate(spark, parents, a.max_rounds * a.candidates_per_round, a.seed, rows).persist()
     made.orderBy("sequence").write.mode("errorifexists").json(f"{a.output_dir}/instances")
     both = rows.select("instance_id", "weights", "profit", "capacity").unionByName(made.select("instance_id", "weights", "profit", "capacity"))
@@ -87,7 +87,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("corpus"), p.add_argument("output")
     p = sub.add_parser("augment")
     p.add_argument("--parents", required=True), p.add_argument("--output-dir", required=True), p.add_argument("--max-rounds", type=int, default=100)
-    p.add_argument("--candidates-per-round", type=int, default=200), p.add_argument("--seed", type=int, default=20260924), p.add_argument("--max-parents", type=int, default=10_000)
+    p.add_argument("--candidates-per-round", type=int, default=200), p.add_argument("--seed", type=int, default=20260924), p.add_argument("--max-parents", type=int, default=0)
     p = sub.add_parser("solve")
     p.add_argument("--instances", required=True), p.add_argument("--output-dir", required=True), p.add_argument("--max-instances", type=int, default=0)
     p = sub.add_parser("project")

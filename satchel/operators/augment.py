@@ -52,7 +52,7 @@ def draw_profits(rng: np.random.Generator, weights: list[int], capacity: int, ki
 
 def draw_weights(rng: np.random.Generator, n: int, capacity: int, shape: str) -> list[int]:
     below = lambda part: int(rng.integers(1, max(capacity // part, 2)))
-    heavy = lambda: int(rng.integers(max(capacity // 2, 2), capacity + 1))
+    heavy = lambda: int(rng.integers(min(max(capacity // 2, 2), capacity), capacity + 1))
     one = {"uniform": lambda i: below(1), "small_heavy": lambda i: below(5), "large_heavy": lambda i: heavy(), "mixed": lambda i: below(4) if i < n // 2 else heavy(), "bimodal": lambda i: int(rng.choice([below(5), heavy()]))}[shape]
     return [max(1, one(i)) for i in range(n)]
 
@@ -151,35 +151,51 @@ def mutate(x: Instance, name: str, rng: np.random.Generator) -> tuple[Instance |
     return MUTATIONS[name]((list(map(int, x[0])), list(map(int, x[1])), int(x[2])), rng)
 
 
-def attempts(spark: SparkSession, parents: list[tuple[str, Instance]], many: int, seed: int) -> DataFrame:
+def attempts(spark: SparkSession, parents: DataFrame | list[tuple[str, Instance]], many: int, seed: int) -> DataFrame:
     """(ord, operator, parent_id, parameters, weights, profit, capacity) of the attempts 1 to ``many`` that give an instance.
 
-    ``parents`` is a bounded list that is sent to all tasks.
+    An attempt draws the places of its parents among all of them, the parents at those
+    places are joined to it, and the draws are repeated with them. So no list of parents
+    is collected. ``parents``: (instance_id, ord, weights, profit, capacity), or a list.
     """
-    sizes, capacities = [len(x[0]) for _, x in parents], [x[2] for _, x in parents]
+    if not isinstance(parents, DataFrame):
+        parents = spark.createDataFrame([(k, i, *x) for k, (i, x) in enumerate(parents)], "ord long, instance_id string, weights array<bigint>, profit array<bigint>, capacity bigint")
+    placed = numbered(parents.withColumn("canonical_hash", F.lit("")), position="__place").withColumn("__place", F.col("__place") - 1)
+    count, names = placed.count(), list(MUTATIONS)
+    if not count:
+        raise ValueError("no parents")
+
+    def draw(k: int) -> tuple[np.random.Generator, str, int, int, bool]:
+        """(the generator after its first draws, operator, places of the parent and of the one that gives the capacity)."""
+        rng = np.random.default_rng(int(seed + STRIDE * k))
+        if rng.random() < RANDOM_SHARE:
+            return rng, "random_generate", int(rng.choice(count)), int(rng.choice(count)), True
+        op, place = names[int(rng.integers(len(names)))], int(rng.integers(count))
+        return rng, op, place, place, False
+
+    def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            drawn = [draw(int(k))[2:4] for k in f.id]
+            yield pd.DataFrame({"id": f.id, "a": [x for x, _ in drawn], "b": [x for _, x in drawn]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = list(MUTATIONS)
         for f in frames:
             out = []
-            for k in f.id:
-                rng = np.random.default_rng(int(seed + STRIDE * k))
-                if rng.random() < RANDOM_SHARE:
-                    n = int(rng.choice(sizes))
-                    op, parent = "random_generate", None
-                    found, drawn = draw_instance(rng, n, int(rng.choice(capacities)), shape_first=True)
-                else:
-                    op = names[int(rng.integers(len(names)))]
-                    parent, x = parents[int(rng.integers(len(parents)))]
-                    found, drawn = mutate(x, op, rng)
+            for k, parent, w, p, c, other in zip(f.id, f.instance_id, f.weights, f.profit, f.capacity, f.other, strict=True):
+                rng, op, _, _, random = draw(int(k))
+                found, drawn = draw_instance(rng, len(w), int(other), shape_first=True) if random else mutate((w, p, c), op, rng)
                 if found:
-                    out.append((int(k), op, parent, {a: str(b) for a, b in drawn.items()}, *found))
+                    out.append((int(k), op, None if random else parent, {a: str(b) for a, b in drawn.items()}, *found))
             yield pd.DataFrame(out, columns=["ord", "operator", "parent_id", "parameters", "weights", "profit", "capacity"])
 
-    return spark.range(1, many + 1).mapInPandas(run, "ord long, operator string, parent_id string, parameters map<string, string>, weights array<bigint>, profit array<bigint>, capacity bigint")
+    tried = spark.range(1, many + 1).mapInPandas(places, "id long, a long, b long")
+    first = placed.select(F.col("__place").alias("a"), "instance_id", "weights", "profit", "capacity")
+    second = placed.select(F.col("__place").alias("b"), F.col("capacity").alias("other"))
+    joined = tried.join(first, "a").join(second, "b").select("id", "instance_id", "weights", "profit", "capacity", "other")
+    return joined.mapInPandas(run, "ord long, operator string, parent_id string, parameters map<string, string>, weights array<bigint>, profit array<bigint>, capacity bigint")
 
 
-def generate(spark: SparkSession, parents: list[tuple[str, Instance]], target: int, seed: int, known: DataFrame | None = None) -> DataFrame:
+def generate(spark: SparkSession, parents: DataFrame | list[tuple[str, Instance]], target: int, seed: int, known: DataFrame | None = None) -> DataFrame:
     """Up to ``target`` accepted instances in the order of their attempts, numbered, with their lineage and hashes."""
     tried = validated(attempts(spark, parents, MOST_ATTEMPTS * target, seed), "drop")
     new = dedupe(tried, "ord", known).withColumn("canonical_hash", canonical_hash(generated=True))

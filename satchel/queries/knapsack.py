@@ -140,10 +140,9 @@ def kp_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kp_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """300 generated instances from the 50 orders with the smallest numbers as parents, none a multiple of any order's instance."""
+    """20,000 generated instances with all orders as parents, none a multiple of any order's instance."""
     rows = instances(spark, sf_dir)
-    parents = [(r.instance_id, (list(r.weights), list(r.profit), r.capacity)) for r in rows.orderBy("ord").limit(50).collect()]
-    return augment.generate(spark, parents, 300, 20260924, rows).drop("weights", "profit", "operator_parameters")
+    return augment.generate(spark, rows, 20_000, 20260924, rows).drop("weights", "profit", "operator_parameters")
 
 
 QUERIES = {

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from satchel.operators import augment
 from satchel.queries.common import instances
 
 DATA = "/root/testdata/sf0.001"
@@ -68,3 +69,26 @@ def test_features_of_orders_of_all_sizes(spark, mixed, name):
     rows = queries[name](spark, mixed).collect()
     assert {r.instance_id for r in rows} == {f"order_{n}" for n in (2, 3, 9, 11, 13, 16)} and all(r.feature[0] != "!" for r in rows)
     assert name != "packing_all_features" or {"relative_size_mean", "bin_capacity"} <= {r.feature for r in rows}
+
+
+def test_any_order_is_a_parent(spark):
+    got = queries["kp_generate"](spark, DATA).where("parent_instance_id <> 'random'").select("parent_instance_id").distinct().collect()
+    known = {r.instance_id for r in instances(spark, DATA).collect()}
+    found = {r[0] for r in got}
+    assert found <= known and len(found) > 0.5 * len(known)
+
+
+def test_places_of_parents(spark):
+    parents = [(f"p{k}", ([k + 1, k + 2], [3, 4], k + 1)) for k in range(9)]
+    rows = augment.attempts(spark, parents, 400, 3).collect()
+    names = list(augment.MUTATIONS)
+    for r in rows:
+        rng = np.random.default_rng(3 + augment.STRIDE * r.ord)
+        if rng.random() < augment.RANDOM_SHARE:
+            n, c = (int(rng.choice(x)) for x in ([2] * 9, [x[2] for _, x in parents]))
+            want, parent = augment.draw_instance(rng, n, c, shape_first=True)[0], None
+        else:
+            op = names[int(rng.integers(len(names)))]
+            parent, x = parents[int(rng.integers(9))]
+            want = augment.mutate(x, op, rng)[0]
+        assert (r.parent_id, list(r.weights), list(r.profit), r.capacity) == (parent, *want)
