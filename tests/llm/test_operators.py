@@ -236,17 +236,47 @@ def test_toxicity(docs, labels, nothing, rows):
     assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.5}
 
 
-def test_toxicity_held_out_accuracy():
-    rng = random.Random(6)
+def toxic_rows(n, seed=6):
+    rng = random.Random(seed)
     make = lambda bad: " ".join("fie" + rng.choice("abcdefgh") * rng.randrange(1, 4) if bad and rng.random() < 0.05 else w for w in prose(rng, 200).split())
-    y = [int(k % 6 == 0) for k in range(500)]
-    texts = [make(b) for b in y]
-    model = toxicity.ToxicityModel.fit(texts[:350], y[:350], [1.0] * 350)
-    again = toxicity.ToxicityModel.from_bytes(model.to_bytes())
-    s = again.score(texts[350:])
-    assert np.allclose(s, model.score(texts[350:]))
-    t = np.array(y[350:])
-    assert np.mean(s[t == 1] > s[t == 0].max()) > 0.9
+    y = [int(k % 6 == 0) for k in range(n)]
+    return [(k, make(b)) for k, b in enumerate(y)], [*enumerate(y)]
+
+
+def test_toxicity_held_out_accuracy(spark):
+    texts, y = toxic_rows(500)
+    texts += [(1000, "fine words"), (1001, "you fieaa fieb"), (1002, "")] + [(1003, texts[0][1] + " fine")] * 3
+    got = toxicity.score_toxicity(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(y, "doc_id long, toxic int")).collect()
+    assert len(got) == len(texts)
+    label, score = dict(y), {r.doc_id: r.score for r in got}
+    held = [r for r in got if r.held_out and r.doc_id in label]
+    assert np.mean([r.predicted == label[r.doc_id] for r in held]) > 0.95 and score[1000] < 0.5 and score[1001] > 0.7 and score[1002] < 0.5
+    assert len({r.score for r in got if r.doc_id == 1003}) == 1
+    # as many toxic as ordinary rows: evidence must not vanish
+    even = [(k, t) for k, t in enumerate(z for w in range(3) for z in (x for (i, x), (_, b) in zip(*toxic_rows(240, w), strict=True) if b or i % 5 == 1))]
+    y = [(k, int("fie" in t)) for k, t in even]
+    got = toxicity.score_toxicity(spark.createDataFrame(even, "doc_id long, text string"), spark.createDataFrame(y, "doc_id long, toxic int")).collect()
+    assert np.mean([r.predicted == dict(y)[r.doc_id] for r in got if r.held_out]) > 0.9
+
+
+def test_toxicity_counts_and_discounts(spark):
+    """Continuation counts, shares and normalisation against plain code."""
+    texts, y = toxic_rows(60)
+    rows = [(t, b, k % 2) for (_, t), (k, b) in zip(texts, y, strict=True)] + [(texts[0][1], 1, 0)] * 5  # repeats change no count
+    found = toxicity._expressions(spark.createDataFrame(rows, "text string, toxic int, fold int"))
+    want = Counter()
+    for w, c in [(w, c) for w, _, c in {(w, v, c) for t, c, _ in rows for v, w in zip(["", *t.split()], t.split())}]:
+        want.update([(w, False, c), ("", True, c), *((w[:k], True, c) for k in toxicity.BEGINNINGS if len(w) >= k)])
+    for r in found.itertuples():
+        assert (r.n0, r.n1) == (want[r.text, r.begins, 0], want[r.text, r.begins, 1])
+    assert {(t, b) for t, b, _ in want if want[t, b, 0] + want[t, b, 1] > 2} == {*zip(found.text, found.begins, strict=True)}
+    n, parent, depth = np.array([[90.0, 10], [50, 8], [40, 0]]), np.array([0, 0, 0]), np.array([0, 1, 1])
+    s = toxicity.shares(n, parent, depth)
+    top = 10.5 / 101
+    assert 8 - 58 * top < 2 * (1 + (58 * top) ** 0.5)  # within the discount
+    assert s[0] == pytest.approx(top) and s[1] == pytest.approx(top)
+    models = toxicity.ClassModels.fit(n, parent, depth)
+    assert np.array([2, 58, 40]) / 100 @ np.exp(models.against.astype(float)) == pytest.approx([1, 1], abs=1e-5)
 
 
 def test_neighbours(spark):
