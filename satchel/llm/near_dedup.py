@@ -13,13 +13,18 @@ if their sets' Jaccard similarity is at least the threshold.
 3. Classes that share a key are candidates. Expanding a key's classes into pairs would
    grow with the square of a group of copies, so first each class is compared with one
    centre of its keys, the one it shares the most keys with, then with the next if they
-   are still in different components (STAR_ROUNDS). Candidates within the signature
-   distance are confirmed on the full sets, and the links give components.
-4. Pairs that share a key but not a component may still be linked. They are compared by
-   signature in blocks: first only each class's nearest one is confirmed, for a few
-   rounds, as most that belong together find together so; then all pairs left within the
-   distance are confirmed on the full sets. So no link between different components is
-   lost; links inside a component are not needed to know it.
+   are still in different components (STAR_ROUNDS).
+4. Pairs that share a key but not a component may still be linked. Of a key's classes
+   those outside its largest component are compared with all others of the key, in blocks
+   of bounded size: first only each class's best one is confirmed, for a few rounds, as
+   most that belong together find together so; then all pairs left are confirmed. So no
+   link between different components is lost; links inside a component are not needed to
+   know it.
+
+Before a candidate's full sets are fetched, an upper bound of its intersection must allow
+a link: the sum over BUCKETS ranges of the hash of the smaller one of both sets' counts.
+The bound is exact (a shared shingle is in one range for both), so it loses nothing, and
+few pairs that are not linked pass it. Links are confirmed on the full sets.
 
 Nothing is collected. Large keys are split into pairs of blocks of bounded size.
 """
@@ -38,14 +43,16 @@ from satchel.llm.common import materialise, spare_name
 from satchel.llm.graph import components
 
 SIGNATURE, CHUNKS, MOST_ERRORS = 64, 14, 27
-#: Bytes of the longer signature whose beginning that is, and how many may differ: at 0.8 more do with probability about 5e-6.
-LONG, LONG_ERRORS = 256, 80
+#: Ranges of the hash whose shingles are counted for the upper bound.
+BUCKETS = 512
 #: Centres that a class is compared with before the pairs left over.
-STAR_ROUNDS = 3
-#: Rounds in which each class is compared with its nearest one in another component, before all pairs left over.
-NEAREST_ROUNDS = 3
-#: Classes of a key that are compared in one block.
-BLOCK = 2_000
+STAR_ROUNDS = 2
+#: Rounds in which each class is compared with its best one in another component, before all pairs left over.
+NEAREST_ROUNDS = 2
+#: Classes of a key on each side of a block of comparisons.
+BLOCK = 1_000
+#: What a row of a block is: a class of the key's largest component, or another one that is compared with the block's targets, is a target as well, or is a target only.
+LARGEST, SOURCE, BOTH, TARGET = range(4)
 MAX_WORDS = 400_000
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,8 +80,8 @@ class Shingler:
     def __init__(self, width: int):
         self.width, self._hashes = width, _WordHashes()
         rng = np.random.default_rng(7)
-        self._flip = rng.integers(0, 2**32, (LONG, 1), np.uint32)
-        self._times = rng.integers(0, 2**32, (LONG, 1), np.uint32) | np.uint32(1)
+        self._flip = rng.integers(0, 2**32, (SIGNATURE, 1), np.uint32)
+        self._times = rng.integers(0, 2**32, (SIGNATURE, 1), np.uint32) | np.uint32(1)
 
     @staticmethod
     def _mixed(x: np.ndarray) -> np.ndarray:
@@ -95,12 +102,18 @@ class Shingler:
 
     def signature(self, x: np.ndarray) -> np.ndarray:
         """For each function the low byte of the smallest value."""
-        low, out = (x >> np.uint64(32)).astype(np.uint32), np.full(LONG, 2**32 - 1, np.uint32)
+        low, out = (x >> np.uint64(32)).astype(np.uint32), np.full(SIGNATURE, 2**32 - 1, np.uint32)
         for lo in range(0, len(low), 1024):
             y = (low[lo : lo + 1024] ^ self._flip) * self._times
             np.minimum(out, (y ^ (y >> np.uint32(15))).min(1), out=out)
         return (out & np.uint32(255)).astype(np.uint8)
 
+    @staticmethod
+    def buckets(x: np.ndarray) -> np.ndarray:
+        """How many shingles are in each range of the hash; all 255 if a number does not fit, which bounds nothing."""
+        found = np.bincount((x >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.int64), minlength=BUCKETS)
+        return np.full(BUCKETS, 255, np.uint8) if len(x) and found.max() > 254 else found.astype(np.uint8)
+
 
 @lru_cache(4)
 def _shingler(width: int) -> Shingler:
@@ -109,7 +122,7 @@ def _shingler(width: int) -> Shingler:
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """row_id, doc_id, text_hash, n, d1, d2 (a digest of the set), sig."""
+    """row_id, doc_id, text_hash, n, d1, d2 (a digest of the set), sig (the signature and the buckets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = _shingler(width)
@@ -120,7 +133,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 n.append(len(x))
                 d1.append(int(x.sum(dtype=np.uint64).astype(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(x * _MIX[1] ^ (x >> np.uint64(29)), initial=np.uint64(0)).astype(np.int64)))
-                sigs.append(shingler.signature(x).tobytes() if len(x) else b"")
+                sigs.append(shingler.signature(x).tobytes() + shingler.buckets(x).tobytes() if len(x) else b"")
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(v, pa.int64()) for v in (n, d1, d2)), pa.array(sigs, pa.binary())], ["row_id", "doc_id", "text_hash", "n", "d1", "d2", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -129,7 +142,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), LONG)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SIGNATURE + BUCKETS)
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -167,19 +180,27 @@ def _alike(n1, n2, percent: int):
     return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
 
 
+def _distance(n1: np.ndarray, n2: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """A lower bound of sets' Jaccard distance in millionths, from their sizes and buckets."""
+    shared = np.minimum(h1, h2).sum(1, dtype=np.int64)
+    unbounded = (h1[..., 0] == 255) | (h2[..., 0] == 255)
+    shared = np.where(unbounded, np.minimum(n1, n2), np.minimum(shared, np.minimum(n1, n2)))
+    return (1_000_000 * (n1 + n2 - 2 * shared)) // (n1 + n2 - shared)
+
+
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, d): the pairs of classes whose sizes allow a link and whose long signatures differ in d <= LONG_ERRORS bytes."""
+    """(a, b): the pairs of classes whose sizes and buckets allow a link."""
     a = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     b = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b").where(_alike(F.col("na"), F.col("nb"), percent)).select("a", "b", "sa", "sb")
+    both = pairs.join(a, "a").join(b, "b").where(_alike(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(1)
-            keep = np.flatnonzero(d <= LONG_ERRORS)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(d[keep], pa.int64())], ["a", "b", "d"])
+            d = _distance(batch.column(2).to_numpy(), batch.column(3).to_numpy(), *(_matrix(batch.column(i))[:, SIGNATURE:] for i in (4, 5)))
+            keep = pa.array(np.flatnonzero(d <= 10_000 * (100 - percent)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long, d long")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _own_key(differ: np.ndarray) -> np.ndarray:
@@ -192,28 +213,24 @@ def _own_key(differ: np.ndarray) -> np.ndarray:
 
 
 def _crossing(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """(a, b, d): near pairs of one key but of different components, each pair at the first of its keys.
+    """(a, b, d): pairs of one key but of different components that may be linked, each pair at the first of its keys.
 
-    ``nearest``: for each class only the nearest one later in its group.
-    ``members``: key, part_a, part_b, part, cls, comp, n, sig, where a key's classes are
-    dealt to parts and each pair of parts is a group; inside a group of one part all pairs
-    are compared, else those between the two parts.
+    ``nearest``: for each class only the best one of its block. ``members``: see _open_groups.
     """
 
-    def compare(key, cls, comp, n, sig, part) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        mixed, left_out = (part != part[0]).any(), (key[0] >> 48) - 1
-        for i in range(len(cls) - 1):
-            j = np.arange(i + 1, len(cls))
-            j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-            if mixed:
-                j = j[part[j] != part[i]]
+    def compare(key, role, cls, comp, n, sig) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        left_out = (key[0] >> 48) - 1
+        targets = np.flatnonzero(role != SOURCE)
+        for i in np.flatnonzero((role == SOURCE) | (role == BOTH)):
+            j = targets[(comp[targets] != comp[i]) & ((role[targets] == LARGEST) | (cls[targets] > cls[i]))]
+            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
             if len(j):
                 differ = sig[j, :SIGNATURE] != sig[i, :SIGNATURE]
                 some = differ.sum(1) <= MOST_ERRORS
                 j, differ = j[some], differ[some]
             if len(j):
-                d = (sig[j] != sig[i]).sum(1)
-                some = d <= LONG_ERRORS
+                d = _distance(n[j], n[i], sig[j, SIGNATURE:], sig[i, SIGNATURE:])
+                some = d <= 10_000 * (100 - percent)
                 j, d, differ = j[some], d[some], differ[some]
             if len(j) and nearest:
                 j, d = j[[d.argmin()]], d[[d.argmin()]]
@@ -229,11 +246,11 @@ def _crossing(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
         def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             group = np.stack([rows.column(i).to_numpy() for i in range(3)])
             starts = np.flatnonzero(np.r_[True, (group[:, 1:] != group[:, :-1]).any(0)]) if rows.num_rows else np.zeros(0, int)
-            part, cls, comp, n = (rows.column(i).to_numpy() for i in range(3, 7))
+            role, cls, comp, n = (rows.column(i).to_numpy() for i in range(3, 7))
             sig = _matrix(rows.column(7)) if rows.num_rows else None
             found = [np.zeros((3, 0), np.int64)]
             for s, e in zip(starts, [*starts[1:], rows.num_rows], strict=True):
-                found += (np.stack(f).astype(np.int64) for f in compare(group[0, s:e], cls[s:e], comp[s:e], n[s:e], sig[s:e], part[s:e]))
+                found += (np.stack(f).astype(np.int64) for f in compare(group[0, s:e], role[s:e], cls[s:e], comp[s:e], n[s:e], sig[s:e]))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, 1)], ["a", "b", "d"])
 
         for batch in batches:
@@ -255,31 +272,48 @@ def _crossing(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
 
 
 def _open_groups(shared: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """The members of keys whose classes are in different components, dealt to groups of bounded size."""
-    placed = shared.select("key", "cls").join(comps, "cls")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("cls"), parts).cast("int")
-    members = placed.join(open_keys.select("key", "members"), "key").join(classes.select("cls", "n", "sig"), "cls").withColumn("parts", parts).withColumn("part", part)
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("key", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "cls", "comp", "n", "sig")
-    return members.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b")
-
+    """key, source_part, target_part, role, cls, comp, n, sig of keys whose classes are in different components.
 
-def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) of stored ``pairs`` that are linked, by their full sets."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id", "text_hash"), "cls")
-    keyed = needed.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    The classes outside a key's largest component are dealt to source parts, all of its
+    classes to target parts, and each pair of parts is a group of bounded size.
+    """
+    placed = shared.select("key", "cls").join(comps, "cls")
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+    open_keys = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("largest"), F.sum("size").alias("members"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    parts = lambda many: F.ceil(many / BLOCK).cast("int")
+    open_keys = open_keys.select("key", F.col("largest.comp").alias("largest"), parts(F.col("members") - F.col("largest.size")).alias("sources"), parts(F.col("members")).alias("targets"))
+    own = lambda name: F.pmod(F.xxhash64("cls", F.lit(name)), F.col(name)).cast("int")
+    members = placed.join(open_keys, "key").withColumn("s", own("sources")).withColumn("t", own("targets"))
+    row = lambda s, t, role: F.struct(s.alias("source_part"), t.alias("target_part"), role.cast("int").alias("role"))
+    every = lambda many: F.sequence(F.lit(0), F.col(many) - 1)
+    is_largest = F.col("comp") == F.col("largest")
+    role = lambda s: F.when(is_largest, LARGEST).when(s == F.col("s"), BOTH).otherwise(TARGET)
+    as_target = F.transform(every("sources"), lambda s: row(s, F.col("t"), role(s)))
+    as_source = F.transform(F.filter(every("targets"), lambda t: ~is_largest & (t != F.col("t"))), lambda t: row(F.col("s"), t, F.lit(SOURCE)))
+    members = members.select("key", "cls", "comp", F.explode(F.concat(as_target, as_source)).alias("at"))
+    members = members.select("key", "at.*", "cls", "comp").join(classes.select("cls", "n", "sig"), "cls").select("key", "source_part", "target_part", "role", "cls", "comp", "n", "sig")
+    return members.repartition("key", "source_part", "target_part").sortWithinPartitions("key", "source_part", "target_part")
+
+
+def _sets(shared: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(cls, set): the full sets of the classes that share a key, one text each."""
+    needed = shared.select("cls").distinct().join(classes.select("cls", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "cls")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("__h"))
-    texts = texts.join(keyed, (F.col("__h") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("cls", "text")
+    texts = texts.join(needed, (F.col("__h") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("cls", "text").dropDuplicates(["cls"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = _shingler(width)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingler.shingles(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["cls", "set"])
 
+    return materialise(texts.mapInArrow(run, "cls long, set binary"), "sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of stored ``pairs`` that are linked, by their full sets."""
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -293,14 +327,16 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, pe
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
-    found = texts.mapInArrow(sets, "cls long, set binary")
-    joined = pairs.select("a", "b").join(found.withColumnsRenamed({"cls": "a", "set": "x"}), "a").join(found.withColumnsRenamed({"cls": "b", "set": "y"}), "b")
+    joined = pairs.select("a", "b").join(sets.withColumnsRenamed({"cls": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"cls": "b", "set": "y"}), "b")
     return materialise(joined.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long").distinct(), "links")
 
 
-def _component_of(classes: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links.withColumnsRenamed({"a": "src", "b": "dst"})).withColumnRenamed("node", "cls")
-    return classes.select("cls").join(found, "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"))
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (cls, comp) after the components that ``links`` (a, b) join have become one."""
+    a, b = (comps.select(F.col("cls").alias(x), F.col("comp").alias(f)) for x, f in (("a", "src"), ("b", "dst")))
+    edges = links.join(a, "a").join(b, "b").where("src <> dst").select("src", "dst").distinct()
+    joined = components(edges).withColumnsRenamed({"node": "comp", "component": "new"})
+    return materialise(comps.join(joined, "comp", "left").select("cls", F.coalesce("new", "comp").alias("comp")), "components")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -322,19 +358,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     keys = _keys(classes)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = materialise(keys.join(sizes, "key"), "shared-keys")
+    sets = _sets(shared, docs, classes, width)
     tried = materialise(_stars(shared), "stars")
-    comps, links = classes.select("cls", F.col("cls").alias("comp")), None
+    comps = classes.select("cls", F.col("cls").alias("comp"))
     for _ in range(STAR_ROUNDS):
         a, b = (comps.select(F.col("cls").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
         apart = materialise(tried.join(a, "a").join(b, "b").where("comp_a <> comp_b").select("a", "b", "together"), "stars")
         if not apart.head(1):
             break
         best = apart.groupBy("b").agg(F.max(F.struct("together", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-        best = materialise(best, "nearest")
+        best = materialise(best, "best-stars")
         near = materialise(_near(best, classes, percent), "near-pairs")
-        found = _links(near, docs, classes, width, percent)
-        links = found if links is None else links.unionByName(found)
-        comps = materialise(_component_of(classes, links), "components")
+        found = _links(near, sets, percent)
+        if found.head(1):
+            comps = _merged(comps, found)
         tried = apart.join(best, ["a", "b"], "left_anti")
     for round_ in range(NEAREST_ROUNDS + 1):
         last = round_ == NEAREST_ROUNDS
@@ -344,10 +381,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             crossing = materialise(ends.select("best.a", "best.b").distinct(), "nearest-pairs")
         if not crossing.head(1):
             break
-        found = _links(crossing, docs, classes, width, percent)
+        found = _links(crossing, sets, percent)
         if found.head(1):
-            links = found if links is None else links.unionByName(found)
-            comps = materialise(_component_of(classes, links), "components")
+            comps = _merged(comps, found)
     of_row = rows.join(classes.select("n", "d1", "d2", "cls"), ["n", "d1", "d2"]).select("row_id", "doc_id", "n", "cls")
     of_row = materialise(of_row.join(comps, "cls").select("row_id", "doc_id", "n", "comp"), "row-components")
     ids = materialise(of_row.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "component-ids")

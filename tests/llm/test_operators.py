@@ -119,6 +119,32 @@ def test_near_dedup_of_a_large_group(spark):
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_near_dedup_repeats_and_drop(spark):
+    """A row repeated 1,000 times is one class; the filter keeps all rows of a component's id, nulls and empty texts too."""
+    rng = random.Random(12)
+    text = prose(rng, 50)
+    rows = [(5, text)] * 1000 + [(3, text + " more"), (9, text.upper()), (None, None), (None, text), (7, ""), (8, prose(rng, 50))]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, cls long, comp string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, 2).collect())
+    assert got == Counter({(5, 3, False): 1000, (3, 3, True): 1, (9, 3, False): 1, (None, None, True): 1, (None, 3, False): 1, (7, 7, True): 1, (8, 8, True): 1})
+    kept = near_dedup.drop_near_copies(docs, 2)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} >= {3, 7, 8} and not {r.doc_id for r in kept.collect()} & {5, 9}
+    assert near_dedup.drop_near_copies(docs.limit(0), 2).count() == 0
+
+
+def test_bucket_bound(spark):
+    """The bound never exceeds the true distance, also for sets whose buckets overflow."""
+    rng, shingler = np.random.default_rng(3), near_dedup._shingler(2)
+    for size in (1, 40, 3000, 300_000):
+        x = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        y = np.unique(np.r_[x[: max(1, 9 * size // 10)], rng.integers(0, 2**64, size // 10, np.uint64)])
+        shared = len(np.intersect1d(x, y))
+        true = 1e6 * (1 - shared / (len(x) + len(y) - shared))
+        d = near_dedup._distance(np.array([len(x)]), np.array([len(y)]), shingler.buckets(x)[None], shingler.buckets(y)[None])
+        assert d[0] <= true
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 90), (101, 90), (102, 100)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
