@@ -3,13 +3,14 @@
 A document's set holds its distinct shingles of so many words; two documents are linked
 if their sets' Jaccard similarity is at least the threshold.
 
-1. Sets become signatures of SIGNATURE minima, a byte each. Documents with equal sets
+1. Sets become signatures of SIGNATURE minima, 16 bits each. Documents with equal sets
    form a class; from here on only classes matter.
-2. At similarity 0.8 a byte of two signatures differs with probability 0.2 at most, and
+2. At similarity 0.8 a minimum of two signatures differs with probability 0.2 at most, and
    more than MOST_ERRORS of 64 with probability about 1e-5. Pairs within that distance
    are all found: the signature is cut into CHUNKS chunks, MOST_ERRORS < 2 * CHUNKS, so in
-   some chunk at most one byte differs, and a key is made of each chunk with each one of
-   its bytes left out.
+   some chunk at most one minimum differs, and a key is made of each chunk with each one
+   of its minima left out. A key has 48 bits or more, so unrelated classes seldom share one,
+   however many there are.
 3. Classes that share a key are candidates. Expanding a key's classes into pairs would
    grow with the square of a group of copies, so first each class is compared with one
    centre of its keys, the one it shares the most keys with, then with the next if they
@@ -48,7 +49,7 @@ BUCKETS = 512
 #: Centres that a class is compared with before the pairs left over.
 STAR_ROUNDS = 2
 #: Rounds in which each class is compared with its best one in another component, before all pairs left over.
-NEAREST_ROUNDS = 2
+NEAREST_ROUNDS = 1
 #: Classes of a key on each side of a block of comparisons.
 BLOCK = 1_000
 #: What a row of a block is: a class of the key's largest component, or another one that is compared with the block's targets, is a target as well, or is a target only.
@@ -101,12 +102,12 @@ class Shingler:
         return np.unique(self._mixed(x + np.uint64(width)))
 
     def signature(self, x: np.ndarray) -> np.ndarray:
-        """For each function the low byte of the smallest value."""
+        """For each function the low 16 bits of the smallest value."""
         low, out = (x >> np.uint64(32)).astype(np.uint32), np.full(SIGNATURE, 2**32 - 1, np.uint32)
         for lo in range(0, len(low), 1024):
             y = (low[lo : lo + 1024] ^ self._flip) * self._times
             np.minimum(out, (y ^ (y >> np.uint32(15))).min(1), out=out)
-        return (out & np.uint32(255)).astype(np.uint8)
+        return (out & np.uint32(65535)).astype(np.uint16)
 
     @staticmethod
     def buckets(x: np.ndarray) -> np.ndarray:
@@ -141,25 +142,27 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
     return materialise(rows.mapInArrow(run, f"row_id long, doc_id {kind}, text_hash long, n long, d1 long, d2 long, sig binary"), "signatures")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SIGNATURE + BUCKETS)
+def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, buckets), a row each."""
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * SIGNATURE + BUCKETS)
+    return rows[:, : 2 * SIGNATURE].copy().view(np.uint16), rows[:, 2 * SIGNATURE :]
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """(key, cls): for each chunk and each of its bytes a key of the chunk's other bytes."""
+    """(key, cls): for each chunk and each of its minima a key of the chunk's other minima; its upper 7 bits say which is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = _matrix(batch.column(1))[:, :SIGNATURE].astype(np.uint64)
+            s = _parts(batch.column(1))[0].astype(np.uint64)
             cls = batch.column(0).to_numpy()
             for chunk in _chunks():
                 for left_out in chunk:
                     key = np.zeros(len(s), np.uint64)
                     for i in chunk:
                         if i != left_out:
-                            key = (key << np.uint64(8)) | s[:, i]
-                    key |= np.uint64((1 + left_out) << 48)  # a chunk has fewer than seven bytes
-                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(cls)], ["key", "cls"])
+                            key = (key << np.uint64(16)) | s[:, i]  # a chunk has fewer than six minima
+                    key = (Shingler._mixed(key) >> np.uint64(7)) | (np.uint64(left_out) << np.uint64(57))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls)], ["key", "cls"])
 
     return classes.select("cls", "sig").mapInArrow(run, "key long, cls long")
 
@@ -196,7 +199,7 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = _distance(batch.column(2).to_numpy(), batch.column(3).to_numpy(), *(_matrix(batch.column(i))[:, SIGNATURE:] for i in (4, 5)))
+            d = _distance(batch.column(2).to_numpy(), batch.column(3).to_numpy(), *(_parts(batch.column(i))[1] for i in (4, 5)))
             keep = pa.array(np.flatnonzero(d <= 10_000 * (100 - percent)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
@@ -204,7 +207,7 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _own_key(differ: np.ndarray) -> np.ndarray:
-    """Of pairs with a shared key: which byte the first of their shared keys leaves out. differ: pair x byte."""
+    """Of pairs with a shared key: which minimum the first of their shared keys leaves out. differ: pair x minimum."""
     starts = np.array([c.start for c in _chunks()])
     errors = np.add.reduceat(differ, starts, axis=1)
     chunk = (errors <= 1).argmax(1)
@@ -218,18 +221,18 @@ def _crossing(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
     ``nearest``: for each class only the best one of its block. ``members``: see _open_groups.
     """
 
-    def compare(key, role, cls, comp, n, sig) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        left_out = (key[0] >> 48) - 1
+    def compare(key, role, cls, comp, n, sig, buckets) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        left_out = (key[0] >> 57) & 127
         targets = np.flatnonzero(role != SOURCE)
         for i in np.flatnonzero((role == SOURCE) | (role == BOTH)):
             j = targets[(comp[targets] != comp[i]) & ((role[targets] == LARGEST) | (cls[targets] > cls[i]))]
             j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
             if len(j):
-                differ = sig[j, :SIGNATURE] != sig[i, :SIGNATURE]
+                differ = sig[j] != sig[i]
                 some = differ.sum(1) <= MOST_ERRORS
                 j, differ = j[some], differ[some]
             if len(j):
-                d = _distance(n[j], n[i], sig[j, SIGNATURE:], sig[i, SIGNATURE:])
+                d = _distance(n[j], n[i], buckets[j], buckets[i])
                 some = d <= 10_000 * (100 - percent)
                 j, d, differ = j[some], d[some], differ[some]
             if len(j) and nearest:
@@ -247,10 +250,10 @@ def _crossing(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
             group = np.stack([rows.column(i).to_numpy() for i in range(3)])
             starts = np.flatnonzero(np.r_[True, (group[:, 1:] != group[:, :-1]).any(0)]) if rows.num_rows else np.zeros(0, int)
             role, cls, comp, n = (rows.column(i).to_numpy() for i in range(3, 7))
-            sig = _matrix(rows.column(7)) if rows.num_rows else None
+            sig, buckets = _parts(rows.column(7))
             found = [np.zeros((3, 0), np.int64)]
             for s, e in zip(starts, [*starts[1:], rows.num_rows], strict=True):
-                found += (np.stack(f).astype(np.int64) for f in compare(group[0, s:e], role[s:e], cls[s:e], comp[s:e], n[s:e], sig[s:e]))
+                found += (np.stack(f).astype(np.int64) for f in compare(group[0, s:e], role[s:e], cls[s:e], comp[s:e], n[s:e], sig[s:e], buckets[s:e]))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, 1)], ["a", "b", "d"])
 
         for batch in batches:
