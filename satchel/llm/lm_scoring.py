@@ -17,17 +17,19 @@ A word's probability is a mixture of the product over its ids and of its share o
 training words (words that did not occur have the first part alone), so both the counts
 of the whole corpus and the context count.
 
-Data flow. Texts are dealt to blocks of about BLOCK_CHARS by a hash. Each block counts
-its words and ids; counts are summed by word over all blocks, and each block gets the
-totals of its own words back, joined by block id. So no task holds more than a block of
-texts and the words in it, and the vocabulary is never in one place. Words are told apart
-by 64-bit hashes.
-
-The network is fitted on every training text but one in TUNE: each block counts its ids'
+Data flow. Texts are dealt to blocks of about BLOCK_CHARS by a hash. Each block is packed
+once: its distinct words with their ids, and its texts as indices into them; all later
+passes read these packs. Counts are summed by word over all blocks, and each pack gets
+the totals of its own words back, joined by word and then by pack. So no task holds more
+than a block of texts and the words in it, the vocabulary is never in one place, and the
+rows of a very common word (one a block) are summed before the shuffle and joined by a
+join that Spark may split. Words are told apart by 64-bit hashes.
+
+The network is fitted on every training text but one in TUNE: each pack counts its ids'
 contexts, and in ROUNDS rounds takes steps over its own windows, each window in one round
-at least; after a round the blocks' moves are averaged, weighted by how often each id was
+at least; after a round the packs' moves are averaged, weighted by how often each id was
 seen. Its size is set by the tokenizer's vocabulary. The mixture's weight comes from the
-texts left out, chosen by a hash of the text.
+texts left out, chosen by a hash of the text and packed on their own.
 """
 
 from __future__ import annotations
@@ -36,19 +38,20 @@ import io
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satchel.llm.common import materialise
 
 #: Half a window; width of the model; classes.
-HALF, WIDTH, CLASSES = 16, 16, 96
+HALF, WIDTH, CLASSES = 8, 16, 64
 #: Rounds after which the blocks' weights are merged, a block's steps in all rounds, and windows of a step at least.
-ROUNDS, STEPS, BATCH = 4, 240, 256
+ROUNDS, STEPS, BATCH = 3, 96, 256
 #: One text in so many is kept from the network, for the mixture's weight.
 TUNE = 50
 #: Frequent ids whose neighbourhood tells contexts apart, parts in which contexts and weights are summed, and blocks that are merged at once at most.
@@ -56,33 +59,23 @@ FREQUENT, PARTS, MERGED = 256, 16, 64
 BLOCK_CHARS = 8_000_000
 #: The base counts: what is added to each count.
 ADDED = 0.1
-#: Words in a generation that a worker keeps with their ids.
-MAX_WORDS = 100_000
 
 
 class Subwords:
-    """Ids of words, kept from one block to the next. Ids: pad, start, end, then the tokenizer's."""
+    """Ids of words. Ids: pad, start, end, then the tokenizer's."""
 
     PAD, START, END, FIRST = 0, 1, 2, 3
 
     def __init__(self, processor):
         self._encode, self.size = processor.encode, processor.get_piece_size() + self.FIRST
-        self._known: dict[bytes, np.ndarray] = {}
-        self._old: dict[bytes, np.ndarray] = {}
-
-    def ids(self, words: list[bytes]) -> list[np.ndarray]:
-        known, old = self._known, self._old
-        new = [w for w in words if w not in known]
-        for w in new:
-            if w in old:
-                known[w] = old[w]
-        new = [w for w in new if w not in known]
-        got = {w: np.array(i, np.int32) + self.FIRST for w, i in zip(new, self._encode([w.decode() for w in new], num_threads=1), strict=True)}
-        out = [known[w] if w in known else got[w] for w in words]
-        known.update((w, i) for w, i in got.items() if len(w) <= 48)
-        if len(known) > MAX_WORDS:
-            self._old, self._known = known, {}
-        return out
+
+    def pieces(self, words: list[bytes]) -> Pieces:
+        lengths, flat = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for lo in range(0, len(words), 20_000):
+            got = self._encode([w.decode() for w in words[lo : lo + 20_000]], num_threads=1)
+            lengths.append(np.fromiter(map(len, got), np.int32, len(got)))
+            flat.append(np.fromiter(chain.from_iterable(got), np.int32, int(lengths[-1].sum())) + np.int32(self.FIRST))
+        return Pieces(np.concatenate(lengths), np.concatenate(flat))
 
 
 @lru_cache(1)
@@ -96,17 +89,16 @@ def _subwords(path: str | None) -> Subwords:
     return Subwords(sentencepiece.SentencePieceProcessor(model_file=path))
 
 
-class Block:
-    """The words of some texts: ``words`` (distinct) and per text the indices into them."""
+class Numbers(dict):
+    def __missing__(self, w: bytes) -> int:
+        self[w] = n = len(self)
+        return n
 
-    def __init__(self, texts: list[str]):
-        index: dict[bytes, int] = {}
 
-        class Numbers(dict):
-            def __missing__(self, w: bytes) -> int:
-                self[w] = n = len(self)
-                return n
+class Block:
+    """The words of some texts: ``words`` (distinct) and ``texts``, per text the indices into them."""
 
+    def __init__(self, texts: list[str]):
         index = Numbers()
         get = index.__getitem__
         self.texts = []
@@ -118,7 +110,15 @@ class Block:
     def hashes(self) -> np.ndarray:
         import xxhash
 
-        return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words)).view(np.int64)
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words)).view(np.int64)
+
+
+class Pieces:
+    """The ids of a block's words, one after another."""
+
+    def __init__(self, length: np.ndarray, flat: np.ndarray):
+        self.length, self.flat = length.astype(np.int64), flat
+        self.begin = np.cumsum(self.length) - self.length
 
 
 def _windows(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +134,15 @@ def _windows(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     return np.where(inside, at + starts[text][:, None], -1), inside[:, HALF:]
 
 
+def _full_windows(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Windows for training: indices of 2 * HALF ids each, one window after another, -1 where there is none."""
+    many = -(-sizes // (2 * HALF))
+    text = np.repeat(np.arange(len(sizes)), many)
+    k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    at = (k * 2 * HALF)[:, None] + np.arange(2 * HALF)
+    return np.where(at < sizes[text][:, None], at + starts[text][:, None], -1)
+
+
 class AttentionModel:
     """Tables and weights; ``log_probs`` scores next ids."""
 
@@ -145,14 +154,14 @@ class AttentionModel:
     def tables(self) -> None:
         scale = np.float32(WIDTH**-0.5)
         self.q, self.k, self.v, self.r = self.e @ self.wq * scale, self.e @ self.wk, self.e @ self.wv, self.e @ self.wr
-        i, j = np.arange(HALF)[:, None] + HALF, np.arange(2 * HALF)
+        i, j = np.arange(2 * HALF)[:, None], np.arange(2 * HALF)
         self.mask = np.where(j <= i, self.distance[np.clip(i - j, 0, 2 * HALF - 1)], np.float32(-1e9)).astype("f4")
 
-    def attend(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(unnormalised weights, their sums, the attention's output with the residual) for windows of ids."""
-        own = ids[:, HALF:]
+    def attend(self, ids: np.ndarray, first: int = HALF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unnormalised weights, their sums, the attention's output with the residual) for windows of ids, from place ``first`` on."""
+        own = ids[:, first:]
         a = self.q[own] @ self.k[ids].transpose(0, 2, 1)
-        a += self.mask
+        a += self.mask[first:]
         if (pad := ids == Subwords.PAD).any():
             a += np.where(pad, np.float32(-1e9), np.float32(0))[:, None, :]
         if a.max() > 60:
@@ -165,14 +174,14 @@ class AttentionModel:
         return a, total, h
 
     def forward(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(weights of the attention, its output with the residual, class log-probabilities) for windows of ids."""
-        a, total, h = self.attend(ids)
+        """(weights of the attention, its output with the residual, class log-probabilities) for all places of windows of ids."""
+        a, total, h = self.attend(ids, 0)
         z = h @ self.wc + self.bias
         z -= z.max(-1, keepdims=True)
         z -= np.log(np.exp(z).sum(-1, keepdims=True))
         return a / total, h, z
 
-    def log_probs(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray, sizes: np.ndarray, batch: int = 512) -> np.ndarray:
+    def log_probs(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray, sizes: np.ndarray, batch: int = 1024) -> np.ndarray:
         """log p(y[i] | x up to i in its window), each once."""
         out = np.empty(len(y), "f4")
         at, own = _windows(x, starts, sizes)
@@ -247,6 +256,8 @@ def _classes(features: np.ndarray, counts: np.ndarray, begins: np.ndarray, rng)
     free[: Subwords.FIRST] = free[alone] = False
     for kind, many in ((begins, (CLASSES - used) // 2), (~begins, CLASSES - used - (CLASSES - used) // 2)):
         at = np.flatnonzero(free & kind)
+        if not len(at):
+            continue
         f, w = features[at], counts[at] + 0.01
         centres = f[rng.choice(len(at), many, p=w / w.sum())]
         for _ in range(12):
@@ -292,37 +303,35 @@ def descend(m: AttentionModel, x: np.ndarray, steps: int, part: int = 0, parts:
     """Takes steps over share ``part`` of ``parts`` of the windows, each at least once; (how often each id was in them, next ids in them)."""
     size = len(m.e)
     y, starts, sizes = _targets(x)
-    at, own = _windows(x, starts, sizes)
+    at = _full_windows(starts, sizes)
     padded, names = np.append(x, Subwords.PAD), ("e", "wq", "wk", "wv", "wr", "distance", "wc", "bias")
     order = np.random.default_rng(seed).permutation(len(at))
     order = order[part::parts] if len(order) >= parts else order
-    seen = np.bincount(padded[at[order]].ravel(), minlength=size), int(own[order].sum())
+    seen = np.bincount(padded[at[order]].ravel(), minlength=size), int((at[order] >= 0).sum())
     batch = max(BATCH, -(-len(order) // steps))
     order = np.resize(order, steps * batch)
     mean = {n: np.zeros_like(getattr(m, n)) for n in names}
     square = {n: np.zeros_like(getattr(m, n)) for n in names}
-    scale, lag = np.float32(WIDTH**-0.5), np.clip(np.arange(HALF)[:, None] + HALF - np.arange(2 * HALF), 0, 2 * HALF - 1)
+    scale, lag = np.float32(WIDTH**-0.5), np.clip(np.arange(2 * HALF)[:, None] - np.arange(2 * HALF), 0, 2 * HALF - 1)
     for step in range(1, steps + 1):
-        pick = order[(step - 1) * batch : step * batch]
-        part_at, mine = at[pick], own[pick]
-        w = padded[part_at]
-        q_ids = w[:, HALF:]
+        part_at = at[order[(step - 1) * batch : step * batch]]
+        mine, w = part_at >= 0, padded[part_at]
         a, h, z = m.forward(w)
-        target = np.where(mine, part_at[:, HALF:], 0)
-        dz = np.exp(z)
-        dz[np.arange(batch)[:, None], np.arange(HALF), m.cls[y[target]]] -= 1
+        target = np.where(mine, part_at, 0)
+        dz = np.exp(z, out=z)
+        dz[np.arange(batch)[:, None], np.arange(2 * HALF), m.cls[y[target]]] -= 1
         dz *= (mine / np.float32(max(mine.sum(), 1)))[:, :, None]
-        g = {"wc": np.tensordot(h, dz, ((0, 1), (0, 1))), "bias": dz.sum((0, 1))}
+        flat = lambda t: t.reshape(-1, t.shape[-1])
+        g = {"wc": flat(h).T @ flat(dz), "bias": flat(dz).sum(0)}
         dh = dz @ m.wc.T
-        v, k, q = m.v[w], m.k[w], m.q[q_ids]
+        v, k, q = m.v[w], m.k[w], m.q[w]
         da = dh @ v.transpose(0, 2, 1)
         ds = a * (da - (da * a).sum(-1, keepdims=True))
         dv, dq, dk = a.transpose(0, 2, 1) @ dh, ds @ k, ds.transpose(0, 2, 1) @ q
         g["distance"] = np.bincount(lag.ravel(), weights=ds.sum(0).ravel(), minlength=2 * HALF).astype("f4")
-        ek, eq = m.e[w], m.e[q_ids]
-        g["wv"], g["wk"] = np.tensordot(ek, dv, ((0, 1), (0, 1))), np.tensordot(ek, dk, ((0, 1), (0, 1)))
-        g["wq"], g["wr"] = np.tensordot(eq, dq, ((0, 1), (0, 1))) * scale, np.tensordot(eq, dh, ((0, 1), (0, 1)))
-        g["e"] = _rows(size, w, dv @ m.wv.T + dk @ m.wk.T) + _rows(size, q_ids, dq @ m.wq.T * scale + dh @ m.wr.T)
+        e = flat(m.e[w]).T
+        g["wv"], g["wk"], g["wq"], g["wr"] = e @ flat(dv), e @ flat(dk), e @ flat(dq) * scale, e @ flat(dh)
+        g["e"] = _rows(size, w, dv @ m.wv.T + dk @ m.wk.T + dq @ m.wq.T * scale + dh @ m.wr.T)
         rate = 0.02 * min(1, 2 * (1 - (part + step / (steps + 1)) / parts))
         for n in names:
             mean[n] += 0.1 * (g[n] - mean[n])
@@ -344,34 +353,65 @@ def train(ids: list[np.ndarray], counts: np.ndarray, begins: np.ndarray, steps:
     return model
 
 
-class Pieces:
-    """The ids of a block's words, one after another."""
+class Pack:
+    """Some texts of a block: the words' indices ``w``, one text after another, the texts' ``sizes`` in words, and the words' ids."""
 
-    def __init__(self, pieces: list[np.ndarray]):
-        self.length = np.fromiter(map(len, pieces), np.int64, len(pieces)) if pieces else np.zeros(1, np.int64)
-        self.begin = np.cumsum(self.length) - self.length
-        self.flat = np.concatenate([np.zeros(0, np.int32), *pieces])
-
-
-def _text_log_probs(model: AttentionModel, block: Block, pieces: Pieces, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-probabilities of the words and ends of the texts ``some``, one after another; the words' indices, -1 for an end)."""
-    length, begin, flat = pieces.length, pieces.begin, pieces.flat
-    words = [np.append(block.texts[i], -1) for i in some]
-    w = np.concatenate(words)
-    sizes_w = np.where(w < 0, 1, length[w])
-    ends = np.cumsum(sizes_w)
-    y = np.full(ends[-1], Subwords.END, np.int64)
-    inner = w >= 0
-    reps = sizes_w[inner]
-    offset = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    y[np.repeat(inner, sizes_w)] = flat[np.repeat(begin[w[inner]], reps) + offset]
+    def __init__(self, w: np.ndarray, sizes: np.ndarray, pieces: Pieces):
+        self.w, self.sizes, self.pieces = w, sizes, pieces
+
+    COLUMNS = ("w", "sizes", "lengths", "flat")
+    SCHEMA = "w binary, sizes binary, lengths binary, flat binary"
+
+    @classmethod
+    def of(cls, texts: list[np.ndarray], pieces: Pieces) -> Pack:
+        return cls(np.concatenate([np.zeros(0, np.int32), *texts]), np.array([len(t) for t in texts], np.int32), pieces)
+
+    def row(self) -> list[bytes]:
+        return [self.w.tobytes(), self.sizes.tobytes(), self.pieces.length.astype(np.int32).tobytes(), self.pieces.flat.tobytes()]
+
+    @classmethod
+    def read(cls, *columns: bytes) -> Pack:
+        w, sizes, lengths, flat = (np.frombuffer(c, np.int32) for c in columns)
+        return cls(w, sizes, Pieces(lengths, flat))
+
+    def stream(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the texts a to b: (word indices with -1 for each end, ids with END for each end, how many ids each word has)."""
+        sizes = self.sizes[a:b].astype(np.int64)
+        lo = int(self.sizes[:a].sum())
+        w = np.full(sizes.sum() + len(sizes), -1, np.int64)
+        ends = np.cumsum(sizes + 1) - 1
+        inner = np.ones(len(w), bool)
+        inner[ends] = False
+        w[inner] = self.w[lo : lo + int(sizes.sum())]
+        many = np.where(inner, self.pieces.length[w] if len(self.pieces.length) else 0, 1)
+        last = np.cumsum(many)
+        y = np.full(int(last[-1]) if len(last) else 0, Subwords.END, np.int64)
+        reps = many[inner]
+        offset = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        y[np.repeat(inner, many)] = self.pieces.flat[np.repeat(self.pieces.begin[w[inner]], reps) + offset]
+        return w, y, many
+
+    def training(self, learn: np.ndarray) -> np.ndarray:
+        """The ids of the texts marked in ``learn``, each text after a start."""
+        _, y, _ = self.stream(0, len(self.sizes))
+        ends = np.flatnonzero(y == Subwords.END)
+        x = np.append(Subwords.START, y[:-1])
+        x[1:][y[:-1] == Subwords.END] = Subwords.START
+        return x[np.repeat(learn, np.diff(ends, prepend=-1))]
+
+
+def _text_log_probs(model: AttentionModel, pack: Pack, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log-probabilities of the words and ends of the texts a to b, one after another; the words' indices, -1 for an end)."""
+    w, y, many = pack.stream(a, b)
+    last = np.cumsum(many)
     x = np.empty_like(y)
     x[1:] = y[:-1]
-    last = ends[w < 0]
-    starts = np.r_[0, last[:-1]]
+    ends = last[w < 0]
+    starts = np.r_[0, ends[:-1]]
     x[starts] = Subwords.START
-    each = model.log_probs(x, y, starts, last - starts)
-    return np.add.reduceat(each.astype(float), ends - sizes_w), w
+    each = model.log_probs(x, y, starts, ends - starts)
+    sums = np.concatenate([[0.0], np.cumsum(each.astype(float))])  # a word without ids has 0
+    return sums[last] - sums[last - many], w
 
 
 def score_texts(docs: DataFrame, model_path: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -392,82 +432,89 @@ def score_texts(docs: DataFrame, model_path: str | None = None, block_chars: int
     tune = ~held_out & (F.pmod(F.xxhash64(F.lit("tune"), text), F.lit(TUNE)) == 0)
     rows = docs.select(F.pmod(order, F.lit(blocks)).cast("int").alias("block"), order.alias("order"), "doc_id", held_out.alias("held_out"), tune.alias("tune"), text.alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(block, h, n, tune, x): a block's words with their numbers in training texts and whether one for tuning has them; with block -1, ids (as h) and their numbers, with -2, those that begin words; with x, the ids of the network's texts."""
-        subwords, held, waiting, parts = _subwords(model_path), {}, 0, 0
-        names = ["block", "h", "n", "tune", "x"]
-
-        def out(block: int, h: np.ndarray, n: np.ndarray, tuned: np.ndarray | None = None) -> pa.RecordBatch:
-            tuned = np.zeros(len(h), bool) if tuned is None else tuned
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block, np.int32)), pa.array(h), pa.array(n.astype(np.int64)), pa.array(tuned), pa.nulls(len(h), pa.binary())], names)
-
-        def flush(block: int, texts: list[str], learn: list[bool], tuned: list[bool]) -> Iterator[pa.RecordBatch]:
-            nonlocal parts
-            b = Block(texts)
-            none = np.zeros(0, np.int32)
-            occurring = lambda wanted: np.bincount(np.concatenate([none, *(t for t, ok in zip(b.texts, wanted, strict=True) if ok)]), minlength=len(b.words))
-            n = occurring(learn)
-            yield out(block, b.hashes(), n, occurring(tuned) > 0)
-            ids = subwords.ids(b.words)
-            if ids:
-                total = np.bincount(np.concatenate(ids), weights=np.repeat(n, [len(i) for i in ids]), minlength=subwords.size)
-                begin = np.bincount([i[0] for i in ids if len(i)] or none, weights=n[[len(i) > 0 for i in ids]], minlength=subwords.size)
-                for k, t in ((-1, total), (-2, begin)):
-                    at = np.flatnonzero(t)
-                    yield out(k, at, t[at])
-            start = np.array([Subwords.START], np.int32)
-            x = [i for t, ok, no in zip(b.texts, learn, tuned, strict=True) if ok and not no for i in (start, *(ids[w] for w in t))]
-            if x:
-                parts += 1
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([parts], pa.int64()), pa.array([0], pa.int64()), pa.array([False]), pa.array([np.concatenate(x).astype(np.int32).tobytes()], pa.binary())], names)
-
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    packed = f"block int, part int, kind int, h long, at int, n long, doc_ids array<{kind}>, learn binary, {Pack.SCHEMA}"
+    id_list = pa.list_(_arrow_type(docs.schema["doc_id"].dataType))
+
+    def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of WORD and TUNED_WORD: a pack's word ``at`` with its hash and number in training texts; of IDS and BEGINS: ids (h) and their numbers in the pack's training texts, all and those that begin words; of SCORED and TUNED: the packs."""
+        subwords = _subwords(model_path)
+        part, block, held = 0, None, []
+
+        def out(kind: int, many: int, **given) -> pa.RecordBatch:
+            given = {c: pa.array(np.full(many, x, np.int32)) for c, x in (("block", block), ("part", part), ("kind", kind))} | given
+            types = {"h": pa.int64(), "at": pa.int32(), "n": pa.int64(), "doc_ids": id_list, "learn": pa.binary()} | {c: pa.binary() for c in Pack.COLUMNS}
+            names = ["block", "part", "kind", *types]
+            return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(many, types[c]) for c in names], names)
+
+        def flush(kind: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            nonlocal part
+            part += 1
+            b = Block([r[3] for r in rows])
+            learn = np.array([not r[1] for r in rows])
+            pieces = subwords.pieces(b.words)
+            pack = Pack.of(b.texts, pieces)
+            n = np.bincount(pack.w[np.repeat(learn, pack.sizes)], minlength=len(b.words))
+            yield out(WORD if kind == SCORED else TUNED_WORD, len(b.words), h=pa.array(b.hashes()), at=pa.array(np.arange(len(b.words), dtype=np.int32)), n=pa.array(n.astype(np.int64)))
+            total = np.bincount(pieces.flat, weights=np.repeat(n, pieces.length), minlength=subwords.size)
+            some = pieces.length > 0
+            begin = np.bincount(pieces.flat[pieces.begin[some]], weights=n[some], minlength=subwords.size)
+            for k, t in ((IDS, total), (BEGINS, begin)):
+                at = np.flatnonzero(t)
+                yield out(k, len(at), h=pa.array(at), n=pa.array(t[at].astype(np.int64)))
+            columns = {c: pa.array([x], pa.binary()) for c, x in zip(Pack.COLUMNS, pack.row(), strict=True)}
+            yield out(kind, 1, doc_ids=pa.array([[r[0] for r in rows]], id_list), learn=pa.array([learn.tobytes()], pa.binary()), **columns)
+
+        def flush_all() -> Iterator[pa.RecordBatch]:
+            for kind, wanted in ((SCORED, False), (TUNED, True)):
+                if rows := [r for r in held if r[2] == wanted]:
+                    yield from flush(kind, rows)
+
+        waiting = 0
         for batch in batches:
-            for block, held_out_, tuned, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                t = t.as_py()
-                of = held.setdefault(block, ([], [], []))
-                of[0].append(t), of[1].append(not held_out_), of[2].append(tuned)
-                waiting += len(t)
-            if waiting > 2 * block_chars:
-                for block, of in held.items():
-                    yield from flush(block, *of)
-                held, waiting = {}, 0
-        for block, of in held.items():
-            yield from flush(block, *of)
-
-    dealt = rows.repartition(int(blocks), "block")
-    sorted_rows = dealt.sortWithinPartitions("block", "order").select("block", "held_out", "tune", "text")
-    counted = materialise(sorted_rows.mapInArrow(count, "block int, h long, n long, tune boolean, x binary"), "counted")
-    word = Window.partitionBy(F.least("block", F.lit(0)), "h")
-    totals = counted.where("x IS NULL").withColumn("total", F.sum("n").over(word)).withColumn("first", F.row_number().over(word.orderBy("block")) == 1)
-    totals = materialise(totals.select("block", "h", "tune", "total", "first"), "word-totals")
-    seen = totals.where("block >= 0 AND first AND total > 0").agg(F.sum("total"), F.count(F.lit(1))).head()
+            ids = batch.column(1).to_pylist()
+            for b, i, held_out_, tuned, t in zip(batch.column(0).to_pylist(), ids, batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if held and (b != block or waiting > 2 * block_chars):
+                    yield from flush_all()
+                    held, waiting = [], 0
+                block = b
+                held.append((i, held_out_, tuned, t.as_py()))
+                waiting += len(held[-1][3])
+        if held:
+            yield from flush_all()
+
+    sorted_rows = rows.repartition(int(blocks), "block").sortWithinPartitions("block", "order").select("block", "doc_id", "held_out", "tune", "text")
+    counted = materialise(sorted_rows.mapInArrow(pack_blocks, packed), "packs")
+    words = counted.where(F.col("kind").isin(WORD, TUNED_WORD))
+    summed = materialise(words.groupBy("h").agg(F.sum("n").alias("total")), "word-totals")
+    seen = summed.where("total > 0").agg(F.sum("total"), F.count(F.lit(1))).head()
     n, v = (seen[0] or 0) + train_texts, seen[1] + (train_texts > 0)
-    ids = totals.where("block < 0 AND first").select("block", "h", "total").toPandas()  # no more rows than twice the tokenizer's ids
-    texts_ids = counted.where("x IS NOT NULL").select("block", F.col("h").alias("part"), "x").repartition(2 * int(blocks), "block", "part")
-    model = _fit(texts_ids, ids, train_texts, model_path)
+    ids = counted.where(F.col("kind").isin(IDS, BEGINS)).groupBy("kind", "h").agg(F.sum("n").alias("total")).toPandas()  # no more rows than twice the tokenizer's ids
+    packs = counted.where(F.col("kind").isin(SCORED, TUNED)).select("block", "part", "kind", "doc_ids", "learn", *Pack.COLUMNS)
+    model = _fit(packs.where(F.col("kind") == SCORED), ids, train_texts, model_path)
     unit = np.log10(n + ADDED * (v + 1)) if n else 0.0
+    totals = words.select("h", "kind", "block", "part", "at").join(summed, "h").select("kind", F.col("block").alias("of_block"), F.col("part").alias("of_part"), "at", "total")
 
-    def read(texts: pd.DataFrame, words: pd.DataFrame) -> tuple[Block, Pieces, np.ndarray, np.ndarray]:
-        """(texts, their words' ids, numbers of the words and the end, texts' sizes)."""
-        block = Block(texts.text.tolist())
-        h = block.hashes()
-        known, total = words.h.to_numpy(), words.total.to_numpy()
-        order = np.argsort(known)
-        c = total[order][np.searchsorted(known[order], h)] if len(h) else np.zeros(0, np.int64)
-        return block, Pieces(_subwords(model_path).ids(block.words)), np.append(c, train_texts), np.array([len(t) + 1 for t in block.texts])  # index -1 is the end
+    def read(row, words: pd.DataFrame) -> tuple[Pack, np.ndarray]:
+        """(texts, numbers of the words and the end)."""
+        pack = Pack.read(*(getattr(row, c) for c in Pack.COLUMNS))
+        c = np.zeros(len(pack.pieces.length) + 1, np.int64)
+        c[words["at"].to_numpy()] = words.total.to_numpy()
+        c[-1] = train_texts  # index -1 is the end
+        return pack, c
 
     def batches_of(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // 20_000, prepend=-1))
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes + 1) // 20_000, prepend=-1))
         return zip(cuts, [*cuts[1:], len(sizes)], strict=True)
 
     def weigh(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         """(bin, n): words by the logarithm of the network's probability over their share, each word's own occurrence left out of its count."""
         found = np.zeros(2 * BINS + 1, np.int64)
-        if len(texts):
-            net = _model(shared)
-            block, pieces, c, sizes = read(texts, words)
-            for a, b in batches_of(sizes):
-                each, w = _text_log_probs(net, block, pieces, np.arange(a, b))
+        net = _model(shared)
+        for row in texts.itertuples():
+            pack, c = read(row, words)
+            for a, b in batches_of(pack.sizes):
+                each, w = _text_log_probs(net, pack, a, b)
                 less = np.maximum(c[w] - 1, 0)
                 ratio = np.where(less > 0, each - np.log((less + ADDED) / (n + ADDED * (v + 1))), np.inf)
                 found += np.bincount(np.clip(np.rint(ratio * PER_UNIT), -BINS, BINS).astype(int) + BINS, minlength=2 * BINS + 1)
@@ -475,31 +522,37 @@ def score_texts(docs: DataFrame, model_path: str | None = None, block_chars: int
         return pd.DataFrame({"bin": at - BINS, "n": found[at]})
 
     shared = spark.sparkContext.broadcast(model)
-    tuning = dealt.where("tune").groupBy("block").cogroup(totals.where("block >= 0 AND tune").select("block", "h", "total").groupBy("block"))
+    tuned_words = totals.where(F.col("kind") == TUNED_WORD).drop("kind")
+    tuning = packs.where(F.col("kind") == TUNED).groupBy("block", "part").cogroup(tuned_words.groupBy("of_block", "of_part"))
     bins = tuning.applyInPandas(weigh, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # no more rows than bins
     mix = _mixture(bins.bin.to_numpy() / PER_UNIT, bins.n.to_numpy())
 
     def score(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         net = _model(shared)
-        block, pieces, c, sizes = read(texts, words)
-        out = []
-        base = np.log10(c + ADDED) - unit
-        share = np.where(c > 0, (1 - mix) * 10**base, 0.0)
-        for a, b in batches_of(sizes):
-            each, w = _text_log_probs(net, block, pieces, np.arange(a, b))
-            mixed = np.log10(mix * np.exp(each) + share[w])
-            mixed = np.where(share[w] > 0, mixed, np.log10(mix) + each / np.log(10))
-            starts = np.cumsum(sizes[a:b]) - sizes[a:b]
-            out.append(np.stack([np.add.reduceat(z, starts) for z in ((c[w] > 0).astype(float), base[w], mixed)], 1))
-        out = np.concatenate(out)
-        return pd.DataFrame({"doc_id": texts.doc_id, "held_out": texts.held_out, "n_tokens": sizes, "n_known": out[:, 0].astype(np.int64), "train_tokens": n, "base_score": out[:, 1], "score": out[:, 2]})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
+        results = []
+        for row in texts.itertuples():
+            pack, c = read(row, words)
+            base = np.log10(c + ADDED) - unit
+            share = np.where(c > 0, (1 - mix) * 10**base, 0.0)
+            out = []
+            for a, b in batches_of(pack.sizes):
+                each, w = _text_log_probs(net, pack, a, b)
+                mixed = np.log10(mix * np.exp(each) + share[w])
+                mixed = np.where(share[w] > 0, mixed, np.log10(mix) + each / np.log(10))
+                starts = np.cumsum(pack.sizes[a:b] + 1) - pack.sizes[a:b] - 1
+                out.append(np.stack([np.add.reduceat(z, starts) for z in ((c[w] > 0).astype(float), base[w], mixed)], 1))
+            out = np.concatenate(out)
+            doc_ids = pd.Series(list(row.doc_ids), dtype="Int64") if whole_numbers else pd.Series(list(row.doc_ids))
+            results.append(pd.DataFrame({"doc_id": doc_ids, "held_out": ~np.frombuffer(row.learn, bool), "n_tokens": pack.sizes.astype(np.int64) + 1, "n_known": out[:, 0].astype(np.int64), "train_tokens": n, "base_score": out[:, 1], "score": out[:, 2]}))
+        return pd.concat(results) if results else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    whole_numbers = kind in ("tinyint", "smallint", "int", "bigint")
     result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    words = totals.where("block >= 0").select("block", "h", "total")
-    return dealt.select("block", "doc_id", "held_out", "text").groupBy("block").cogroup(words.groupBy("block")).applyInPandas(score, result)
+    return packs.groupBy("block", "part").cogroup(totals.drop("kind").groupBy("of_block", "of_part")).applyInPandas(score, result)
 
 
+#: Kinds of rows of the table of packs.
+WORD, TUNED_WORD, IDS, BEGINS, SCORED, TUNED = range(6)
 #: Bins on each side of 0, and bins of a unit, of the logarithm by which the mixture's weight is fitted.
 BINS, PER_UNIT = 1_000, 25
 
@@ -523,9 +576,9 @@ def _mixture(ratio: np.ndarray, n: np.ndarray) -> float:
 
 
 def _fit(texts: DataFrame, ids: pd.DataFrame, train_texts: int, model_path: str | None) -> dict:
-    """The model fitted on all ``texts`` (block, part, x); ids: (block, h, total), with block -1 each id's number, with -2 of those that begin words."""
+    """The model fitted on the learning texts of all packs ``texts``; ids: (kind, h, total), each id's number and of those that begin words."""
     spark = texts.sparkSession
-    all_ids, begin_ids = (ids[ids.block == k] for k in (-1, -2))
+    all_ids, begin_ids = (ids[ids.kind == k] for k in (IDS, BEGINS))
     at, many, begin = all_ids.h.tolist(), all_ids.total.tolist(), begin_ids.h.tolist()
 
     def counts() -> np.ndarray:
@@ -534,12 +587,15 @@ def _fit(texts: DataFrame, ids: pd.DataFrame, train_texts: int, model_path: str
         out[Subwords.END] = train_texts
         return out
 
+    def training(learn: bytes, *columns: bytes) -> np.ndarray:
+        return Pack.read(*columns).training(np.frombuffer(learn, bool))
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counts()
         frequent = _frequent(c)
         for batch in batches:
-            for x in batch.column(0):
-                k, n = _pairs(np.frombuffer(x.as_py(), np.int32).astype(np.int64), len(c), frequent)
+            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                k, n = _pairs(training(*row), len(c), frequent)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["k", "n"])
 
     def dense(f: pd.DataFrame) -> pd.DataFrame:
@@ -552,16 +608,18 @@ def _fit(texts: DataFrame, ids: pd.DataFrame, train_texts: int, model_path: str
 
     def start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = counts()
-        m, begins = np.zeros((len(c), 2 * FREQUENT), "f4"), np.zeros(len(c), bool)
+        m, begins, some = np.zeros((len(c), 2 * FREQUENT), "f4"), np.zeros(len(c), bool), False
         for f in frames:
+            some |= len(f) > 0
             for part, rows in zip(f.part, f.m, strict=True):
                 rows = np.frombuffer(rows, "f4").reshape(-1, 2 * FREQUENT)
                 m[part::PARTS][: len(rows)] = rows
         begins[begin] = True
-        yield pd.DataFrame({"model": [initial(m, c, begins).to_bytes()]})
+        if some:
+            yield pd.DataFrame({"model": [initial(m, c, begins).to_bytes()]})
 
     part = F.pmod(F.floor(F.col("k") / (2 * FREQUENT)), F.lit(PARTS))
-    summed = texts.select("x").mapInArrow(pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    summed = texts.select("learn", *Pack.COLUMNS).mapInArrow(pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     found = summed.groupBy(part.alias("p")).applyInPandas(dense, "part int, m binary").repartition(1).mapInPandas(start, "model binary").head(1)  # PARTS rows
     if not found:
         size = 3 + max([0, *at])
@@ -569,32 +627,57 @@ def _fit(texts: DataFrame, ids: pd.DataFrame, train_texts: int, model_path: str
         return {"id": uuid.uuid4().hex, "data": data}
     model, steps, rounds = AttentionModel.from_bytes(bytes(found[0][0])), max(1, STEPS // ROUNDS), ROUNDS
     blocks = texts.agg(F.max("block")).head()[0] + 1
-    moves = "piece int, block long, part long, move binary, seen binary"
+    moves = "piece int, block long, part long, rows binary, move binary, seen binary"
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
+        """The sum of moves of a piece of the weights; each has some of its rows."""
         f = f.sort_values(["block", "part"])
-        total = lambda c: np.sum([np.frombuffer(x, "f4") for x in c], axis=0, dtype=float).astype("f4").tobytes()
-        return pd.DataFrame({"piece": f.piece.iloc[:1], "block": f.block.iloc[:1], "part": f.part.iloc[:1], "move": [total(f.move)], "seen": [total(f.seen)]})
+        at = [np.frombuffer(x, np.int32) for x in f["rows"]]
+        rows, place = np.unique(np.concatenate(at), return_inverse=True)
+        move, seen = np.zeros((len(rows), WIDTH)), np.zeros(len(rows))
+        lo = 0
+        for r, m, s in zip(at, f.move, f.seen, strict=True):
+            to = place[lo : lo + len(r)]  # the rows of one are different
+            move[to] += np.frombuffer(m, "f4").reshape(-1, WIDTH)
+            seen[to] += np.frombuffer(s, "f4")
+            lo += len(r)
+        return pd.DataFrame({"piece": f.piece.iloc[:1], "block": f.block.iloc[:1], "part": f.part.iloc[:1], "rows": [rows.tobytes()], "move": [move.astype("f4").tobytes()], "seen": [seen.astype("f4").tobytes()]})
 
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(model.to_bytes())
 
-        def learn(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[pd.DataFrame]:
-            """A block's moves in a round, times how often each row of weights was seen."""
+        def learn(batches: Iterator[pd.DataFrame], k: int = k, shared=shared) -> Iterator[pd.DataFrame]:
+            """A pack's moves in a round, times how often each row of weights was seen; only rows that were."""
             for f in batches:
-                for block, part, x in zip(f.block, f.part, f.x, strict=True):
+                for row in f.itertuples():
+                    x = training(row.learn, *(getattr(row, c) for c in Pack.COLUMNS))
+                    if not len(x):
+                        continue
                     net = AttentionModel.from_bytes(shared.value)
                     old = net.rows()
-                    ids, own = descend(net, np.frombuffer(x, np.int32).astype(np.int64), steps, k, rounds, seed=int(block))
+                    ids, own = descend(net, x, steps, k, rounds, seed=int(row.block))
                     seen = np.full(len(old), own, "f4")
                     seen[: len(ids)] = ids
                     move = (net.rows() - old) * seen[:, None]
-                    yield pd.DataFrame([(i, block, part, a.tobytes(), b.tobytes()) for i, (a, b) in enumerate(zip(np.array_split(move, PARTS), np.array_split(seen, PARTS), strict=True))], columns=["piece", "block", "part", "move", "seen"])
-
-        moved = texts.mapInPandas(learn, moves)
+                    out = []
+                    for i in range(PARTS):
+                        at = np.arange(i, len(seen), PARTS)
+                        at = at[seen[at] > 0].astype(np.int32)
+                        out.append((i, row.block, row.part, at.tobytes(), move[at].tobytes(), seen[at].tobytes()))
+                    yield pd.DataFrame(out, columns=["piece", "block", "part", "rows", "move", "seen"])
+
+        moved = texts.select("block", "part", "learn", *Pack.COLUMNS).mapInPandas(learn, moves)
         if blocks > MERGED:
             moved = moved.groupBy("piece", F.pmod("block", F.lit(int(blocks**0.5)))).applyInPandas(merge, moves)
-        got = moved.groupBy("piece").applyInPandas(merge, moves).orderBy("piece").collect()  # the size of the model
-        move, seen = (np.concatenate([np.frombuffer(r[c], "f4") for r in got]) for c in ("move", "seen"))
-        model.set_rows(model.rows() + move.reshape(-1, WIDTH) / np.maximum(seen, 1)[:, None])
+        weights = model.rows()
+        for r in moved.groupBy("piece").applyInPandas(merge, moves).collect():  # the size of the model
+            at = np.frombuffer(r["rows"], np.int32)
+            weights[at] += np.frombuffer(r.move, "f4").reshape(-1, WIDTH) / np.maximum(np.frombuffer(r.seen, "f4"), 1)[:, None]
+        model.set_rows(weights)
     return {"id": uuid.uuid4().hex, "data": model.to_bytes()}
+
+
+def _arrow_type(kind) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)

@@ -368,8 +368,15 @@ def test_every_block_moves_the_network(spark, monkeypatch):
     at = np.flatnonzero(counts)
     at = at[at > 2]
     begins = np.isin(np.arange(size), at[::2])
-    ids = pd.DataFrame([(-1, i, int(counts[i])) for i in at] + [(-2, i, 1) for i in at[::2]], columns=["block", "h", "total"])
-    texts = spark.createDataFrame([(b, 1, x.astype(np.int32).tobytes()) for b, x in enumerate(xs)], "block int, part long, x binary").repartition(3)
+    kinds = lm_scoring.IDS, lm_scoring.BEGINS
+    ids = pd.DataFrame([(kinds[0], i, int(counts[i])) for i in at] + [(kinds[1], i, 1) for i in at[::2]], columns=["kind", "h", "total"])
+    rows = []
+    for b, x in enumerate(xs):  # a word is an id
+        words, w = np.unique(x[x > 1], return_inverse=True)
+        pack = lm_scoring.Pack.of([*w.reshape(20, 30).astype(np.int32)], lm_scoring.Pieces(np.ones(len(words)), words.astype(np.int32)))
+        assert (pack.training(np.ones(20, bool)) == x).all() and len(pack.training(np.arange(20) < 2)) == 62
+        rows.append((b, 1, np.ones(20, bool).tobytes(), *pack.row()))
+    texts = spark.createDataFrame(rows, f"block int, part int, learn binary, {lm_scoring.Pack.SCHEMA}").repartition(3)
     model = lm_scoring.AttentionModel.from_bytes(lm_scoring._fit(texts, ids, 120, None)["data"])
     before = lm_scoring.initial(m, counts, begins)
     moved = (model.e != before.e).any(axis=1)
