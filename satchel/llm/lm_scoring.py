@@ -51,7 +51,9 @@ from satchel.llm.common import materialise
 #: Half a window; width of the model; classes.
 HALF, WIDTH, CLASSES = 8, 16, 64
 #: Rounds after which the blocks' weights are merged, a block's steps in all rounds, and windows of a step at least.
-ROUNDS, STEPS, BATCH = 3, 96, 256
+ROUNDS, STEPS, BATCH = 3, 180, 256
+#: Windows of a step whose gradients are computed at once, so they stay in the cache.
+CHUNK = 128
 #: One text in so many is kept from the network, for the mixture's weight.
 TUNE = 50
 #: Frequent ids whose neighbourhood tells contexts apart, parts in which contexts and weights are summed, and blocks that are merged at once at most.
@@ -157,44 +159,32 @@ class AttentionModel:
         i, j = np.arange(2 * HALF)[:, None], np.arange(2 * HALF)
         self.mask = np.where(j <= i, self.distance[np.clip(i - j, 0, 2 * HALF - 1)], np.float32(-1e9)).astype("f4")
 
-    def attend(self, ids: np.ndarray, first: int = HALF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(unnormalised weights, their sums, the attention's output with the residual) for windows of ids, from place ``first`` on."""
-        own = ids[:, first:]
+    def attend(self, ids: np.ndarray) -> np.ndarray:
+        """The attention's output with the residual for the second half of windows of ids."""
+        own = ids[:, HALF:]
         a = self.q[own] @ self.k[ids].transpose(0, 2, 1)
-        a += self.mask[first:]
+        a += self.mask[HALF:]
         if (pad := ids == Subwords.PAD).any():
             a += np.where(pad, np.float32(-1e9), np.float32(0))[:, None, :]
-        if a.max() > 60:
-            np.minimum(a, np.float32(60), out=a)
-        np.exp(a, out=a)
-        total = a.sum(-1, keepdims=True) + np.float32(1e-20)
+        np.exp(np.minimum(a, np.float32(60), out=a), out=a)
         h = a @ self.v[ids]
-        h /= total
+        h /= a.sum(-1, keepdims=True) + np.float32(1e-20)
         h += self.r[own]
-        return a, total, h
+        return h
 
-    def forward(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(weights of the attention, its output with the residual, class log-probabilities) for all places of windows of ids."""
-        a, total, h = self.attend(ids, 0)
-        z = h @ self.wc + self.bias
-        z -= z.max(-1, keepdims=True)
-        z -= np.log(np.exp(z).sum(-1, keepdims=True))
-        return a / total, h, z
-
-    def log_probs(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray, sizes: np.ndarray, batch: int = 1024) -> np.ndarray:
+    def log_probs(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray, sizes: np.ndarray, batch: int = 256) -> np.ndarray:
         """log p(y[i] | x up to i in its window), each once."""
         out = np.empty(len(y), "f4")
         at, own = _windows(x, starts, sizes)
         padded = np.append(x, Subwords.PAD)
         for lo in range(0, len(at), batch):
             part, mine = at[lo : lo + batch], own[lo : lo + batch]
-            h = self.attend(padded[part])[2][mine]
+            h = self.attend(padded[part])[mine]
             to = part[:, HALF:][mine]
             target = y[to]
             z = h @ self.wc
             z += self.bias
-            if z.max() > 60:
-                z -= z.max(-1, keepdims=True)
+            np.minimum(z, np.float32(60), out=z)
             wanted = z[np.arange(len(to)), self.cls[target]]
             np.exp(z, out=z)
             out[to] = wanted - np.log(z.sum(-1)) + self.within[target]
@@ -269,9 +259,12 @@ def _classes(features: np.ndarray, counts: np.ndarray, begins: np.ndarray, rng)
     return cls
 
 
-def _rows(size: int, ids: np.ndarray, grads: np.ndarray) -> np.ndarray:
-    flat, g = ids.ravel(), grads.reshape(-1, WIDTH)
-    return np.stack([np.bincount(flat, weights=g[:, d], minlength=size) for d in range(WIDTH)], 1).astype("f4")
+def _rows(ids: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different ids, the sum of each one's rows of ``grads``)."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    starts = np.flatnonzero(np.diff(ids, prepend=-1))
+    return ids[starts], np.add.reduceat(grads[order], starts, axis=0)
 
 
 def _targets(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,44 +294,64 @@ def initial(m: np.ndarray, counts: np.ndarray, begins: np.ndarray, seed: int = 5
 
 def descend(m: AttentionModel, x: np.ndarray, steps: int, part: int = 0, parts: int = 1, seed: int = 5) -> tuple[np.ndarray, int]:
     """Takes steps over share ``part`` of ``parts`` of the windows, each at least once; (how often each id was in them, next ids in them)."""
-    size = len(m.e)
+    size, span = len(m.e), 2 * HALF
     y, starts, sizes = _targets(x)
     at = _full_windows(starts, sizes)
-    padded, names = np.append(x, Subwords.PAD), ("e", "wq", "wk", "wv", "wr", "distance", "wc", "bias")
+    padded, shared = np.append(x, Subwords.PAD), ("wq", "wk", "wv", "wr", "distance", "wc", "bias")
     order = np.random.default_rng(seed).permutation(len(at))
     order = order[part::parts] if len(order) >= parts else order
     seen = np.bincount(padded[at[order]].ravel(), minlength=size), int((at[order] >= 0).sum())
     batch = max(BATCH, -(-len(order) // steps))
     order = np.resize(order, steps * batch)
-    mean = {n: np.zeros_like(getattr(m, n)) for n in names}
-    square = {n: np.zeros_like(getattr(m, n)) for n in names}
-    scale, lag = np.float32(WIDTH**-0.5), np.clip(np.arange(2 * HALF)[:, None] - np.arange(2 * HALF), 0, 2 * HALF - 1)
+    mean = {n: np.zeros_like(getattr(m, n)) for n in ("e", *shared)}
+    square = {n: np.zeros_like(getattr(m, n)) for n in ("e", *shared)}
+    scale, lag = np.float32(WIDTH**-0.5), np.clip(np.arange(span)[:, None] - np.arange(span), 0, span - 1).ravel()
+    dot = lambda a, b: (a * b).sum(-1, keepdims=True)
+
+    def gradients(part_at: np.ndarray, four: np.ndarray, bias: np.ndarray, count: int) -> tuple[dict, np.ndarray, np.ndarray]:
+        """(of the shared weights, ids, of each id's place) for some windows of a step over ``count`` next ids."""
+        mine, w = (part_at >= 0).ravel(), padded[part_at]
+        flat_w, windows = w.ravel(), (len(w), span, WIDTH)
+        e = m.e[flat_w]
+        q, k, v, r = (np.ascontiguousarray(p).reshape(windows) for p in np.split(e @ four, 4, axis=1))
+        a = q @ k.transpose(0, 2, 1)
+        a += bias
+        if not mine.all():
+            a += np.where(w == Subwords.PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+        np.exp(np.minimum(a, np.float32(60), out=a), out=a)
+        a /= a.sum(-1, keepdims=True) + np.float32(1e-20)
+        h = ((a @ v) + r).reshape(-1, WIDTH)
+        z = h @ m.wc
+        z += m.bias
+        np.exp(np.minimum(z, np.float32(60), out=z), out=z)
+        each = (mine / np.float32(max(count, 1))).astype("f4")
+        z *= (each / (z.sum(-1) + np.float32(1e-20)))[:, None]
+        z[np.arange(len(z)), m.cls[y[np.where(mine, part_at.ravel(), 0)]]] -= each
+        g = {"wc": h.T @ z, "bias": z.sum(0)}
+        dh = z @ m.wc.T
+        dh3 = dh.reshape(windows)
+        da = dh3 @ v.transpose(0, 2, 1)
+        da -= dot(da, a)
+        da *= a
+        g["distance"] = np.bincount(lag, weights=da.sum(0).ravel(), minlength=span).astype("f4")
+        d4 = np.concatenate([x.reshape(-1, WIDTH) for x in (da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh3, dh)], 1)
+        g["wq"], g["wk"], g["wv"], g["wr"] = (np.ascontiguousarray(p) for p in np.split(e.T @ d4, 4, axis=1))
+        g["wq"] *= scale
+        return g, flat_w, d4 @ four.T
+
     for step in range(1, steps + 1):
         part_at = at[order[(step - 1) * batch : step * batch]]
-        mine, w = part_at >= 0, padded[part_at]
-        a, h, z = m.forward(w)
-        target = np.where(mine, part_at, 0)
-        dz = np.exp(z, out=z)
-        dz[np.arange(batch)[:, None], np.arange(2 * HALF), m.cls[y[target]]] -= 1
-        dz *= (mine / np.float32(max(mine.sum(), 1)))[:, :, None]
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"wc": flat(h).T @ flat(dz), "bias": flat(dz).sum(0)}
-        dh = dz @ m.wc.T
-        v, k, q = m.v[w], m.k[w], m.q[w]
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        dv, dq, dk = a.transpose(0, 2, 1) @ dh, ds @ k, ds.transpose(0, 2, 1) @ q
-        g["distance"] = np.bincount(lag.ravel(), weights=ds.sum(0).ravel(), minlength=2 * HALF).astype("f4")
-        e = flat(m.e[w]).T
-        g["wv"], g["wk"], g["wq"], g["wr"] = e @ flat(dv), e @ flat(dk), e @ flat(dq) * scale, e @ flat(dh)
-        g["e"] = _rows(size, w, dv @ m.wv.T + dk @ m.wk.T + dq @ m.wq.T * scale + dh @ m.wr.T)
+        four, bias = np.concatenate([m.wq * scale, m.wk, m.wv, m.wr], 1), np.where(np.tri(span, dtype=bool), m.distance[lag].reshape(span, span), np.float32(-1e9))
+        found = [gradients(part_at[lo : lo + CHUNK], four, bias, int((part_at >= 0).sum())) for lo in range(0, batch, CHUNK)]
+        g = {n: sum(f[0][n] for f in found) for n in shared}
+        ids, of_ids = _rows(np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]))
         rate = 0.02 * min(1, 2 * (1 - (part + step / (steps + 1)) / parts))
-        for n in names:
-            mean[n] += 0.1 * (g[n] - mean[n])
-            square[n] += 0.01 * (g[n] * g[n] - square[n])
-            move = rate * (mean[n] / (1 - 0.9**step)) / (np.sqrt(square[n] / (1 - 0.99**step)) + 1e-8)
-            setattr(m, n, (getattr(m, n) - move).astype("f4"))
-        m.tables()
+        for n, some, grad in (("e", ids, of_ids), *((n, slice(None), g[n]) for n in shared)):  # rows of ids that are not in the batch stay
+            mean[n][some] += np.float32(0.1) * (grad - mean[n][some])
+            square[n][some] += np.float32(0.01) * (grad * grad - square[n][some])
+            move = mean[n][some] / np.float32(1 - 0.9**step) / (np.sqrt(square[n][some] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+            getattr(m, n)[some] -= np.float32(rate) * move
+    m.tables()
     return seen
 
 
@@ -493,7 +506,7 @@ def score_texts(docs: DataFrame, model_path: str | None = None, block_chars: int
     packs = counted.where(F.col("kind").isin(SCORED, TUNED)).select("block", "part", "kind", "doc_ids", "learn", *Pack.COLUMNS)
     model = _fit(packs.where(F.col("kind") == SCORED), ids, train_texts, model_path)
     unit = np.log10(n + ADDED * (v + 1)) if n else 0.0
-    totals = words.select("h", "kind", "block", "part", "at").join(summed, "h").select("kind", F.col("block").alias("of_block"), F.col("part").alias("of_part"), "at", "total")
+    totals = words.select("h", "kind", "block", "part", "at").join(summed.hint("shuffle_hash"), "h").select("kind", F.col("block").alias("of_block"), F.col("part").alias("of_part"), "at", "total")
 
     def read(row, words: pd.DataFrame) -> tuple[Pack, np.ndarray]:
         """(texts, numbers of the words and the end)."""
