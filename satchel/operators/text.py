@@ -27,7 +27,7 @@ NUMBER = r"(\d[\d,]*)"
 ITEM_WORDS = "Item Package Shipment Equipment Supply Cargo Product Component Crop Resource Project Candidate Material Food".split()
 KW = "(?:" + "|".join(ITEM_WORDS) + ")"
 #: Header words of table columns. In item tables value and weight; in cost tables the roles differ.
-ITEM_TABLE = {"profit": ("value", "profit", "benefit", "utility"), "weight": ("weight", "cost", "size")}
+ITEM_TABLE = {"weight": ("weight", "cost"), "profit": ("value", "profit", "benefit", "revenue")}
 COST_TABLE = {"weight": ("cost", "expense", "price", "weight"), "profit": ("capacity", "increase", "saving", "benefit", "value", "profit", "return")}
 
 
@@ -80,91 +80,96 @@ def parse_rendered(questions: DataFrame) -> DataFrame:
     return rows.select("instance_id", F.transform("__items", lambda x: x["w"]).alias("weights"), F.transform("__items", lambda x: x["p"]).alias("profit"), "capacity")
 
 
-class ItemList:
-    """One written form of an item list: a pattern with named groups n (number or letter), p and w."""
-
-    def __init__(self, pattern: str, dotall: bool = False):
-        self.pattern = re.compile(pattern, re.IGNORECASE | (re.DOTALL if dotall else 0))
-
-    def read(self, text: str) -> list[tuple[int, int]]:
-        """(weight, profit) by number; letters count by their code, items without number as they come."""
-        rows = []
-        for i, m in enumerate(self.pattern.finditer(text)):
-            d = m.groupdict()
-            mark = d.get("n")
-            place = i if mark is None else int(mark) if mark.isdigit() else ord(mark.upper())
-            rows.append((place, i, number(d["w"]), number(d["p"])))
-        return [(w, p) for _, _, w, p in sorted(rows, key=lambda r: r[:2])]
-
-
 def number(text: str) -> int:
     return int(text.replace(",", ""))
 
 
-_P, _W = r"(?P<p>\d[\d,]*)", r"(?P<w>\d[\d,]*)"
-_N, _SEP = r"(?P<n>\d+)", r"[\s_]*"
-_UNITS = r"[^\n]*?"
-#: Forms of item lists, in the order in which they are tried.
+_NUM = r"(\d[\d,]*)"
+_SEP = r"[\s_]*"
+#: The written forms of item lists, in the order in which they are tried, with what their groups are: n the item's number or letter, p its profit, w its weight.
 FORMS = [
-    ItemList(rf"{KW}\s*{_N}\s*:?\s*Value\s*=\s*{_P}.*?Weight\s*=\s*{_W}"),
-    ItemList(rf"{KW}\s*{_N}\s*:?\s*Weight\s*=\s*{_W}.*?Value\s*=\s*{_P}"),
-    ItemList(rf"{KW}{_SEP}(?P<n>\d+|[A-Z])\b[^\n]*?has\s+a\s+(?:value|utility)\s+of\s*\$?{_P}.*?(?:weighs|weight\s+of|costs)\s*\$?{_W}"),
-    ItemList(rf"item_{_N}\s*\(value:\s*{_P},\s*weight:\s*{_W}"),
-    ItemList(rf"`item_{_N}`\s*:\s*Value\s*=\s*{_P}.*?Weight\s*=\s*{_W}"),
-    ItemList(rf"`?item_{_N}`?{_UNITS}has\s+a\s+value\s+of\s*{_P}.*?weighs\s*{_W}"),
-    ItemList(rf"`?item_{_N}`?{_UNITS}is\s+valued\s+at\s*{_P}.*?weighs\s*{_W}"),
-    ItemList(rf"{KW}{_SEP}{_N}\s*:?\s*Valued\s+at\s*\$?{_P}.*?(?:weighing|weighs)\s*{_W}"),
-    ItemList(rf"{KW}{_SEP}{_N}\s*:?\s*Valued\s+at\s*\$?{_P}.*?with\s+a\s+cost\s+of\s*\$?{_W}"),
-    ItemList(rf"(?:Value|Utility|Benefit|Performance)\s+of\s*\$?{_P}{_UNITS}(?:weight|cost)\s+of\s*\$?{_W}"),
-    ItemList(rf"has\s+a\s+value\s+of\s*\$?{_P}{_UNITS}and\s+a\s+cost\s+of\s*\$?{_W}"),
-    ItemList(rf"has\s+a\s+value\s+of\s*\$?{_P}{_UNITS}and\s+a\s+weight\s+of\s*\$?{_W}"),
-    ItemList(rf"with\s+a\s+value\s+of\s*\$?{_P}{_UNITS}and\s+weight\s+of\s*\$?{_W}"),
-    ItemList(rf"(?:Has|Provides|Contributes)\s+(?:a\s+)?(?:value|utility|benefit)?\s*(?:of\s*)?\$?{_P}{_UNITS}(?:weighs|weight\s+of|costs?(?:\s+of)?)\s*\$?{_W}"),
-    ItemList(rf"Valued\s+at\s*\$?{_P}{_UNITS}with\s+a\s+weight\s+of\s*{_W}"),
-    ItemList(rf"{KW}{_SEP}{_N}[^\n]*\n\s*[-*]\s*Value\s*[:=]\s*\$?{_P}[^\n]*\n\s*[-*]\s*Weight\s*[:=]\s*{_W}"),
+    ("npw", rf"(?:\d+\.\s*)?{KW}\s*(\d+)\s*:?\s*Value\s*=\s*{_NUM}.*?Weight\s*=\s*{_NUM}"),
+    ("nwp", rf"(?:\d+\.\s*)?{KW}\s*(\d+)\s*:?\s*Weight\s*=\s*{_NUM}.*?Value\s*=\s*{_NUM}"),
+    ("npw", rf"{KW}\s*(\d+|[A-Z])\s+has an?\s+(?:educational\s+)?(?:value|utility)\s+of\s*{_NUM}.*?(?:and\s+)?(?:weighs|a weight of|weight of|costs)\s*{_NUM}"),
+    ("npw", rf"`?item_(\d+)`?\s*\(\s*value\s*[:= ]\s*{_NUM}.*?weight\s*[:= ]\s*{_NUM}\s*\)"),
+    ("npw", rf"`?item_(\d+)`?\s*:?\s*Value\s*=\s*{_NUM}.*?Weight\s*=\s*{_NUM}"),
+    ("npw", rf"item_(\d+).*?has a value of\s*{_NUM}.*?weighs\s*{_NUM}"),
+    ("npw", rf"item_(\d+)\s+is valued at\s*{_NUM}.*?weighs\s*{_NUM}"),
+    ("npw", rf"{KW}{_SEP}(\d+|[A-Z])\s*:?\s*Valued at\s*{_NUM}.*?(?:weighing|weighs)\s*{_NUM}"),
+    ("npw", rf"{KW}\s*(\d+)\s*:?\s*Valued at\s*{_NUM}.*?with a cost of\s*{_NUM}"),
+    ("npw", rf"{KW}\s*(\d+)\s*:?\s*(?:Value|Utility|Benefit|Performance)\s+of\s*{_NUM}.*?(?:weight|cost)\s+of\s*{_NUM}"),
+    ("npw", rf"{KW}\s*(\d+)\s+has a value of\s*{_NUM}.*?and a cost of\s*{_NUM}"),
+    ("npw", rf"{KW}\s*(\d+)\s+has a value of\s*{_NUM}.*?and a weight of\s*{_NUM}"),
+    ("npw", rf"{KW}\s*(\d+)\s+with a value of\s*{_NUM}.*?and weight of\s*{_NUM}"),
+    ("npw", rf"{KW}\s*(\d+)\s*:?\s*(?:This\s+\w+\s+)?(?:Has|Provides|Contributes)\s+an?\s+(?:value|utility|educational value|performance)\s+of\s*{_NUM}.*?(?:and\s+)?(?:weighs|costs|adds a workload of|with a weight of)\s*{_NUM}"),
+    ("npw", rf"{KW}\s*(\d+)\s*:?\s*Valued at\s*{_NUM}.*?with a weight of\s*{_NUM}"),
+    ("npw", rf"{KW}\s*(\d+|[A-Z])\s*:?\s*\n\s*[-*]\s*Value\s*:\s*\$?\s*{_NUM}.*?\n\s*[-*]\s*Weight\s*:\s*\$?\s*{_NUM}"),
 ]
-BLOCK_ITEM = re.compile(rf"{KW}{_SEP}(\d+)\s*[:=]?\s*\$?{NUMBER}", re.IGNORECASE)
-UNIT_LINES = {side: re.compile(rf"{KW}{_SEP}(\d+)[^\n]*?{NUMBER}\s*units\s+of\s+{side}", re.IGNORECASE) for side in ("value", "weight")}
+#: Separate lists of profits and of weights, and their lines.
+SECTIONS = {
+    "profit": (r"(?:Value|Revenue|Profit)[^\n:]*:\s*\n(.*?)(?=\n\s*(?:[-*]\s*)?(?:Weight|Objective|Constraint|Decision|Your|$))", rf"{KW}\s*(\d+)\s*:?\s*\$?\s*{_NUM}"),
+    "weight": (r"Weight[^\n:]*:\s*\n(.*?)(?=\n\s*(?:[-*]\s*)?(?:Objective|Constraint|Decision|Your|$))", rf"{KW}\s*(\d+)\s*:?\s*{_NUM}"),
+}
+#: Lines of units of each, anywhere in the text, and the line under a table's header.
+UNIT_LINES = {side: rf"{KW}\s*(\d+)\s*:\s*{_NUM}\s*units of {word}" for side, word in (("profit", "value"), ("weight", "weight"))}
+TABLE_RULE = re.compile(r"\s*\|[\s\-:|]+\|\s*$")
+_FORMS = [(groups, re.compile(pattern, re.IGNORECASE)) for groups, pattern in FORMS]
+
+
+def from_form(text: str, groups: str, pattern: re.Pattern) -> list[tuple[int, int]]:
+    """(weight, profit) of a form's matches by number; letters count by their code."""
+    rows = [dict(zip(groups, m.groups(), strict=True)) for m in pattern.finditer(text)]
+    rows.sort(key=lambda r: int(r["n"]) if r["n"].isdigit() else ord(r["n"].upper()))
+    return [(number(r["w"]), number(r["p"])) for r in rows]
+
+
+def joined_lists(found: dict[str, list[tuple[str, str]]]) -> list[tuple[int, int]]:
+    """Lists of profits and of weights joined by item number, if two items or more have both."""
+    profit, weight = ({int(n): number(v) for n, v in found[side]} for side in ("profit", "weight"))
+    common = sorted(profit.keys() & weight.keys())
+    return [(weight[i], profit[i]) for i in common] if len(common) >= 2 else []
+
+
+def from_sections(text: str) -> list[tuple[int, int]]:
+    found = {}
+    for side, (section, line) in SECTIONS.items():
+        m = re.search(section, text, re.IGNORECASE | re.DOTALL)
+        found[side] = re.findall(line, m.group(1), re.IGNORECASE) if m else []
+    return joined_lists(found)
 
 
-def from_blocks(text: str) -> list[tuple[int, int]]:
-    """Separate lists of values and of weights, or lines of units of each, joined by item number."""
-    sides = [dict((int(n), number(v)) for n, v in UNIT_LINES[side].findall(text)) for side in ("value", "weight")]
-    if not all(sides):
-        heads = [re.search(rf"(?is){side}s?\b[^\n]*:\s*\n(.*?)(?=\n\s*\n|\Z)", text) for side in ("value", "weight")]
-        sides = [dict((int(n), number(v)) for n, v in BLOCK_ITEM.findall(h.group(1))) if h else {} for h in heads]
-    common = sorted(sides[0].keys() & sides[1].keys())
-    return [(sides[1][i], sides[0][i]) for i in common] if len(common) >= 2 else []
+def from_unit_lines(text: str) -> list[tuple[int, int]]:
+    return joined_lists({side: re.findall(line, text, re.IGNORECASE) for side, line in UNIT_LINES.items()})
 
 
 def from_table(text: str, words: dict[str, tuple[str, ...]]) -> list[tuple[int, int]]:
-    """The first markdown table whose header (three cells or more) names both columns; it ends at a line without a bar."""
-    lines = [line.strip() for line in text.split("\n")]
-    rule = next((i for i, line in enumerate(lines) if i and re.fullmatch(r"\|?[\s:|-]*-{2,}[\s:|-]*\|?", line) and "|" in line), None)
-    if rule is None:
+    """The first markdown table, if its header (three cells or more) names both columns and two rows or more have both; it ends at a line without a bar."""
+    lines = text.split("\n")
+    rule = next((i for i, line in enumerate(lines) if TABLE_RULE.match(line)), 0)
+    if not rule:
         return []
-    cells = lambda line: [c.strip() for c in line.strip("|").split("|")]
+    cells = lambda line: [c.strip() for c in line.split("|")[1:-1]]
     head = [c.lower() for c in cells(lines[rule - 1])]
-    at = {side: next((i for i, c in enumerate(head) if i and any(w in c for w in names)), None) for side, names in words.items()}
+    at = {side: next((i for i, c in enumerate(head) if any(w in c for w in names)), None) for side, names in words.items()}
     if len(head) < 3 or None in at.values() or at["weight"] == at["profit"]:
         return []
     out = []
-    for line in lines[rule + 1 :]:
+    for line in map(str.strip, lines[rule + 1 :]):
         if not line.startswith("|"):
             break
         row = cells(line)
-        values = [re.search(r"\d[\d,]*", row[at[s]]) if at[s] < len(row) else None for s in ("weight", "profit")]
+        values = [re.search(_NUM, row[at[s]]) if len(row) > max(at.values()) else None for s in ("weight", "profit")]
         if all(values):
-            out.append((number(values[0][0]), number(values[1][0])))
-    return out
+            out.append((number(values[0][1]), number(values[1][1])))
+    return out if len(out) >= 2 else []
 
 
 def parse_items(text: str) -> list[tuple[int, int]]:
     """(weight, profit) by the first form that finds anything."""
-    for form in FORMS:
-        if found := form.read(text):
+    for form in _FORMS:
+        if found := from_form(text, *form):
             return found
-    return from_blocks(text) or from_table(text, ITEM_TABLE) or from_table(text, COST_TABLE)
+    return from_sections(text) or from_unit_lines(text) or from_table(text, ITEM_TABLE) or from_table(text, COST_TABLE)
 
 
 def parse_questions(questions: DataFrame) -> DataFrame:

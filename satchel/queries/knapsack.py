@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satchel.operators import augment, features, hashing, solve, text
@@ -90,6 +92,52 @@ def kp_parse_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("instance_id", as_text("weights"), as_text("profit"), "capacity", "parsed")
 
 
+#: How an item may be written; {i}, {p} and {w} are its number, profit and weight.
+ITEM_LINES = (
+    "Item {i}: Value = {p}, Weight = {w} kg", "2. Package {i}: Weight = {w}, Value = {p}", "Resource {i} has an educational value of {p} units and costs {w} units.",
+    "item_{i} (value = {p}, weight: {w})", "`item_{i}`: Value = {p}, Weight = {w}", "The next one, item_{i}, has a value of {p} units and weighs {w} units.",
+    "item_{i} is valued at {p} units and weighs {w} units", "Item_{i}: Valued at {p} units, weighing {w} units.", "Item {i}: Valued at {p} units, with a cost of {w} units.",
+    "Candidate {i}: Utility of {p}, weight of {w}", "Item {i} has a value of {p} and a cost of {w}", "Cargo {i} has a value of {p} and a weight of {w}",
+    "Item {i} with a value of {p} and weight of {w}", "Project {i}: This project contributes an educational value of {p} units and adds a workload of {w} units.",
+    "Item {i}: Valued at {p} units with a weight of {w} units.", "Shipment {i}:\n  - Value: ${p}\n  - Weight: {w} kg",
+)
+#: Lists of both: the line before, and each item's line, of profits and of weights; and tables: header and row.
+ITEM_LISTS = ((("Revenue of each:", "- Item {i}: ${p}"), ("Weight of each:", "- Item {i}: {w} kg")), (("", "Crop {i}: {p} units of value"), ("", "Crop {i}: {w} units of weight")))
+ITEM_TABLES = (("| Item | Size | Weight | Revenue |\n|---|:---:|---|---|", "| {i} | 7 | {w} | {p} |"), ("| Project | Expense | Expected return |\n| --- | --- | --- |", "| P{i} | {w} million | {p} |"))
+#: How the capacity may be written.
+CAPACITIES = (
+    "It has a maximum weight capacity of {c} units.", "It has a capacity of {c} units.", "A weight capacity of {c} kg is given.", "There is a capacity limit of {c} units.", "There is a maximum capacity of {c}.",
+    "The load must not exceed {c} kilograms.", "See that the load does not exceed {c} units.", "The budget for all of it is {c} units.", "Take no more than {c} units.",
+    "The total weight capacity here is {c} units.", "The total workload capacity is limited to {c} units.", "The weight limit for all is {c}.", "There is a budget of {c} million yuan.",
+)
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """(instance_id, question): instance ``ord`` in written form ord mod 20 with capacity phrase ord mod 13; every second one with thousands separators."""
+    shown = lambda v: F.when(F.col("ord") % 2 == 0, v.cast("string")).otherwise(F.format_number(v, 0))
+
+    def filled(template: str, **values) -> Column:
+        return F.concat(*(values[x[1]] if len(x) == 3 and x[0] == "{" else F.lit(x) for x in re.split(r"(\{\w\})", template) if x))
+
+    def lines(template: str) -> Column:
+        items = F.arrays_zip("profit", "weights")
+        return F.array_join(F.transform(items, lambda x, i: filled(template, i=i.cast("string"), p=shown(x["profit"]), w=shown(x["weights"]))), "\n")
+
+    forms = [lines(t) for t in ITEM_LINES]
+    forms += [F.concat_ws("\n", *(x for head, line in sides for x in (F.lit(head), lines(line))), F.lit("Objective: the most in total.")) for sides in ITEM_LISTS]
+    forms += [F.concat_ws("\n", F.lit(head), lines(row)) for head, row in ITEM_TABLES]
+    chosen = F.coalesce(*(F.when(F.col("ord") % len(forms) == k, f) for k, f in enumerate(forms)))
+    capacity = F.coalesce(*(F.when(F.col("ord") % len(CAPACITIES) == k, filled(c, c=shown(F.col("capacity")))) for k, c in enumerate(CAPACITIES)))
+    return rows.select("instance_id", F.concat(F.lit("Choose **some** of these.\n"), capacity, F.lit("\n\n"), chosen, F.lit("\n\n# Note: Item 3: Value = 1, Weight = 1")).alias("question"))
+
+
+def kp_parse_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each instance written in one of all forms, and read back."""
+    rows = text.parse_questions(written(instances(spark, sf_dir)))
+    as_text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
+    return rows.select("instance_id", as_text("weights"), as_text("profit"), "capacity", "parsed")
+
+
 def kp_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = instances(spark, sf_dir).withColumn("capacity", F.col("capacity") * F.element_at(F.array(F.lit(1), F.lit(10), F.lit(100)), (F.col("ord") % 3 + 1).cast("int")))
     return solve.gates(rows)
@@ -149,7 +197,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kp_instances, kp_items, kp_trivial, kp_domain_features, kp_relation_features, kp_feature_means, kp_hashes, kp_dedupe, kp_scaled_copies, kp_validation, kp_normalized,
-        kp_questions, kp_parse_rendered, kp_parse_questions, kp_gates, kp_optimum, kp_optimum_all, kp_formulations, kp_solution_checks, kp_registry, kp_audit, kp_generate,
+        kp_questions, kp_parse_rendered, kp_parse_questions, kp_parse_forms, kp_gates, kp_optimum, kp_optimum_all, kp_formulations, kp_solution_checks, kp_registry, kp_audit, kp_generate,
     )
 }
 
@@ -188,6 +236,7 @@ ORACLE = {
     "kp_questions": f"WITH {INSTANCES}, q AS (SELECT instance_id, {_QUESTION} AS question FROM kp) SELECT instance_id, sha256(question) AS question_sha256, length(question) AS chars FROM q",
     "kp_parse_rendered": f"WITH {INSTANCES} SELECT instance_id, array_to_string(weights, ',') AS weights, array_to_string(profit, ',') AS profit, capacity FROM kp",
     "kp_parse_questions": f"WITH {INSTANCES} SELECT instance_id, array_to_string(weights, ',') AS weights, array_to_string(profit, ',') AS profit, capacity, list_min(weights) > 0 AND list_min(profit) >= 0 AS parsed FROM kp",
+    "kp_parse_forms": f"WITH {INSTANCES} SELECT instance_id, array_to_string(weights, ',') AS weights, array_to_string(profit, ',') AS profit, capacity, list_min(weights) > 0 AND list_min(profit) >= 0 AS parsed FROM kp",
     "kp_gates": f"WITH {INSTANCES}, s AS (SELECT instance_id, n, capacity * CASE ord % 3 WHEN 0 THEN 1 WHEN 1 THEN 10 ELSE 100 END AS c FROM kp) SELECT instance_id, n >= 2 AS compact, n <= 50 AND c <= 5000 AS arc_flow, n <= 25 AS pattern_selection, n <= 30 AND c <= 1000 AS qubo FROM s",
     "kp_optimum": f"""WITH {INSTANCES}, s AS (SELECT it.instance_id, m.range AS mask, sum(CASE WHEN (m.range >> it.i) & 1 = 1 THEN w ELSE 0 END) AS w, sum(CASE WHEN (m.range >> it.i) & 1 = 1 THEN p ELSE 0 END) AS p, any_value(c) AS c
           FROM it JOIN range(1024) m ON m.range < (1 << CAST(it.n AS INT)) WHERE it.n <= 10 GROUP BY it.instance_id, m.range)

@@ -91,7 +91,18 @@ FORMS = {
     "Item B has a value of 7 and weighs 2\nItem A has a value of 9 and weighs 1": [(1, 9), (2, 7)],
     "item_1 (value: 5, weight: 6)\nitem_2 (value: 7, weight: 8)": [(6, 5), (8, 7)],
     "`item_2`: Value = 3, Weight = 4\n`item_1`: Value = 1, Weight = 2": [(2, 1), (4, 3)],
-    "Package 1: Valued at $30 and weighing 4 kg\nPackage 2: Valued at $40, weighs 5": [(4, 30), (5, 40)],
+    "Package 1: Valued at 30 and weighing 4 kg\nPackage 2: Valued at 40, weighs 5": [(4, 30), (5, 40)],
+    "Package 1: Valued at $30 and weighing 4 kg\nPackage 2: Valued at $40, weighs 5": [],
+    "Item 1 has an educational value of 5 and costs 2\nItem 2 has an utility of 6 and weight of 3": [(2, 5), (3, 6)],
+    "item_1 (value = 10, weight = 5)\n`item_2` ( value 4, at weight 6 )": [(5, 10), (6, 4)],
+    "Item 0: Provides a value of 8 and adds a workload of 3\nItem 1: Contributes an educational value of 9, with a weight of 4\nItem 2: Has a performance of 7 and costs 1": [(3, 8), (4, 9), (1, 7)],
+    "Item A:\n- Value: $5\n- Weight: 1\nItem B:\n* Value: $6\n* Weight: 2": [(1, 5), (2, 6)],
+    "Revenue (in $):\nItem 0: $336\nItem 1: $40\nWeight:\nItem 0: 46 kg\nItem 1: 5\nItem 2: 6\nObjective: most": [(46, 336), (5, 40)],
+    "Item 0: 5 units of value\nItem 1: 6 units of value\nItem 0: 1 units of weight\nItem 1: 2 units of weight": [(1, 5), (2, 6)],
+    "| Item | Size | Weight | Utility | Value |\n|---|---|---|---|---|\n| a | 9 | 2 | 8 | 10 |\n| b | 9 | 3 | 8 | 11 |": [(2, 10), (3, 11)],
+    "| Weight | Item | Revenue |\n|:-|-|-:|\n| 2 | a | 10 |\n| 3 | b | 11 |": [(2, 10), (3, 11)],
+    "| Item | Value | Weight |\n|---|---|---|\n| a | 10 | 2 |": [],
+    "A thing has a value of 5 and a weight of 3, another has a value of 6 and a weight of 4.": [],
     "Values:\nItem 1: 10\nItem 2: 20\n\nWeights:\nItem 1: 3\nItem 2: 4\n": [(3, 10), (4, 20)],
     "| Item | Value | Weight |\n|---|---|---|\n| a | 10 | 2 |\n| b | 1,000 | 3 |\nend": [(2, 10), (3, 1000)],
     "| Plan | Cost | Capacity increase |\n|---|---|---|\n| a | 10 | 2 |\n| b | 20 | 3 |\n": [(10, 2), (20, 3)],
