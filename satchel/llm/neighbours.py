@@ -94,10 +94,12 @@ def _first_lists(nodes: DataFrame, orders: int, block: int, k: int) -> DataFrame
         def lists(table: pa.Table) -> pa.RecordBatch:
             ids, v = table.column(0).to_numpy(), _floats(table.column(1))
             d = ((v * v).sum(1)[:, None] + (v * v).sum(1) - 2 * v @ v.T).clip(0)
-            np.fill_diagonal(d, np.inf)
+            d[ids[:, None] == ids] = np.inf  # a block over the ends of two orders may hold a node twice
             n = min(k, len(ids) - 1)
             at = np.argpartition(d, n - 1, axis=1)[:, :n] if n > 0 else np.zeros((len(ids), 0), int)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(ids[at].ravel()), pa.array(np.take_along_axis(d, at, 1).ravel().astype("f8"))], ["node", "nbr", "d"])
+            near = np.take_along_axis(d, at, 1).ravel().astype("f8")
+            other = near < np.inf
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[other]), pa.array(ids[at].ravel()[other]), pa.array(near[other])], ["node", "nbr", "d"])
 
         held: list[pa.RecordBatch] = []
         waiting = 0

@@ -9,7 +9,8 @@ toward the level above,
     rate(host) = (good(host) + m1 * rate(all)) / (n(host) + m1)
     rate(path) = (good(path) + m2 * rate(host)) / (n(path) + m2),
 
-with strengths m1, m2 set from the spread between the groups by the method of moments;
+each without the document that is scored, so its own label never enters its score, with
+strengths m1, m2 set from the spread between the groups by the method of moments;
 sparse sites thus stay near the global rate. A document's score is its evidence moved by
 its path's log-odds against the global ones.
 
@@ -107,11 +108,15 @@ def classify_quality(
         return float(np.clip((found[2] or 0.25) / spread - 1 if spread > 0 else STRENGTHS[1], *STRENGTHS))
 
     m1 = strength(hosts, F.lit(base_rate))
-    hosts = materialise(hosts.select("host", ((F.col("good") + m1 * base_rate) / (F.col("n") + m1)).alias("host_rate")), "host-rates").withColumnRenamed("host", "h")
-    nested = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    m2 = strength(nested, F.col("host_rate"))
-    rates = materialise(nested.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_rate", ((F.col("good") + m2 * F.col("host_rate")) / (F.col("n") + m2)).alias("path_rate")), "path-rates")
-    joined = scored.join(rates, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("good").alias("host_good"))
+    nested = materialise(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "nested-counts")
+    rate = lambda good, n, m, above: (good + m * above) / (n + m)
+    m2 = strength(nested, rate(F.col("host_good"), F.col("host_n"), m1, F.lit(base_rate)))
+    counts = nested.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_n", "host_good", F.col("n").alias("path_n"), F.col("good").alias("path_good"))
+    joined = scored.join(counts, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    own = F.coalesce("good", "evidence")
+    joined = joined.withColumn("host_rate", rate(F.greatest(F.col("host_good") - own, F.lit(0.0)), F.col("host_n") - 1, m1, F.lit(base_rate)))
+    joined = joined.withColumn("path_rate", rate(F.greatest(F.col("path_good") - own, F.lit(0.0)), F.col("path_n") - 1, m2, F.col("host_rate")))
     score = 1 / (1 + F.exp(-(_logit(F.col("evidence")) + _logit(F.col("path_rate")) - _logit(F.lit(base_rate)))))
     return joined.select("doc_id", "evidence", "host_rate", "path_rate", score.alias("score")).withColumn("kept", F.col("score") >= threshold)
 

@@ -245,6 +245,31 @@ def test_quality(docs, labels, nothing, rows):
     assert quality.reject_low_quality(docs, labels).columns == docs.columns
 
 
+def test_quality_rates_leave_out_the_document(spark):
+    """Rates by brute force from the evidence; a document's own label never enters its own score; ties and repeats score alike."""
+    rng = random.Random(14)
+    rows = [(k, prose(rng, rng.randrange(5, 60)), "en" if k % 3 else None, f"s{k % 4}") for k in range(80)] + [(200, "same", "en", "s1")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    label = {k: int(rng.random() < 0.8) for k in range(0, 80, 2)}
+    frame = lambda x: spark.createDataFrame([*x.items()], "doc_id long, quality int")
+    got = quality.classify_quality(docs, frame(label)).collect()
+    assert len({tuple(r) for r in got if r.doc_id == 200}) == 1
+    of = {r[0]: (r[3], r[2]) for r in rows}
+    good = [(of[r.doc_id], label.get(r.doc_id, r.evidence), r) for r in got]
+    base = sum(g for _, g, _ in good) / len(good)
+    strengths = set()
+    for (host, path), g, r in good:
+        hosts = [x for (h, _), x, _ in good if h == host]
+        paths = [x for hp, x, _ in good if hp == (host, path)]
+        left_out = sum(hosts) - g, len(hosts) - 1, sum(paths) - g, len(paths) - 1
+        # rate = (good + m * above) / (n + m), so m = (good - n * rate) / (rate - above), the same for all
+        for n, total, rate, above in ((left_out[1], left_out[0], r.host_rate, base), (left_out[3], left_out[2], r.path_rate, r.host_rate)):
+            if abs(rate - above) > 1e-3:
+                strengths.add((above == base, round((total - n * rate) / (rate - above), 2)))
+    assert all(quality.STRENGTHS[0] - 1 <= m <= quality.STRENGTHS[1] * 1.01 for _, m in strengths)
+    assert all(max(m for k, m in strengths if k == kind) <= 1.01 * min(m for k, m in strengths if k == kind) + 0.1 for kind in {k for k, _ in strengths})
+
+
 def test_quality_learns(spark):
     rng = random.Random(3)
     rows = [(k, prose(rng, 60).upper() + "!!" * 20 if k % 5 == 0 else prose(rng, 60), "en", f"s{k % 4}") for k in range(300)]
@@ -333,6 +358,23 @@ def test_neighbours(spark):
     assert len(few) == 3
 
 
+def test_nn_descent_beyond_one_block(spark):
+    """With blocks far smaller than the table the descent does the work; no node is its own neighbour."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 6))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, v array<double>")
+    nodes = rows.mapInArrow(neighbours._packed, "vec_id long, vec binary").withColumnRenamed("vec_id", "node")
+    recall = {}
+    for rounds in (0, neighbours.ROUNDS):
+        got: dict[int, set] = {}
+        for r in neighbours.build_graph(nodes, k=20, rounds=rounds, orders=2, block=32).collect():
+            assert r.node != r.nbr
+            got.setdefault(r.node, set()).add(r.nbr)
+        true = {k: set(np.argsort(((x - x[k]) ** 2).sum(1))[1:11].tolist()) for k in range(0, 1500, 15)}
+        recall[rounds] = np.mean([len(got.get(k, set()) & t) / 10 for k, t in true.items()])
+    assert recall[0] < 0.6 and recall[neighbours.ROUNDS] >= 0.9, recall
+
+
 def test_lm_scores(docs, rows, nothing, monkeypatch):
     monkeypatch.setattr(lm_scoring, "STEPS", 40)
     got = lm_scoring.score_texts(docs).collect()
