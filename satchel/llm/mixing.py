@@ -139,19 +139,38 @@ def _placed(docs: DataFrame, keep: tuple[str, ...], weights, share: float, most:
     return materialise(rows, "placed"), plan
 
 
-def _taken_spans(placed: DataFrame, plan: DataFrame, block_words: int, shard_blocks: int, seed: int) -> DataFrame:
-    """(row_id, first, words, times): which words of a row are taken how often."""
+def _cut(placed: DataFrame, block_words: int) -> DataFrame:
+    """(row_id, source_no, block, first, words): the words of each row that are in each block."""
     end = F.col("start") + F.col("size")
     cut = placed.where("size > 0").select("row_id", "source_no", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))).alias("block"))
     low = F.greatest(F.col("start"), F.col("block") * block_words)
-    cut = cut.select("row_id", "source_no", "block", (low - F.col("start")).alias("first"), (F.least(end, (F.col("block") + 1) * block_words) - low).alias("words"))
-    times = slots(plan, shard_blocks, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
+    return cut.select("row_id", "source_no", "block", (low - F.col("start")).alias("first"), (F.least(end, (F.col("block") + 1) * block_words) - low).alias("words"))
+
+
+def _taken_spans(placed: DataFrame, plan: DataFrame, block_words: int, shard_blocks: int, seed: int) -> DataFrame:
+    """(row_id, first, words, times, shard): which words of a row are taken how often, and the first shard they are drawn into."""
+    times = slots(plan, shard_blocks, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("shard"))
     # The slots grow out of a row per source, which the planner would take for a small table.
-    return cut.join(times.hint("merge"), ["source_no", "block"]).select("row_id", "first", "words", "times")
+    return _cut(placed, block_words).join(times.hint("merge"), ["source_no", "block"]).select("row_id", "first", "words", "times", "shard")
+
+
+def mixed_blocks(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 0) -> DataFrame:
+    """shard, source_no, slot, block, doc_id, first, words: what each output shard holds.
+
+    A row for each document that has words in a drawn block: ``words`` words from word
+    ``first`` on. How many blocks of a source a shard holds is its multinomial draw; which
+    ones says the source's permutation. Nulls, ties, repeats and empty tables as in mix.
+    """
+    placed, plan = _placed(docs, ("doc_id",), weights, share, most, block_words)
+    cut = _cut(placed, block_words).join(placed.select("row_id", "doc_id"), "row_id")
+    return cut.join(slots(plan, shard_blocks, seed).hint("merge"), ["source_no", "block"]).select("shard", "source_no", "slot", "block", "doc_id", "first", "words")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 0) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of ``docs``.
+    """doc_id, size, source_size, target, taken, first_shard for each row of ``docs``.
+
+    ``first_shard`` is the first output shard that the draws put words of the row into,
+    null if none are taken; ``mixed_blocks`` has all of them.
 
     Null texts have no words, null sources are a source of their own, after the others.
     A source with fewer words than half a block may be left out or taken whole, as its
@@ -162,8 +181,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     """
     placed, plan = _placed(docs, ("doc_id",), weights, share, most, block_words)
     spans = _taken_spans(placed, plan, block_words, shard_blocks, seed)
-    taken = spans.groupBy("row_id").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return placed.join(taken, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    taken = spans.groupBy("row_id").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.min("shard").alias("first_shard"))
+    return placed.join(taken, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_shard")
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 0) -> DataFrame:

@@ -184,6 +184,42 @@ def test_mixing(docs, rows, nothing):
     assert sum(len(r.text.encode().split()) for r in mixed.collect()) == sum(r.taken for r in got)
 
 
+def test_mixing_draws_decide_the_shards(spark):
+    """Each shard's counts follow the multinomial draw, no block is taken more than once before all are, and targets are brute force's."""
+    rng = random.Random(8)
+    rows = [(k, prose(rng, rng.randrange(20, 60)), f"s{k % 5}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    blocks = {seed: mixing.mixed_blocks(docs, block_words=4, shard_blocks=40, seed=seed).collect() for seed in (0, 1)}
+    taken = {r.doc_id: (r.taken, r.first_shard) for r in mixing.mix(docs, block_words=4, shard_blocks=40).collect()}
+    for k in taken:
+        mine = [r for r in blocks[0] if r.doc_id == k]
+        assert taken[k] == (sum(r.words for r in mine), min((r.shard for r in mine), default=None))
+    slots = {(r.source_no, r.slot): (r.shard, r.block) for r in blocks[0]}
+    held = Counter((source, shard) for (source, _), (shard, _) in slots.items())
+    shards = 1 + max(shard for _, shard in held)
+    quota = Counter(source for source, _ in slots)
+    assert shards > 30 and {seed: [*map(str, sorted(map(tuple, b)))] for seed, b in blocks.items()}[0] != [*map(str, sorted(map(tuple, blocks[1])))]
+    for source, q in quota.items():
+        counts = np.array([held[source, k] for k in range(shards)])
+        spread = ((counts - q / shards) ** 2).sum() / (q / shards * (1 - 1 / shards))  # chi-square with shards - 1 degrees of freedom
+        assert 0.4 * shards < spread < 1.9 * shards, (source, spread)
+    for source in quota:
+        times = Counter(b for (s, _), (_, b) in slots.items() if s == source)
+        assert max(times.values()) - min(times.get(b, 0) for b in range(max(times) + 1)) <= 1
+    sizes, weight = Counter(), {f"s{k}": (3, 1, 2)[k % 3] for k in range(5)}
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    left, free, want = 1.5 * sum(sizes.values()), set(sizes), {}
+    while over := [s for s in free if left * weight[s] / sum(weight[x] for x in free) > 2 * sizes[s]]:
+        for s in over:
+            want[s] = 2 * sizes[s]
+        free -= {*over}
+        left = 1.5 * sum(sizes.values()) - sum(want.values())
+    want |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    got = {rows[r.doc_id][2]: r.target for r in mixing.mix(docs, block_words=4).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_permutation():
     for n in (1, 2, 3, 100, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
