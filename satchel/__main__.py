@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satchel.operators import augment, features, hashing, shape, solve, text
@@ -51,33 +52,75 @@ def solve_(spark: SparkSession, a: argparse.Namespace) -> dict:
     return {r.formulation: r.n for r in found.groupBy("formulation").agg(F.sum("good").alias("n")).collect()}
 
 
-def project_(spark: SparkSession, a: argparse.Namespace) -> dict:
-    """Audits instances; unless any of them is bad, writes features, normalized features and a map to the plane.
+def _points(z: DataFrame, origins: DataFrame, output_dir: str) -> dict:
+    """Writes the point table (instance_id, z1, z2, label); (label: points)."""
+    rows = tables.align(z, origins).select("instance_id", "z1", "z2", tables.origin_label(F.col("origin")).alias("label")).persist()
+    tables.write_table(rows, f"{output_dir}/points")
+    return {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # a row per origin
+
 
-    With ``--performance`` and ``--good`` the map also reconstructs the normalized
-    measurements, over the features selected by the labels.
+def project_(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Instances or their features to the plane.
+
+    ``--instances`` are audited; if any of them is bad, nothing else is done. ``--features``
+    need ``--origins``, as sources are never inferred. Features and normalized features are
+    written. With ``--performance`` and ``--good`` a map is fitted over the features that
+    the labels select; it also reconstructs the normalized measurements. With
+    ``--fitted-projection``, the folder of such a run, its frozen normalization and map are
+    applied. ``--coordinates`` with ``--origins`` only writes the point table.
     """
-    rows = hashing.validated(tables.read_instances(spark, a.instances))
-    bad = rows.where(F.size("reasons") > 0).select("instance_id", F.array_join("reasons", ",").alias("reasons")).persist()
-    tables.write_table(bad, f"{a.output_dir}/audit")
-    if bad.head(1):
-        return {"status": "needs_parameter_review", "bad_rows": bad.count()}
-    table = tables.unique(features.all_features(rows), "instance_id").persist()
+    if bool(a.performance) != bool(a.good) or sum(map(bool, (a.instances, a.features, a.coordinates))) != 1:
+        raise ValueError("one of --instances, --features, --coordinates; --performance and --good together")
+    if (a.features or a.coordinates) and not a.origins or a.instances and a.origins:
+        raise ValueError("--origins go with --features or --coordinates")
+    if a.fitted_projection and (a.performance or a.coordinates) or a.coordinates and a.performance:
+        raise ValueError("a frozen map or given coordinates take no measurements")
+    if a.coordinates:
+        z = tables.read_indexed(spark, a.coordinates, ["z1", "z2"])
+        return {"status": "coordinates_supplied", "points": _points(z, tables.read_origins(spark, a.origins, z), a.output_dir)}
+    if a.instances:
+        rows = hashing.validated(tables.read_instances(spark, a.instances))
+        known = F.coalesce(F.col("origin").isin(*tables.ORIGINS), F.lit(False))
+        rows = rows.withColumn("reasons", F.concat("reasons", F.when(known, F.array().cast("array<string>")).otherwise(F.array(F.lit("origin"))))).persist()
+        bad = F.size("reasons") > 0
+        audit = rows.select("instance_id", "origin", F.when(bad, "needs_parameter_review").otherwise("features_available").alias("status"), F.array_join("reasons", ",").alias("reason"))
+        tables.write_table(audit, f"{a.output_dir}/audit")
+        if n := rows.where(bad).count():
+            return {"status": "needs_parameter_review", "bad_rows": n}
+        table = tables.unique(features.all_features(rows), "instance_id").persist()
+        origins = rows.select("instance_id", "origin")
+    else:
+        declared = [c for c in features.all_features(spark.createDataFrame([], "instance_id string, weights array<bigint>, profit array<bigint>, capacity bigint")).columns if c != "instance_id"]
+        table = tables.read_features(spark, a.features, declared).persist()
+        origins = tables.read_origins(spark, a.origins, table)
     tables.write_table(table, f"{a.output_dir}/features")
+    if a.fitted_projection:
+        names = ["shift", "lambda", "anchor", "mean", "std"]
+        frozen = tables.read_indexed(spark, f"{a.fitted_projection}/prelim", names, "feature").collect()  # a row per feature
+        matrix = tables.read_indexed(spark, f"{a.fitted_projection}/projection_matrix", ["z1", "z2"], "feature").collect()
+        weights = {r.feature: (r.z1, r.z2) for r in matrix}
+        fitted = {r.feature: r.asDict() for r in frozen if r.feature in weights}
+        if missing := sorted({*weights} - {*fitted}):
+            raise ValueError(f"features of the map without a normalization: {missing}")
+        z = projection.project(projection.apply_normalization(table, fitted), weights).persist()
+        tables.write_table(z, f"{a.output_dir}/coordinates")
+        return {"status": "frozen_projection_applied", "selected": [*weights], "points": _points(z, origins, a.output_dir)}
     fitted = {r.feature: r.asDict() for r in projection.fit_normalization(table).collect()}
     x = projection.apply_normalization(table, fitted).persist()
-    tables.write_table(spark.createDataFrame(list(fitted.values())), f"{a.output_dir}/prelim")
+    tables.write_table(spark.createDataFrame([(k, *(p[c] for c in ("shift", "lambda", "anchor", "mean", "std"))) for k, p in fitted.items()], "feature string, shift double, lambda double, anchor double, mean double, std double"), f"{a.output_dir}/prelim")
     if not a.performance:
         return {"status": "waiting_for_formulation_measurements_and_sifted", "features": len(fitted)}
     responses, labels = (tables.read_indexed(spark, p, list(solve.FORMULATIONS)) for p in (a.performance, a.good))
-    joined = tables.align(x, responses.withColumnsRenamed({f: f"performance_{f}" for f in solve.FORMULATIONS}), labels.withColumnsRenamed({f: f"good_{f}" for f in solve.FORMULATIONS})).persist()
+    scales = projection.fit_responses(responses)
+    y = projection.apply_normalization(responses, scales)
+    joined = tables.align(x, y.withColumnsRenamed({f: f"performance_{f}" for f in scales}), labels.withColumnsRenamed({f: f"good_{f}" for f in solve.FORMULATIONS})).persist()
     chosen, info = projection.select_features(joined, list(fitted), [f"good_{f}" for f in solve.FORMULATIONS], a.seed)
-    plane, back, loss = projection.pilot(joined, chosen, [f"performance_{f}" for f in solve.FORMULATIONS])
+    plane, back, loss = projection.pilot(joined, chosen, [f"performance_{f}" for f in scales])
     weights = dict(zip(chosen, map(tuple, plane.tolist()), strict=True))
-    z = projection.project(joined, weights)
+    z = projection.project(joined, weights).persist()
     tables.write_table(z, f"{a.output_dir}/coordinates")
     tables.write_table(spark.createDataFrame([(k, *w) for k, w in weights.items()], "feature string, z1 double, z2 double"), f"{a.output_dir}/projection_matrix")
-    return {"status": "projection_complete_partitions_deferred", "selected": chosen, "loss": loss, "search": info["representative_search"], "reconstruction_columns": back.shape[1]}
+    return {"status": "projection_complete_partitions_deferred", "selected": chosen, "loss": loss, "search": info["representative_search"], "reconstruction_columns": back.shape[1], "points": _points(z, origins, a.output_dir)}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -91,11 +134,12 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("solve")
     p.add_argument("--instances", required=True), p.add_argument("--output-dir", required=True), p.add_argument("--max-instances", type=int, default=0)
     p = sub.add_parser("project")
-    p.add_argument("--instances", required=True), p.add_argument("--output-dir", required=True), p.add_argument("--performance"), p.add_argument("--good"), p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--instances"), p.add_argument("--features"), p.add_argument("--origins"), p.add_argument("--coordinates"), p.add_argument("--fitted-projection")
+    p.add_argument("--output-dir", required=True), p.add_argument("--performance"), p.add_argument("--good"), p.add_argument("--seed", type=int, default=0)
     a = parser.parse_args(argv)
     run = {"extract": extract, "augment": augment_, "solve": solve_, "project": project_}[a.command]
     found = run(SparkSession.builder.getOrCreate(), a)
-    print(found)
+    print(json.dumps(found, ensure_ascii=False, indent=2))
     return 2 if found.get("status") == "needs_parameter_review" else 0
 
 

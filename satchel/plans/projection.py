@@ -68,7 +68,8 @@ def normalization(values: np.ndarray, minimum: float | None = None) -> dict | No
     mean, std = float(y.mean()), float(y.std(ddof=1))
     if not math.isfinite(std) or std <= 0:
         raise ValueError("Box-Cox is numerically invalid; nothing is replaced silently")
-    return {"shift": shift, "lambda": lam, "anchor": anchor, "mean": mean, "std": std}
+    found = {"shift": shift, "lambda": lam, "anchor": anchor, "mean": mean, "std": std}
+    return found if minimum is None else found | {"minimum": minimum}
 
 
 def fit_normalization(features: DataFrame, index: str = "instance_id") -> DataFrame:
@@ -89,7 +90,7 @@ def fit_normalization(features: DataFrame, index: str = "instance_id") -> DataFr
 
 def normalized(value: Column, p: dict[str, float]) -> Column:
     """The fitted normalization as an expression; a value outside its domain raises."""
-    x = value + p["shift"]
+    x = value + p["shift"] if p.get("minimum") is None else (value - p["minimum"]) + float(np.finfo(float).eps)
     x = F.when(x > 0, x).otherwise(F.raise_error(F.lit("instance outside the fitted domain")).cast("double"))
     logs = F.ln(x) - p["anchor"]
     y = logs if abs(p["lambda"]) < 1e-12 else F.expm1(p["lambda"] * logs) / p["lambda"]
@@ -103,6 +104,29 @@ def apply_normalization(features: DataFrame, fitted: dict[str, dict[str, float]]
     return features.select(index, *(normalized(F.col(k), p).alias(k) for k, p in fitted.items()))
 
 
+def fit_responses(responses: DataFrame, index: str = "instance_id") -> dict[str, dict[str, float]]:
+    """The normalization of each measured response that is not constant: all are shifted by the least value of any of them.
+
+    Values must be finite and above 0; if all responses are constant there is nothing to fit.
+    """
+    names = [c for c in responses.columns if c != index]
+    sound = [F.count_if(F.coalesce((F.col(c) > 0) & (F.col(c) < float("inf")), F.lit(False))).alias(c) for c in names]
+    seen = responses.agg(F.count(F.lit(1)).alias("__n"), F.least(*(F.min(c) for c in names), F.lit(float("inf"))).alias("__least"), *sound).head()
+    if not seen["__n"] or any(seen[c] < seen["__n"] for c in names):
+        raise ValueError("measured performance must be there, finite and above 0")
+    least = float(seen["__least"])
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        found = normalization(f.value.to_numpy(), least)
+        return pd.DataFrame([{"feature": key[0]} | found] if found else [], columns=["feature", "shift", "lambda", "anchor", "mean", "std", "minimum"])
+
+    rows = long_features(responses, index).groupBy("feature").applyInPandas(run, "feature string, shift double, lambda double, anchor double, mean double, std double, minimum double").collect()
+    if not rows:
+        raise ValueError("all measured responses are constant")
+    found = {r.feature: r.asDict() for r in rows}
+    return {c: found[c] for c in names if c in found}
+
+
 def clamped_normalization(features: DataFrame, index: str = "instance_id") -> DataFrame:
     """The augmenter's variant: shifted only if not positive, clamped at 1e-9, population deviation; constants kept as 0."""
 

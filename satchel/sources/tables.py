@@ -42,6 +42,22 @@ def read_indexed(spark: SparkSession, path: str, columns: list[str], index: str
     return unique(rows, index)
 
 
+def read_features(spark: SparkSession, path: str, declared: list[str]) -> DataFrame:
+    """A CSV table of features, the id first; a column that is not declared raises."""
+    header = spark.read.csv(path, header=True).columns
+    if unknown := sorted({*header[1:]} - {*declared}):
+        raise ValueError(f"undeclared feature columns: {unknown}")
+    return read_indexed(spark, path, header[1:], header[0]).withColumnRenamed(header[0], "instance_id")
+
+
+def read_origins(spark: SparkSession, path: str, table: DataFrame) -> DataFrame:
+    """(instance_id, origin) that labels each row of ``table`` exactly once with a known origin; anything else raises."""
+    rows = unique(spark.read.csv(path, header=True).select("instance_id", "origin"), "instance_id")
+    require_same_ids(table, rows, "instance_id")
+    known = F.coalesce(F.col("origin").isin(*ORIGINS), F.lit(False))
+    return rows.withColumn("origin", F.when(known, F.col("origin")).otherwise(F.raise_error(F.concat(F.lit("unknown origin of "), "instance_id")).cast("string")))
+
+
 def unique(rows: DataFrame, index: str) -> DataFrame:
     """The rows themselves, checked as they are read: a null or repeated id raises."""
     n = F.count(F.lit(1)).over(Window.partitionBy(index))
