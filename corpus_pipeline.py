@@ -26,7 +26,12 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (shingles of five words, similarity 0.8) stays."""
+    """One document of each group of near copies (shingles of five words, similarity 0.8) stays.
+
+    Null texts and those without words are linked with nothing and stay. A repeated row
+    that stays does so as often as it is there. An empty table stays empty; columns other
+    than doc_id and text, whatever their names, are passed on.
+    """
     return near_dedup.drop_near_copies(docs, width=5, percent=80)
 
 
