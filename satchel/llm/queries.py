@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from satchel.llm import exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, quality, token_counts, toxicity, url_filter
+from satchel.llm import collocations, exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, quality, resampling, secrets, token_counts, toxicity, url_filter
 from satchel.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("row_id")
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_lm_scoring,
@@ -62,6 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_classifier,
         op9_nearest_neighbours,
         op10_minhash_near_dedup,
+        op11_phrase_mining,
+        op12_importance_resampling,
+        op13_secret_scan,
     )
     return {f.__name__: f for f in found}
 
@@ -109,6 +124,35 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm)""",
+    "op11_phrase_mining": rf"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\n\x0b\f\r]')) AS piece FROM documents),
+        words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]'), lambda x: x <> '') AS w FROM pieces),
+        runs AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS run FROM words, (VALUES (1), (2), (3)) t(k)),
+        f AS (SELECT lang, k, array_to_string(run, ' ') AS phrase, any_value(run) AS run, count(*) AS a FROM runs GROUP BY 1, 2, 3),
+        n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY 1),
+        c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+        cuts AS (SELECT c.lang, c.phrase, c.a, cut, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+                FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+                JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.run[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.run[cut + 1:], ' ')),
+        lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        held AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN (SELECT lang, a, unnest([array_to_string(run[1:2], ' '), array_to_string(run[2:3], ' ')]) AS part FROM c WHERE k = 3) b ON b.lang = s.lang AND b.part = s.phrase AND 100 * b.a >= 50 * s.a),
+        best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest ANTI JOIN held USING (lang, phrase))
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM best JOIN n USING (lang) WHERE rank <= 2000""",
+    "op12_importance_resampling": rf"""
+        WITH words AS (SELECT d, id, regexp_extract_all(norm, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM
+          (SELECT 1 AS d, doc_id AS id, {_LOWER} AS norm FROM documents UNION ALL SELECT 2, 0, {_LOWER} FROM benchmark)),
+        runs AS (SELECT d, id, len(w) AS n, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words),
+        crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), i)) AS t),
+        seen AS (SELECT d, feature, count(*) AS n FROM (SELECT d, unnest(f) AS feature FROM runs) GROUP BY 1, 2),
+        named AS (SELECT feature, xor(list_reduce(list_transform(range(len(hex(feature)) // 2), lambda k: CAST('0x' || hex(feature)[2 * k + 1:2 * k + 2] AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+                  FROM (SELECT DISTINCT feature FROM seen), crc),
+        sums AS (SELECT bucket, coalesce(sum(n) FILTER (d = 1), 0) AS s, coalesce(sum(n) FILTER (d = 2), 0) AS t FROM seen JOIN named USING (feature) GROUP BY 1),
+        gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)))) AS BIGINT) AS g FROM sums),
+        total AS (SELECT id, n, len(f) AS k, unnest(CASE WHEN len(f) > 0 THEN f ELSE [NULL] END) AS feature FROM runs WHERE d = 1),
+        weighed AS (SELECT id, any_value(n) AS n, any_value(k) AS k, coalesce(CAST(floor(sum(g)::DOUBLE / any_value(k)) AS BIGINT), 0) AS weight FROM total LEFT JOIN named USING (feature) LEFT JOIN gain USING (bucket) GROUP BY id),
+        scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM weighed),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, id) AS p, 25 * count(*) FILTER (n >= 20) OVER () // 100 AS drawn FROM scored)
+        SELECT id AS doc_id, k AS n_features, weight, score, CASE WHEN n >= 20 AND p <= drawn THEN p END AS rank FROM placed""",
 }
 
 
