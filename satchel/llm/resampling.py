@@ -38,7 +38,7 @@ from satchel.llm.common import materialise
 
 BUCKETS = 10000
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Parts of the dictionary for each shuffle partition.
 PARTS = 3
 #: What is not a word's: ASCII other than letters and digits. A full stop stands between documents.
@@ -84,26 +84,27 @@ class Features:
         self.documents = int((x == 0).sum()) + 1
         document = np.cumsum(x == 0)
         crc = np.fromiter(map(zlib.crc32, self.words), dtype=np.uint64, count=len(self.words))
-        starts, name, total = np.arange(x.size), np.zeros(x.size, dtype=np.int64), 0
+        starts, name, run = np.flatnonzero(x), x[x != 0] - 1, np.arange(1, len(self.words))[None]
+        count = np.bincount(name, minlength=run.size)
         #: By occurrence: the feature's number and the document. By feature: its count, words and a number that is equal in all chunks.
-        feature, owner, counts, self.runs, keys = [], [], [], [], []
+        feature, owner, counts, self.runs, keys, total = [], [], [], [], [], 0
         for length in range(1, longest + 1):
-            fits = starts + length <= x.size
-            starts, name = starts[fits], name[fits]
-            inside = x[starts + length - 1] != 0
-            starts, name = starts[inside], name[inside]
-            _, first, name, count = np.unique(name << 32 | x[starts + length - 1], return_index=True, return_inverse=True, return_counts=True)
-            run = np.stack([x[starts[first] + j] for j in range(length)])
-            key = np.full(first.size, length, dtype=np.uint64)
-            for j in range(length):
-                key = (key ^ crc[run[j]]) * np.uint64(0x9E3779B97F4A7C15)
+            if length > 1:
+                inside = starts + length <= x.size
+                inside[inside] = x[starts[inside] + length - 1] != 0
+                starts, name = starts[inside], name[inside]
+                code, name, count = np.unique(name << 32 | x[starts + length - 1], return_inverse=True, return_counts=True)
+                run = np.concatenate([run[:, code >> 32], (code & 0xFFFFFFFF)[None]])
+            key = np.full(count.size, length, dtype=np.uint64)
+            for word in run:
+                key = (key ^ crc[word]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(31)
             feature.append(name + total)
             owner.append(document[starts])
             counts.append(count)
             self.runs.append(run)
             keys.append(key)
-            total += first.size
+            total += count.size
         self.feature, self.owner, self.counts, self.keys = map(np.concatenate, (feature, owner, counts, keys))
         self.n_words = np.bincount(owner[0], minlength=self.documents)
 
@@ -121,15 +122,15 @@ class Features:
         part = (self.keys % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         found, first = np.unique(part[order], return_index=True)
-        for p, at in zip(found, np.split(order, first[1:]), strict=True):
-            yield int(p), at
+        for p, at in zip(found.tolist(), np.split(order, first[1:]), strict=False):  # no features, no parts
+            yield p, at
 
 
 def _blocks(longest: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, blob in zip(batch["chunk"].to_pylist(), batch["words"].to_pylist(), strict=True):
-                found = Features(blob, longest)
+            for chunk, blob in zip(batch["chunk"].to_pylist(), batch["words"], strict=True):
+                found = Features(blob.as_py(), longest)
                 strings, counts = found.strings(), found.counts.astype("<i4")
                 rows = [(p, chunk, zlib.compress(b"\n".join(strings[at]), 1), zlib.compress(counts[at].tobytes(), 1)) for p, at in found.by_part(parts)]
                 if rows:
@@ -226,10 +227,8 @@ def weights(chunks: DataFrame, named: DataFrame, gain: np.ndarray, longest: int
         for p, at in found.by_part(parts):
             value[at] = gain[np.frombuffer(zlib.decompress(said[p]), dtype="<u4")]
         n, total = np.zeros(found.documents, dtype=np.int64), np.zeros(found.documents, dtype=np.int64)
-        # the document's count of each feature, times the feature's gain
-        pair, many = np.unique(found.owner << 32 | found.feature, return_counts=True)
-        np.add.at(n, pair >> 32, many)
-        np.add.at(total, pair >> 32, many * value[pair & 0xFFFFFFFF])
+        np.add.at(n, found.owner, 1)
+        np.add.at(total, found.owner, value[found.feature])  # a feature's gain as often as the document has it
         weight = np.where(n > 0, total // np.maximum(n, 1), 0)
         size = found.documents
         return pa.table({"chunk": pa.array([chunk["chunk"][0].as_py()] * size, pa.int64()), "place": pa.array(np.arange(size)), "doc_id": ids.flatten(), "n_words": pa.array(found.n_words), "n_features": pa.array(n), "weight": pa.array(weight)})
