@@ -118,7 +118,7 @@ def directed_features(arcs: DataFrame) -> DataFrame:
     gap = F.when(F.col("i") < F.col("j"), F.abs(F.col("cost") - F.col("back")))
     pairs = both.withColumn("gap", gap).groupBy("graph").agg(
         F.avg("gap").alias("gap_mean"), F.max("gap").alias("gap_max"), cv("gap").alias("gap_cv"), F.avg((F.col("gap") == 0).cast("double")).alias("gap_equal"),
-        F.when(flat, F.when(same, 1.0).otherwise(0.0)).otherwise(F.corr("cost", "back")).alias("correlation"),
+        F.when(flat, F.when(same, 1.0).otherwise(0.0)).otherwise(F.try_divide(F.covar_pop("cost", "back"), F.stddev_pop("cost") * F.stddev_pop("back"))).alias("correlation"),
     )
     out, into = nearest_two(arcs), nearest_two(swapped(arcs, "cost"))
     means = out.select("graph", "i", F.col("mean").alias("a")).join(into.select("graph", "i", F.col("mean").alias("b")), ["graph", "i"])
