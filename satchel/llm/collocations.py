@@ -33,7 +33,7 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 END = b"."
 _TO_END = bytes(END[0] if c in ENDS else c for c in range(256))
 #: Bytes of text whose phrases are counted together before they leave a task.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Rows per Arrow batch that a task emits.
 ROWS = 1 << 16
 #: Bits for each frequent phrase, and the bound on all of them: 16 MB.
