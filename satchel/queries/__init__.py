@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from satchel.queries import clouds, families, graphs, knapsack
+from satchel.queries import clouds, families, graphs, knapsack, sets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return knapsack.QUERIES | families.QUERIES | clouds.QUERIES | graphs.QUERIES
+    return knapsack.QUERIES | families.QUERIES | clouds.QUERIES | graphs.QUERIES | sets.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return knapsack.ORACLE | families.ORACLE | clouds.ORACLE | graphs.ORACLE
+    return knapsack.ORACLE | families.ORACLE | clouds.ORACLE | graphs.ORACLE | sets.ORACLE
