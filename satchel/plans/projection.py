@@ -1,8 +1,8 @@
 """Instance-space projection: normalization, selection, fitted maps and their application.
 
-What grows with the instances runs in Spark: features are normalized one by one in
-groups of the long table, correlations and Gram sums are aggregates, and a fitted map is
-applied as one expression per row. What is fitted on the driver is as large as the
+What grows with the instances runs in Spark: the moments that normalization is fitted
+from, correlations and Gram sums are aggregates, and a fitted map is applied as one
+expression per row. What is fitted on the driver is as large as the
 features (at most some hundred), not as the instances.
 """
 
@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from satchel.operators.features import long_features
+from satchel.functions.tasks import stored
+from satchel.plans.powers import Values, column_moments, fit_powers
 
 #: Least correlation with a label, most clusters, correlation above which a later feature is dropped.
 SCREEN, CLUSTERS, REDUNDANT = 0.2, 10, 0.95
@@ -72,20 +73,50 @@ def normalization(values: np.ndarray, minimum: float | None = None) -> dict | No
     return found if minimum is None else found | {"minimum": minimum}
 
 
+FITTED = "feature string, shift double, lambda double, anchor double, mean double, std double"
+
+
+def _ranges(table: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
+    """Least and greatest value by column; a value that is missing or not finite raises."""
+    finite = lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)) & ~F.isnan(c)
+    columns = [F.col(f"`{c}`") for c in names]
+    seen = table.agg(*(f(c) for c in columns for f in (F.min, F.max, lambda c: F.count_if(~finite(c))))).head() if names else ()
+    for name, bad in zip(names, seen[2::3], strict=True):
+        if bad:
+            raise ValueError(f"{name} is not finite; missing values are not imputed")
+    return {k: (lo, hi) for k, lo, hi in zip(names, seen[::3], seen[1::3], strict=True)}
+
+
+def _doubles(table: DataFrame, names: list[str]) -> DataFrame:
+    return stored(table.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in names)), "features")
+
+
+def _fitted(table: DataFrame, spans: dict[str, tuple[float, float]], positive: Values) -> dict[str, dict[str, float]]:
+    """Power, anchor, mean and sample deviation of each column whose values ``positive`` makes numbers above 0."""
+    lam = fit_powers(table, list(spans), positive)
+    anchor = {k: float(np.log(positive(k, np.array([hi if lam[k] >= 0 else lo])))[0]) for k, (lo, hi) in spans.items()}
+    found = column_moments(table, list(spans), lambda k, x: anchored(positive(k, x), lam[k], anchor[k])[:, None]) if spans else {}
+    out = {}
+    for k in spans:
+        n, mean, squares = found[k]
+        std = math.sqrt(squares[0] / (n - 1))
+        if not math.isfinite(std) or std <= 0:
+            raise ValueError(f"Box-Cox is numerically invalid for {k}; nothing is replaced silently")
+        out[k] = {"lambda": lam[k], "anchor": anchor[k], "mean": float(mean[0]), "std": std}
+    return out
+
+
 def fit_normalization(features: DataFrame, index: str = "instance_id") -> DataFrame:
     """(feature, shift, lambda, anchor, mean, std), a row per feature that is not constant.
 
-    A feature's values are one group: as many numbers as there are instances.
+    The features are fitted together, in passes over all rows that aggregate moments.
     """
-
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        x = f.value.to_numpy()
-        if not np.isfinite(x).all():
-            raise ValueError(f"{key[0]} is not finite; missing values are not imputed")
-        found = normalization(x)
-        return pd.DataFrame([{"feature": key[0]} | found] if found else [], columns=["feature", "shift", "lambda", "anchor", "mean", "std"])
-
-    return long_features(features, index).groupBy("feature").applyInPandas(run, "feature string, shift double, lambda double, anchor double, mean double, std double")
+    spark, names = features.sparkSession, [c for c in features.columns if c != index]
+    table = _doubles(features, names)
+    spans = {k: s for k, s in _ranges(table, names).items() if s[0] is not None and s[0] < s[1]}
+    shift = {k: 1.0 - lo for k, (lo, _) in spans.items()}
+    found = _fitted(table, spans, lambda k, x: x + shift[k])
+    return spark.createDataFrame([(k, shift[k], *(p[c] for c in ("lambda", "anchor", "mean", "std"))) for k, p in found.items()], FITTED)
 
 
 def normalized(value: Column, p: dict[str, float]) -> Column:
@@ -114,34 +145,38 @@ def fit_responses(responses: DataFrame, index: str = "instance_id") -> dict[str,
     seen = responses.agg(F.count(F.lit(1)).alias("__n"), F.least(*(F.min(c) for c in names), F.lit(float("inf"))).alias("__least"), *sound).head()
     if not seen["__n"] or any(seen[c] < seen["__n"] for c in names):
         raise ValueError("measured performance must be there, finite and above 0")
-    least = float(seen["__least"])
-
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        found = normalization(f.value.to_numpy(), least)
-        return pd.DataFrame([{"feature": key[0]} | found] if found else [], columns=["feature", "shift", "lambda", "anchor", "mean", "std", "minimum"])
-
-    rows = long_features(responses, index).groupBy("feature").applyInPandas(run, "feature string, shift double, lambda double, anchor double, mean double, std double, minimum double").collect()
-    if not rows:
+    least, eps = float(seen["__least"]), float(np.finfo(float).eps)
+    table = _doubles(responses, names)
+    spans = {k: s for k, s in _ranges(table, names).items() if s[0] < s[1]}
+    if not spans:
         raise ValueError("all measured responses are constant")
-    found = {r.feature: r.asDict() for r in rows}
-    return {c: found[c] for c in names if c in found}
+    found = _fitted(table, spans, lambda _, x: (x - least) + eps)
+    return {k: {"feature": k, "shift": eps - least} | found[k] | {"minimum": least} for k in spans}
 
 
 def clamped_normalization(features: DataFrame, index: str = "instance_id") -> DataFrame:
     """The augmenter's variant: shifted only if not positive, clamped at 1e-9, population deviation; constants kept as 0."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        x = f.value.to_numpy()
-        x = np.maximum(x + (1 - x.min() if x.min() <= 0 else 0), 1e-9)
-        if not np.allclose(x, x[0]):
-            lam = boxcox_lambda(x)
-            x = np.log(x) if abs(lam) < 1e-12 else (x**lam - 1) / lam
-        return f.assign(value=(x - x.mean()) / (x.std() or 1.0))
-
     names = [c for c in features.columns if c != index]
-    long = long_features(features, index)
-    scaled = long.groupBy("feature").applyInPandas(run, long.schema)
-    return scaled.groupBy(index).pivot("feature", names).agg(F.first("value"))
+    table = _doubles(features, names)
+    spans = {k: s for k, s in _ranges(table, names).items() if s[0] is not None}
+    shift = {k: 1 - lo if lo <= 0 else 0.0 for k, (lo, _) in spans.items()}
+    clamped = lambda k, x: np.maximum(x + shift[k], 1e-9)
+    ends = {k: clamped(k, np.array(s)) for k, s in spans.items()}
+    lam = fit_powers(table, [k for k, e in ends.items() if not np.allclose(e, e[0])], clamped)
+
+    def powered(k: str, x: np.ndarray) -> np.ndarray:
+        x = clamped(k, x)
+        return x if k not in lam else np.log(x) if abs(lam[k]) < 1e-12 else (x ** lam[k] - 1) / lam[k]
+
+    found = column_moments(table, list(spans), lambda k, x: powered(k, x)[:, None]) if spans else {}
+
+    def scaled(k: str) -> Column:
+        x = F.greatest(F.col(f"`{k}`").cast("double") + shift.get(k, 0.0), F.lit(1e-9))
+        y = x if k not in lam else F.ln(x) if abs(lam[k]) < 1e-12 else (F.pow(x, F.lit(lam[k])) - 1) / lam[k]
+        n, mean, squares = found.get(k, (1, [0.0], [0.0]))
+        return ((y - float(mean[0])) / (math.sqrt(squares[0] / n) or 1.0)).alias(k)
+
+    return features.select(index, *map(scaled, names))
 
 
 def moments(table: DataFrame, names: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
