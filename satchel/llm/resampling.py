@@ -3,7 +3,8 @@
 Features are runs of words, hashed into buckets. The work goes through a dictionary of
 distinct features, so that none is hashed or sent once for each time it occurs:
 
-1. ``packed``: the documents' words, in chunks of bounded size, stored (a row per chunk).
+1. ``packed``: the documents as numbers of words, in chunks of bounded size with their own
+   sorted words, stored (a row per chunk).
 2. ``dictionary``: each chunk's distinct features and counts go, in sorted blocks, to the
    part that owns them. A part counts its features over all chunks, hashes each distinct
    string once, adds up its buckets, and says for each block which buckets its features
@@ -50,9 +51,9 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, held, size, number = TaskContext.get().partitionId(), [], 0, 0
 
     def row() -> pa.RecordBatch:
-        ids = pa.array([[i for i, _ in held]], pa.list_(kind))
-        words = zlib.compress((b" " + _BREAK + b" ").join(t for _, t in held), 1)
-        return pa.RecordBatch.from_arrays([pa.array([task << 32 | number], pa.int64()), ids, pa.array([words], pa.binary())], names=["chunk", "ids", "words"])
+        words, tokens = numbered([t for _, t in held])
+        columns = [pa.array([task << 32 | number], pa.int64()), pa.array([[i for i, _ in held]], pa.list_(kind)), pa.array([words], pa.binary()), pa.array([tokens], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "words", "tokens"])
 
     for batch in batches:
         kind = batch["doc_id"].type
@@ -66,21 +67,28 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def numbered(texts: list[bytes]) -> tuple[bytes, bytes]:
+    """The texts' different words in order, and all words by their places in it, counted from 1; 0 stands between texts."""
+    tokens = (b" " + _BREAK + b" ").join(texts).split()
+    words = [_BREAK, *sorted(set(tokens) - {_BREAK})]
+    place = dict(zip(words, range(len(words)), strict=True))
+    x = np.fromiter(map(place.__getitem__, tokens), dtype="<i4", count=len(tokens))
+    return zlib.compress(b" ".join(words), 1), zlib.compress(x.tobytes(), 1)
+
+
 def packed(documents: DataFrame) -> DataFrame:
-    """(chunk, ids, words), stored: the lower-cased words of each chunk's documents."""
+    """(chunk, ids, words, tokens), stored: the documents of each chunk as ``numbered`` words."""
     given = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
-    return materialise(given.mapInArrow(_packer, f"chunk long, ids array<{kind}>, words binary"), "packed")
+    return materialise(given.mapInArrow(_packer, f"chunk long, ids array<{kind}>, words binary, tokens binary"), "packed")
 
 
 class Features:
     """Distinct features of a chunk in sorted order of their words: single words, then longer runs, and where they occur."""
 
-    def __init__(self, blob: bytes, longest: int):
-        tokens = zlib.decompress(blob).split()
-        self.words = [_BREAK, *sorted(set(tokens) - {_BREAK})]
-        number = dict(zip(self.words, range(len(self.words)), strict=True))
-        x = np.fromiter(map(number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+    def __init__(self, words: bytes, tokens: bytes, longest: int):
+        self.words = zlib.decompress(words).split(b" ")
+        x = np.frombuffer(zlib.decompress(tokens), dtype="<i4").astype(np.int64)
         self.documents = int((x == 0).sum()) + 1
         document = np.cumsum(x == 0)
         crc = np.fromiter(map(zlib.crc32, self.words), dtype=np.uint64, count=len(self.words))
@@ -129,8 +137,8 @@ class Features:
 def _blocks(longest: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, blob in zip(batch["chunk"].to_pylist(), batch["words"], strict=True):
-                found = Features(blob.as_py(), longest)
+            for chunk, words, tokens in zip(batch["chunk"].to_pylist(), batch["words"], batch["tokens"], strict=True):
+                found = Features(words.as_py(), tokens.as_py(), longest)
                 strings, counts = found.strings(), found.counts.astype("<i4")
                 rows = [(p, chunk, zlib.compress(b"\n".join(strings[at]), 1), zlib.compress(counts[at].tobytes(), 1)) for p, at in found.by_part(parts)]
                 if rows:
@@ -143,65 +151,68 @@ class _Dictionary(dict):
     """Features of a part: a number for each distinct string, which is hashed once, when it is first met."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.bucket, self.count = buckets, [], np.zeros(1024, dtype=np.int64)
+        self.buckets, self.new, self.bucket, self.count = buckets, [], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def __missing__(self, feature: bytes) -> int:
-        self[feature] = number = len(self.bucket)
-        self.bucket.append(zlib.crc32(feature) % self.buckets)
+        self[feature] = number = len(self)
+        self.new.append(zlib.crc32(feature) % self.buckets)
         return number
 
     def add(self, features: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Adds distinct features' counts; their buckets."""
         at = np.fromiter(map(self.__getitem__, features), dtype=np.int64, count=len(features))
-        if len(self.bucket) > self.count.size:
-            self.count = np.concatenate([self.count, np.zeros(len(self.bucket), dtype=np.int64)])
+        if self.new:
+            self.bucket = np.concatenate([self.bucket, np.array(self.new, dtype=np.int64)])
+            self.count = np.concatenate([self.count, np.zeros(len(self.new), dtype=np.int64)])
+            self.new = []
         self.count[at] += counts
-        return np.array([self.bucket[i] for i in at], dtype="<u4")
+        return self.bucket[at]
 
-    def sums(self) -> np.ndarray:
-        out = np.zeros(self.buckets, dtype=np.int64)
-        np.add.at(out, np.array(self.bucket, dtype=np.int64), self.count[: len(self.bucket)])
-        return out
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets that have a feature, and their counts: no more than there are features."""
+        found, at = np.unique(self.bucket, return_inverse=True)
+        out = np.zeros(found.size, dtype=np.int64)
+        np.add.at(out, at, self.count)
+        return found, out
+
+
+_NAMED = pa.schema({"part": pa.int64(), "chunk": pa.int64(), "buckets": pa.binary(), "hit": pa.list_(pa.int64()), "n": pa.list_(pa.int64())})
 
 
 def _named(buckets: int):
-    def rows(kind: list, sums: np.ndarray | None = None) -> pa.RecordBatch:
-        part, chunk, blob = zip(*kind, strict=True) if kind else ([], [], [])
-        n = len(kind)
-        if sums is not None:
-            part, chunk, blob, n = [None], [None], [None], 1
-        return pa.RecordBatch.from_arrays([pa.array(list(part), pa.int64()), pa.array(list(chunk), pa.int64()), pa.array(list(blob), pa.binary()), pa.array([None] * n if sums is None else [sums], pa.list_(pa.int64()))], names=["part", "chunk", "buckets", "sums"])
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _NAMED.types, strict=True)], schema=_NAMED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, owner = None, None
         for batch in batches:
             out = []
-            for part, chunk, strings, counts in zip(*(batch[c].to_pylist() for c in ("part", "chunk", "strings", "counts")), strict=True):
-                if part != owner:
+            for part, chunk, strings, counts in zip(*(batch[c] for c in ("part", "chunk", "strings", "counts")), strict=True):
+                if part.as_py() != owner:
                     if held is not None:
-                        yield rows([], held.sums())
-                    held, owner = _Dictionary(buckets), part
-                named = held.add(zlib.decompress(strings).split(b"\n"), np.frombuffer(zlib.decompress(counts), dtype="<i4"))
-                out.append((part, chunk, zlib.compress(named.tobytes(), 1)))
+                        out.append((None, None, None, *held.sums()))
+                    held, owner = _Dictionary(buckets), part.as_py()
+                named = held.add(zlib.decompress(strings.as_py()).split(b"\n"), np.frombuffer(zlib.decompress(counts.as_py()), dtype="<i4"))
+                out.append((owner, chunk.as_py(), zlib.compress(named.astype("<u4").tobytes(), 1), None, None))
             if out:
-                yield rows(out)
+                yield batch_of(out)
         if held is not None:
-            yield rows([], held.sums())
+            yield batch_of([(None, None, None, *held.sums())])
 
     return run
 
 
 def dictionary(chunks: DataFrame, longest: int = 2, buckets: int = BUCKETS) -> DataFrame:
-    """(part, chunk, buckets, sums), stored: each block's buckets, and for each part a row with the sums of all buckets."""
+    """(part, chunk, buckets, hit, n), stored: each block's buckets, and for each part a row with the buckets that it has and their counts."""
     parts = PARTS * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = chunks.select("chunk", "words").mapInArrow(_blocks(longest, parts), "part long, chunk long, strings binary, counts binary")
+    blocks = chunks.select("chunk", "words", "tokens").mapInArrow(_blocks(longest, parts), "part long, chunk long, strings binary, counts binary")
     dealt = blocks.repartition("part").sortWithinPartitions("part")
-    return materialise(dealt.mapInArrow(_named(buckets), "part long, chunk long, buckets binary, sums array<long>"), "dictionary")
+    return materialise(dealt.mapInArrow(_named(buckets), "part long, chunk long, buckets binary, hit array<long>, n array<long>"), "dictionary")
 
 
 def bucket_counts(named: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Occurrences of features by bucket; no more than ``buckets`` rows reach the driver."""
-    rows = named.where("sums IS NOT NULL").select(F.posexplode("sums").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = named.where("hit IS NOT NULL").select(F.explode(F.arrays_zip("hit", "n")).alias("s")).select(F.col("s.hit").alias("bucket"), "s.n").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(buckets, dtype=np.int64)
     for bucket, n in rows:
         out[bucket] = n
@@ -221,7 +232,7 @@ def weights(chunks: DataFrame, named: DataFrame, gain: np.ndarray, longest: int
 
     def join(chunk: pa.Table, blocks: pa.Table) -> pa.Table:
         ids = chunk["ids"].combine_chunks()
-        found = Features(chunk["words"][0].as_py(), longest)
+        found = Features(chunk["words"][0].as_py(), chunk["tokens"][0].as_py(), longest)
         said = dict(zip(blocks["part"].to_pylist(), blocks["buckets"].to_pylist(), strict=True))
         value = np.zeros(found.counts.size, dtype=np.int64)
         for p, at in found.by_part(parts):
