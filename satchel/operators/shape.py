@@ -7,15 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from satchel.functions.tasks import stored
+
 #: What a cloud must keep to, and how much each measure may get worse.
 LIMITS = {"covariance_ratio": 1.25, "radial_uniform_max_deviation": 0.15, "fitted_disk_inside_ratio": 0.95, "sector_cv_above_theoretical_minimum": 0.15}
 TOLERANCES = {"covariance_ratio": 0.05, "radial_uniform_max_deviation": 0.02, "fitted_disk_inside_ratio": 0.02, "sector_cv_above_theoretical_minimum": 0.03}
 MIN_DELTA, SECTORS = 1e-4, 12
 #: The one measure that should be large.
 RISING = "fitted_disk_inside_ratio"
+#: Partial hulls merged at a time, and corners that a task holds before it passes them on.
+FAN, HELD = 16, 1_000_000
 EPS, LARGEST = float(np.finfo(float).eps), float(np.finfo(float).max)
 
 
@@ -35,11 +40,6 @@ def sector_cv(angle: np.ndarray, sectors: int = SECTORS) -> float:
     return best / max(len(angle) / sectors, 1e-12)
 
 
-def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        yield pd.DataFrame({"cloud_id": f.cloud_id, "sector_cv": [sector_cv(np.asarray(a)) for a in f.angles]})
-
-
 def centred(points: DataFrame) -> DataFrame:
     """Adds x, y about the cloud's mean and r2."""
     m = points.groupBy("cloud_id").agg(F.avg("z1").alias("m1"), F.avg("z2").alias("m2"), F.count(F.lit(1)).alias("n"))
@@ -66,11 +66,36 @@ def disk_metrics(points: DataFrame) -> DataFrame:
     return spread.join(radial, "cloud_id").select("cloud_id", F.col("n").alias("sample_count"), "fitted_radius", "covariance_ratio", "radial_uniform_max_deviation", "fitted_disk_inside_ratio")
 
 
+def sector_variation(points: DataFrame, sectors: int = SECTORS) -> DataFrame:
+    """(cloud_id, sector_cv): ``sector_cv`` of every cloud by one sweep, each cloud dealt over many tasks.
+
+    Turning the boundaries, a point leaves its sector for the one before when a boundary
+    passes its residue. With X_k the points of sector k passed so far, sector k then holds
+    what it had at first, less X_k, plus X_(k+1). The X are running sums over the sorted
+    residues: inside range partitions, plus what the partitions before them hold.
+    """
+    turn = 2 * math.pi
+    width, names = turn / sectors, [f"k{k}" for k in range(sectors)]
+    angle = F.pmod(F.atan2("y", "x"), F.lit(turn))
+    rows = centred(points).select("cloud_id", angle.alias("angle"), (angle % width).alias("residue"))
+    sector = F.pmod(F.round((F.col("angle") - F.col("residue")) / width).cast("int"), F.lit(sectors))
+    events = rows.groupBy("cloud_id", "residue").agg(*(F.count_if(sector == k).alias(c) for k, c in enumerate(names)))
+    sliced = stored(events.repartitionByRange("cloud_id", "residue").withColumn("slice", F.spark_partition_id()), "sweep")
+    held = sliced.groupBy("cloud_id", "slice").agg(*(F.sum(c).alias(c) for c in names))  # a row per cloud and partition
+    earlier, all_of = Window.partitionBy("cloud_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("cloud_id")
+    held = held.select("cloud_id", "slice", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"before_{c}") for c in names), *(F.sum(c).over(all_of).alias(f"all_{c}") for c in names))
+    here = Window.partitionBy("cloud_id", "slice").orderBy("residue").rowsBetween(Window.unboundedPreceding, 0)
+    passed = sliced.select("cloud_id", "slice", *(F.sum(c).over(here).alias(c) for c in names)).join(held, ["cloud_id", "slice"])
+    passed = passed.select("cloud_id", *(F.col(f"all_{c}").alias(f"all_{c}") for c in names), *((F.col(c) + F.col(f"before_{c}")).alias(c) for c in names))
+    even = sum((F.col(f"all_{c}") for c in names), F.lit(0)) / sectors
+    counts = [F.col(f"all_{c}") - F.col(c) + F.col(following) for c, following in zip(names, names[1:] + names[:1], strict=True)]
+    spread = sum((F.pow(c - even, F.lit(2.0)) for c in counts), F.lit(0.0)) / sectors
+    return passed.groupBy("cloud_id").agg((F.sqrt(F.min(spread)) / F.greatest(F.max(even), F.lit(1e-12))).alias("sector_cv"))
+
+
 def shape_metrics(points: DataFrame, limits: dict[str, float] = LIMITS, sectors: int = SECTORS) -> DataFrame:
     """``disk_metrics`` with the sector measures, the composite score and whether the limits are met."""
-    angles = centred(points).groupBy("cloud_id").agg(F.collect_list(F.atan2("y", "x")).alias("angles"))
-    swept = angles.mapInPandas(_sweep, f"cloud_id {points.schema['cloud_id'].dataType.simpleString()}, sector_cv double")
-    out = disk_metrics(points).join(swept, "cloud_id")
+    out = disk_metrics(points).join(sector_variation(points, sectors), "cloud_id")
     rest = F.col("sample_count") % sectors
     out = out.withColumn("sector_cv_theoretical_minimum", F.sqrt(rest * (sectors - rest)) / F.col("sample_count"))
     out = out.withColumn("sector_cv_above_theoretical_minimum", F.greatest(F.lit(0.0), F.col("sector_cv") - F.col("sector_cv_theoretical_minimum")))
@@ -133,39 +158,86 @@ def half_planes(corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return n, -(n * corners).sum(1)
 
 
-def hull_diagnostics(z: np.ndarray) -> dict[str, float]:
-    c = hull(z)
-    following = np.roll(c, -1, axis=0)
-    cross = c[:, 0] * following[:, 1] - c[:, 1] * following[:, 0]
+def extremes(points: np.ndarray) -> np.ndarray:
+    """The points that can be corners of a hull of these and others: the corners, or the ends and an inner point of a line."""
+    p = np.unique(np.asarray(points, dtype=float).reshape(-1, 2), axis=0)
+    try:
+        return hull(p)
+    except ValueError:
+        return p[[0, len(p) // 2, -1]] if len(p) > 2 else p
+
+
+def cloud_corners(points: DataFrame) -> DataFrame:
+    """(cloud_id, x, y): the extremes of each cloud, by hulls of parts merged as a tree.
+
+    A task keeps the hull of what it has seen of a cloud; then the hulls of FAN tasks at a
+    time are merged, until one is left. No task sees a cloud, only corners.
+    """
+    kind = points.schema["cloud_id"].dataType.simpleString()
+
+    def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, held, size = TaskContext.get().partitionId(), {}, 0
+        for f in frames:
+            for cloud, rows in f.groupby("cloud_id", sort=False):
+                old = held.get(cloud, np.empty((0, 2)))
+                held[cloud] = extremes(np.concatenate([old, rows[["z1", "z2"]].to_numpy(dtype=float)]))
+                size += len(held[cloud]) - len(old)
+            if size > HELD:
+                yield from tables(held, task)
+                held, size = {}, 0
+        yield from tables(held, task)
+
+    def tables(held: dict, task: int) -> Iterator[pd.DataFrame]:
+        for cloud, p in held.items():
+            yield pd.DataFrame({"cloud_id": cloud, "part": task, "x": p[:, 0], "y": p[:, 1]})
+
+    def joined(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        p = extremes(f[["x", "y"]].to_numpy())
+        return pd.DataFrame({"cloud_id": key[0], "part": key[1], "x": p[:, 0], "y": p[:, 1]})
+
+    schema = f"cloud_id {kind}, part long, x double, y double"
+    corners = stored(points.select("cloud_id", "z1", "z2").where("cloud_id IS NOT NULL").mapInPandas(seen, schema), "corners")
+    parts = 1 + (corners.agg(F.max("part")).head()[0] or 0)
+    while True:
+        corners = corners.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("cloud_id", "part").applyInPandas(joined, schema)
+        if (parts := -(-parts // FAN)) == 1:
+            return corners.drop("part")
+
+
+def hull_shape(corners: np.ndarray) -> tuple[float, float, float, float]:
+    """Circularity, variation of the radius over 360 directions, and centre of area of a hull."""
+    following = np.roll(corners, -1, axis=0)
+    cross = corners[:, 0] * following[:, 1] - corners[:, 1] * following[:, 0]
     area = cross.sum() / 2
-    centre = ((c + following) * cross[:, None]).sum(0) / (6 * area)
-    normal, offset = half_planes(c)
+    centre = ((corners + following) * cross[:, None]).sum(0) / (6 * area)
+    normal, offset = half_planes(corners)
     ways = np.linspace(0, 2 * math.pi, 360, endpoint=False)
     speed = normal @ np.stack([np.cos(ways), np.sin(ways)])
     reach = np.where(speed > 1e-12, -(normal @ centre + offset)[:, None] / np.where(speed > 1e-12, speed, 1), np.inf).min(0)
-    eig = np.linalg.eigvalsh(np.cov(z, rowvar=False))
-    r = np.linalg.norm(z - centre, axis=1)
-    perimeter = np.linalg.norm(following - c, axis=1).sum()
-    return {"n": len(z), "hull_circularity": 4 * math.pi * area / perimeter**2, "covariance_axis_ratio": math.sqrt(max(eig[0], 0) / eig[1]), "hull_radius_cv": reach.std() / reach.mean(), "inner_half_radius_fraction": float((r <= r.max() / 2).mean())}
+    perimeter = np.linalg.norm(following - corners, axis=1).sum()
+    return 4 * math.pi * area / perimeter**2, reach.std() / reach.mean(), *centre
 
 
 def cloud_diagnostics(points: DataFrame) -> DataFrame:
     """Hull diagnostics per cloud; a cloud without area has a reason instead."""
+    kind = points.schema["cloud_id"].dataType.simpleString()
     names = ("hull_circularity", "covariance_axis_ratio", "hull_radius_cv", "inner_half_radius_fraction")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for cloud, x, y in zip(f["cloud_id"], f["first"], f["second"], strict=True):
-                try:
-                    d = hull_diagnostics(np.stack([x, y], 1))
-                    out.append((cloud, d["n"], *(float(d[k]) for k in names), None))
-                except ValueError as error:
-                    out.append((cloud, len(x), *[None] * 4, str(error)))
-            yield pd.DataFrame(out, columns=["cloud_id", "n", *names, "reason"])
-
-    rows = points.groupBy("cloud_id").agg(F.collect_list(F.struct("z1", "z2")).alias("z")).select("cloud_id", F.col("z.z1").alias("first"), F.col("z.z2").alias("second"))
-    return rows.mapInPandas(run, f"cloud_id {points.schema['cloud_id'].dataType.simpleString()}, n int, " + ", ".join(f"{k} double" for k in names) + ", reason string")
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        try:
+            found = (*hull_shape(hull(f[["x", "y"]].to_numpy())), None)
+        except ValueError as error:
+            found = (*[None] * 4, str(error))
+        return pd.DataFrame([(key[0], *found)], columns=["cloud_id", names[0], names[2], "cx", "cy", "reason"])
+
+    hulls = stored(cloud_corners(points).groupBy("cloud_id").applyInPandas(run, f"cloud_id {kind}, {names[0]} double, {names[2]} double, cx double, cy double, reason string"), "hulls")
+    moved = points.where("cloud_id IS NOT NULL").join(hulls.select("cloud_id", "cx", "cy"), "cloud_id").withColumn("r", F.hypot(F.col("z1") - F.col("cx"), F.col("z2") - F.col("cy")))
+    whole = moved.groupBy("cloud_id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.var_pop("z1").alias("vx"), F.var_pop("z2").alias("vy"), F.covar_pop("z1", "z2").alias("vxy"), F.max("r").alias("far"))
+    inner = moved.join(whole.select("cloud_id", "far"), "cloud_id").groupBy("cloud_id").agg(F.avg((F.col("r") <= F.col("far") / 2).cast("double")).alias(names[3]))
+    half, gap = (F.col("vx") + F.col("vy")) / 2, F.sqrt(F.pow((F.col("vx") - F.col("vy")) / 2, 2) + F.pow("vxy", 2))
+    flat = F.col("reason").isNotNull()
+    row = hulls.join(whole, "cloud_id").join(inner, "cloud_id").withColumn(names[1], F.sqrt(F.try_divide(F.greatest(half - gap, F.lit(0.0)), half + gap)))
+    return row.select("cloud_id", "n", *(F.when(~flat, F.col(k)).alias(k) for k in names), "reason")
 
 
 def box_corners(lower: np.ndarray, upper: np.ndarray, projection: np.ndarray, correlation: np.ndarray, threshold: float = 0.7) -> tuple[np.ndarray, np.ndarray, bool]:

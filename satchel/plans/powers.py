@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: First candidates, candidates in a bracket of two steps, and how often the bracket closes.
-GRID, CLOSER, ROUNDS = np.linspace(-8, 8, 65), 33, 4
+#: First candidates, candidates in a bracket of two steps, how often the bracket closes, and how often it may move beyond its end.
+GRID, CLOSER, ROUNDS, MOVES = np.linspace(-8, 8, 65), 33, 4, 32
 
 Values = Callable[[str, np.ndarray], np.ndarray]
 
@@ -71,14 +71,21 @@ def fit_powers(table: DataFrame, names: list[str], positive: Values) -> dict[str
         logs, lam = np.log(positive(name, x)) - centre[name], powers[name]
         return np.where(lam == 0, logs[:, None], np.expm1(np.outer(logs, lam)) / np.where(lam == 0, 1, lam))
 
-    best = {}
-    for _ in range(ROUNDS + 1):
-        for name, (n, _, squares) in column_moments(table, names, candidates).items():
+    best, rounds = {}, dict.fromkeys(names, 0)
+    for _ in range(ROUNDS + 1 + MOVES):
+        open_ = [k for k in names if rounds[k] <= ROUNDS]
+        if not open_:
+            break
+        for name, (n, _, squares) in column_moments(table, open_, candidates).items():
             with np.errstate(all="ignore"):
                 loss = np.where(np.isfinite(squares) & (squares > 0), np.log(squares / n), np.inf)
             lam, k = powers[name], int(np.argmin(loss))
             best[name] = lam[k]
-            if 0 < k < len(lam) - 1 and np.isfinite(loss[k - 1 : k + 2]).all() and (bend := loss[k - 1] - 2 * loss[k] + loss[k + 1]) > 0:
+            if k in (0, len(lam) - 1) and np.isfinite(loss[k]):
+                powers[name] = lam[k] + 2 * (lam - lam[len(lam) // 2])  # the best may lie beyond: wider steps around the end
+                continue
+            if np.isfinite(loss[k - 1 : k + 2]).all() and (bend := loss[k - 1] - 2 * loss[k] + loss[k + 1]) > 0:
                 best[name] += (lam[k + 1] - lam[k]) / 2 * (loss[k - 1] - loss[k + 1]) / bend
             powers[name] = np.linspace(lam[max(k - 1, 0)], lam[min(k + 1, len(lam) - 1)], CLOSER)
+            rounds[name] += 1
     return {k: float(v) for k, v in best.items()}

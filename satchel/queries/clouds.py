@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from satchel.operators import features, shape
 from satchel.plans import projection
+from satchel.queries import knapsack
 from satchel.queries.common import INSTANCES, instances, rounded, sig
 
 FIXED = {"weights_mean": {"shift": 1.0, "lambda": 0.5, "anchor": 3.0, "mean": 0.1, "std": 0.8}, "kp_pair_fit_ratio": {"shift": 1.0, "lambda": -1.5, "anchor": 0.2, "mean": -0.3, "std": 0.4}}
@@ -41,7 +42,7 @@ def cloud_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each label's cloud as a step from the cloud of the label before."""
-    measures = shape.disk_metrics(_cloud(spark, sf_dir)).withColumn("sector_cv_above_theoretical_minimum", F.lit(0.1))
+    measures = shape.shape_metrics(_cloud(spark, sf_dir))
     names = list(shape.LIMITS)
     old = measures.select((F.col("cloud_id") + 1).alias("cloud_id"), F.struct(*names).alias("before"))
     steps = old.join(measures.select("cloud_id", F.struct(*names).alias("after")), "cloud_id")
@@ -103,19 +104,47 @@ _DISK = f"""WITH z AS (SELECT label AS cloud_id, CAST(embedding[1] AS DOUBLE) AS
   r AS (SELECT c.cloud_id, c.n, x * x + y * y AS r2, radius, row_number() OVER (PARTITION BY c.cloud_id ORDER BY x * x + y * y) AS k FROM c JOIN e USING (cloud_id)),
   q AS (SELECT cloud_id, any_value(n) AS n, max(abs(r2 / (radius * radius) - (k - 0.5) / n)) AS deviation, avg(CAST(sqrt(r2) <= 1.02 * radius AS INT)) AS inside FROM r GROUP BY cloud_id),
   disk AS (SELECT cloud_id, n AS sample_count, radius AS fitted_radius, (h + g) / (h - g) AS covariance_ratio, deviation AS radial_uniform_max_deviation, inside AS fitted_disk_inside_ratio FROM e JOIN q USING (cloud_id))"""
-_DEFICIT = "(greatest({0}.covariance_ratio - 1.25, 0) / 1.25 + greatest({0}.radial_uniform_max_deviation - 0.15, 0) / 0.15 + greatest(0.95 - {0}.fitted_disk_inside_ratio, 0) / 0.95)"
+_WIDTH = "(2 * pi() / 12)"
+_SHAPE = _DISK + f""",
+  t AS (SELECT cloud_id, CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END AS a FROM c),
+  u AS (SELECT cloud_id, a % {_WIDTH} AS residue, CAST(round((a - a % {_WIDTH}) / {_WIDTH}) AS INT) % 12 AS sector FROM t),
+  w AS (SELECT cloud_id, {', '.join(f'count(*) FILTER (sector = {k}) OVER p AS b{k}, count(*) FILTER (sector = {k}) OVER q AS x{k}' for k in range(12))}
+        FROM u WINDOW p AS (PARTITION BY cloud_id), q AS (PARTITION BY cloud_id ORDER BY residue RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  v AS (SELECT cloud_id, min({' + '.join(f'pow(b{k} - x{k} + x{(k + 1) % 12} - even, 2)' for k in range(12))}) AS spread, any_value(even) AS even FROM (SELECT *, ({' + '.join(f'b{k}' for k in range(12))}) / 12 AS even FROM w) GROUP BY cloud_id),
+  shape0 AS (SELECT disk.*, sqrt(spread / 12) / even AS sector_cv, sqrt((sample_count % 12) * (12 - sample_count % 12)) / sample_count AS sector_cv_theoretical_minimum FROM disk JOIN v USING (cloud_id)),
+  shape AS (SELECT *, greatest(0, sector_cv - sector_cv_theoretical_minimum) AS sector_cv_above_theoretical_minimum FROM shape0)"""
+_DEFICIT = "(greatest({0}.covariance_ratio - 1.25, 0) / 1.25 + greatest({0}.radial_uniform_max_deviation - 0.15, 0) / 0.15 + greatest(0.95 - {0}.fitted_disk_inside_ratio, 0) / 0.95 + greatest({0}.sector_cv_above_theoretical_minimum - 0.15, 0) / 0.15)"
 _NORMAL = lambda x, k: f"(((exp({FIXED[k]['lambda']} * (ln({x} + {FIXED[k]['shift']}) - {FIXED[k]['anchor']})) - 1) / {FIXED[k]['lambda']} - {FIXED[k]['mean']}) / {FIXED[k]['std']})"
 
 ORACLE = {
     "cloud_disk": _DISK + " SELECT cloud_id, sample_count, " + ", ".join(f"{sig(c)} AS {c}" for c in ("fitted_radius", "covariance_ratio", "radial_uniform_max_deviation", "fitted_disk_inside_ratio")) + " FROM disk",
-    "acceptance": _DISK + f""", p AS (SELECT a.cloud_id, b.covariance_ratio - a.covariance_ratio AS g1, b.radial_uniform_max_deviation - a.radial_uniform_max_deviation AS g2, a.fitted_disk_inside_ratio - b.fitted_disk_inside_ratio AS g3,
-          {_DEFICIT.format('b')} AS d0, {_DEFICIT.format('a')} AS d1, b.covariance_ratio <= 1.25 AND a.covariance_ratio > 1.25 AS b1, b.radial_uniform_max_deviation <= 0.15 AND a.radial_uniform_max_deviation > 0.15 AS b2, b.fitted_disk_inside_ratio >= 0.95 AND a.fitted_disk_inside_ratio < 0.95 AS b3
-          FROM disk a JOIN disk b ON a.cloud_id = b.cloud_id + 1),
-        v AS (SELECT *, concat_ws(',', CASE WHEN g1 < -0.05 - 1e-15 THEN 'covariance_ratio' END, CASE WHEN g2 < -0.02 - 1e-15 THEN 'radial_uniform_max_deviation' END, CASE WHEN g3 < -0.02 - 1e-15 THEN 'fitted_disk_inside_ratio' END) AS t,
-          concat_ws(',', CASE WHEN b1 THEN 'covariance_ratio' END, CASE WHEN b2 THEN 'radial_uniform_max_deviation' END, CASE WHEN b3 THEN 'fitted_disk_inside_ratio' END) AS o FROM p)
-        SELECT cloud_id, {sig('d0')} AS before_deficit, {sig('d1')} AS after_deficit, t AS tolerance_violations, o AS boundary_violations, t = '' AND o = '' AND (d1 <= 1e-15 OR d0 - d1 >= 1e-4) AS passed FROM v""",
+    "acceptance": _SHAPE + f""", p AS (SELECT a.cloud_id, b.covariance_ratio - a.covariance_ratio AS g1, b.radial_uniform_max_deviation - a.radial_uniform_max_deviation AS g2, a.fitted_disk_inside_ratio - b.fitted_disk_inside_ratio AS g3, b.sector_cv_above_theoretical_minimum - a.sector_cv_above_theoretical_minimum AS g4,
+          {_DEFICIT.format('b')} AS d0, {_DEFICIT.format('a')} AS d1, b.covariance_ratio <= 1.25 AND a.covariance_ratio > 1.25 AS b1, b.radial_uniform_max_deviation <= 0.15 AND a.radial_uniform_max_deviation > 0.15 AS b2, b.fitted_disk_inside_ratio >= 0.95 AND a.fitted_disk_inside_ratio < 0.95 AS b3, b.sector_cv_above_theoretical_minimum <= 0.15 AND a.sector_cv_above_theoretical_minimum > 0.15 AS b4
+          FROM shape a JOIN shape b ON a.cloud_id = b.cloud_id + 1),
+        verdict AS (SELECT *, concat_ws(',', CASE WHEN g1 < -0.05 - 1e-15 THEN 'covariance_ratio' END, CASE WHEN g2 < -0.02 - 1e-15 THEN 'radial_uniform_max_deviation' END, CASE WHEN g3 < -0.02 - 1e-15 THEN 'fitted_disk_inside_ratio' END, CASE WHEN g4 < -0.03 - 1e-15 THEN 'sector_cv_above_theoretical_minimum' END) AS t,
+          concat_ws(',', CASE WHEN b1 THEN 'covariance_ratio' END, CASE WHEN b2 THEN 'radial_uniform_max_deviation' END, CASE WHEN b3 THEN 'fitted_disk_inside_ratio' END, CASE WHEN b4 THEN 'sector_cv_above_theoretical_minimum' END) AS o FROM p)
+        SELECT cloud_id, {sig('d0')} AS before_deficit, {sig('d1')} AS after_deficit, t AS tolerance_violations, o AS boundary_violations, t = '' AND o = '' AND (d1 <= 1e-15 OR d0 - d1 >= 1e-4) AS passed FROM verdict""",
+    "cloud_shape": _SHAPE + ", met AS (SELECT *, ln(covariance_ratio) + 2 * radial_uniform_max_deviation + 1 - fitted_disk_inside_ratio + sector_cv_above_theoretical_minimum AS composite_score, covariance_ratio <= 1.25 AND radial_uniform_max_deviation <= 0.15 AND fitted_disk_inside_ratio >= 0.95 AND sector_cv_above_theoretical_minimum <= 0.15 AS target_met FROM shape)"
+        + " SELECT cloud_id, sample_count, target_met, " + ", ".join(f"{sig(c)} AS {c}" for c in ("fitted_radius", "covariance_ratio", "radial_uniform_max_deviation", "fitted_disk_inside_ratio", "sector_cv", "sector_cv_theoretical_minimum", "sector_cv_above_theoretical_minimum", "composite_score")) + " FROM met",
     "frozen_projection": f"""WITH {INSTANCES}, f AS (SELECT instance_id, avg(w) AS wm FROM it GROUP BY instance_id),
         g AS (SELECT a.instance_id, avg(CAST(1.0 - a.w * 1.0 / a.c - z.w * 1.0 / z.c >= -1e-12 AS INT)) AS fit FROM it a JOIN it z ON a.instance_id = z.instance_id AND a.i < z.i GROUP BY a.instance_id),
         x AS (SELECT instance_id, {_NORMAL('wm', 'weights_mean')} AS x1, {_NORMAL('fit', 'kp_pair_fit_ratio')} AS x2 FROM f JOIN g USING (instance_id))
         SELECT instance_id, {sig('0.7 * x1 + 0.1 * x2')} AS z1, {sig('-0.2 * x1 + 0.9 * x2')} AS z2 FROM x""",
 }
+
+
+def _boxcox_sql(rounds: int = 4) -> str:
+    """The power of least variance: 129 candidates, then four times 33 between the best one's neighbours."""
+    bend = lambda lam: f"CASE WHEN {lam} = 0 THEN l ELSE (exp({lam} * l) - 1) / {lam} END"
+    steps = [f"g0 AS (SELECT feature, g.range / 2.0 - 32 AS lam, var_pop({bend('(g.range / 2.0 - 32)')}) AS v FROM l CROSS JOIN range(129) g GROUP BY 1, 2), b0 AS (SELECT feature, arg_min(lam, v) AS lam, 0.5 AS step FROM g0 GROUP BY 1)"]
+    for k in range(1, rounds + 1):
+        lam = "(b.lam + (g.range - 16) * b.step / 16)"
+        steps.append(f"g{k} AS (SELECT feature, {lam} AS lam, any_value(b.step) AS step, var_pop({bend(lam)}) AS v FROM l JOIN b{k - 1} b USING (feature) CROSS JOIN range(33) g GROUP BY 1, 2), b{k} AS (SELECT feature, arg_min(lam, v) AS lam, any_value(step) / 16 AS step FROM g{k} GROUP BY 1)")
+    return ", ".join(steps) + f", best AS (SELECT * FROM b{rounds})"
+
+
+ORACLE["feature_normalization"] = f"""WITH f AS (SELECT d.instance_id, {', '.join(CHOSEN)} FROM ({knapsack.ORACLE['kp_domain_features']}) d JOIN ({knapsack.ORACLE['kp_relation_features']}) r USING (instance_id)),
+  x AS MATERIALIZED (SELECT feature, value FROM (UNPIVOT f ON {', '.join(CHOSEN)} INTO NAME feature VALUE value)),
+  s AS (SELECT feature, 1 - min(value) AS shift FROM x GROUP BY 1 HAVING min(value) < max(value)),
+  l AS MATERIALIZED (SELECT feature, ln(value + shift) - avg(ln(value + shift)) OVER (PARTITION BY feature) AS l FROM x JOIN s USING (feature)), {_boxcox_sql()}
+  SELECT feature, CAST(round(lam, 3) AS DOUBLE) AS lambda, CAST(round(shift, 6) AS DOUBLE) AS shift FROM best JOIN s USING (feature)"""
