@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satchel.functions.tasks import stored
@@ -307,25 +307,32 @@ def forest_error(x: np.ndarray, y: np.ndarray, seed: int, trees: int = TREES) ->
     return float(((votes[some] / seen[some] > 0.5) != y[some]).mean()) if some.any() else 1.0
 
 
-def choose(groups: list[list[int]], score, seed: int) -> tuple[list[int], int, str]:
-    """One member of each group with the least score: all choices if few, else a bounded genetic search."""
-    cache: dict[tuple, float] = {}
+Scores = Callable[[list[tuple[int, ...]]], list[float]]
 
-    def value(c: tuple) -> tuple[float, tuple]:
-        if c not in cache:
-            cache[c] = score([g[k] for g, k in zip(groups, c, strict=True)])
-        return cache[c], c
 
-    sizes = [len(g) for g in groups]
+def choose(groups: list[list[int]], scores: Scores, seed: int) -> tuple[list[int], int, str]:
+    """One member of each group with the least score: all choices if few, else a bounded genetic search.
+
+    ``scores`` rates a list of choices (a member's place for each group) at once; a round
+    of the search asks for all those that it has not met, ties go to the smaller choice.
+    """
+    sizes, known = [len(g) for g in groups], {}
+
+    def rated(crowd) -> list[tuple[int, ...]]:
+        crowd = set(crowd)
+        new = sorted(crowd - known.keys())
+        known.update(zip(new, scores(new), strict=True) if new else ())
+        return sorted(crowd, key=lambda c: (known[c], c))
+
+    picked = lambda c: [g[k] for g, k in zip(groups, c, strict=True)]
     if math.prod(sizes) <= EXHAUSTIVE:
-        best = min(itertools.product(*map(range, sizes)), key=value)
-        return [g[k] for g, k in zip(groups, best, strict=True)], len(cache), "exhaustive"
+        return picked(rated(itertools.product(*map(range, sizes)))[0]), len(known), "exhaustive"
     rng = np.random.default_rng(seed)
     crowd = [tuple(int(rng.integers(s)) for s in sizes) for _ in range(POPULATION)]
     best, stalled = None, 0
     for _ in range(GENERATIONS):
-        ranked = sorted(set(crowd), key=value)
-        better = best is None or value(ranked[0])[0] < value(best)[0] - 1e-12
+        ranked = rated(crowd)
+        better = best is None or known[ranked[0]] < known[best] - 1e-12
         best, stalled = (ranked[0], 0) if better else (best, stalled + 1)
         if stalled >= STALLS:
             break
@@ -335,7 +342,37 @@ def choose(groups: list[list[int]], score, seed: int) -> tuple[list[int], int, s
             a, b = (elite[int(rng.integers(len(elite)))] for _ in "ab")
             child = [x if rng.random() < 0.5 else y for x, y in zip(a, b, strict=True)]
             crowd.append(tuple(int(rng.integers(s)) if rng.random() < 1 / len(sizes) else k for k, s in zip(child, sizes, strict=True)))
-    return [g[k] for g, k in zip(groups, best, strict=True)], len(cache), "bounded_genetic_search"
+    return picked(best), len(known), "bounded_genetic_search"
+
+
+def plane_error(x: np.ndarray, y: np.ndarray, seed: int) -> float:
+    """The forests' out-of-bag errors on the first two components of x, summed over the labels that vary."""
+    part = x - x.mean(0)
+    _, _, v = np.linalg.svd(part, full_matrices=False)
+    z = part @ v[:2].T
+    return sum(forest_error(z, y[:, k], seed) for k in range(y.shape[1]) if np.ptp(y[:, k]))
+
+
+def spark_scores(spark: SparkSession, groups: list[list[int]], x: np.ndarray, y: np.ndarray, seed: int, tasks: int | None = None) -> Scores:
+    """Rates choices in parallel: a row per choice, its forests fitted in the task that the row is dealt to.
+
+    ``x`` and ``y``, the bounded sample, are broadcast once. A rate depends on the choice
+    and the seed alone, so the number of tasks does not change it.
+    """
+    held = spark.sparkContext.broadcast((x, y))
+    tasks = tasks or spark.sparkContext.defaultParallelism
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, y = held.value
+        for f in frames:
+            yield pd.DataFrame({"k": f.k, "score": [plane_error(x[:, [g[i] for g, i in zip(groups, c, strict=True)]], y, seed) for c in f.choice]})
+
+    def rate(choices: list[tuple[int, ...]]) -> list[float]:
+        rows = spark.createDataFrame([(k, list(c)) for k, c in enumerate(choices)], "k int, choice array<int>").repartition(min(tasks, len(choices)), "k")
+        found = dict(rows.mapInPandas(run, "k int, score double").collect())  # a row per choice of the round
+        return [found[k] for k in range(len(choices))]
+
+    return rate
 
 
 def select_features(table: DataFrame, names: list[str], labels: list[str], seed: int = 0, sample: int = 2_000, index: str = "instance_id") -> tuple[list[str], dict]:
@@ -350,16 +387,9 @@ def select_features(table: DataFrame, names: list[str], labels: list[str], seed:
         return kept, info | {"representative_search": "not_required", "clusters": []}
     _, _, cov = moments(table, kept)
     groups = clusters(correlation(cov), min(CLUSTERS, len(kept)), seed)
-    rows = table.orderBy(F.xxhash64(index)).limit(sample).select(*kept, *labels).toPandas()
+    rows = table.orderBy(F.xxhash64(index), index).limit(sample).select(*kept, *labels).toPandas()
     x, y = rows[kept].to_numpy(dtype=float), rows[labels].to_numpy(dtype=float)
-
-    def score(chosen: list[int]) -> float:
-        part = x[:, chosen] - x[:, chosen].mean(0)
-        _, _, v = np.linalg.svd(part, full_matrices=False)
-        z = part @ v[:2].T
-        return sum(forest_error(z, y[:, k], seed) for k in range(y.shape[1]) if np.ptp(y[:, k]))
-
-    chosen, tried, how = choose(groups, score, seed)
+    chosen, tried, how = choose(groups, spark_scores(table.sparkSession, groups, x, y, seed), seed)
     return [kept[i] for i in sorted(chosen)], info | {"representative_search": how, "candidate_subsets_evaluated": tried, "clusters": [[kept[i] for i in g] for g in groups]}
 
 

@@ -72,7 +72,7 @@ def feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = table.withColumns({"good_tight": (F.col("capacity_total_weight_ratio") < 0.4).cast("double"), "good_even": (F.col("kp_weight_gini") < 0.25).cast("double")}).persist()
     try:
         stable = projection.stable_features(table, CHOSEN)
-        chosen, info = projection.select_features(table, stable, ["good_tight", "good_even"], sample=400)
+        chosen, info = projection.select_features(table, stable, ["good_tight", "good_even"])
         return spark.createDataFrame([(n, n in stable, n in info["surviving_features"], n in chosen) for n in CHOSEN], "feature string, stable boolean, screened boolean, chosen boolean")
     finally:
         table.unpersist()
