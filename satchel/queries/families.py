@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from satchel.operators import subset_sums
 from satchel.operators.families import family_features
 from satchel.queries.common import INSTANCES, instances, rounded, sig
 
@@ -46,7 +47,10 @@ def compatibility_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subset_sum_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _features(_payload(_bins(spark, sf_dir), "subset_sums", "sizes", "capacity"))
+    """A row per instance and feature; the loads are a relation."""
+    found = subset_sums.subset_sum_features(_bins(spark, sf_dir))
+    names = [c for c in found.columns if c != "instance_id"]
+    return rounded(found.select("instance_id", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in names))).alias("f")).select("instance_id", "f.feature", "f.value"))
 
 
 def quadratic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,3 +170,18 @@ ORACLE = {
         "medium_item_ratio": "avg(CAST(r > 0.25 AND r <= 1/3 AS INT))", "small_item_ratio": "avg(CAST(r > 0.1 AND r <= 0.25 AS INT))", "tiny_item_ratio": "avg(CAST(r <= 0.1 AS INT))",
     }, "instance_id"),
 }
+
+#: Every subset of every order's items.
+_SUBSETS = f"""WITH {INSTANCES}, bins AS (SELECT instance_id, n, weights AS sizes, CAST(list_max(weights) + (list_sum(weights) - list_max(weights)) // 4 AS BIGINT) AS capacity FROM kp),
+  part AS (SELECT instance_id, i, w, capacity FROM bins JOIN it USING (instance_id)),
+  mask AS (SELECT instance_id, n, capacity, unnest(range(1, 1 << CAST(n AS INT))) AS m FROM bins),
+  subset AS (SELECT mask.instance_id, mask.n, mask.capacity, m, sum(w) AS x, count(*) AS k FROM mask JOIN part ON part.instance_id = mask.instance_id AND (m >> part.i) & 1 = 1 GROUP BY 1, 2, 3, 4 HAVING sum(w) <= mask.capacity),
+  unit AS (SELECT instance_id, list_reduce(list_append(sizes, capacity), lambda a, b: gcd(a, b)) AS g FROM bins),
+  fit AS (SELECT instance_id, count(*) FILTER (up <= capacity) AS small, count(*) FILTER (down <= capacity) AS large FROM
+    (SELECT instance_id, capacity, sum(w) OVER (PARTITION BY instance_id ORDER BY w, i ROWS UNBOUNDED PRECEDING) AS up, sum(w) OVER (PARTITION BY instance_id ORDER BY w DESC, i ROWS UNBOUNDED PRECEDING) AS down FROM part) GROUP BY 1),
+  s AS (SELECT subset.*, small, large, g FROM subset JOIN fit USING (instance_id) JOIN unit USING (instance_id))"""
+ORACLE["subset_sum_features"] = _tall(_SUBSETS, {
+    "subset_smallest_prefix_count": "any_value(small)", "subset_smallest_prefix_fraction": "any_value(small) / any_value(n)", "subset_largest_prefix_count": "any_value(large)", "subset_largest_prefix_fraction": "any_value(large) / any_value(n)",
+    "subset_feasible_fraction": "count(*) / (pow(2, any_value(n)) - 1)", "subset_exact_fill_fraction_of_feasible": "avg(CAST(x = capacity AS INT))", "subset_feasible_load_mean_ratio": "avg(x) / any_value(capacity)", "subset_feasible_load_std_ratio": "stddev_pop(x) / any_value(capacity)",
+    "subset_feasible_cardinality_mean_ratio": "avg(k) / any_value(n)", "subset_feasible_cardinality_std_ratio": "stddev_pop(k) / any_value(n)", "subset_reachable_positive_load_fraction": "count(DISTINCT x) / (any_value(capacity) // any_value(g))", "subset_maximum_load_ratio": "max(x) / any_value(capacity)",
+}, "instance_id")
