@@ -117,10 +117,10 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns (see ``exact_dedup``)."""
+    """The rows of ``docs`` that stay, with all their columns (see ``exact_dedup``). Ids may be numbers or strings."""
     p = spare_name(docs)
     on = [f"{p}id", f"{p}no_id", f"{p}sha"]
-    key = [F.coalesce("doc_id", F.lit(0).cast("long")).alias(on[0]), F.isnull("doc_id").alias(on[1])]
+    key = [F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias(on[0]), F.isnull("doc_id").alias(on[1])]
     kept = exact_dedup(docs, block_chars).where("kept").select(*key, F.col("text_sha256").alias(on[2]))
     rows = docs.select("*", *key, F.sha2(ascii_lower(F.col("text")), 256).alias(on[2]))
     #: Repeated rows agree in the key; dropDuplicates needs no shuffle after this join.

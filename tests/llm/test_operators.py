@@ -70,6 +70,12 @@ def test_exact_dedup(docs, rows, nothing, block_chars):
     assert left.columns == docs.columns and left.count() == len(groups)
 
 
+def test_exact_copies_with_string_ids(spark):
+    rows = [("b", "One"), ("a", "one"), ("0", "two"), (None, "two"), (None, "three"), ("0", "two")]
+    left = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([("b", "One"), ("0", "two"), (None, "three")], key=str)
+
+
 def shingles(text, width):
     w = lowered(text).encode().split()
     return frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
