@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satchel.operators import augment, features, hashing, shape, solve, text
-from satchel.plans import projection
-from satchel.sources import tables
+from satchel.plans import frozen, projection
+from satchel.sources import adapter, tables
 
 
 def extract(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -62,12 +62,12 @@ def _points(z: DataFrame, origins: DataFrame, output_dir: str) -> dict:
 def project_(spark: SparkSession, a: argparse.Namespace) -> dict:
     """Instances or their features to the plane.
 
-    ``--instances`` are audited; if any of them is bad, nothing else is done. ``--features``
+    ``--instances`` are audited and kept as they came; if any of them is bad, nothing else is done. ``--features``
     need ``--origins``, as sources are never inferred. Features and normalized features are
     written. With ``--performance`` and ``--good`` a map is fitted over the features that
     the labels select; it also reconstructs the normalized measurements. With
     ``--fitted-projection``, the folder of such a run, its frozen normalization and map are
-    applied. ``--coordinates`` with ``--origins`` only writes the point table.
+    checked against their manifest and applied. ``--coordinates`` with ``--origins`` only writes the point table.
     """
     if bool(a.performance) != bool(a.good) or sum(map(bool, (a.instances, a.features, a.coordinates))) != 1:
         raise ValueError("one of --instances, --features, --coordinates; --performance and --good together")
@@ -79,12 +79,11 @@ def project_(spark: SparkSession, a: argparse.Namespace) -> dict:
         z = tables.read_indexed(spark, a.coordinates, ["z1", "z2"])
         return {"status": "coordinates_supplied", "points": _points(z, tables.read_origins(spark, a.origins, z), a.output_dir)}
     if a.instances:
-        rows = hashing.validated(tables.read_instances(spark, a.instances))
-        known = F.coalesce(F.col("origin").isin(*tables.ORIGINS), F.lit(False))
-        rows = rows.withColumn("reasons", F.concat("reasons", F.when(known, F.array().cast("array<string>")).otherwise(F.array(F.lit("origin"))))).persist()
+        rows = adapter.audit_instances(spark, a.instances).persist()
         bad = F.size("reasons") > 0
         audit = rows.select("instance_id", "origin", F.when(bad, "needs_parameter_review").otherwise("features_available").alias("status"), F.array_join("reasons", ",").alias("reason"))
         tables.write_table(audit, f"{a.output_dir}/audit")
+        rows.select("record").write.mode("errorifexists").text(f"{a.output_dir}/inputs")
         if n := rows.where(bad).count():
             return {"status": "needs_parameter_review", "bad_rows": n}
         table = tables.unique(features.all_features(rows), "instance_id").persist()
@@ -95,14 +94,8 @@ def project_(spark: SparkSession, a: argparse.Namespace) -> dict:
         origins = tables.read_origins(spark, a.origins, table)
     tables.write_table(table, f"{a.output_dir}/features")
     if a.fitted_projection:
-        names = ["shift", "lambda", "anchor", "mean", "std"]
-        frozen = tables.read_indexed(spark, f"{a.fitted_projection}/prelim", names, "feature").collect()  # a row per feature
-        matrix = tables.read_indexed(spark, f"{a.fitted_projection}/projection_matrix", ["z1", "z2"], "feature").collect()
-        weights = {r.feature: (r.z1, r.z2) for r in matrix}
-        fitted = {r.feature: r.asDict() for r in frozen if r.feature in weights}
-        if missing := sorted({*weights} - {*fitted}):
-            raise ValueError(f"features of the map without a normalization: {missing}")
-        z = projection.project(projection.apply_normalization(table, fitted), weights).persist()
+        fitted, weights = frozen.load(spark, a.fitted_projection)
+        z = frozen.apply(table, fitted, weights).persist()
         tables.write_table(z, f"{a.output_dir}/coordinates")
         return {"status": "frozen_projection_applied", "selected": [*weights], "points": _points(z, origins, a.output_dir)}
     fitted = {r.feature: r.asDict() for r in projection.fit_normalization(table).collect()}
@@ -120,6 +113,7 @@ def project_(spark: SparkSession, a: argparse.Namespace) -> dict:
     z = projection.project(joined, weights).persist()
     tables.write_table(z, f"{a.output_dir}/coordinates")
     tables.write_table(spark.createDataFrame([(k, *w) for k, w in weights.items()], "feature string, z1 double, z2 double"), f"{a.output_dir}/projection_matrix")
+    frozen.save(spark, a.output_dir, chosen, joined)
     return {"status": "projection_complete_partitions_deferred", "selected": chosen, "loss": loss, "search": info["representative_search"], "reconstruction_columns": back.shape[1], "points": _points(z, origins, a.output_dir)}
 
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from satchel.functions.tasks import stored
+from satchel.operators.features import all_features
 from satchel.operators.hashing import canonical_hash, dedupe, numbered, validated
 
 #: Distance of the attempts' seeds, share of random attempts, attempts per wanted instance, largest value of a mutation.
@@ -195,10 +197,22 @@ def attempts(spark: SparkSession, parents: DataFrame | list[tuple[str, Instance]
     return joined.mapInPandas(run, "ord long, operator string, parent_id string, parameters map<string, string>, weights array<bigint>, profit array<bigint>, capacity bigint")
 
 
+def finite_features(instances: DataFrame) -> DataFrame:
+    """(ord): the instances whose features are all there and finite."""
+    found = all_features(instances.withColumn("instance_id", F.col("ord")))
+    values = F.array(*(F.col(c) for c in found.columns if c != "instance_id"))
+    return found.where(F.forall(values, lambda v: F.coalesce((F.abs(v) < float("inf")) & ~F.isnan(v), F.lit(False)))).select(F.col("instance_id").alias("ord"))
+
+
 def generate(spark: SparkSession, parents: DataFrame | list[tuple[str, Instance]], target: int, seed: int, known: DataFrame | None = None) -> DataFrame:
-    """Up to ``target`` accepted instances in the order of their attempts, numbered, with their lineage and hashes."""
+    """Up to ``target`` accepted instances in the order of their attempts, numbered, with their lineage and hashes.
+
+    Attempts that are valid and new count as known from then on; of these, those with a
+    feature that is missing or not finite are left out before numbering.
+    """
     tried = validated(attempts(spark, parents, MOST_ATTEMPTS * target, seed), "drop")
-    new = dedupe(tried, "ord", known).withColumn("canonical_hash", canonical_hash(generated=True))
+    new = stored(dedupe(tried, "ord", known).withColumn("canonical_hash", canonical_hash(generated=True)), "attempts")
+    new = new.join(finite_features(new), "ord", "left_semi")
     fresh = numbered(new, "ord", "synthetic_KP_", 6).where(F.col("sequence") <= target)
     return fresh.select(
         F.col("numbered_id").alias("instance_id"), F.lit("synthetic").alias("origin"), F.lit("domain").alias("variant"), "weights", "profit", "capacity",

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,9 +11,8 @@ from pyspark.sql.types import StringType
 
 from satchel.functions.arrays import gcd
 
-#: What the adapter calls each origin, and the lineage fields it keeps.
+#: What the adapter calls each origin.
 SOURCE_KINDS = {"sage": "sage_original", "sage_original": "sage_original", "synthetic": "sage_derived"}
-LINEAGE_FIELDS = ("base_id", "source", "parent_base_id", "operator", "operator_parameters", "round", "seed")
 #: Least and most items of an instance.
 ITEMS = (2, 200)
 
@@ -161,9 +158,3 @@ def normalized(instances: DataFrame, verify: bool = True) -> DataFrame:
         "canonical_hash", "proportional_hash", kind.alias("source_kind"), F.when(kind == "sage_original", 0).otherwise(1).alias("generation_depth"),
         F.size("weights").alias("n_items"), "weights", "profit", "capacity", F.col("canonical_hash").alias("root_hash"), split_group(F.col("canonical_hash")).alias("split_group"),
     )
-
-
-def hash_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas over generated instances: both generator hashes."""
-    for f in frames:
-        yield f.assign(**{name: [instance_hash([*w], [*p], c, prop, True) for w, p, c in zip(f.weights, f.profit, f.capacity, strict=True)] for name, prop in (("exact_hash", False), ("proportional_hash", True))})

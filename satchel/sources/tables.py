@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 INSTANCE = """instance_id string, origin string, variant string,
   parameters struct<weights: array<bigint>, profit: array<bigint>, profits: array<bigint>, capacity: bigint>,
   lineage struct<base_id: string, source: string, canonical_hash: string, proportional_hash: string, parent_instance_id: string, operator: string, operator_parameters: map<string, string>, round: int, seed: bigint>"""
-ADAPTED = """problem string, instance_id string, canonical_hash string, proportional_hash string, source_kind string, generation_depth int,
-  parent_canonical_hash string, instance struct<n_items: int, weights: array<bigint>, profit: array<bigint>, profits: array<bigint>, capacity: bigint>,
-  base_id string, parent_base_id string, operator string, operator_parameters map<string, string>, round int, seed bigint"""
 #: Columns of the text corpus by place; the others are not used.
 CORPUS_COLUMNS = {0: "base_id", 2: "question", 5: "source", 7: "problem"}
 #: Sources kept by name, and origins with the label they get.
@@ -91,6 +90,22 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def folder_digest(spark: SparkSession, path: str) -> str:
+    """One sha256 for the files of a folder, by their names and contents."""
+    files = fingerprint(spark, path).select(F.concat_ws(" ", F.element_at(F.split("path", "/"), -1), "sha256").alias("line"))
+    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256)).head()[0]  # a line per file
+
+
+def write_json(spark: SparkSession, value: dict, path: str, mode: str = "errorifexists") -> None:
+    """A JSON document as a text folder; a number that is not finite raises."""
+    text = json.dumps(value, ensure_ascii=False, indent=2, allow_nan=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).head()[0])
+
+
 def write_instances(rows: DataFrame, path: str, order: str) -> None:
     """JSON lines in the given order; the folder must not exist."""
     rows.orderBy(order).drop(order).write.mode("errorifexists").json(path)
