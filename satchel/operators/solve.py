@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Iterator
 
@@ -112,28 +113,43 @@ def slack_bits(capacity: int) -> list[int]:
     return [1 << k for k in range(m)] + [capacity - (1 << m) + 1]
 
 
-def qubo(weights: list[int], profit: list[int], capacity: int) -> tuple[np.ndarray, int]:
+def penalty_of(profit: list[int]) -> int:
+    """More than all profits together."""
+    return 1 + int(sum(abs(p) for p in profit))
+
+
+def qubo(weights: list[int], profit: list[int], capacity: int, penalty: int | None = None) -> tuple[np.ndarray, int]:
     """(Q, offset): z'Qz + offset = -profit + M (weight + slack - capacity)^2 over items and slack bits."""
     bits = slack_bits(capacity)
     a = np.array([*weights, *bits], dtype=np.int64)
-    penalty = 1 + int(sum(abs(p) for p in profit))
+    penalty = penalty or penalty_of(profit)
     q = penalty * np.outer(a, a)
     q[np.diag_indices(len(a))] -= 2 * penalty * capacity * a + np.array([*profit, *[0] * len(bits)])
     return q, penalty * capacity * capacity
 
 
-def by_qubo(weights: list[int], profit: list[int], capacity: int) -> int:
-    """The least energy, at the optimum with its slack in binary, negated; the penalty outweighs all profits, so no other state is lower."""
-    q, offset = qubo(weights, profit, capacity)
-    _, chosen = optimum(weights, profit, capacity)
-    rest, bits = capacity - sum(weights[i] for i in chosen), slack_bits(capacity)
-    z = np.zeros(len(q), np.int64)
-    z[chosen] = 1
-    for k in range(len(bits) - 1, -1, -1):
-        if rest >= bits[k]:
-            z[len(weights) + k] = 1
-            rest -= bits[k]
-    return -int(z @ q @ z + offset)
+def by_qubo(weights: list[int], profit: list[int], capacity: int, penalty: int | None = None) -> int:
+    """The least energy over all items and slack bits, negated.
+
+    An energy depends on the items' profit and weight and on the slack's value only. For
+    each weight the most profit is kept, for each of them the slack that comes nearest is
+    taken, whether the weight fits or not. Weights so large that the penalty alone passes
+    all profits are above the energy of no items and are left out.
+    """
+    penalty, bits = penalty or penalty_of(profit), slack_bits(capacity)
+    slack = np.zeros(1, np.int64)
+    for b in bits:
+        slack = np.unique(np.r_[slack, slack + b])
+    most = capacity + math.isqrt(sum(p for p in profit if p > 0) // penalty) + 1
+    value = np.full(most + 1, np.iinfo(np.int64).min // 2)
+    value[0] = 0
+    for w, p in zip(weights, profit, strict=True):
+        if w <= most:
+            value[w:] = np.maximum(value[w:], value[: most + 1 - w] + p)
+    load = np.flatnonzero(value > np.iinfo(np.int64).min // 4)
+    at = np.clip(np.searchsorted(slack, capacity - load), 1, slack.size - 1)
+    miss = np.minimum(np.abs(load + slack[at] - capacity), np.abs(load + slack[at - 1] - capacity))
+    return int((value[load] - penalty * miss * miss).max())
 
 
 def solutions(instances: DataFrame) -> DataFrame:

@@ -148,3 +148,12 @@ ORACLE["feature_normalization"] = f"""WITH f AS (SELECT d.instance_id, {', '.joi
   s AS (SELECT feature, 1 - min(value) AS shift FROM x GROUP BY 1 HAVING min(value) < max(value)),
   l AS MATERIALIZED (SELECT feature, ln(value + shift) - avg(ln(value + shift)) OVER (PARTITION BY feature) AS l FROM x JOIN s USING (feature)), {_boxcox_sql()}
   SELECT feature, CAST(round(lam, 3) AS DOUBLE) AS lambda, CAST(round(shift, 6) AS DOUBLE) AS shift FROM best JOIN s USING (feature)"""
+
+ORACLE["cloud_coverage"] = f"""WITH RECURSIVE z AS (SELECT CAST(embedding[1] AS DOUBLE) AS z1, CAST(embedding[2] AS DOUBLE) AS z2 FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+  box AS (SELECT min(z1) AS a0, max(z1) AS a1, min(z2) AS b0, max(z2) AS b1 FROM z),
+  place AS (SELECT i.range * 15 + j.range AS k, a0 + i.range * (a1 - a0) / 14 AS a, b0 + j.range * (b1 - b0) / 14 AS b, sqrt(pow(a1 - a0, 2) + pow(b1 - b0, 2)) / 15 AS space FROM box, range(15) i, range(15) j),
+  far AS (SELECT k, a, b, any_value(space) AS space, min(sqrt(pow(z1 - a, 2) + pow(z2 - b, 2))) AS d FROM place, z GROUP BY 1, 2, 3), ranked AS (SELECT *, row_number() OVER (ORDER BY d DESC, k) AS r FROM far),
+  walk(r, got) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(a DOUBLE, b DOUBLE, d DOUBLE)[]) UNION ALL
+    SELECT x.r, CASE WHEN len(got) < 12 AND len(list_filter(got, lambda q: sqrt(pow(q.a - x.a, 2) + pow(q.b - x.b, 2)) < x.space)) = 0 THEN list_append(got, {{'a': x.a, 'b': x.b, 'd': x.d}}) ELSE got END FROM walk JOIN ranked x ON x.r = walk.r + 1),
+  chosen AS (SELECT unnest(got) AS p FROM walk WHERE r = 225)
+  SELECT {sig('p.a')} AS z1, {sig('p.b')} AS z2, {sig('p.d')} AS distance FROM chosen"""

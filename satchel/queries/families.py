@@ -33,8 +33,8 @@ def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the SQL covers: orders of at most 12 items, and eight features; ``packing_all_features`` has the rest."""
-    return _features(_payload(_bins(spark, sf_dir).where(F.size("sizes") <= 12), "packing", "sizes", "capacity")).where(F.col("feature").isin("item_count", "total_size_ratio", "remaining_capacity_fraction", "huge_item_ratio", "large_item_ratio", "medium_item_ratio", "small_item_ratio", "tiny_item_ratio"))
+    """The eight features that the SQL covers; ``packing_all_features`` has the rest."""
+    return _features(_payload(_bins(spark, sf_dir), "packing", "sizes", "capacity")).where(F.col("feature").isin("item_count", "total_size_ratio", "remaining_capacity_fraction", "huge_item_ratio", "large_item_ratio", "medium_item_ratio", "small_item_ratio", "tiny_item_ratio"))
 
 
 def packing_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +151,7 @@ QUERIES = {
     for f in (packing_features, packing_all_features, compatibility_features, subset_sum_features, quadratic_features, directed_tour_features, symmetric_tour_features, shortest_path_features, incidence_features, network_flow_features, profile_features)
 }
 
-_BINS = f"WITH {INSTANCES}, bins AS (SELECT instance_id, weights AS sizes, CAST(list_max(weights) + (list_sum(weights) - list_max(weights)) // 4 AS BIGINT) AS capacity FROM kp WHERE n <= 12), s AS (SELECT instance_id, capacity, generate_subscripts(sizes, 1) AS i, unnest(sizes) * 1.0 / capacity AS r FROM bins)"
+_BINS = f"WITH {INSTANCES}, bins AS (SELECT instance_id, weights AS sizes, CAST(list_max(weights) + (list_sum(weights) - list_max(weights)) // 4 AS BIGINT) AS capacity FROM kp), s AS (SELECT instance_id, capacity, generate_subscripts(sizes, 1) AS i, unnest(sizes) * 1.0 / capacity AS r FROM bins)"
 _ARCS = """WITH found AS (SELECT c_nationkey AS i, s_nationkey AS j, CAST(floor(sum(CAST(floor(l_extendedprice) AS BIGINT)) / count(*) / 100) AS BIGINT) AS cost FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
   a AS (SELECT x.n_nationkey AS i, y.n_nationkey AS j, coalesce(cost, 500) AS cost FROM nation x JOIN nation y ON x.n_nationkey <> y.n_nationkey LEFT JOIN found f ON f.i = x.n_nationkey AND f.j = y.n_nationkey)"""
 

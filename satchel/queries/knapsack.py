@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from satchel.functions.arrays import sig7
 from satchel.operators import augment, features, hashing, solve, text
 from satchel.queries.common import INSTANCES, instances, rounded, seven_sql, sig, stats_sql
 from satchel.sources import tables
@@ -36,9 +37,9 @@ def kp_relation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kp_feature_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long form, aggregated: rows, and how many values are 0, for each of the 100 features."""
-    long = features.long_features(features.all_features(instances(spark, sf_dir)))
-    return long.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.isnan("value") | (F.abs("value") == float("inf"))).alias("not_finite"))
+    """The long form, aggregated: rows, mean, and how many values are not finite, for each of the 100 features."""
+    long = features.long_features(rounded(features.all_features(instances(spark, sf_dir))))
+    return long.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), sig7(F.avg("value")).alias("mean"), F.count_if(F.isnan("value") | (F.abs("value") == float("inf"))).alias("not_finite"))
 
 
 def kp_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,13 +145,12 @@ def kp_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kp_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact optimum of instances with up to ten items, for which the SQL can try all subsets; ``kp_optimum_all`` has all."""
-    small = instances(spark, sf_dir).where(F.size("weights") <= 10)
-    return solve.solutions(small).select("instance_id", "objective")
+    """The exact optimum of all instances; the SQL tries all subsets."""
+    return kp_optimum_all(spark, sf_dir)
 
 
 def kp_optimum_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact optimum of all instances; no SQL."""
+    """The exact optimum of all instances, without SQL, for orders with more lines than SQL can try subsets of."""
     return solve.solutions(instances(spark, sf_dir)).select("instance_id", "objective")
 
 
@@ -238,11 +238,10 @@ ORACLE = {
     "kp_parse_questions": f"WITH {INSTANCES} SELECT instance_id, array_to_string(weights, ',') AS weights, array_to_string(profit, ',') AS profit, capacity, list_min(weights) > 0 AND list_min(profit) >= 0 AS parsed FROM kp",
     "kp_parse_forms": f"WITH {INSTANCES} SELECT instance_id, array_to_string(weights, ',') AS weights, array_to_string(profit, ',') AS profit, capacity, list_min(weights) > 0 AND list_min(profit) >= 0 AS parsed FROM kp",
     "kp_gates": f"WITH {INSTANCES}, s AS (SELECT instance_id, n, capacity * CASE ord % 3 WHEN 0 THEN 1 WHEN 1 THEN 10 ELSE 100 END AS c FROM kp) SELECT instance_id, n >= 2 AS compact, n <= 50 AND c <= 5000 AS arc_flow, n <= 25 AS pattern_selection, n <= 30 AND c <= 1000 AS qubo FROM s",
-    "kp_optimum": f"""WITH {INSTANCES}, s AS (SELECT it.instance_id, m.range AS mask, sum(CASE WHEN (m.range >> it.i) & 1 = 1 THEN w ELSE 0 END) AS w, sum(CASE WHEN (m.range >> it.i) & 1 = 1 THEN p ELSE 0 END) AS p, any_value(c) AS c
-          FROM it JOIN range(1024) m ON m.range < (1 << CAST(it.n AS INT)) WHERE it.n <= 10 GROUP BY it.instance_id, m.range)
+    "kp_optimum": f"""WITH {INSTANCES}, mask AS (SELECT instance_id, unnest(range(1 << CAST(n AS INT))) AS m FROM kp),
+        s AS (SELECT mask.instance_id, m, coalesce(sum(w) FILTER ((m >> i) & 1 = 1), 0) AS w, coalesce(sum(p) FILTER ((m >> i) & 1 = 1), 0) AS p, any_value(c) AS c FROM mask JOIN it USING (instance_id) GROUP BY 1, 2)
         SELECT instance_id, CAST(max(p) AS BIGINT) AS objective FROM s WHERE w <= c GROUP BY instance_id""",
     "kp_audit": f"WITH {INSTANCES} SELECT n AS n_items, list_max(weights) > capacity AS has_oversize, count(*) AS rows, CAST(sum(capacity) AS BIGINT) AS capacity FROM kp GROUP BY 1, 2",
-    "kp_feature_means": "SELECT unnest([" + ", ".join(f"'{f}'" for f in features.DOMAIN + features.RELATION) + f"]) AS feature, (WITH {INSTANCES} SELECT count(*) FROM kp) AS rows, CAST(0 AS BIGINT) AS not_finite",
 }
 
 _R = "(w * 1.0 / c)"
@@ -263,3 +262,8 @@ _RELATION = f"""
           {sig('avg(CAST(better AS INT))')} AS kp_pair_lower_weight_higher_profit_ratio, {sig('avg(CAST(same AS INT))')} AS kp_identical_item_pair_ratio FROM pairs GROUP BY instance_id),
   f AS (SELECT instance_id, {', '.join(seven_sql('kp_partner_fraction', 'f'))} FROM partners GROUP BY instance_id)"""
 ORACLE["kp_relation_features"] = f"WITH {INSTANCES}, {_RELATION} SELECT * FROM x JOIN y USING (instance_id) JOIN f USING (instance_id)"
+_LONG = f"(UNPIVOT (SELECT d.* EXCLUDE (instance_id), r.* EXCLUDE (instance_id) FROM ({ORACLE['kp_domain_features']}) d JOIN ({ORACLE['kp_relation_features']}) r USING (instance_id)) ON * INTO NAME feature VALUE value)"
+ORACLE["kp_feature_means"] = f"SELECT feature, count(*) AS rows, {sig('avg(value)')} AS mean, count(*) FILTER (isnan(value) OR isinf(value)) AS not_finite FROM {_LONG} GROUP BY feature"
+#: Every formulation finds the optimum of the instances that its gate lets in.
+_OPEN = {"arc_flow": "n <= 50 AND capacity <= 5000", "pattern_selection": "n <= 25", "qubo": "n <= 30 AND capacity <= 1000"}
+ORACLE["kp_formulations"] = f"WITH {INSTANCES} SELECT count(*) AS instances, count(*) AS compact_solved, " + ", ".join(f"count(*) FILTER ({v}) AS {k}_{what}" for k, v in _OPEN.items() for what in ("solved", "agrees")) + " FROM kp"

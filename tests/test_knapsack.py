@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -259,3 +260,15 @@ def test_id_sets_must_agree(spark):
         tables.align(a, b)
     with pytest.raises(Exception, match="repeated"):
         tables.unique(a.union(a), "instance_id").collect()
+
+
+def test_least_energy_over_all_states():
+    rng = random.Random(8)
+    for k in range(30):
+        n, c = rng.randrange(1, 6), rng.randrange(1, 14)
+        w, p = [rng.randrange(1, 12) for _ in range(n)], [rng.randrange(20) for _ in range(n)]
+        for penalty in (None, 1, 3):
+            q, offset = solve.qubo(w, p, c, penalty)
+            states = (np.arange(2 ** len(q))[:, None] >> np.arange(len(q))) & 1
+            assert solve.by_qubo(w, p, c, penalty) == -(np.einsum("si,ij,sj->s", states, q, states) + offset).min()
+    assert solve.by_qubo([5], [9], 3, 1) != solve.optimum([5], [9], 3)[0]  # too small a penalty shows
