@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.operators import subset_sums
+from satchel.operators import compatibility, subset_sums
 from satchel.operators.families import family_features
-from satchel.queries.common import INSTANCES, instances, rounded, sig
+from satchel.queries.common import INSTANCES, instances, rounded, seven_sql, sig
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,13 @@ def _features(rows: DataFrame) -> DataFrame:
     return rounded(good.unionByName(found.where("reason IS NOT NULL").select("instance_id", F.concat(F.lit("!"), "reason").alias("feature"), F.lit(None).cast("double").alias("value"))))
 
 
+def _tall_rows(found: DataFrame) -> DataFrame:
+    """(instance_id, feature, value) of a table with a column per feature."""
+    names = [c for c in found.columns if c != "instance_id"]
+    long = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in names)))
+    return rounded(found.select("instance_id", long.alias("f")).select("instance_id", "f.feature", "f.value"))
+
+
 def _payload(rows: DataFrame, family: str, *fields) -> DataFrame:
     return rows.select("instance_id", F.lit(family).alias("family"), F.to_json(F.struct(*fields)).alias("payload"))
 
@@ -43,14 +50,13 @@ def packing_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compatibility_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _features(_payload(_bins(spark, sf_dir), "compatibility", "sizes", "capacity"))
+    """A row per instance and feature, from expressions of a row."""
+    return _tall_rows(compatibility.compatibility_features(_bins(spark, sf_dir)))
 
 
 def subset_sum_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per instance and feature; the loads are a relation."""
-    found = subset_sums.subset_sum_features(_bins(spark, sf_dir))
-    names = [c for c in found.columns if c != "instance_id"]
-    return rounded(found.select("instance_id", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in names))).alias("f")).select("instance_id", "f.feature", "f.value"))
+    return _tall_rows(subset_sums.subset_sum_features(_bins(spark, sf_dir)))
 
 
 def quadratic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,3 +191,28 @@ ORACLE["subset_sum_features"] = _tall(_SUBSETS, {
     "subset_feasible_fraction": "count(*) / (pow(2, any_value(n)) - 1)", "subset_exact_fill_fraction_of_feasible": "avg(CAST(x = capacity AS INT))", "subset_feasible_load_mean_ratio": "avg(x) / any_value(capacity)", "subset_feasible_load_std_ratio": "stddev_pop(x) / any_value(capacity)",
     "subset_feasible_cardinality_mean_ratio": "avg(k) / any_value(n)", "subset_feasible_cardinality_std_ratio": "stddev_pop(k) / any_value(n)", "subset_reachable_positive_load_fraction": "count(DISTINCT x) / (any_value(capacity) // any_value(g))", "subset_maximum_load_ratio": "max(x) / any_value(capacity)",
 }, "instance_id")
+
+_SLACK = lambda name: {
+    f"compat_{name}_fit_ratio": "coalesce(avg(CAST(s >= -1e-12 AS INT)), 0)", f"compat_{name}_exact_fit_ratio": "coalesce(avg(CAST(abs(s) <= 1e-12 AS INT)), 0)",
+    f"compat_{name}_feasible_slack_mean": "coalesce(avg(greatest(s, 0)) FILTER (s >= -1e-12), 0)", f"compat_{name}_feasible_slack_std": "coalesce(stddev_pop(greatest(s, 0)) FILTER (s >= -1e-12), 0)",
+}
+
+
+def _seven_or_zero(name: str, x: str) -> list[str]:
+    found = {f"q{round(100 * q):02d}": f"quantile_cont({x}, {q})" for q in (0.0, 0.25, 0.5, 0.75, 1.0)} | {"mean": f"avg({x})", "std": f"stddev_pop({x})"}
+    return [f"{sig(f'coalesce({v}, 0)')} AS {name}_{k}" for k, v in found.items()]
+
+
+#: Pairs and triples of an order's items by joins.
+_COMPAT = f"""WITH {INSTANCES}, bins AS (SELECT instance_id, n, CAST(list_max(weights) + (list_sum(weights) - list_max(weights)) // 4 AS BIGINT) AS capacity FROM kp),
+  x AS (SELECT instance_id, i, bins.n, w / CAST(capacity AS DOUBLE) AS r FROM bins JOIN it USING (instance_id)),
+  two AS (SELECT a.instance_id, a.i, 1.0 - a.r - b.r AS s, a.i < b.i AS once FROM x a JOIN x b ON a.instance_id = b.instance_id AND a.i <> b.i),
+  three AS (SELECT a.instance_id, 1.0 - (a.r + b.r + c.r) AS s FROM x a JOIN x b ON a.instance_id = b.instance_id AND a.i < b.i JOIN x c ON a.instance_id = c.instance_id AND b.i < c.i),
+  own AS (SELECT x.instance_id, x.i, count(s) FILTER (s >= -1e-12) / greatest(any_value(n) - 1, 1) AS fits, greatest(0, min(s) FILTER (s >= -1e-12)) AS best, count(s) FILTER (s >= -1e-12) = 0 AS alone FROM x LEFT JOIN two USING (instance_id, i) GROUP BY 1, 2),
+  gap AS (SELECT instance_id, r - lag(r) OVER (PARTITION BY instance_id ORDER BY r, i) AS g FROM x),
+  a AS (SELECT instance_id, {sig('2.0 * sum(k * r) / (count(*) * sum(r)) - (count(*) + 1.0) / count(*)')} AS compat_size_gini FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY r) AS k FROM x) GROUP BY 1),
+  b AS (SELECT instance_id, {sig('avg(CAST(alone AS INT))')} AS compat_no_partner_item_ratio, {', '.join(seven_sql('compat_partner_fraction', 'fits'))}, {', '.join(_seven_or_zero('compat_best_pair_slack', '(CASE WHEN NOT alone THEN best END)'))} FROM own GROUP BY 1),
+  c AS (SELECT instance_id, {', '.join(_seven_or_zero('compat_sorted_size_gap', 'g'))} FROM gap GROUP BY 1),
+  d AS (SELECT instance_id, {', '.join(f'{sig(v)} AS {k}' for k, v in _SLACK('pair').items())} FROM two WHERE once GROUP BY 1),
+  e AS (SELECT x.instance_id, {', '.join(f'{sig(v)} AS {k}' for k, v in _SLACK('triple').items())} FROM (SELECT DISTINCT instance_id FROM x) x LEFT JOIN three USING (instance_id) GROUP BY 1)"""
+ORACLE["compatibility_features"] = f"{_COMPAT} SELECT instance_id, feature, value FROM (UNPIVOT (SELECT * FROM a JOIN b USING (instance_id) JOIN c USING (instance_id) JOIN d USING (instance_id) JOIN e USING (instance_id)) ON * EXCLUDE (instance_id) INTO NAME feature VALUE value)"
