@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,13 +60,37 @@ def _points(z: DataFrame, origins: DataFrame, output_dir: str) -> dict:
     return {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # a row per origin
 
 
+def _shape(z: DataFrame) -> dict:
+    """Hull diagnostics of one cloud, or why there are none."""
+    found = shape.cloud_diagnostics(z.withColumn("cloud_id", F.lit(0))).drop("cloud_id").head()
+    if found is None or found.reason:
+        return {"available": False, "reason": found.reason if found else "no points"}
+    return {"available": True} | {k: v for k, v in found.asDict().items() if k != "reason"}
+
+
+def _boundary(x: DataFrame, z: DataFrame, weights: dict[str, tuple[float, float]], output_dir: str) -> dict:
+    """Writes the reachable boundary of the plane and places in it that are far from all points; what it rests on."""
+    names, spark = list(weights), x.sparkSession
+    bounds = x.agg(*(f(F.col(f"`{n}`")) for f in (F.min, F.max) for n in names)).head()
+    lower, upper = np.array(bounds[: len(names)]), np.array(bounds[len(names) :])
+    try:
+        corners, kept, fallback = shape.box_corners(lower, upper, np.array(list(weights.values())), projection.correlation(projection.moments(x, names)[2]))
+    except ValueError as error:
+        return {"available": False, "reason": str(error)}
+    tables.write_table(spark.createDataFrame([(k, *map(float, c)) for k, c in enumerate(corners)], "corner int, z1 double, z2 double"), f"{output_dir}/boundary")
+    targets = shape.coverage_targets(z, corners)
+    tables.write_table(spark.createDataFrame(targets, "z1 double, z2 double, distance double"), f"{output_dir}/coverage_targets")
+    return {"available": True, "corners": len(corners), "kept_corners": len(kept), "all_corners_used": bool(fallback), "coverage_targets": len(targets)}
+
+
 def project_(spark: SparkSession, a: argparse.Namespace) -> dict:
     """Instances or their features to the plane.
 
     ``--instances`` are audited and kept as they came; if any of them is bad, nothing else is done. ``--features``
     need ``--origins``, as sources are never inferred. Features and normalized features are
     written. With ``--performance`` and ``--good`` a map is fitted over the features that
-    the labels select; it also reconstructs the normalized measurements. With
+    the labels select; it also reconstructs the normalized measurements, and the plane's
+    boundary, uncovered places and the shape of the cloud are written beside it. With
     ``--fitted-projection``, the folder of such a run, its frozen normalization and map are
     checked against their manifest and applied. ``--coordinates`` with ``--origins`` only writes the point table.
     """
@@ -97,6 +122,8 @@ def project_(spark: SparkSession, a: argparse.Namespace) -> dict:
         fitted, weights = frozen.load(spark, a.fitted_projection)
         z = frozen.apply(table, fitted, weights).persist()
         tables.write_table(z, f"{a.output_dir}/coordinates")
+        said = {"fitted_folder": a.fitted_projection, "fitted_artefacts": tables.read_json(spark, f"{a.fitted_projection}/manifest"), "selected": [*weights], "refitted": False, "coordinates_modified": False, "shape": _shape(z)}
+        tables.write_json(spark, said, f"{a.output_dir}/application")
         return {"status": "frozen_projection_applied", "selected": [*weights], "points": _points(z, origins, a.output_dir)}
     fitted = {r.feature: r.asDict() for r in projection.fit_normalization(table).collect()}
     x = projection.apply_normalization(table, fitted).persist()
@@ -114,6 +141,8 @@ def project_(spark: SparkSession, a: argparse.Namespace) -> dict:
     tables.write_table(z, f"{a.output_dir}/coordinates")
     tables.write_table(spark.createDataFrame([(k, *w) for k, w in weights.items()], "feature string, z1 double, z2 double"), f"{a.output_dir}/projection_matrix")
     frozen.save(spark, a.output_dir, chosen, joined)
+    said = {"boundary": _boundary(joined, z, weights, a.output_dir), "shape": _shape(z), "loss": loss, "search": info["representative_search"], "responses": list(scales), "seed": a.seed}
+    tables.write_json(spark, said, f"{a.output_dir}/diagnostics")
     return {"status": "projection_complete_partitions_deferred", "selected": chosen, "loss": loss, "search": info["representative_search"], "reconstruction_columns": back.shape[1], "points": _points(z, origins, a.output_dir)}
 
 

@@ -9,6 +9,7 @@ import pytest
 from satchel import __main__ as cli
 from satchel.operators import solve
 from satchel.plans import projection
+from satchel.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +47,20 @@ def test_fit_apply_and_redraw(spark, folder, capsys):
     assert said == {"status": "coordinates_supplied", "points": {"sage_original": 20, "synthetic": 20}}
 
 
+def test_what_a_fit_leaves(spark, folder):
+    said = tables.read_json(spark, f"{folder}/fit/diagnostics")
+    assert said["shape"]["available"] and said["shape"]["n"] == 40 and said["loss"] > 0 and said["boundary"]["available"]
+    corners = spark.read.csv(f"{folder}/fit/boundary", header=True)
+    targets = [(float(r.z1), float(r.z2), float(r.distance)) for r in spark.read.csv(f"{folder}/fit/coverage_targets", header=True).collect()]
+    assert corners.count() == said["boundary"]["corners"] >= 3 and len(targets) == said["boundary"]["coverage_targets"] > 0
+    z = np.array([(float(r.z1), float(r.z2)) for r in spark.read.csv(f"{folder}/fit/coordinates", header=True).collect()])
+    assert all(d == pytest.approx(np.hypot(*(z - [x, y]).T).min()) for x, y, d in targets)
+    applied = tables.read_json(spark, f"{folder}/frozen/application")
+    assert applied["fitted_artefacts"] == tables.read_json(spark, f"{folder}/fit/manifest") and applied["refitted"] is False
+    kept = [json.loads(r.value)["instance_id"] for r in spark.read.text(f"{folder}/fit/inputs").collect()]
+    assert sorted(kept) == sorted(f"i{k}" for k in range(40))
+
+
 def test_what_is_refused(spark, folder, capsys):
     assert run(capsys, "--instances", folder / "bad.jsonl", "--output-dir", folder / "bad") == (2, {"status": "needs_parameter_review", "bad_rows": 1})
     audit = spark.read.csv(f"{folder}/bad/audit", header=True).collect()
