@@ -13,11 +13,11 @@ TINY = 1e-12
 MOST_ITEMS = 400
 
 
-def triples(x: str) -> Column:
-    """1 - a - b - c for the elements i < j < k of an array, as 1 - (a + b + c)."""
-    c, n = F.col(x), F.size(x)
-    last = lambda a, b, k: F.transform(F.slice(c, k, n), lambda v: 1.0 - (a + b + v))
-    return F.flatten(F.transform(c, lambda a, i: F.flatten(F.transform(F.slice(c, i + 2, n), lambda b, j: last(a, b, i + j + 3)))))
+def triples(x: Column, f) -> Column:
+    """f(a, b, c) for the elements i < j < k of an array."""
+    n = F.size(x)
+    last = lambda a, b, k: F.transform(F.slice(x, k, n), lambda c: f(a, b, c))
+    return F.flatten(F.transform(x, lambda a, i: F.flatten(F.transform(F.slice(x, i + 2, n), lambda b, j: last(a, b, i + j + 3)))))
 
 
 def _slack(df: DataFrame, name: str, s: str) -> DataFrame:
@@ -38,7 +38,7 @@ def compatibility_features(instances: DataFrame) -> DataFrame:
     """
     rows = instances.where(F.size("sizes").between(1, MOST_ITEMS) & (F.col("capacity") > 0))
     df = rows.select("instance_id", F.transform("sizes", lambda s: s / F.col("capacity").cast("double")).alias("r"))
-    df = df.withColumns({"s2": pairs(F.col("r"), lambda a, b: 1.0 - a - b), "s3": triples("r"), "sorted": F.array_sort("r")})
+    df = df.withColumns({"s2": pairs(F.col("r"), lambda a, b: 1.0 - a - b), "s3": triples(F.col("r"), lambda a, b, c: 1.0 - (a + b + c)), "sorted": F.array_sort("r")})
     room = F.transform("r", lambda a, i: F.filter(F.transform("r", lambda b, j: F.when(i != j, 1.0 - a - b)), lambda v: v >= -TINY))
     df = df.withColumn("room", room).withColumns({
         "fits": F.transform("room", lambda m: F.size(m) / F.greatest(F.size("r") - 1, F.lit(1))), "best": F.transform(F.filter("room", lambda m: F.size(m) > 0), lambda m: F.greatest(F.lit(0.0), F.array_min(m))),

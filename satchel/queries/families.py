@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.operators import compatibility, subset_sums
+from satchel.operators import compatibility, packing, quadratic, subset_sums
 from satchel.operators.families import family_features
-from satchel.queries.common import INSTANCES, instances, rounded, seven_sql, sig
+from satchel.queries.common import INSTANCES, instances, rounded, seven_sql, sig, stats_sql
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +40,12 @@ def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight features that the SQL covers; ``packing_all_features`` has the rest."""
-    return _features(_payload(_bins(spark, sf_dir), "packing", "sizes", "capacity")).where(F.col("feature").isin("item_count", "total_size_ratio", "remaining_capacity_fraction", "huge_item_ratio", "large_item_ratio", "medium_item_ratio", "small_item_ratio", "tiny_item_ratio"))
+    """Eight features, a row per instance and feature; ``packing_all_features`` has all 24."""
+    return packing_all_features(spark, sf_dir).where(F.col("feature").isin("item_count", "total_size_ratio", "remaining_capacity_fraction", "huge_item_ratio", "large_item_ratio", "medium_item_ratio", "small_item_ratio", "tiny_item_ratio"))
 
 
 def packing_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features of all orders; no SQL."""
-    return _features(_payload(_bins(spark, sf_dir), "packing", "sizes", "capacity"))
+    return _tall_rows(packing.packing_features(_bins(spark, sf_dir)))
 
 
 def compatibility_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +62,8 @@ def quadratic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pair profits of the neighbours in an order's item list."""
     rows = instances(spark, sf_dir)
     steps = F.sequence(F.lit(0), F.size("weights") - 2)
-    pairs = F.transform(steps, lambda i: F.concat(F.lit('[{"__tuple__":['), i.cast("string"), F.lit(","), (i + 1).cast("string"), F.lit("]},"), ((F.get("profit", i) + F.get("profit", i + 1)) % 1000).cast("string"), F.lit("]")))
-    payload = F.concat(F.lit('{"weights":'), F.to_json("weights"), F.lit(',"profits":'), F.to_json("profit"), F.lit(',"capacity":'), F.col("capacity").cast("string"), F.lit(',"pair_profit":{"__map__":['), F.array_join(pairs, ","), F.lit("]}}"))
-    return _features(rows.select("instance_id", F.lit("quadratic").alias("family"), payload.alias("payload")))
+    pairs = F.transform(steps, lambda i: F.struct(i.alias("i"), (i + 1).alias("j"), ((F.get("profit", i) + F.get("profit", i + 1)) % 1000).alias("v")))
+    return _tall_rows(quadratic.quadratic_features(rows.withColumn("pair_profit", pairs)))
 
 
 def _arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,3 +214,41 @@ _COMPAT = f"""WITH {INSTANCES}, bins AS (SELECT instance_id, n, CAST(list_max(we
   d AS (SELECT instance_id, {', '.join(f'{sig(v)} AS {k}' for k, v in _SLACK('pair').items())} FROM two WHERE once GROUP BY 1),
   e AS (SELECT x.instance_id, {', '.join(f'{sig(v)} AS {k}' for k, v in _SLACK('triple').items())} FROM (SELECT DISTINCT instance_id FROM x) x LEFT JOIN three USING (instance_id) GROUP BY 1)"""
 ORACLE["compatibility_features"] = f"{_COMPAT} SELECT instance_id, feature, value FROM (UNPIVOT (SELECT * FROM a JOIN b USING (instance_id) JOIN c USING (instance_id) JOIN d USING (instance_id) JOIN e USING (instance_id)) ON * EXCLUDE (instance_id) INTO NAME feature VALUE value)"
+
+_CORR = "CASE WHEN count(*) < 2 OR min({0}) = max({0}) OR min({1}) = max({1}) THEN 0 ELSE covar_pop({0}, {1}) / (stddev_pop({0}) * stddev_pop({1})) END"
+_GINI = "CASE WHEN sum({0}) > 0 THEN 2.0 * sum({1} * {0}) / (count(*) * sum({0})) - (count(*) + 1.0) / count(*) ELSE 0 END"
+_ITEM = {
+    "n": "count(*)", "capacity_ratio": "any_value(c) / greatest(sum(w), 1)", "capacity_max_weight_ratio": "any_value(c) / greatest(max(w), 1)", "mean_weight_capacity_ratio": "avg(w) / greatest(any_value(c), 1)", "max_weight_capacity_ratio": "max(w) / greatest(any_value(c), 1)",
+    "weight_std": "stddev_pop(w)", "weight_cv": "stddev_pop(w) / avg(w)", "weight_gini": _GINI.format("w", "wk"), "large_weight_ratio": "avg(CAST(w > 0.5 * c AS INT))", "medium_large_weight_ratio": "avg(CAST(w > 0.25 * c AND w <= 0.5 * c AS INT))", "small_weight_ratio": "avg(CAST(w <= 0.1 * c AS INT))",
+    "linear_profit_mean": "avg(p)", "linear_profit_cv": "CASE WHEN avg(p) > 0 THEN stddev_pop(p) / avg(p) ELSE 0 END", "profit_weight_corr": _CORR.format("p", "w"),
+}
+_PAIR = {
+    "pair_profit_mean": "any_value(vm)", "pair_profit_cv": "any_value(vd / vm)", "pair_profit_skew": "CASE WHEN count(*) < 3 OR any_value(vd) <= 1e-12 THEN 0 ELSE avg(pow(v - vm, 3)) / pow(any_value(vd), 3) END",
+    "pair_profit_gini": _GINI.format("v", "vk"), "pair_profit_weight_corr": _CORR.format("v", "joint"), "high_pair_profit_ratio": "avg(CAST(v >= vm + vd AS INT))",
+}
+_BOTH = {
+    "pair_density": "k / greatest(pairs, 1)", "zero_pair_profit_ratio": "1 - k / greatest(pairs, 1)", "linear_profit_share": "linear / greatest(linear + paired, 1)", "quadratic_profit_share": "paired / greatest(linear + paired, 1)",
+    "high_pair_triangle_ratio": "closed / greatest(triples, 1)", "pair_over_capacity_ratio": "over2 / greatest(pairs, 1)", "triplet_over_capacity_ratio": "over3 / greatest(triples, 1)",
+}
+ORACLE["quadratic_features"] = f"""WITH {INSTANCES}, item0 AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY w) AS wk FROM it),
+  q AS (SELECT a.instance_id, a.i, b.i AS j, (a.p + b.p) % 1000 AS v, a.w + b.w AS joint FROM it a JOIN it b ON a.instance_id = b.instance_id AND b.i = a.i + 1),
+  q1 AS (SELECT *, avg(v) OVER (PARTITION BY instance_id) AS vm, row_number() OVER (PARTITION BY instance_id ORDER BY v) AS vk FROM q WHERE v > 0), q2 AS (SELECT *, sqrt(avg(pow(v - vm, 2)) OVER (PARTITION BY instance_id)) AS vd FROM q1),
+  high AS (SELECT * FROM q2 WHERE v >= vm + vd),
+  two AS (SELECT a.instance_id, count(*) AS pairs, count(*) FILTER (a.w + b.w > a.c) AS over2 FROM it a JOIN it b ON a.instance_id = b.instance_id AND a.i < b.i GROUP BY 1),
+  three AS (SELECT a.instance_id, count(*) AS triples, count(*) FILTER (a.w + b.w + d.w > a.c) AS over3 FROM it a JOIN it b ON a.instance_id = b.instance_id AND a.i < b.i JOIN it d ON a.instance_id = d.instance_id AND b.i < d.i GROUP BY 1),
+  ring AS (SELECT x.instance_id, count(*) AS closed FROM high x JOIN high y ON x.instance_id = y.instance_id AND x.j = y.i JOIN high z ON x.instance_id = z.instance_id AND z.i = x.i AND z.j = y.j GROUP BY 1),
+  f1 AS (SELECT instance_id, sum(p) AS linear, {', '.join(f'{sig(v)} AS {k}' for k, v in _ITEM.items())} FROM item0 GROUP BY 1),
+  f2 AS (SELECT instance_id, count(*) AS k, sum(v) AS paired, {', '.join(f'{sig(v)} AS {k}' for k, v in _PAIR.items())} FROM q2 GROUP BY 1),
+  f AS (SELECT instance_id, linear, {', '.join(_ITEM)}, coalesce(k, 0) AS k, coalesce(paired, 0) AS paired, {', '.join(f'coalesce({k}, 0) AS {k}' for k in _PAIR)}, pairs, over2, coalesce(triples, 0) AS triples, coalesce(over3, 0) AS over3, coalesce(closed, 0) AS closed
+        FROM f1 LEFT JOIN f2 USING (instance_id) JOIN two USING (instance_id) LEFT JOIN three USING (instance_id) LEFT JOIN ring USING (instance_id)),
+  wide AS (SELECT instance_id, {', '.join([*_ITEM, *_PAIR])}, {', '.join(f'{sig(v)} AS {k}' for k, v in _BOTH.items())} FROM f)
+  SELECT instance_id, feature, value FROM (UNPIVOT (SELECT instance_id, {', '.join(f'CAST({k} AS DOUBLE) AS {k}' for k in [*_ITEM, *_PAIR, *_BOTH])} FROM wide) ON * EXCLUDE (instance_id) INTO NAME feature VALUE value)"""
+
+_CLASS = {k: " AND ".join([f"r > {a}"] * (a is not None) + [f"r <= {b}"] * (b is not None)) for k, (a, b) in packing.CLASSES.items()}
+#: The sum in item order: whether it reaches a whole number depends on the order of additions.
+_TOTAL = "list_reduce(list(r ORDER BY i), lambda a, b: a + b)"
+_PACKED = ", ".join([*stats_sql("relative_size", "r"), *(f"{sig(v)} AS {k}" for k, v in {
+    "item_count": "count(*)", "bin_capacity": "any_value(capacity)", "total_size_ratio": _TOTAL, "remaining_capacity_fraction": f"ceil({_TOTAL}) - {_TOTAL}", **{f"{k}_item_ratio": f"avg(CAST({v} AS INT))" for k, v in _CLASS.items()},
+}.items())])
+ORACLE["packing_all_features"] = f"""{_BINS}, m AS (SELECT *, avg(r) OVER g AS relative_size_m, stddev_pop(r) OVER g AS relative_size_d FROM s WINDOW g AS (PARTITION BY instance_id))
+  SELECT instance_id, feature, value FROM (UNPIVOT (SELECT instance_id, {_PACKED} FROM m GROUP BY 1) ON * EXCLUDE (instance_id) INTO NAME feature VALUE value)"""
