@@ -101,18 +101,40 @@ def _plain(url: str) -> str:
     return f"CASE WHEN {scheme} = '' THEN {bare} ELSE lower({scheme}) || '://' || {_HOST.format(bare)} || CASE WHEN {rest} = '' THEN '/' ELSE {rest} END END"
 
 
-_TARGET = """CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:/?#]*)://', 1) || ':' || t
-  WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^:/?#]*)://', 1) || '://' || regexp_extract(url, '^[^:/?#]*://([^/?#]*)', 1) || t END"""
-_LINKS = [
-    r"(?is)<link\b[^>]*\brel\s*=\s*[\"'']?canonical\b[^>]*\bhref\s*=\s*[\"'']?([^\"''\s>]+)", r"(?is)<link\b[^>]*\bhref\s*=\s*[\"'']?([^\"''\s>]+)[^>]*\brel\s*=\s*[\"'']?canonical\b",
-    r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b[^>]*\bcontent\s*=\s*[\"''][^\"''>]*?\burl\s*=\s*([^\"''\s>]+)", r"(?is)<meta\b[^>]*\bcontent\s*=\s*[\"''][^\"''>]*?\burl\s*=\s*([^\"''\s>]+)[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b",
-]
+def _attribute_sql(name: str) -> str:
+    pattern = rf"""(?is)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
+    return "(" + " || ".join(f"regexp_extract(tag, '{pattern}', {k})" for k in (1, 2, 3)) + ")"
+
+
+def _referenced(x: str) -> str:
+    for said, meant in url_filter.REFERENCES.items():
+        x = f"replace({x}, '{said}', '{meant.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+def _steps(path: str) -> str:
+    """A path without its ``.`` and up to eight of its ``..`` steps."""
+    path = f"regexp_replace(regexp_replace({path}, '(/\\.)+/', '/', 'g'), '/\\.$', '/')"
+    for _ in range(8):
+        path = f"regexp_replace({path}, '^((?:/[^/]*)*?)/(?:[^/.][^/]*|\\.[^/.][^/]*|\\.\\.[^/]+)/\\.\\.(/|$)', '\\1/')"
+    return f"regexp_replace({path}, '^(/\\.\\.)+(/|$)', '/')"
+
+
+_OWN = r"regexp_extract(url, '^[^:/?#]*://[^/?#]*([^?#]*)', 1)"
+_WAY = r"regexp_extract(t, '(?s)^([^?#]*)', 1)"
+_TARGET = rf"""CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN scheme = '' THEN NULL WHEN starts_with(t, '//') THEN scheme || ':' || t
+  WHEN host = '' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+  ELSE scheme || '://' || host || {_steps(f"CASE WHEN {_WAY} = '' THEN CASE WHEN {_OWN} = '' THEN '/' ELSE {_OWN} END WHEN starts_with(t, '/') THEN {_WAY} ELSE CASE WHEN {_OWN} = '' THEN '/' ELSE regexp_extract({_OWN}, '(?s)^(.*/)', 1) END || {_WAY} END")} || regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) END"""
+_REFRESH = r"""(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*["'']?\s*([^"'']+)"""
+_FOUND = rf"""SELECT url, regexp_extract(url, '^([^:/?#]*)://', 1) AS scheme, regexp_extract(url, '^[^:/?#]*://([^/?#]*)', 1) AS host, regexp_replace({_referenced('said')}, '^\s+|\s+$', '', 'g') AS t FROM (
+    SELECT url, CASE WHEN regexp_matches(tag, '(?i)^<link') THEN CASE WHEN list_contains(regexp_split_to_array(lower(trim({_attribute_sql('rel')})), '\s+'), 'canonical') THEN {_attribute_sql('href')} END
+      WHEN lower(trim({_attribute_sql('http-equiv')})) = 'refresh' THEN regexp_extract({_attribute_sql('content')}, '{_REFRESH}', 1) END AS said
+    FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL AND html IS NOT NULL))"""
 
 ORACLE = {
     "op3_url_filter": f"""
         WITH RECURSIVE judged AS (SELECT page_id, url, host, path, {_RULE} AS rule FROM (SELECT page_id, url, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path FROM pages)),
-        found AS ({' UNION ALL '.join(f"SELECT url, replace(regexp_extract(html, '{x}', 1), '&amp;', '&') AS t FROM pages WHERE url IS NOT NULL AND html IS NOT NULL" for x in _LINKS)}),
-        targets AS (SELECT url, {_TARGET} AS t FROM found WHERE t <> ''),
+        found AS ({_FOUND}), targets AS (SELECT url, {_TARGET} AS t FROM found WHERE t <> ''),
         edges AS (SELECT DISTINCT {_plain('url')} AS a, {_plain('t')} AS b FROM targets WHERE t IS NOT NULL),
         ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
         reach(a, b) AS (SELECT a, a FROM ways UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a),

@@ -63,20 +63,44 @@ def _plain(url: Column) -> Column:
     return F.when(scheme == "", url).otherwise(F.concat(F.lower(scheme), F.lit("://"), host_of(url), F.when(rest == "", F.lit("/")).otherwise(rest)))
 
 
+#: Character references that occur in addresses. The ampersand comes last.
+REFERENCES = {"&quot;": '"', "&#34;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&#47;": "/", "&#x2f;": "/", "&#x2F;": "/", "&#58;": ":", "&#x3a;": ":", "&#x3A;": ":", "&lt;": "<", "&gt;": ">", "&#38;": "&", "&#x26;": "&", "&amp;": "&"}
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, quoted in either way or not at all; empty if it is not there."""
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))
+
+
+def _resolved(to: Column, page: Column) -> Column:
+    """``to`` as a URL with scheme and host, seen from ``page``; null where it has none (mailto: and the like)."""
+    scheme, host = F.regexp_extract(page, r"^([^:/?#]*)://", 1), F.regexp_extract(page, r"^[^:/?#]*://([^/?#]*)", 1)
+    path = F.regexp_extract(page, r"^[^:/?#]*://[^/?#]*([^?#]*)", 1)
+    way, rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    whole = F.when(way == "", F.when(path == "", F.lit("/")).otherwise(path)).when(way.startswith("/"), way).otherwise(F.concat(F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1)), way))
+    steps = F.split(whole, "/")
+    kept = F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.array_append(a, x)))
+    ends = F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    local = F.when((scheme != "") & (host != ""), F.concat(scheme, F.lit("://"), host, F.lit("/"), F.array_join(kept, "/"), ends, rest))
+    return F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.when(scheme != "", F.concat(scheme, F.lit(":"), to))).when(~to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), local)
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) from redirects and canonical links in the pages' html.
+    """(src, dst) from all redirects and canonical links in the pages' html.
 
-    Only absolute targets, ``//host`` and ``/path`` are resolved; others name no other URL
-    with certainty and are left out, as are links of a page to itself.
+    A page may have several. Relative targets are resolved against the page, character
+    references (``REFERENCES``) are replaced first. Targets without a host, and links of a
+    page to itself, are left out.
     """
-    html = F.col("html")
-    canonical = F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?\burl\s*=\s*([^\"'\s>]+)", 1)
-    found = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.explode(F.array(canonical, refresh)).alias("to")).where("to <> ''")
-    scheme, host = F.regexp_extract("url", r"^([^:/?#]*)://", 1), F.regexp_extract("url", r"^[^:/?#]*://([^/?#]*)", 1)
-    to = F.regexp_replace("to", "&amp;", "&")
-    target = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(scheme, F.lit("://"), host, to))
-    return found.select(_plain(F.col("url")).alias("src"), _plain(target).alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
+    tags = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
+    canonical = F.when(F.array_contains(F.split(F.lower(F.trim(_attribute(F.col("tag"), "rel"))), r"\s+"), "canonical"), _attribute(F.col("tag"), "href"))
+    refresh = F.when(F.lower(F.trim(_attribute(F.col("tag"), "http-equiv"))) == "refresh", F.regexp_extract(_attribute(F.col("tag"), "content"), r"""(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*["']?\s*([^"']+)""", 1))
+    to = F.when(F.col("tag").rlike(r"(?i)^<link"), canonical).otherwise(refresh)
+    for said, meant in REFERENCES.items():
+        to = F.replace(to, F.lit(said), F.lit(meant))
+    found = tags.select("url", F.regexp_replace(to, r"^\s+|\s+$", "").alias("to")).where("to <> ''")
+    return found.select(_plain(F.col("url")).alias("src"), _plain(_resolved(F.col("to"), F.col("url"))).alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from satchel.llm import exact_dedup, lm_scoring, mixing, near_dedup, neighbours, packing, quality, token_counts, toxicity, url_filter
+from satchel.llm import queries as llm_queries
 from satchel.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, block int, row_id long, size long, n long, key long, __words string, target double, label int"
@@ -174,6 +175,39 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+#: A page's url and html, and where its aliases lead.
+ALIASES = [
+    ("http://p.org/a/b", "<meta http-equiv=refresh content=\"0;url='http://b.example.com/en/1'\">", ["http://b.example.com/en/1"]),
+    ("http://q.org/", '<link rel="canonical" href="http://c.org/x"><LINK REL=\'nofollow Canonical\' href=/en/2?x=1#y >', ["http://c.org/x", "http://q.org/en/2?x=1"]),
+    ("http://r.org/a/b/c?d", '<link href="../x/./y" rel=canonical>', ["http://r.org/a/x/y"]), ("http://s.org", '<link href="z" rel=canonical>', ["http://s.org/z"]), ("http://t.org/a/b", '<link rel=canonical href="?q">', ["http://t.org/a/b?q"]),
+    ("http://u.org/a", '<link rel=canonical href="../../..">', ["http://u.org/"]), ("http://v.org/a/b/c", '<link rel=canonical href="..">', ["http://v.org/a/"]), ("http://w.org/", '<link rel=canonical href="/login?next=http://x.org/">', ["http://w.org/login?next=http://x.org/"]),
+    ("http://x.org/", "<meta content='5; URL=http:&#x2F;&#47;y.org/?a&amp;b' http-equiv=Refresh>", ["http://y.org/?a&b"]), ("http://y.org/", '<link rel=canonical href="mailto:a@b.c"><meta name=refresh content="0;url=http://no.org/"><link rel=canonicalx data-href="http://no.org/">', []),
+    ("nothing", '<link rel=canonical href="/x"><link rel=canonical href="http://n.org/">', ["http://n.org/"]), ("http://z.org/a", '<link rel=canonical href="#top"><link rel=canonical href=" ">', []), ("https://Z.org/", "<link rel=canonical href=//k.org/p>", ["https://k.org/p"]),
+]
+
+
+def test_aliases(spark):
+    rows = [(k, *x[:2]) for k, x in enumerate(ALIASES)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {}
+    for r in url_filter.alias_edges(pages).collect():
+        got.setdefault(r.src, []).append(r.dst)
+    assert {k: sorted(v) for k, v in got.items()} == {u.replace("//Z", "//z") + ("/" if u == "http://s.org" else ""): sorted(v) for u, _, v in ALIASES if v}
+
+
+def test_aliases_against_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(k, *x[:2]) for k, x in enumerate(ALIASES)] + [(50, "http://m.org/1", '<link rel=canonical href="http://n.net/es/q">'), (51, "http://m.org/2", '<link rel=canonical href="1">'), (52, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(llm_queries.oracle_sql()["op3_url_filter"]).fetchall()
+    got = [tuple(r) for r in llm_queries.op3_url_filter(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    verdicts = {r[0]: r[-1] for r in got}
+    assert verdicts[0] == "block" and verdicts[50] == verdicts[51] == "block" and verdicts[1] == "allow"
+
+
 def test_mixing(docs, rows, nothing):
     got = mixing.mix(docs, block_words=4).collect()
     assert len(got) == len(rows) and got and sorted(map(str, got)) == sorted(map(str, mixing.mix(docs, block_words=4).collect()))
