@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from satchel.functions.tasks import stored
 from satchel.operators import augment, features, hashing, shape, solve, text
 from satchel.plans import frozen, projection
 from satchel.sources import adapter, tables
@@ -17,10 +18,11 @@ from satchel.sources import adapter, tables
 
 def extract(spark: SparkSession, a: argparse.Namespace) -> dict:
     """Word problems of a corpus to instances as JSON lines; equal and proportional repeats are dropped, in the corpus' order."""
-    rows = tables.read_corpus(spark, a.corpus).withColumn("ord", F.monotonically_increasing_id()).withColumn("instance_id", F.col("ord").cast("string")).persist()
-    parsed = text.parse_questions(rows).withColumn("ord", F.col("instance_id").cast("long")).where("parsed")
+    # Stored, so that the order and the parser's work outlive executors.
+    rows = stored(tables.read_corpus(spark, a.corpus).withColumn("ord", F.monotonically_increasing_id()).withColumn("instance_id", F.col("ord").cast("string")), "corpus")
+    parsed = stored(text.parse_questions(rows).withColumn("ord", F.col("instance_id").cast("long")).where("parsed"), "parsed")
     kept = hashing.numbered(hashing.dedupe(parsed)).join(rows.select("ord", "base_id", "source"), "ord")
-    kept = hashing.with_proportional_hash(kept)
+    kept = stored(hashing.with_proportional_hash(kept), "kept")
     lineage = F.struct("base_id", "source", "canonical_hash", "proportional_hash")
     out = kept.select("ord", F.col("numbered_id").alias("instance_id"), F.lit("sage_original").alias("origin"), F.lit("domain").alias("variant"), F.struct("weights", "profit", "capacity").alias("parameters"), lineage.alias("lineage"))
     tables.write_instances(out, a.output, "ord")
@@ -47,7 +49,7 @@ def augment_(spark: SparkSession, a: argparse.Namespace) -> dict:
 def solve_(spark: SparkSession, a: argparse.Namespace) -> dict:
     rows = tables.read_instances(spark, a.instances)
     rows = rows.limit(a.max_instances) if a.max_instances else rows
-    found = solve.run_formulations(rows).persist()
+    found = solve.run_formulations(rows, a.time_limit).persist()
     for name, value in (("performance", "seconds"), ("good", "good"), ("objectives", "objective")):
         tables.write_table(solve.wide(found, value), f"{a.output_dir}/{name}")
     return {r.formulation: r.n for r in found.groupBy("formulation").agg(F.sum("good").alias("n")).collect()}
@@ -156,6 +158,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--candidates-per-round", type=int, default=200), p.add_argument("--seed", type=int, default=20260924), p.add_argument("--max-parents", type=int, default=0)
     p = sub.add_parser("solve")
     p.add_argument("--instances", required=True), p.add_argument("--output-dir", required=True), p.add_argument("--max-instances", type=int, default=0)
+    p.add_argument("--time-limit", type=float, default=60.0)
     p = sub.add_parser("project")
     p.add_argument("--instances"), p.add_argument("--features"), p.add_argument("--origins"), p.add_argument("--coordinates"), p.add_argument("--fitted-projection")
     p.add_argument("--output-dir", required=True), p.add_argument("--performance"), p.add_argument("--good"), p.add_argument("--seed", type=int, default=0)

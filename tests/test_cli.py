@@ -79,3 +79,25 @@ def test_responses_share_one_minimum(spark):
     for bad in (0.0, float("nan"), None):
         with pytest.raises(ValueError):
             projection.fit_responses(spark.createDataFrame([("i", 1.0), ("j", bad)], "instance_id string, a double"))
+
+
+def test_time_limit(spark, folder):
+    rows = tables.read_instances(spark, f"{folder}/instances.jsonl").limit(3)
+    free, none = (solve.run_formulations(rows, limit).select("good", "objective").collect() for limit in (60.0, 0.0))
+    assert all(r.good for r in free) and not any(r.good for r in none) and sorted(r.objective for r in free) == sorted(r.objective for r in none)
+
+
+def test_extract_augment_and_solve(spark, folder, capsys):
+    """The other commands, end to end, on small files."""
+    question = "There are 3 items.\n- Item 0: Value = {}, Weight = 2\n- Item 1: Value = 5, Weight = 3\n- Item 2: Value = 6, Weight = 4\nThe capacity is 6."
+    lines = ["id,b,question,d,e,source,g,problem"] + [f'q{k},,"{question.format(4 + k)}",,,OptMATH,,{"KP" if k < 3 else "TSP"}' for k in range(4)]
+    (folder / "corpus.csv").write_text("\n".join(lines) + "\n")
+    code, out = cli.main(["extract", str(folder / "corpus.csv"), str(folder / "extracted")]), capsys.readouterr().out
+    assert code == 0 and json.loads(out[out.index("{") :])
+    code, out = cli.main(["augment", "--parents", str(folder / "instances.jsonl"), "--output-dir", str(folder / "more"), "--max-rounds", "1", "--candidates-per-round", "20"]), capsys.readouterr().out
+    said = json.loads(out[out.index("{") :])
+    assert code == 0 and said["generated"] == 20 == tables.read_instances(spark, f"{folder}/more/instances").count()
+    code, out = cli.main(["solve", "--instances", str(folder / "instances.jsonl"), "--output-dir", str(folder / "solved"), "--time-limit", "60"]), capsys.readouterr().out
+    assert code == 0 and json.loads(out[out.index("{") :])["compact"] == 40
+    good = spark.read.csv(f"{folder}/solved/good", header=True)
+    assert good.count() == 40 and {r.compact for r in good.collect()} == {"1"}
