@@ -45,7 +45,8 @@ def _name_blocks(norm: DataFrame, rows: DataFrame, block_chars: int, salt: int)
     """(h1, h2, name, texts): a name for each repeated fingerprint; texts is how many texts share it."""
     repeated = rows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
     seen = norm.select(F.explode(F.arrays_zip(_blocks(F.col("__norm"), block_chars).alias("block"), _prints(F.col("__norm"), block_chars, salt).alias("print"))).alias("b"))
-    seen = seen.select("b.print.h1", "b.print.h2", "b.block").join(repeated, ["h1", "h2"], "left_semi").distinct()
+    #: Copies of a block are combined before the shuffle, so a block that a third of all rows hold reaches the join once a task.
+    seen = seen.select("b.print.h1", "b.print.h2", "b.block").distinct().join(repeated, ["h1", "h2"], "left_semi")
     by_print = Window.partitionBy("h1", "h2")
     named = seen.select("h1", "h2", F.row_number().over(by_print.orderBy("block")).alias("i"), F.count(F.lit(1)).over(by_print).alias("texts"))
     return materialise(named.where("i = 1").select("h1", "h2", F.monotonically_increasing_id().alias("name"), "texts"), "block-names")

@@ -62,9 +62,11 @@ def _logit(p: Column) -> Column:
 
 
 def _model(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[list[float], list[float], list[float]]:
-    """(centre, scale, weights) from the sample: the labelled rows with the smallest hashes of their ids."""
+    """(centre, scale, weights) from the sample: the labelled ids with the smallest hashes; rows that share an id count as one, by the mean of their features, so no more than ``sample_rows`` rows reach the driver."""
     sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.join(F.broadcast(sample), "doc_id").select("good", *(f.alias(f"f{i}") for i, f in enumerate(features(F.col("text")))))
+    found = [f.alias(f"f{i}") for i, f in enumerate(features(F.col("text")))]
+    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "good", *found)
+    rows = rows.groupBy("doc_id", "good").agg(*(F.avg(f"f{i}").alias(f"f{i}") for i in range(len(found)))).drop("doc_id")
     table = np.array(rows.toPandas(), dtype=float).reshape(-1, 1 + len(features(F.lit(""))))
     y, x = table[:, 0], table[:, 1:]
     if not len(y):

@@ -187,7 +187,9 @@ def _fit(docs: DataFrame, labels: DataFrame, sample_rows: int) -> bytes:
     parts = [labels.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for c in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # twice sample_rows rows at most
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int")
-    sample = materialise(docs.join(chosen, "doc_id").select("doc_id", "text", "toxic", fold.alias("fold")), "toxicity-sample")
+    #: Of the rows that share an id the greatest text, so that there are no more rows than chosen ids.
+    sample = docs.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    sample = materialise(sample.select("doc_id", "text", "toxic", fold.alias("fold")), "toxicity-sample")
     seen = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}  # two rows
     every = sum(totals.values())
     share = (totals.get(1, 0) + 1) / (every + 2)
