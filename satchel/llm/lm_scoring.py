@@ -13,9 +13,18 @@ masked attention itself. Windows overlap by half: each id is scored once, in the
 half of its window. Which ids form a class comes from their contexts; p(y | class) from
 the ids' counts in all training texts.
 
-A word's probability is a mixture of the product over its ids and of its share of all
-training words (words that did not occur have the first part alone), so both the counts
-of the whole corpus and the context count.
+Ids of pieces that begin a word, and the end, open a token; no other id does. With B(x)
+the probability that the next id opens one, a word's probability under the network is
+
+    p(first id | x) / B(x) * product of the others * B(x with the word),
+
+that is, its ids follow and then the word is over; the end's is p(end | x) / B(x). Words and
+the end together have probability 1. A word that its ids do not spell (it holds the mark of
+a word's beginning) shares SPELLED of it and is spelled by bytes, all alike, with a stop.
+
+A word's probability is a mixture of the network's and of its share of all training words
+(words that did not occur have the first part alone), so both the counts of the whole
+corpus and the context count, and what follows has probability 1 at most in any context.
 
 Data flow. Texts are dealt to blocks of about BLOCK_CHARS by a hash. Each block is packed
 once: its distinct words with their ids, and its texts as indices into them; all later
@@ -59,6 +68,8 @@ TUNE = 50
 #: Frequent ids whose neighbourhood tells contexts apart, parts in which contexts and weights are summed, and blocks that are merged at once at most.
 FREQUENT, PARTS, MERGED = 256, 16, 64
 BLOCK_CHARS = 8_000_000
+#: The probability of words that their ids do not spell.
+SPELLED = 1e-4
 #: The base counts: what is added to each count.
 ADDED = 0.1
 
@@ -67,17 +78,27 @@ class Subwords:
     """Ids of words. Ids: pad, start, end, then the tokenizer's."""
 
     PAD, START, END, FIRST = 0, 1, 2, 3
+    #: What a piece that begins a word begins with.
+    MARK = "\u2581".encode()
 
     def __init__(self, processor):
         self._encode, self.size = processor.encode, processor.get_piece_size() + self.FIRST
+        names = [processor.id_to_piece(i) for i in range(processor.get_piece_size())]
+        self._bytes = [bytes([int(n[3:-1], 16)]) if processor.is_byte(i) else n.encode() for i, n in enumerate(names)]
+        #: Which ids open a token.
+        self.opening = np.array([i == self.END for i in range(self.FIRST)] + [b.startswith(self.MARK) for b in self._bytes])
+
+    def _spells(self, ids: list[int], word: bytes) -> bool:
+        return self.MARK not in word and b"".join(map(self._bytes.__getitem__, ids)) == self.MARK + word
 
     def pieces(self, words: list[bytes]) -> Pieces:
-        lengths, flat = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        lengths, flat, spelled = ([np.zeros(0, np.int32)] for _ in range(3))
         for lo in range(0, len(words), 20_000):
             got = self._encode([w.decode() for w in words[lo : lo + 20_000]], num_threads=1)
             lengths.append(np.fromiter(map(len, got), np.int32, len(got)))
             flat.append(np.fromiter(chain.from_iterable(got), np.int32, int(lengths[-1].sum())) + np.int32(self.FIRST))
-        return Pieces(np.concatenate(lengths), np.concatenate(flat))
+            spelled.append(np.fromiter((0 if self._spells(i, w) else len(w) for i, w in zip(got, words[lo : lo + 20_000], strict=True)), np.int32, len(got)))
+        return Pieces(*map(np.concatenate, (lengths, flat, spelled)))
 
 
 @lru_cache(1)
@@ -116,10 +137,11 @@ class Block:
 
 
 class Pieces:
-    """The ids of a block's words, one after another."""
+    """The ids of a block's words, one after another; ``spelled`` has the bytes of each word that its ids do not spell, 0 for others."""
 
-    def __init__(self, length: np.ndarray, flat: np.ndarray):
+    def __init__(self, length: np.ndarray, flat: np.ndarray, spelled: np.ndarray | None = None):
         self.length, self.flat = length.astype(np.int64), flat
+        self.spelled = np.zeros(len(length), np.int32) if spelled is None else spelled
         self.begin = np.cumsum(self.length) - self.length
 
 
@@ -146,11 +168,12 @@ def _full_windows(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class AttentionModel:
-    """Tables and weights; ``log_probs`` scores next ids."""
+    """Tables and weights; ``log_probs`` scores next ids. ``opens`` is the part of each class that opens a token, all of it unless given."""
 
-    def __init__(self, e, wq, wk, wv, wr, distance, wc, bias, cls, within, mix):
+    def __init__(self, e, wq, wk, wv, wr, distance, wc, bias, cls, within, mix, opens=None):
         self.e, self.wq, self.wk, self.wv, self.wr, self.distance, self.wc, self.bias = e, wq, wk, wv, wr, distance, wc, bias
         self.cls, self.within, self.mix = cls, within, mix
+        self.opens = np.ones(CLASSES, "f4") if opens is None else opens
         self.tables()
 
     def tables(self) -> None:
@@ -174,7 +197,11 @@ class AttentionModel:
 
     def log_probs(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray, sizes: np.ndarray, batch: int = 256) -> np.ndarray:
         """log p(y[i] | x up to i in its window), each once."""
-        out = np.empty(len(y), "f4")
+        return self.log_probs_and_openings(x, y, starts, sizes, batch)[0]
+
+    def log_probs_and_openings(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray, sizes: np.ndarray, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """(``log_probs``, the logarithm of the probability that the next id opens a token)."""
+        out, opening = np.empty(len(y), "f4"), np.empty(len(y), "f4")
         at, own = _windows(x, starts, sizes)
         padded = np.append(x, Subwords.PAD)
         for lo in range(0, len(at), batch):
@@ -187,8 +214,10 @@ class AttentionModel:
             np.minimum(z, np.float32(60), out=z)
             wanted = z[np.arange(len(to)), self.cls[target]]
             np.exp(z, out=z)
-            out[to] = wanted - np.log(z.sum(-1)) + self.within[target]
-        return out
+            total = np.log(z.sum(-1))
+            out[to] = wanted - total + self.within[target]
+            opening[to] = np.log(np.maximum(z @ self.opens, np.float32(1e-30))) - total
+        return out, opening
 
     def rows(self) -> np.ndarray:
         """All weights in rows of WIDTH, first those of the ids."""
@@ -204,14 +233,14 @@ class AttentionModel:
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, *(getattr(self, n) for n in ("e", "wq", "wk", "wv", "wr", "distance", "wc", "bias", "cls", "within")), np.float64(self.mix))
+        np.savez(out, *(getattr(self, n) for n in ("e", "wq", "wk", "wv", "wr", "distance", "wc", "bias", "cls", "within")), np.float64(self.mix), self.opens)
         return out.getvalue()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> AttentionModel:
         x = np.load(io.BytesIO(data))
-        parts = [x[f"arr_{i}"] for i in range(11)]
-        return cls(*parts[:10], float(parts[10]))
+        parts = [x[f"arr_{i}"] for i in range(12)]
+        return cls(*parts[:10], float(parts[10]), parts[11])
 
 
 def _frequent(counts: np.ndarray) -> np.ndarray:
@@ -275,8 +304,8 @@ def _targets(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return y, starts, np.diff(np.append(starts, len(x)))
 
 
-def initial(m: np.ndarray, counts: np.ndarray, begins: np.ndarray, seed: int = 5) -> AttentionModel:
-    """The model before its first step, from contexts' and ids' numbers in all texts."""
+def initial(m: np.ndarray, counts: np.ndarray, begins: np.ndarray, seed: int = 5, opening: np.ndarray | None = None) -> AttentionModel:
+    """The model before its first step, from contexts' and ids' numbers in all texts; ``opening`` marks the ids that open a token (all unless given)."""
     rng, size = np.random.default_rng(seed), len(counts)
     counts = counts.astype(float)
     features = _contexts(m)
@@ -288,8 +317,9 @@ def initial(m: np.ndarray, counts: np.ndarray, begins: np.ndarray, seed: int = 5
     normal = lambda *s: (rng.normal(size=s) * WIDTH**-0.5).astype("f4")
     scale = 1 / (features[counts > 0].std() + 1e-9) if counts.any() else 1.0
     e = (features * scale + 0.1 * rng.normal(size=(size, WIDTH))).astype("f4")
+    opens = None if opening is None else np.bincount(cls, weights=np.exp(within) * opening, minlength=CLASSES).astype("f4")
     first = np.log(np.bincount(cls, weights=counts, minlength=CLASSES) + 1.0)
-    return AttentionModel(e, normal(WIDTH, WIDTH), normal(WIDTH, WIDTH), normal(WIDTH, WIDTH), normal(WIDTH, WIDTH), np.zeros(2 * HALF, "f4"), 0.1 * normal(WIDTH, CLASSES), (first - first.max()).astype("f4"), cls, within, 0.5)
+    return AttentionModel(e, normal(WIDTH, WIDTH), normal(WIDTH, WIDTH), normal(WIDTH, WIDTH), normal(WIDTH, WIDTH), np.zeros(2 * HALF, "f4"), 0.1 * normal(WIDTH, CLASSES), (first - first.max()).astype("f4"), cls, within, 0.5, opens)
 
 
 def descend(m: AttentionModel, x: np.ndarray, steps: int, part: int = 0, parts: int = 1, seed: int = 5) -> tuple[np.ndarray, int]:
@@ -372,20 +402,20 @@ class Pack:
     def __init__(self, w: np.ndarray, sizes: np.ndarray, pieces: Pieces):
         self.w, self.sizes, self.pieces = w, sizes, pieces
 
-    COLUMNS = ("w", "sizes", "lengths", "flat")
-    SCHEMA = "w binary, sizes binary, lengths binary, flat binary"
+    COLUMNS = ("w", "sizes", "lengths", "flat", "spelled")
+    SCHEMA = "w binary, sizes binary, lengths binary, flat binary, spelled binary"
 
     @classmethod
     def of(cls, texts: list[np.ndarray], pieces: Pieces) -> Pack:
         return cls(np.concatenate([np.zeros(0, np.int32), *texts]), np.array([len(t) for t in texts], np.int32), pieces)
 
     def row(self) -> list[bytes]:
-        return [self.w.tobytes(), self.sizes.tobytes(), self.pieces.length.astype(np.int32).tobytes(), self.pieces.flat.tobytes()]
+        return [self.w.tobytes(), self.sizes.tobytes(), self.pieces.length.astype(np.int32).tobytes(), self.pieces.flat.tobytes(), self.pieces.spelled.astype(np.int32).tobytes()]
 
     @classmethod
     def read(cls, *columns: bytes) -> Pack:
-        w, sizes, lengths, flat = (np.frombuffer(c, np.int32) for c in columns)
-        return cls(w, sizes, Pieces(lengths, flat))
+        w, sizes, *pieces = (np.frombuffer(c, np.int32) for c in columns)
+        return cls(w, sizes, Pieces(*pieces))
 
     def stream(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the texts a to b: (word indices with -1 for each end, ids with END for each end, how many ids each word has)."""
@@ -422,9 +452,12 @@ def _text_log_probs(model: AttentionModel, pack: Pack, a: int, b: int) -> tuple[
     ends = last[w < 0]
     starts = np.r_[0, ends[:-1]]
     x[starts] = Subwords.START
-    each = model.log_probs(x, y, starts, ends - starts)
-    sums = np.concatenate([[0.0], np.cumsum(each.astype(float))])  # a word without ids has 0
-    return sums[last] - sums[last - many], w
+    each, opening = model.log_probs_and_openings(x, y, starts, ends - starts)
+    sums = np.concatenate([[0.0], np.cumsum(each.astype(float))])
+    over = np.append(opening.astype(float), 0.0)  # a word is over where the next id opens a token
+    ids = sums[last] - sums[last - many] - over[last - many] + np.where(w < 0, 0.0, over[last])
+    size = np.append(pack.pieces.spelled, 0)[w]  # of the end 0
+    return np.where(size > 0, np.log(SPELLED) - (size + 1) * np.log(257), np.log1p(-SPELLED) + ids), w
 
 
 def score_texts(docs: DataFrame, model_path: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -629,14 +662,14 @@ def _fit(texts: DataFrame, ids: pd.DataFrame, train_texts: int, model_path: str
                 m[part::PARTS][: len(rows)] = rows
         begins[begin] = True
         if some:
-            yield pd.DataFrame({"model": [initial(m, c, begins).to_bytes()]})
+            yield pd.DataFrame({"model": [initial(m, c, begins, opening=_subwords(model_path).opening).to_bytes()]})
 
     part = F.pmod(F.floor(F.col("k") / (2 * FREQUENT)), F.lit(PARTS))
     summed = texts.select("learn", *Pack.COLUMNS).mapInArrow(pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     found = summed.groupBy(part.alias("p")).applyInPandas(dense, "part int, m binary").repartition(1).mapInPandas(start, "model binary").head(1)  # PARTS rows
     if not found:
-        size = 3 + max([0, *at])
-        data = AttentionModel(*(np.zeros(s, "f4") for s in ((size, WIDTH), *[(WIDTH, WIDTH)] * 4, 2 * HALF, (WIDTH, CLASSES), CLASSES)), np.zeros(size, np.int64), np.full(size, -np.log(size), "f4"), 0.5).to_bytes()
+        size = _subwords(model_path).size
+        data = AttentionModel(*(np.zeros(s, "f4") for s in ((size, WIDTH), *[(WIDTH, WIDTH)] * 4, 2 * HALF, (WIDTH, CLASSES), CLASSES)), np.zeros(size, np.int64), np.full(size, -np.log(size), "f4"), 0.5, np.full(CLASSES, _subwords(model_path).opening.mean(), "f4")).to_bytes()
         return {"id": uuid.uuid4().hex, "data": data}
     model, steps, rounds = AttentionModel.from_bytes(bytes(found[0][0])), max(1, STEPS // ROUNDS), ROUNDS
     blocks = texts.agg(F.max("block")).head()[0] + 1

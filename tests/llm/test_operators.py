@@ -516,6 +516,86 @@ def test_windows_score_each_id_once():
     assert sorted(seen.tolist()) == list(range(sizes.sum()))
 
 
+def small_words():
+    """(subwords, words among which are beginnings of others and one that its ids do not spell, their pieces)."""
+    subwords, rng = lm_scoring._subwords(None), random.Random(31)
+    words = sorted({w[:k].encode() for w in prose(rng, 300).split() for k in (1, 2, 3, len(w))} | {b"walk", b"walked", b"walking", "\u2581x".encode(), "\u00e9t\u00e9".encode(), "\U0001f9ff".encode()})
+    return subwords, words, subwords.pieces(words)
+
+
+def test_words_and_the_end_have_mass_one_at_most():
+    """In random contexts, over many words: the network's, and its mixture with any share."""
+    subwords, words, pieces = small_words()
+    assert [w for w, n in zip(words, pieces.spelled, strict=True) if n] == ["\u2581x".encode()]
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, len(words), 40).astype(np.int32) for _ in range(60)]
+    pack = lm_scoring.Pack.of(texts, pieces)
+    ids = [y[y != 2] for y in (pack.stream(i, i + 1)[1] for i in range(60))]
+    counts = np.bincount(np.concatenate(ids), minlength=subwords.size).astype(float)
+    counts[2] = 60
+    m = np.zeros((subwords.size, 2 * lm_scoring.FREQUENT), "f4")
+    keys, n = lm_scoring._pairs(pack.training(np.ones(60, bool)), subwords.size, lm_scoring._frequent(counts))
+    m.ravel()[keys] = n
+    begins = np.bincount(pieces.flat[pieces.begin], minlength=subwords.size) > 0
+    model = lm_scoring.initial(m, counts, begins, opening=subwords.opening)
+    lm_scoring.descend(model, pack.training(np.ones(60, bool)), 60)
+    model = lm_scoring.AttentionModel.from_bytes(model.to_bytes())
+    for size in (0, 1, 7):
+        before = rng.integers(0, len(words), size).astype(np.int32)
+        each = lm_scoring.Pack.of([np.append(before, np.int32(k)) for k in range(len(words))] + [before], pieces)
+        p, w = lm_scoring._text_log_probs(model, each, 0, len(words) + 1)
+        at = np.flatnonzero(w < 0)
+        of_words, of_end = p[at[:-1] - 1], p[at[-1]]
+        total = np.exp(of_words).sum() + np.exp(of_end)
+        assert 0.1 < total <= 1 + 1e-4
+        assert of_words[words.index("\u2581x".encode())] == pytest.approx(np.log(lm_scoring.SPELLED) - 5 * np.log(257))
+
+
+def test_openings_add_up():
+    """The probability that the next id opens a token is the sum over the ids that do."""
+    rng = np.random.default_rng(8)
+    counts = np.r_[0, 0, 5, rng.integers(1, 50, 200)].astype(float)
+    opening = np.arange(len(counts)) % 3 == 2
+    x = np.r_[1, rng.integers(3, len(counts), 40)]
+    m = np.zeros((len(counts), 2 * lm_scoring.FREQUENT), "f4")
+    keys, n = lm_scoring._pairs(x, len(counts), lm_scoring._frequent(counts))
+    m.ravel()[keys] = n
+    model = lm_scoring.initial(m, counts, opening, opening=opening)
+    at, z = np.array([0]), np.array([len(x)])
+    total = sum(np.exp(model.log_probs(x, np.full(len(x), y), at, z)) for y in np.flatnonzero(opening))
+    assert np.allclose(total, np.exp(model.log_probs_and_openings(x, x, at, z)[1]), atol=1e-4)
+
+
+def test_lm_scores_without_training_texts(spark):
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0][:3]
+    got = lm_scoring.score_texts(spark.createDataFrame([(k, "some words here") for k in held], "doc_id long, text string")).collect()
+    assert len(got) == 3 and all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and np.isfinite(r.score) and r.score < 0 for r in got)
+
+
+def test_samples_are_bounded_where_an_id_repeats(spark):
+    """An id of 3,000 rows counts once in the samples of quality and toxicity."""
+    rng = random.Random(12)
+    rows = [(k, prose(rng, 40)) for k in range(60)] + [(0, f"{prose(rng, 10)} {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, good int").withColumn("good", F.col("good").cast("double"))
+    collected = []
+    fit = quality.fit_logistic
+    quality.fit_logistic = lambda x, y, *a: (collected.append(len(x)), fit(x, y, *a))[1]
+    try:
+        quality._model(docs, labels, 50)
+    finally:
+        quality.fit_logistic = fit
+    assert collected == [50]
+    seen = []
+    expressions = toxicity._expressions
+    toxicity._expressions = lambda sample: (seen.append(sample.count()), expressions(sample))[1]
+    try:
+        toxicity._fit(docs, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int"), 20)
+    finally:
+        toxicity._expressions = expressions
+    assert seen == [40]
+
+
 def test_attention_is_causal_and_normalised():
     rng = np.random.default_rng(0)
     counts = np.r_[0, 0, 5, rng.integers(1, 50, 400)].astype(float)
