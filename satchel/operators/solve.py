@@ -19,8 +19,10 @@ REGISTRY = [
     ("kp_qubo_v1", "qubo", "quadratic_unconstrained", ["x", "b"], ["f", "lambda", "z", "s"], 2, 30, 1000),
 ]
 FORMULATIONS = tuple(r[1] for r in REGISTRY)
-#: Fixed value: most patterns that are enumerated.
+#: Fixed value: most patterns that are listed.
 MOST_PATTERNS = 50_000
+#: Items whose sets are summed at once where there are more patterns than are listed.
+TAIL = 13
 #: Cells of a table over capacities, above which states are kept as a list of undominated ones.
 MOST_CELLS = 20_000_000
 
@@ -90,10 +92,39 @@ def patterns(weights: list[int], capacity: int, most: int = MOST_PATTERNS) -> tu
     return found, False
 
 
+def best_pattern(weights: list[int], profit: list[int], capacity: int) -> int:
+    """The most profit of all non-empty patterns, without a list of them.
+
+    The sets of the last TAIL items are sorted by load with the most profit up to it; each
+    set of the other items that fits takes the best of those that still fit beside it.
+    """
+    kind = np.int64 if sum(map(abs, (*weights, *profit, capacity))) < 2**62 else object
+    cut = max(len(weights) - TAIL, 0)
+    load, gain = np.zeros(1, kind), np.zeros(1, kind)
+    for w, p in zip(weights[cut:], profit[cut:], strict=True):
+        load, gain = np.r_[load, load + w], np.r_[gain, gain + p]
+    order = np.argsort(load, kind="stable")
+    load, gain = load[order], np.maximum.accumulate(gain[order])
+    best, stack = 0, [(0, 0, 0)]
+    while stack:
+        used, value, i = stack.pop()
+        if i == cut:
+            best = max(best, value + int(gain[np.searchsorted(load, capacity - used, "right") - 1]))
+            continue
+        stack.append((used, value, i + 1))
+        if used + weights[i] <= capacity:
+            stack.append((used + weights[i], value + profit[i], i + 1))
+    # No profit above 0 fits: a single item is the best there is.
+    return best or max((p for w, p in zip(weights, profit, strict=True) if w <= capacity), default=0)
+
+
 def by_patterns(weights: list[int], profit: list[int], capacity: int) -> tuple[int, bool]:
+    """The most profit of all patterns, and whether there are more than are listed."""
     found, truncated = patterns(weights, capacity)
+    if truncated:
+        return best_pattern(weights, profit, capacity), True
     sums = [sum(p for i, p in enumerate(profit) if b >> i & 1) for b in found]
-    return max(sums, default=0), truncated
+    return max(sums, default=0), False
 
 
 def by_flow(weights: list[int], profit: list[int], capacity: int) -> int:
@@ -168,6 +199,7 @@ def run_formulations(instances: DataFrame, time_limit: float | None = None) -> D
 
     A formulation that fails has nulls and good 0; an objective of 0 stays 0. One that
     takes longer than ``time_limit`` seconds keeps its objective, which is exact, with good 0.
+    ``truncated``: more patterns than are listed; the objective is that of all of them.
     """
     open_to = gates(instances).unpivot(["instance_id"], list(FORMULATIONS), "formulation", "open").where("open").drop("open")
     rows = instances.select("instance_id", "weights", "profit", "capacity").join(open_to, "instance_id")
@@ -185,7 +217,7 @@ def run_formulations(instances: DataFrame, time_limit: float | None = None) -> D
                 try:
                     value, cut = one(r.formulation, [int(x) for x in r.weights], [int(x) for x in r.profit], int(r.capacity))
                     took = time.perf_counter() - began
-                    out.append((r.instance_id, r.formulation, took, int(not cut and (time_limit is None or took <= time_limit)), value, cut))
+                    out.append((r.instance_id, r.formulation, took, int(time_limit is None or took <= time_limit), value, cut))
                 except (ValueError, MemoryError, OverflowError):
                     out.append((r.instance_id, r.formulation, None, 0, None, None))
             yield pd.DataFrame(out, columns=["instance_id", "formulation", "seconds", "good", "objective", "truncated"]).astype({"objective": "Int64", "truncated": "boolean"})

@@ -137,6 +137,16 @@ def test_optimum(items, capacity):
     assert solve.by_flow(w, p, capacity) == solve.by_patterns(w, p, capacity)[0] == solve.by_qubo(w, p, capacity) == best
 
 
+def test_patterns_beyond_the_list_count(spark):
+    rng = random.Random(5)
+    rows = [([1] * 18, list(range(1, 19)), 9)] + [([rng.randrange(1, 51) for _ in range(n)], [rng.randrange(900, 90_000) for _ in range(n)], 12 * n) for n in (20, 22, 25)]
+    for w, p, c in rows:
+        assert solve.by_patterns(w, p, c) == (solve.optimum(w, p, c)[0], True)
+    assert solve.best_pattern([1, 2], [-3, -2], 1) == -3 and solve.best_pattern([5], [1], 4) == 0 and solve.best_pattern([1] * 15, [2**62] * 15, 2) == 2**63
+    got = solve.wide(solve.run_formulations(frame(spark, rows)), "objective").collect()
+    assert all(r.pattern_selection == r.compact for r in got)
+
+
 def test_slack_bits_reach_every_value():
     for c in (1, 2, 3, 7, 8, 100):
         bits = solve.slack_bits(c)
