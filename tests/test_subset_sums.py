@@ -51,3 +51,18 @@ def test_counts_pass_64_bits_and_overflow_raises(spark, monkeypatch):
     monkeypatch.setattr(subset_sums, "NUMBER", "decimal(6,0)")  # as 38 digits after 126 items
     with pytest.raises(Exception, match="(?i)overflow|NUMERIC_VALUE_OUT_OF_RANGE|cannot be represented"):
         subset_sums.load_states(spark.createDataFrame([("many", [1] * 25, 25)], SCHEMA)).collect()
+
+
+def test_tasks_and_relation_agree(spark, monkeypatch):
+    """Small instances make no relation of loads; those beyond its bounds do, with the same features."""
+    rng = random.Random(3)
+    rows = [(f"i{k}", [rng.randrange(1, 50) for _ in range(rng.randrange(1, 14))], 50 + rng.randrange(200)) for k in range(60)]
+    df = spark.createDataFrame([*rows, ("long", [3] * 45, 100), ("wide", [10**15, 10**15 + 1, 7], 2 * 10**15)], SCHEMA)
+    made, states = [], subset_sums.load_states
+    monkeypatch.setattr(subset_sums, "load_states", lambda d: made.append(d.count()) or states(d))
+    monkeypatch.setattr(subset_sums, "AT_ONCE", 1000)
+    in_tasks = {r[0]: list(r[1:]) for r in subset_sums.subset_sum_features(df).collect()}
+    assert made == [1]  # the wide one
+    monkeypatch.setattr(subset_sums, "MOST_ITEMS", 0)
+    by_relation = {r[0]: list(r[1:]) for r in subset_sums.subset_sum_features(df).collect()}
+    assert made == [1, 62] and set(in_tasks) == set(by_relation) and all(in_tasks[k] == pytest.approx(by_relation[k], rel=1e-9) for k in in_tasks)
