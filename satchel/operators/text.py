@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -113,7 +114,17 @@ SECTIONS = {
 #: Lines of units of each, anywhere in the text, and the line under a table's header.
 UNIT_LINES = {side: rf"{KW}\s*(\d+)\s*:\s*{_NUM}\s*units of {word}" for side, word in (("profit", "value"), ("weight", "weight"))}
 TABLE_RULE = re.compile(r"\s*\|[\s\-:|]+\|\s*$")
-_FORMS = [(groups, re.compile(pattern, re.IGNORECASE)) for groups, pattern in FORMS]
+#: What a lower-cased text must hold for each of the FORMS to match anywhere: their literal parts.
+NEEDED = [
+    ("value", "weight", "="), ("value", "weight", "="), ("has a", "of"), ("item_", "(", "value", "weight", ")"), ("item_", "value", "weight", "="), ("item_", "has a value of", "weighs"), ("item_", "is valued at", "weighs"), ("valued at", "weigh"),
+    ("valued at", "with a cost of"), ("of",), ("has a value of", "and a cost of"), ("has a value of", "and a weight of"), ("with a value of", "and weight of"), ("of",), ("valued at", "with a weight of"), ("value", "weight", ":", "\n"),
+]
+
+
+@cache
+def compiled(pattern: str, plain: bool, flags: re.RegexFlag = re.NOFLAG) -> re.Pattern:
+    """The pattern in any case; for ``plain`` text, ASCII in lower case, in lower case, which is searched much faster."""
+    return re.compile(pattern.lower(), flags) if plain else re.compile(pattern, re.IGNORECASE | flags)
 
 
 def from_form(text: str, groups: str, pattern: re.Pattern) -> list[tuple[int, int]]:
@@ -130,16 +141,18 @@ def joined_lists(found: dict[str, list[tuple[str, str]]]) -> list[tuple[int, int
     return [(weight[i], profit[i]) for i in common] if len(common) >= 2 else []
 
 
-def from_sections(text: str) -> list[tuple[int, int]]:
+def from_sections(text: str, plain: bool = False) -> list[tuple[int, int]]:
     found = {}
     for side, (section, line) in SECTIONS.items():
-        m = re.search(section, text, re.IGNORECASE | re.DOTALL)
-        found[side] = re.findall(line, m.group(1), re.IGNORECASE) if m else []
+        m = compiled(section, plain, re.DOTALL).search(text)
+        found[side] = compiled(line, plain).findall(m.group(1)) if m else []
     return joined_lists(found)
 
 
-def from_unit_lines(text: str) -> list[tuple[int, int]]:
-    return joined_lists({side: re.findall(line, text, re.IGNORECASE) for side, line in UNIT_LINES.items()})
+def from_unit_lines(text: str, plain: bool = False) -> list[tuple[int, int]]:
+    if plain and "units of value" not in text:
+        return []
+    return joined_lists({side: compiled(line, plain).findall(text) for side, line in UNIT_LINES.items()})
 
 
 def from_table(text: str, words: dict[str, tuple[str, ...]]) -> list[tuple[int, int]]:
@@ -165,11 +178,18 @@ def from_table(text: str, words: dict[str, tuple[str, ...]]) -> list[tuple[int,
 
 
 def parse_items(text: str) -> list[tuple[int, int]]:
-    """(weight, profit) by the first form that finds anything."""
-    for form in _FORMS:
-        if found := from_form(text, *form):
+    """(weight, profit) by the first form that finds anything.
+
+    ASCII text is lower-cased first, and forms whose literal parts it lacks are not tried.
+    """
+    if plain := text.isascii():
+        text = text.lower()
+    for (groups, pattern), needed in zip(FORMS, NEEDED, strict=True):
+        if plain and not all(x in text for x in needed):
+            continue
+        if found := from_form(text, groups, compiled(pattern, plain)):
             return found
-    return from_sections(text) or from_unit_lines(text) or from_table(text, ITEM_TABLE) or from_table(text, COST_TABLE)
+    return from_sections(text, plain) or from_unit_lines(text, plain) or from_table(text, ITEM_TABLE) or from_table(text, COST_TABLE)
 
 
 def parse_questions(questions: DataFrame) -> DataFrame:

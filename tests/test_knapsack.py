@@ -115,6 +115,26 @@ def test_written_forms(written):
     assert text.parse_items(written) == FORMS[written]
 
 
+def test_forms_are_tried_where_their_words_are(monkeypatch):
+    """A form is searched only in texts with its literal parts; in any case, and beyond ASCII, the result is that of all forms."""
+    for said, want in FORMS.items():
+        for other in (said.upper(), "caf\u00e9\n" + said, said.lower()):
+            assert text.parse_items(other) == want
+    for (_, pattern), needed in zip(text.FORMS, text.NEEDED, strict=True):
+        assert any(text.compiled(pattern, True).search(said.lower()) for said in [*FORMS, *NOT_IN_FORMS]), pattern
+        assert all(all(x in said.lower() for x in needed) for said in [*FORMS, *NOT_IN_FORMS] if text.compiled(pattern, False).search(said)), pattern
+    tried, search = [], text.from_form
+    monkeypatch.setattr(text, "from_form", lambda *a: tried.append(a) or search(*a))
+    assert text.parse_items("| Item | Value | Weight |\n|---|---|---|\n| a | 10 | 2 |\n| b | 7 | 3 |\n") == [(2, 10), (3, 7)]
+    assert len(tried) <= 1  # before: all 16
+
+
+NOT_IN_FORMS = [
+    "Item 1: Value = 3, Weight = 4", "item_1 has a value of 5 units and weighs 2", "item_1 is valued at 5 and weighs 2", "Item 1: Valued at 5 units, with a cost of 2", "Item 1: Utility of 5, weight of 2",
+    "Item 1 has a value of 5 and a cost of 2", "Item 1 has a value of 5 and a weight of 2", "Item 1 with a value of 5 and weight of 2", "Item 1: Valued at 5 units with a weight of 2",
+]
+
+
 def test_capacity_phrases(spark):
     said = ["a weight capacity of 1,500 kg", "must not exceed 40 units", "budget of 12 million yuan", "weight limit for it is 9 kg", "none"]
     rows = spark.createDataFrame([(s,) for s in said], "t string").select(text.capacity_of(F.col("t")).alias("c")).collect()
