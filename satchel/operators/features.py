@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.functions.arrays import SEVEN, STATS, doubles, gini, midranks, pearson, share, total, with_seven, with_stats
+from satchel.functions import batches
+from satchel.functions.arrays import SEVEN, STATS
 
 DOMAIN = [f"{p}_{s}" for p in ("weights", "profit", "capacity") for s in STATS] + ["capacity_total_weight_ratio"] + [f"profit_weight_ratio_{s}" for s in STATS]
 RELATION = [f"kp_{p}_{s}" for p in ("relative_weight", "relative_value_density", "pair_slack", "partner_fraction") for s in SEVEN] + [
@@ -15,14 +20,55 @@ RELATION = [f"kp_{p}_{s}" for p in ("relative_weight", "relative_value_density",
 ]
 
 
+def _domain(w: np.ndarray, p: np.ndarray, c: np.ndarray) -> batches.Columns:
+    ratio = {"capacity_total_weight_ratio": c / batches.total(w)}
+    return batches.stats("weights", w) | batches.stats("profit", p) | batches.stats("capacity", c[:, None]) | ratio | batches.stats("profit_weight_ratio", p / w)
+
+
+def _relation(w: np.ndarray, p: np.ndarray, c: np.ndarray) -> batches.Columns:
+    """Pairs are at most 19,900 per row."""
+    n = w.shape[1]
+    r, d = w / c[:, None], p / w
+    mean = batches.total(d) / n
+    d = np.divide(d, mean[:, None], out=np.zeros_like(d), where=mean[:, None] > 0)
+    slack = 1.0 - r[:, :, None] - r[:, None, :]
+    fits = (slack >= -1e-12).sum(2) - (np.diagonal(slack, axis1=1, axis2=2) >= -1e-12)
+    i, j = np.triu_indices(n, 1)
+    s = slack[:, i, j]
+    wi, wj, pi, pj = w[:, i], w[:, j], p[:, i], p[:, j]
+    ratio = lambda x: x.sum(1) / max(len(i), 1)
+    out = batches.seven("kp_relative_weight", r) | batches.seven("kp_relative_value_density", d) | batches.seven("kp_pair_slack", s) | batches.seven("kp_partner_fraction", fits / max(n - 1, 1))
+    return out | {
+        "kp_weight_gini": batches.gini(w), "kp_profit_gini": batches.gini(p), "kp_weight_profit_pearson": batches.pearson(w, p),
+        "kp_weight_profit_spearman": batches.pearson(batches.midranks(w), batches.midranks(p)),
+        "kp_weight_profit_correlation_undefined": (batches.constant(w) | batches.constant(p)).astype(float),
+        "kp_pair_fit_ratio": ratio(s >= -1e-12), "kp_pair_exact_fit_ratio": ratio(np.abs(s) <= 1e-12),
+        "kp_pair_lower_weight_higher_profit_ratio": ratio(((wi < wj) & (pi > pj)) | ((wi > wj) & (pi < pj))), "kp_identical_item_pair_ratio": ratio((wi == wj) & (pi == pj)),
+        "kp_oversize_item_ratio": (r > 1 + 1e-12).sum(1) / n, "kp_zero_profit_item_ratio": (p == 0).sum(1) / n,
+    }
+
+
+def _features(instances: DataFrame, names: list[str], *parts: Callable[..., batches.Columns]) -> DataFrame:
+    def compute(weights: pa.Array, profit: pa.Array, capacity: pa.Array) -> Iterator[tuple[np.ndarray, batches.Columns]]:
+        c = capacity.to_numpy(zero_copy_only=False)
+        for rows, (w, p) in batches.same_length([batches.Lists(weights), batches.Lists(profit)], ~np.isnan(c), lambda n: n * n):
+            if not w.shape[1] or (w == 0).any() or (c[rows] == 0).any():
+                raise ZeroDivisionError("an instance without items, or a weight or capacity of 0")
+            found: batches.Columns = {}
+            for part in parts:
+                found |= part(w, p, c[rows])
+            yield rows, found
+
+    return batches.by_batches(instances.withColumn("capacity", F.col("capacity").cast("double")), "instance_id", ["weights", "profit", "capacity"], names, compute)
+
+
 def domain_features(instances: DataFrame) -> DataFrame:
-    """instance_id and the 61 DOMAIN features; all expressions of a row, so nothing is shuffled."""
-    df = with_stats(instances, "weights", F.col("weights"))
-    df = with_stats(df, "profit", F.col("profit"))
-    df = with_stats(df, "capacity", F.array("capacity"))
-    df = df.withColumn("capacity_total_weight_ratio", F.col("capacity") / total(doubles(F.col("weights"))))
-    df = with_stats(df, "profit_weight_ratio", F.zip_with("profit", "weights", lambda p, w: p / w))
-    return df.select("instance_id", *DOMAIN)
+    """instance_id and the 61 DOMAIN features, all of a row, so nothing is shuffled.
+
+    Features are null where a list or the capacity is null, where a list holds a null and
+    where the lists differ in length; a weight or capacity of 0 raises.
+    """
+    return _features(instances, DOMAIN, _domain)
 
 
 def pairs(x, f):
@@ -31,37 +77,32 @@ def pairs(x, f):
 
 
 def relation_features(instances: DataFrame) -> DataFrame:
-    """instance_id and the 39 RELATION features. Pairs are at most 19,900 per row and stay in it."""
-    df = instances.select("instance_id", doubles(F.col("weights")).alias("w"), doubles(F.col("profit")).alias("p"), F.col("capacity").cast("double").alias("c"))
-    df = df.withColumn("r", F.transform("w", lambda v: v / F.col("c"))).withColumn("d", F.zip_with("p", "w", lambda a, b: a / b))
-    mean = total(F.col("d")) / F.size("d")
-    df = df.withColumn("d", F.transform("d", lambda v: F.when(mean > 0, F.try_divide(v, mean)).otherwise(0.0)))
-    slack = lambda a, b: 1.0 - a - b
-    df = df.withColumn("s", pairs(F.col("r"), slack))
-    partners = F.transform("r", lambda a, i: F.size(F.filter("r", lambda b, j: (j != i) & (slack(a, b) >= -1e-12))) / F.greatest(F.size("r") - 1, F.lit(1)))
-    df = df.withColumn("f", partners).withColumn("z", F.arrays_zip("w", "p"))
-    for name, col in (("relative_weight", "r"), ("relative_value_density", "d"), ("pair_slack", "s"), ("partner_fraction", "f")):
-        df = with_seven(df, f"kp_{name}", F.col(col))
-    some = F.size("s") > 0
-    ratio = lambda x, test: F.when(some, F.try_divide(F.size(F.filter(x, test)), F.size(x))).otherwise(0.0)
-    better = pairs(F.col("z"), lambda a, b: ((a["w"] < b["w"]) & (a["p"] > b["p"])) | ((a["w"] > b["w"]) & (a["p"] < b["p"])))
-    same = pairs(F.col("z"), lambda a, b: (a["w"] == b["w"]) & (a["p"] == b["p"]))
-    constant = lambda x: F.array_min(x) == F.array_max(x)
-    df = df.withColumns({
-        "kp_weight_gini": gini(F.col("w")), "kp_profit_gini": gini(F.col("p")),
-        "kp_weight_profit_pearson": pearson(F.col("w"), F.col("p")),
-        "kp_weight_profit_spearman": pearson(midranks(F.col("w")), midranks(F.col("p"))),
-        "kp_weight_profit_correlation_undefined": (constant("w") | constant("p")).cast("double"),
-        "kp_pair_fit_ratio": ratio(F.col("s"), lambda v: v >= -1e-12), "kp_pair_exact_fit_ratio": ratio(F.col("s"), lambda v: F.abs(v) <= 1e-12),
-        "kp_pair_lower_weight_higher_profit_ratio": ratio(better, lambda v: v), "kp_identical_item_pair_ratio": ratio(same, lambda v: v),
-        "kp_oversize_item_ratio": share(F.col("r"), lambda v: v > 1 + 1e-12), "kp_zero_profit_item_ratio": share(F.col("p"), lambda v: v == 0),
-    })
-    return df.select("instance_id", *RELATION)
+    """instance_id and the 39 RELATION features; nulls as in ``domain_features``."""
+    return _features(instances, RELATION, _relation)
 
 
 def all_features(instances: DataFrame) -> DataFrame:
-    """instance_id and all 100 features."""
-    return domain_features(instances).join(relation_features(instances), "instance_id")
+    """instance_id and all 100 features, in one pass."""
+    return _features(instances, DOMAIN + RELATION, _domain, _relation)
+
+
+def feature_means(features: DataFrame) -> DataFrame:
+    """(feature, rows, mean, not_finite) of double columns, a row each; sums of batches are added up.
+
+    Null values count as rows, not in the mean.
+    """
+    names = [c for c, t in features.dtypes if t == "double"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if not part.num_rows:
+                continue
+            there = [c.drop_null().to_numpy() for c in part.columns]
+            given = [np.array(x) for x in ([len(c) for c in there], [float(c.sum()) for c in there], [int((~np.isfinite(c)).sum()) for c in there])]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([part.num_rows] * len(names)), *map(pa.array, given)], ["feature", "rows", "given", "sum", "not_finite"])
+
+    sums = features.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, "feature string, rows long, given long, sum double, not_finite long")
+    return sums.groupBy("feature").agg(F.sum("rows").alias("rows"), F.try_divide(F.sum("sum"), F.sum("given")).alias("mean"), F.sum("not_finite").alias("not_finite"))
 
 
 def long_features(features: DataFrame, index: str = "instance_id") -> DataFrame:

@@ -38,8 +38,8 @@ def kp_relation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kp_feature_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long form, aggregated: rows, mean, and how many values are not finite, for each of the 100 features."""
-    long = features.long_features(rounded(features.all_features(instances(spark, sf_dir))))
-    return long.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), sig7(F.avg("value")).alias("mean"), F.count_if(F.isnan("value") | (F.abs("value") == float("inf"))).alias("not_finite"))
+    means = features.feature_means(rounded(features.all_features(instances(spark, sf_dir))))
+    return means.select("feature", "rows", sig7(F.col("mean")).alias("mean"), "not_finite")
 
 
 def kp_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
