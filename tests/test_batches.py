@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from satchel.functions import batches
 from satchel.functions.arrays import STATS, TIE_BREAK, with_stats
-from satchel.operators import features
+from satchel.operators import compatibility, features
 
 SCHEMA = "instance_id string, weights array<bigint>, profit array<bigint>, capacity bigint"
 
@@ -53,3 +53,12 @@ def test_means(spark, mixed):
     odd = spark.createDataFrame([(1.0,), (None,), (float("inf"),)], "x double")
     assert features.feature_means(odd).head().asDict() == {"feature": "x", "rows": 3, "mean": math.inf, "not_finite": 1}
     assert features.feature_means(odd.limit(0)).count() == 0
+
+
+def test_bins_of_all_lengths_in_one_batch(spark):
+    """A bin of 40 sizes beside others of 1 to 3: matrices are cut, rows keep their places; a null size gives nulls, not a null array's size."""
+    rows = [(f"i{k}", [1 + (k + j) % 7 for j in range(40 if k == 5 else 1 + k % 3)], 9) for k in range(30)] + [("hole", [1, None], 9)]
+    df = spark.createDataFrame(rows, "instance_id string, sizes array<bigint>, capacity bigint")
+    together, apart = ({r[0]: r for r in compatibility.compatibility_features(x).collect()} for x in (df.coalesce(1), df.repartition(31)))
+    assert together == apart and len(together) == 31 and set(together["hole"][1:]) == {None}
+    assert compatibility._triples(4)[0].tolist() == [0, 0, 0, 1] and compatibility._triples(2)[2].size == 0
