@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-from satchel.functions.arrays import gcd
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 #: What the adapter calls each origin.
 SOURCE_KINDS = {"sage": "sage_original", "sage_original": "sage_original", "synthetic": "sage_derived"}
@@ -46,18 +48,30 @@ def all_values() -> Column:
 
 def canonical_hash(generated: bool = False) -> Column:
     """The exact hash of integer instances; below 1e15 an integer's 15 digits are its text."""
-    texts = F.concat(F.lit('["'), F.array_join(F.transform(all_values(), lambda v: v.cast("string")), '","'), F.lit('"]'))
+    texts = F.concat(F.lit('["'), F.array_join(all_values().cast("array<string>"), '","'), F.lit('"]'))
     if generated:
         return F.sha2(F.concat(F.lit('{"problem":"KP","proportional":false,"values":'), texts, F.lit("}")), 256)
     head = F.concat(F.lit('{"n_items":'), F.size("weights").cast("string"), F.lit(',"problem":"KP","proportional":false,"weights_profits_capacity":'))
     return F.sha2(F.concat(head, texts, F.lit("}")), 256)
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def _reduced(values: pa.Array) -> pa.Array:
+    """Each list by the greatest common divisor of its numbers, which are not empty; a list with a null stays."""
+    lengths = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+    filled, flat = lengths > 0, values.flatten()
+    if not filled.any():
+        return values
+    numbers, holes = pc.fill_null(flat, 1).to_numpy(zero_copy_only=False), pc.is_null(flat).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    unit = np.repeat(np.maximum(np.gcd.reduceat(numbers, starts[filled]), 1), lengths[filled])
+    ends = pa.array(np.r_[starts, len(flat)].astype(np.int32), mask=np.r_[~pc.is_valid(values).to_numpy(zero_copy_only=False), False])
+    return pa.ListArray.from_arrays(ends, pa.array(numbers // unit, mask=holes))
+
+
 def proportional_key() -> Column:
     """Equal for instances that differ by a factor only: the values by their greatest common divisor."""
-    # Repeated beside the values, so that it is computed once and not for each of them.
-    unit = F.array_repeat(F.greatest(gcd(all_values()), F.lit(1).cast("long")), F.size("weights") + F.size("profit") + 1)
-    return F.sha2(F.array_join(F.zip_with(all_values(), unit, lambda v, u: ((v - v % u) / u).cast("long").cast("string")), ","), 256)
+    return F.sha2(F.array_join(_reduced(all_values().cast("array<bigint>")).cast("array<string>"), ","), 256)
 
 
 @F.pandas_udf(StringType())
@@ -66,7 +80,7 @@ def _proportional(weights: pd.Series, profit: pd.Series, capacity: pd.Series) ->
 
 
 def with_hashes(instances: DataFrame) -> DataFrame:
-    """Adds canonical_hash and proportional_key, both computed in the JVM."""
+    """Adds canonical_hash and proportional_key; only divisors are found in Python, a batch at a time."""
     return instances.withColumns({"canonical_hash": canonical_hash(), "proportional_key": proportional_key()})
 
 
@@ -79,11 +93,12 @@ def dedupe(instances: DataFrame, order: str = "ord", parents: DataFrame | None =
     """The first row of each class of proportional instances, and none whose class is among ``parents``.
 
     Equal instances are proportional, so one key is enough. Of a class only the smallest
-    ``order`` is kept, by an aggregation that combines before the shuffle.
+    ``order`` is kept, by ranks of which all but the first go before the shuffle; rows
+    without an order or with an empty key are left out.
     """
-    keyed = with_hashes(instances)
-    first = keyed.groupBy("proportional_key").agg(F.min(order).alias(order))
-    kept = keyed.join(first, ["proportional_key", order], "left_semi")
+    keyed = with_hashes(instances).where(F.col("proportional_key").isNotNull() & F.col(order).isNotNull())
+    rank = F.rank().over(Window.partitionBy("proportional_key").orderBy(order))
+    kept = keyed.withColumn("__rank", rank).where("__rank = 1").drop("__rank").select("proportional_key", order, *(c for c in keyed.columns if c not in ("proportional_key", order)))
     return kept if parents is None else kept.join(with_hashes(parents).select("proportional_key"), "proportional_key", "left_anti")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from satchel.functions import batches
 from satchel.functions.arrays import STATS, TIE_BREAK, with_stats
-from satchel.operators import compatibility, features
+from satchel.operators import compatibility, features, hashing
 
 SCHEMA = "instance_id string, weights array<bigint>, profit array<bigint>, capacity bigint"
 
@@ -62,3 +62,13 @@ def test_bins_of_all_lengths_in_one_batch(spark):
     together, apart = ({r[0]: r for r in compatibility.compatibility_features(x).collect()} for x in (df.coalesce(1), df.repartition(31)))
     assert together == apart and len(together) == 31 and set(together["hole"][1:]) == {None}
     assert compatibility._triples(4)[0].tolist() == [0, 0, 0, 1] and compatibility._triples(2)[2].size == 0
+
+
+def test_first_of_a_class(spark):
+    """Multiples, values of 0, numbers of one length; a row without lists or order is left out."""
+    rows = [(3, [2, 4], [6, 0], 8), (1, [1, 2], [3, 0], 4), (2, [1, 2], [3, 0], 5), (4, [7], [0], 14), (5, [1], [0], 2), (6, None, [1], 1), (None, [5], [5], 5)]
+    df = spark.createDataFrame(rows, "ord long, weights array<bigint>, profit array<bigint>, capacity bigint")
+    assert sorted(r.ord for r in hashing.dedupe(df).collect()) == [1, 2, 4]
+    key = {r.ord: r.k for r in df.select("ord", hashing.proportional_key().alias("k")).coalesce(1).collect()}
+    assert key[1] == key[3] == hashing.hashlib.sha256(b"1,2,3,0,4").hexdigest() and key[6] is None
+    assert "Join" not in hashing.dedupe(df)._jdf.queryExecution().optimizedPlan().toString()
