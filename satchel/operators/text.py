@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,9 +45,10 @@ def render(instances: DataFrame) -> DataFrame:
         F.concat(F.lit("Number of items: "), n), F.concat(F.lit("Capacity: "), capacity), F.lit("Item details:"), lines, F.lit(""),
         F.lit("Return a mathematical optimization model and executable Python solver code."),
     ]
-    rows = instances.withColumn("question", F.concat_ws("\n", *parts))
+    rows = instances.withColumn("question", F.concat_ws("\n", *parts)).withColumn("__lowered", F.lower("question"))
     leaks = leaked_terms(F.col("question"))
-    return rows.withColumn("question", F.when(F.size(leaks) == 0, F.col("question")).otherwise(F.raise_error(F.concat(F.lit("question leaks "), F.array_join(leaks, ","))).cast("string")))
+    clean = ~reduce(or_, (F.contains("__lowered", F.lit(t)) for t in LEAKAGE_TERMS))
+    return rows.withColumn("question", F.when(clean, F.col("question")).otherwise(F.raise_error(F.concat(F.lit("question leaks "), F.array_join(leaks, ","))).cast("string"))).drop("__lowered")
 
 
 def leaked_terms(question: Column) -> Column:
@@ -67,17 +69,31 @@ def capacity_of(text: Column) -> Column:
     """By the first phrase that occurs; else the budget."""
     budget = r"budget\s+of"
     found = [F.nullif(F.regexp_extract(text, rf"(?Ui){p}\s*{NUMBER}", 1), F.lit("")) for p in (*CAPACITY_PHRASES, budget)]
-    return plain_number(F.coalesce(*found))
+    plain = [F.nullif(F.regexp_extract(F.lower(text), rf"{p}\s*{NUMBER}", 1), F.lit("")) for p in (*CAPACITY_PHRASES, budget)]
+    return plain_number(F.when(is_plain(text), F.coalesce(*plain)).otherwise(F.coalesce(*found)))
+
+
+def is_plain(text: Column) -> Column:
+    """ASCII without control characters but white space: in lower case it is searched by lower-cased patterns without flags."""
+    return ~F.rlike(text, F.lit(r"[^\t-~]"))
 
 
 def parse_rendered(questions: DataFrame) -> DataFrame:
-    """(instance_id, weights, profit, capacity) of questions in the ``Item N: Value = X, Weight = Y`` form, without Python."""
+    """(instance_id, weights, profit, capacity) of questions in the ``Item N: Value = X, Weight = Y`` form, without Python.
+
+    Plain texts are searched once: each match is replaced by its groups between marks.
+    """
     text = F.col("__text")
-    pattern = rf"(?Ui)(?:\d+\.\s*)?{KW}\s*(\d+)\s*:?\s*Value\s*=\s*{NUMBER}.*?Weight\s*=\s*{NUMBER}"
-    group = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
+    pattern = rf"(?:\d+\.\s*)?{KW}\s*(\d+)\s*:?\s*Value\s*=\s*{NUMBER}.*?Weight\s*=\s*{NUMBER}"
+    group = lambda i: F.regexp_extract_all(text, F.lit(f"(?Ui){pattern}"), F.lit(i))
+    starts = "".join(sorted({w[0].lower() for w in ITEM_WORDS}))
+    marked = F.split(F.regexp_replace(F.lower(text), rf"(?=[0-9{starts}]){pattern.lower()}", "\1$1\2$2\2$3\1"), "\1")
+    part = lambda x, i: F.split_part(x, F.lit("\2"), F.lit(i))
+    match = lambda n, p, w, i: F.struct(n.cast("long").alias("n"), i.alias("i"), plain_number(p).alias("p"), plain_number(w).alias("w"))
+    once = F.transform(F.filter(marked, lambda _, i: i % 2 == 1), lambda x, i: match(part(x, 1), part(x, 2), part(x, 3), i))
+    other = F.transform(F.arrays_zip(group(1).alias("n"), group(2).alias("p"), group(3).alias("w")), lambda x, i: match(x["n"], x["p"], x["w"], i))
     rows = questions.withColumn("__text", prepared(F.col("question")))
-    found = F.array_sort(F.transform(F.arrays_zip(group(1).alias("n"), group(2).alias("p"), group(3).alias("w")), lambda x, i: F.struct(x["n"].cast("long").alias("n"), i.alias("i"), plain_number(x["p"]).alias("p"), plain_number(x["w"]).alias("w"))))
-    rows = rows.withColumn("__items", found).withColumn("capacity", capacity_of(text))
+    rows = rows.withColumn("__items", F.sort_array(F.when(is_plain(text), once).otherwise(other))).withColumn("capacity", capacity_of(text))
     return rows.select("instance_id", F.transform("__items", lambda x: x["w"]).alias("weights"), F.transform("__items", lambda x: x["p"]).alias("profit"), "capacity")
 
 

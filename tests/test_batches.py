@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from satchel.functions import batches
 from satchel.functions.arrays import STATS, TIE_BREAK, with_stats
-from satchel.operators import compatibility, features, hashing
+from satchel.operators import compatibility, features, hashing, text
 
 SCHEMA = "instance_id string, weights array<bigint>, profit array<bigint>, capacity bigint"
 
@@ -72,3 +72,14 @@ def test_first_of_a_class(spark):
     key = {r.ord: r.k for r in df.select("ord", hashing.proportional_key().alias("k")).coalesce(1).collect()}
     assert key[1] == key[3] == hashing.hashlib.sha256(b"1,2,3,0,4").hexdigest() and key[6] is None
     assert "Join" not in hashing.dedupe(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rendered_forms_are_found_in_any_text(spark):
+    """Plain texts are searched in lower case and once, others as before: line breaks, order, thousands, other digits' neighbours."""
+    body = "3. ITEM 2 :\n Value = 1,200 x, WEIGHT = 7\nProject 1: value=5.\n Weight = 6\nfood 0 Value = 9 Weight= 8\nItem 5: Value = 4\nWeight = 4\nA Capacity\nof 1,050"
+    texts = {"plain": body, "accent": body + " \u00e9", "mark": body + " \x01", "none": "Item: Value = 3, Weight = 2", "empty": ""}
+    df = spark.createDataFrame(list(texts.items()), "instance_id string, question string").coalesce(1)
+    got = {r.instance_id: tuple(r[1:]) for r in text.parse_rendered(df).collect()}
+    assert got["plain"] == got["accent"] == got["mark"] == ([8, 7], [9, 1200], 1050)
+    assert got["none"] == got["empty"] == ([], [], None)
+    assert "__lowered" not in text.render(spark.createDataFrame([([1], [2], 3)], "weights array<bigint>, profit array<bigint>, capacity bigint")).columns
