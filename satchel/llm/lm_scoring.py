@@ -28,11 +28,12 @@ corpus and the context count, and what follows has probability 1 at most in any
 
 Data flow. Texts are dealt to blocks of about BLOCK_CHARS by a hash. Each block is packed
 once: its distinct words with their ids, and its texts as indices into them; all later
-passes read these packs. Counts are summed by word over all blocks, and each pack gets
-the totals of its own words back, joined by word and then by pack. So no task holds more
-than a block of texts and the words in it, the vocabulary is never in one place, and the
-rows of a very common word (one a block) are summed before the shuffle and joined by a
-join that Spark may split. Words are told apart by 64-bit hashes.
+passes read these packs. A word belongs to an owner by its hash. Each pack sends its words'
+hashes and counts in one list to each owner, which sums them and answers each list with the
+totals, in its order; a pack's words are numbered in the order of their owners. So no task
+holds more than a block of texts and the words in it, or an owner's lists (about OWNED
+blocks' words); the vocabulary is never in one place, and a very common word is one
+number in each list. Words are told apart by 64-bit hashes. Lists are kept compressed.
 
 The network is fitted on every training text but one in TUNE: each pack counts its ids'
 contexts, and in ROUNDS rounds takes steps over its own windows, each window in one round
@@ -46,12 +47,13 @@ from __future__ import annotations
 import io
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,12 +64,14 @@ HALF, WIDTH, CLASSES = 8, 16, 64
 #: Rounds after which the blocks' weights are merged, a block's steps in all rounds, and windows of a step at least.
 ROUNDS, STEPS, BATCH = 3, 180, 256
 #: Windows of a step whose gradients are computed at once, so they stay in the cache.
-CHUNK = 128
+CHUNK = 256
 #: One text in so many is kept from the network, for the mixture's weight.
 TUNE = 50
 #: Frequent ids whose neighbourhood tells contexts apart, parts in which contexts and weights are summed, and blocks that are merged at once at most.
 FREQUENT, PARTS, MERGED = 256, 16, 64
 BLOCK_CHARS = 8_000_000
+#: Blocks whose words' number an owner of words has at most, about.
+OWNED = 4
 #: The probability of words that their ids do not spell.
 SPELLED = 1e-4
 #: The base counts: what is added to each count.
@@ -87,17 +91,33 @@ class Subwords:
         self._bytes = [bytes([int(n[3:-1], 16)]) if processor.is_byte(i) else n.encode() for i, n in enumerate(names)]
         #: Which ids open a token.
         self.opening = np.array([i == self.END for i in range(self.FIRST)] + [b.startswith(self.MARK) for b in self._bytes])
-
-    def _spells(self, ids: list[int], word: bytes) -> bool:
-        return self.MARK not in word and b"".join(map(self._bytes.__getitem__, ids)) == self.MARK + word
+        self._size = np.array([len(b) for b in self._bytes])
+        self._at, self._all = np.cumsum(self._size) - self._size, np.frombuffer(b"".join(self._bytes), np.uint8)
+
+    def _unspelled(self, words: list[bytes], length: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """The bytes of each word that its ids (the tokenizer's) do not spell, 0 for others."""
+        size, many = np.fromiter(map(len, words), np.int32, len(words)), self._size[flat]
+        ends = np.append(0, np.cumsum(many))
+        last = np.cumsum(length)
+        same = ends[last] - ends[last - length] == size + len(self.MARK)
+        ids, all_words = np.repeat(same, length), self.MARK.join([b"", *(w for w, x in zip(words, same, strict=True) if x)])
+        spelt = self._all[_spread(self._at[flat[ids]], many[ids])]
+        agree = np.append(0, np.cumsum(spelt == np.frombuffer(all_words, np.uint8)))
+        end = np.cumsum(size[same] + len(self.MARK))
+        same[same] = agree[end] - agree[end - size[same] - len(self.MARK)] == size[same] + len(self.MARK)
+        if all_words.count(self.MARK) > len(end):
+            same &= np.fromiter((self.MARK not in w for w in words), bool, len(words))
+        return np.where(same, 0, size)
 
     def pieces(self, words: list[bytes]) -> Pieces:
         lengths, flat, spelled = ([np.zeros(0, np.int32)] for _ in range(3))
         for lo in range(0, len(words), 20_000):
-            got = self._encode([w.decode() for w in words[lo : lo + 20_000]], num_threads=1)
+            some = words[lo : lo + 20_000]
+            got = self._encode([w.decode() for w in some], num_threads=1)
             lengths.append(np.fromiter(map(len, got), np.int32, len(got)))
-            flat.append(np.fromiter(chain.from_iterable(got), np.int32, int(lengths[-1].sum())) + np.int32(self.FIRST))
-            spelled.append(np.fromiter((0 if self._spells(i, w) else len(w) for i, w in zip(got, words[lo : lo + 20_000], strict=True)), np.int32, len(got)))
+            ids = np.fromiter(chain.from_iterable(got), np.int32, int(lengths[-1].sum()))
+            flat.append(ids + np.int32(self.FIRST))
+            spelled.append(self._unspelled(some, lengths[-1], ids).astype(np.int32))
         return Pieces(*map(np.concatenate, (lengths, flat, spelled)))
 
 
@@ -112,28 +132,52 @@ def _subwords(path: str | None) -> Subwords:
     return Subwords(sentencepiece.SentencePieceProcessor(model_file=path))
 
 
-class Numbers(dict):
-    def __missing__(self, w: bytes) -> int:
-        self[w] = n = len(self)
-        return n
+def _spread(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The indices begin[0], begin[0] + 1, ... (many[0] of them), begin[1], ..."""
+    last = np.cumsum(many)
+    return np.repeat(begin - last + many, many) + np.arange(last[-1] if len(last) else 0)
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers from 0 as bytes, compressed: the lowest byte of each, then the next one, as far as any number needs."""
+    many = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    planes = b"".join((x >> 8 * k).astype(np.uint8).tobytes() for k in range(many))
+    return len(x).to_bytes(8, "little") + bytes([many]) + (pa.compress(planes, "zstd", asbytes=True) if many else b"")
+
+
+def _unsqueezed(data: bytes, kind: type = np.int32) -> np.ndarray:
+    n, many = int.from_bytes(data[:8], "little"), data[8]
+    out = np.zeros(n, kind)
+    if many:
+        for k, plane in enumerate(np.frombuffer(pa.decompress(data[9:], n * many, "zstd"), np.uint8).reshape(many, n)):
+            out |= plane.astype(kind) << 8 * k
+    return out
 
 
 class Block:
-    """The words of some texts: ``words`` (distinct) and ``texts``, per text the indices into them."""
+    """The words of some texts: ``words`` (distinct), ``w`` (the texts' indices into them, one text after another) and the texts' ``sizes``."""
 
     def __init__(self, texts: list[str]):
-        index = Numbers()
-        get = index.__getitem__
-        self.texts = []
-        for t in texts:
-            ws = t.encode().lower().split()  # both for ASCII only
-            self.texts.append(np.fromiter(map(get, ws), np.int32, len(ws)))
-        self.words = list(index)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        flat, ends = lists.flatten(), np.asarray(lists.offsets)
+        some = np.asarray(pc.binary_length(flat)) > 0  # white space at a text's ends leaves empty words
+        before = np.append(0, np.cumsum(some))
+        found = flat.filter(pa.array(some)).dictionary_encode()
+        self.w, self.sizes = np.asarray(found.indices).astype(np.int32), np.diff(before[ends]).astype(np.int32)
+        self.words = found.dictionary.cast(pa.large_binary()).to_pylist()
 
     def hashes(self) -> np.ndarray:
         import xxhash
 
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words)).view(np.int64)
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+
+    def order(self, key: np.ndarray) -> np.ndarray:
+        """Numbers the words anew by ``key``; the former numbers in the new order."""
+        order = np.argsort(key, kind="stable")
+        new = np.empty(len(order), np.int32)
+        new[order] = np.arange(len(order), dtype=np.int32)
+        self.w, self.words = new[self.w], [self.words[i] for i in order.tolist()]
+        return order
 
 
 class Pieces:
@@ -144,6 +188,11 @@ class Pieces:
         self.spelled = np.zeros(len(length), np.int32) if spelled is None else spelled
         self.begin = np.cumsum(self.length) - self.length
 
+    @cached_property
+    def ended(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, length, flat) with the end as a last word, so that its index is -1."""
+        return np.append(self.begin, len(self.flat)), np.append(self.length, 1), np.append(self.flat, Subwords.END).astype(np.int64)
+
 
 def _windows(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys, own): indices into x of each window's 2 * HALF ids, -1 where there is none, and which of the second half count.
@@ -167,6 +216,18 @@ def _full_windows(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(at < sizes[text][:, None], at + starts[text][:, None], -1)
 
 
+def _exp(x: np.ndarray) -> np.ndarray:
+    """e to the power of x, at most 60, in place."""
+    if x.size and x.max() > 60:
+        np.minimum(x, np.float32(60), out=x)
+    return np.exp(x, out=x)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, which stays; by a product, which is faster where it is short."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)).reshape(*x.shape[:-1], 1)
+
+
 class AttentionModel:
     """Tables and weights; ``log_probs`` scores next ids. ``opens`` is the part of each class that opens a token, all of it unless given."""
 
@@ -179,20 +240,22 @@ class AttentionModel:
     def tables(self) -> None:
         scale = np.float32(WIDTH**-0.5)
         self.q, self.k, self.v, self.r = self.e @ self.wq * scale, self.e @ self.wk, self.e @ self.wv, self.e @ self.wr
+        self.qr, self.kv = np.concatenate([self.q, self.r], 1), np.concatenate([self.k, self.v], 1)  # one look-up each
         i, j = np.arange(2 * HALF)[:, None], np.arange(2 * HALF)
         self.mask = np.where(j <= i, self.distance[np.clip(i - j, 0, 2 * HALF - 1)], np.float32(-1e9)).astype("f4")
 
     def attend(self, ids: np.ndarray) -> np.ndarray:
         """The attention's output with the residual for the second half of windows of ids."""
         own = ids[:, HALF:]
-        a = self.q[own] @ self.k[ids].transpose(0, 2, 1)
+        (q, r), (k, v) = np.split(self.qr[own], 2, axis=2), np.split(self.kv[ids], 2, axis=2)
+        a = q @ k.transpose(0, 2, 1)
         a += self.mask[HALF:]
         if (pad := ids == Subwords.PAD).any():
             a += np.where(pad, np.float32(-1e9), np.float32(0))[:, None, :]
-        np.exp(np.minimum(a, np.float32(60), out=a), out=a)
-        h = a @ self.v[ids]
-        h /= a.sum(-1, keepdims=True) + np.float32(1e-20)
-        h += self.r[own]
+        _exp(a)
+        h = a @ v
+        h /= _sums(a) + np.float32(1e-20)
+        h += r
         return h
 
     def log_probs(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray, sizes: np.ndarray, batch: int = 256) -> np.ndarray:
@@ -203,7 +266,7 @@ class AttentionModel:
         """(``log_probs``, the logarithm of the probability that the next id opens a token)."""
         out, opening = np.empty(len(y), "f4"), np.empty(len(y), "f4")
         at, own = _windows(x, starts, sizes)
-        padded = np.append(x, Subwords.PAD)
+        padded, parts = np.append(x, Subwords.PAD), np.stack([np.ones(CLASSES, "f4"), self.opens.astype("f4")], 1)
         for lo in range(0, len(at), batch):
             part, mine = at[lo : lo + batch], own[lo : lo + batch]
             h = self.attend(padded[part])[mine]
@@ -211,12 +274,10 @@ class AttentionModel:
             target = y[to]
             z = h @ self.wc
             z += self.bias
-            np.minimum(z, np.float32(60), out=z)
-            wanted = z[np.arange(len(to)), self.cls[target]]
-            np.exp(z, out=z)
-            total = np.log(z.sum(-1))
+            wanted = np.minimum(z[np.arange(len(to)), self.cls[target]], np.float32(60))
+            total, opens = np.log(np.maximum(_exp(z) @ parts, np.float32(1e-30))).T
             out[to] = wanted - total + self.within[target]
-            opening[to] = np.log(np.maximum(z @ self.opens, np.float32(1e-30))) - total
+            opening[to] = opens - total
         return out, opening
 
     def rows(self) -> np.ndarray:
@@ -290,7 +351,7 @@ def _classes(features: np.ndarray, counts: np.ndarray, begins: np.ndarray, rng)
 
 def _rows(ids: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(different ids, the sum of each one's rows of ``grads``)."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 2**16 else ids, kind="stable")  # two bytes are sorted in linear time
     ids = ids[order]
     starts = np.flatnonzero(np.diff(ids, prepend=-1))
     return ids[starts], np.add.reduceat(grads[order], starts, axis=0)
@@ -336,35 +397,35 @@ def descend(m: AttentionModel, x: np.ndarray, steps: int, part: int = 0, parts:
     mean = {n: np.zeros_like(getattr(m, n)) for n in ("e", *shared)}
     square = {n: np.zeros_like(getattr(m, n)) for n in ("e", *shared)}
     scale, lag = np.float32(WIDTH**-0.5), np.clip(np.arange(span)[:, None] - np.arange(span), 0, span - 1).ravel()
-    dot = lambda a, b: (a * b).sum(-1, keepdims=True)
+    dot = lambda a, b: np.einsum("nij,nij->ni", a, b)[:, :, None]
 
     def gradients(part_at: np.ndarray, four: np.ndarray, bias: np.ndarray, count: int) -> tuple[dict, np.ndarray, np.ndarray]:
         """(of the shared weights, ids, of each id's place) for some windows of a step over ``count`` next ids."""
         mine, w = (part_at >= 0).ravel(), padded[part_at]
         flat_w, windows = w.ravel(), (len(w), span, WIDTH)
         e = m.e[flat_w]
-        q, k, v, r = (np.ascontiguousarray(p).reshape(windows) for p in np.split(e @ four, 4, axis=1))
+        q, k, v, r = np.split((e @ four).reshape(len(w), span, 4 * WIDTH), 4, axis=2)
         a = q @ k.transpose(0, 2, 1)
         a += bias
         if not mine.all():
             a += np.where(w == Subwords.PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-        np.exp(np.minimum(a, np.float32(60), out=a), out=a)
-        a /= a.sum(-1, keepdims=True) + np.float32(1e-20)
+        _exp(a)
+        a *= 1 / (_sums(a) + np.float32(1e-20))
         h = ((a @ v) + r).reshape(-1, WIDTH)
         z = h @ m.wc
         z += m.bias
-        np.exp(np.minimum(z, np.float32(60), out=z), out=z)
+        _exp(z)
         each = (mine / np.float32(max(count, 1))).astype("f4")
-        z *= (each / (z.sum(-1) + np.float32(1e-20)))[:, None]
+        z *= each[:, None] / (_sums(z) + np.float32(1e-20))
         z[np.arange(len(z)), m.cls[y[np.where(mine, part_at.ravel(), 0)]]] -= each
-        g = {"wc": h.T @ z, "bias": z.sum(0)}
+        g = {"wc": h.T @ z, "bias": np.ones(len(z), "f4") @ z}
         dh = z @ m.wc.T
         dh3 = dh.reshape(windows)
         da = dh3 @ v.transpose(0, 2, 1)
         da -= dot(da, a)
         da *= a
         g["distance"] = np.bincount(lag, weights=da.sum(0).ravel(), minlength=span).astype("f4")
-        d4 = np.concatenate([x.reshape(-1, WIDTH) for x in (da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh3, dh)], 1)
+        d4 = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh3, dh3], 2).reshape(-1, 4 * WIDTH)
         g["wq"], g["wk"], g["wv"], g["wr"] = (np.ascontiguousarray(p) for p in np.split(e.T @ d4, 4, axis=1))
         g["wq"] *= scale
         return g, flat_w, d4 @ four.T
@@ -377,9 +438,9 @@ def descend(m: AttentionModel, x: np.ndarray, steps: int, part: int = 0, parts:
         ids, of_ids = _rows(np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]))
         rate = 0.02 * min(1, 2 * (1 - (part + step / (steps + 1)) / parts))
         for n, some, grad in (("e", ids, of_ids), *((n, slice(None), g[n]) for n in shared)):  # rows of ids that are not in the batch stay
-            mean[n][some] += np.float32(0.1) * (grad - mean[n][some])
-            square[n][some] += np.float32(0.01) * (grad * grad - square[n][some])
-            move = mean[n][some] / np.float32(1 - 0.9**step) / (np.sqrt(square[n][some] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+            mean[n][some] = first = mean[n][some] + np.float32(0.1) * (grad - mean[n][some])
+            square[n][some] = second = square[n][some] + np.float32(0.01) * (grad * grad - square[n][some])
+            move = first / np.float32(1 - 0.9**step) / (np.sqrt(second / np.float32(1 - 0.99**step)) + np.float32(1e-8))
             getattr(m, n)[some] -= np.float32(rate) * move
     m.tables()
     return seen
@@ -410,11 +471,11 @@ class Pack:
         return cls(np.concatenate([np.zeros(0, np.int32), *texts]), np.array([len(t) for t in texts], np.int32), pieces)
 
     def row(self) -> list[bytes]:
-        return [self.w.tobytes(), self.sizes.tobytes(), self.pieces.length.astype(np.int32).tobytes(), self.pieces.flat.tobytes(), self.pieces.spelled.astype(np.int32).tobytes()]
+        return [_squeezed(x) for x in (self.w, self.sizes, self.pieces.length, self.pieces.flat, self.pieces.spelled)]
 
     @classmethod
     def read(cls, *columns: bytes) -> Pack:
-        w, sizes, *pieces = (np.frombuffer(c, np.int32) for c in columns)
+        w, sizes, *pieces = map(_unsqueezed, columns)
         return cls(w, sizes, Pieces(*pieces))
 
     def stream(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -426,21 +487,21 @@ class Pack:
         inner = np.ones(len(w), bool)
         inner[ends] = False
         w[inner] = self.w[lo : lo + int(sizes.sum())]
-        many = np.where(inner, self.pieces.length[w] if len(self.pieces.length) else 0, 1)
-        last = np.cumsum(many)
-        y = np.full(int(last[-1]) if len(last) else 0, Subwords.END, np.int64)
-        reps = many[inner]
-        offset = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        y[np.repeat(inner, many)] = self.pieces.flat[np.repeat(self.pieces.begin[w[inner]], reps) + offset]
-        return w, y, many
+        begin, length, flat = self.pieces.ended
+        many = length[w]
+        return w, flat[_spread(begin[w], many)], many
 
     def training(self, learn: np.ndarray) -> np.ndarray:
         """The ids of the texts marked in ``learn``, each text after a start."""
-        _, y, _ = self.stream(0, len(self.sizes))
-        ends = np.flatnonzero(y == Subwords.END)
-        x = np.append(Subwords.START, y[:-1])
-        x[1:][y[:-1] == Subwords.END] = Subwords.START
-        return x[np.repeat(learn, np.diff(ends, prepend=-1))]
+        sizes = self.sizes[learn].astype(np.int64)
+        w = np.full(sizes.sum() + len(sizes), -1, np.int64)
+        inner = np.ones(len(w), bool)
+        inner[np.cumsum(sizes + 1) - sizes - 1] = False
+        w[inner] = self.w[np.repeat(learn, self.sizes)]
+        begin, length, flat = self.pieces.ended
+        x = flat[_spread(begin[w], length[w])]
+        x[x == Subwords.END] = Subwords.START
+        return x
 
 
 def _text_log_probs(model: AttentionModel, pack: Pack, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -479,17 +540,18 @@ def score_texts(docs: DataFrame, model_path: str | None = None, block_chars: int
     rows = docs.select(F.pmod(order, F.lit(blocks)).cast("int").alias("block"), order.alias("order"), "doc_id", held_out.alias("held_out"), tune.alias("tune"), text.alias("text"))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    packed = f"block int, part int, kind int, h long, at int, n long, doc_ids array<{kind}>, learn binary, {Pack.SCHEMA}"
+    owners = int(max(8, -(-blocks // OWNED)))
+    packed = f"block int, part int, kind int, h long, owner int, n long, hashes binary, counts binary, doc_ids array<{kind}>, learn binary, {Pack.SCHEMA}"
     id_list = pa.list_(_arrow_type(docs.schema["doc_id"].dataType))
 
     def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of WORD and TUNED_WORD: a pack's word ``at`` with its hash and number in training texts; of IDS and BEGINS: ids (h) and their numbers in the pack's training texts, all and those that begin words; of SCORED and TUNED: the packs."""
+        """Rows of WORDS and TUNED_WORDS: hashes of a pack's words that go to one owner, and their numbers in its training texts; of IDS and BEGINS: ids (h) and their numbers in the pack's training texts, all and those that begin words; of SCORED and TUNED: the packs."""
         subwords = _subwords(model_path)
         part, block, held = 0, None, []
 
         def out(kind: int, many: int, **given) -> pa.RecordBatch:
             given = {c: pa.array(np.full(many, x, np.int32)) for c, x in (("block", block), ("part", part), ("kind", kind))} | given
-            types = {"h": pa.int64(), "at": pa.int32(), "n": pa.int64(), "doc_ids": id_list, "learn": pa.binary()} | {c: pa.binary() for c in Pack.COLUMNS}
+            types = {"h": pa.int64(), "owner": pa.int32(), "n": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "doc_ids": id_list, "learn": pa.binary()} | {c: pa.binary() for c in Pack.COLUMNS}
             names = ["block", "part", "kind", *types]
             return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(many, types[c]) for c in names], names)
 
@@ -498,10 +560,15 @@ def score_texts(docs: DataFrame, model_path: str | None = None, block_chars: int
             part += 1
             b = Block([r[3] for r in rows])
             learn = np.array([not r[1] for r in rows])
+            h = b.hashes()
+            h = h[b.order(h % np.uint64(owners))]
             pieces = subwords.pieces(b.words)
-            pack = Pack.of(b.texts, pieces)
+            pack = Pack(b.w, b.sizes, pieces)
             n = np.bincount(pack.w[np.repeat(learn, pack.sizes)], minlength=len(b.words))
-            yield out(WORD if kind == SCORED else TUNED_WORD, len(b.words), h=pa.array(b.hashes()), at=pa.array(np.arange(len(b.words), dtype=np.int32)), n=pa.array(n.astype(np.int64)))
+            cuts = np.searchsorted(h % np.uint64(owners), np.arange(owners + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(cuts))
+            sent = [[f(x[cuts[o] : cuts[o + 1]]) for o in some] for f, x in ((np.ndarray.tobytes, h), (_squeezed, n))]
+            yield out(WORDS if kind == SCORED else TUNED_WORDS, len(some), owner=pa.array(some.astype(np.int32)), hashes=pa.array(sent[0], pa.binary()), counts=pa.array(sent[1], pa.binary()))
             total = np.bincount(pieces.flat, weights=np.repeat(n, pieces.length), minlength=subwords.size)
             some = pieces.length > 0
             begin = np.bincount(pieces.flat[pieces.begin[some]], weights=n[some], minlength=subwords.size)
@@ -531,23 +598,32 @@ def score_texts(docs: DataFrame, model_path: str | None = None, block_chars: int
 
     sorted_rows = rows.repartition(int(blocks), "block").sortWithinPartitions("block", "order").select("block", "doc_id", "held_out", "tune", "text")
     counted = materialise(sorted_rows.mapInArrow(pack_blocks, packed), "packs")
-    words = counted.where(F.col("kind").isin(WORD, TUNED_WORD))
-    summed = materialise(words.groupBy("h").agg(F.sum("n").alias("total")), "word-totals")
-    seen = summed.where("total > 0").agg(F.sum("total"), F.count(F.lit(1))).head()
-    n, v = (seen[0] or 0) + train_texts, seen[1] + (train_texts > 0)
+
+    def total(f: pd.DataFrame) -> pd.DataFrame:
+        """An owner's answers: the numbers of a pack's words in all training texts; once the sum of these and how many are not 0."""
+        sent = [len(x) // 8 for x in f.hashes]
+        _, place = np.unique(np.frombuffer(b"".join(f.hashes), np.uint64), return_inverse=True)
+        sums = np.bincount(place, weights=np.concatenate([_unsqueezed(x, np.int64) for x in f.counts])).astype(np.int64)
+        found = np.split(sums[place], np.cumsum(sent)[:-1])
+        out = pd.DataFrame({"kind": f.kind, "of_block": f.block, "of_part": f.part, "owner": f.owner, "totals": [_squeezed(x) for x in found]})
+        return out.assign(tokens=[int(sums.sum())] + [0] * (len(f) - 1), known=[int((sums > 0).sum())] + [0] * (len(f) - 1))
+
+    sent = counted.where(F.col("kind").isin(WORDS, TUNED_WORDS)).select("kind", "block", "part", "owner", "hashes", "counts")
+    answers = sent.groupBy("owner").applyInPandas(total, "kind int, of_block int, of_part int, owner int, totals binary, tokens long, known long")
+    totals = materialise(answers, "word-totals")
+    seen = totals.agg(F.sum("tokens"), F.sum("known")).head()
+    n, v = (seen[0] or 0) + train_texts, (seen[1] or 0) + (train_texts > 0)
     ids = counted.where(F.col("kind").isin(IDS, BEGINS)).groupBy("kind", "h").agg(F.sum("n").alias("total")).toPandas()  # no more rows than twice the tokenizer's ids
     packs = counted.where(F.col("kind").isin(SCORED, TUNED)).select("block", "part", "kind", "doc_ids", "learn", *Pack.COLUMNS)
     model = _fit(packs.where(F.col("kind") == SCORED), ids, train_texts, model_path)
     unit = np.log10(n + ADDED * (v + 1)) if n else 0.0
-    totals = words.select("h", "kind", "block", "part", "at").join(summed.hint("shuffle_hash"), "h").select("kind", F.col("block").alias("of_block"), F.col("part").alias("of_part"), "at", "total")
+    totals = totals.select("kind", "of_block", "of_part", "owner", "totals")
 
     def read(row, words: pd.DataFrame) -> tuple[Pack, np.ndarray]:
         """(texts, numbers of the words and the end)."""
         pack = Pack.read(*(getattr(row, c) for c in Pack.COLUMNS))
-        c = np.zeros(len(pack.pieces.length) + 1, np.int64)
-        c[words["at"].to_numpy()] = words.total.to_numpy()
-        c[-1] = train_texts  # index -1 is the end
-        return pack, c
+        answers = words.sort_values("owner").totals  # the words are numbered by their owners
+        return pack, np.concatenate([*(_unsqueezed(x, np.int64) for x in answers), [train_texts]])  # index -1 is the end
 
     def batches_of(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         cuts = np.flatnonzero(np.diff(np.cumsum(sizes + 1) // 20_000, prepend=-1))
@@ -568,7 +644,7 @@ def score_texts(docs: DataFrame, model_path: str | None = None, block_chars: int
         return pd.DataFrame({"bin": at - BINS, "n": found[at]})
 
     shared = spark.sparkContext.broadcast(model)
-    tuned_words = totals.where(F.col("kind") == TUNED_WORD).drop("kind")
+    tuned_words = totals.where(F.col("kind") == TUNED_WORDS).drop("kind")
     tuning = packs.where(F.col("kind") == TUNED).groupBy("block", "part").cogroup(tuned_words.groupBy("of_block", "of_part"))
     bins = tuning.applyInPandas(weigh, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # no more rows than bins
     mix = _mixture(bins.bin.to_numpy() / PER_UNIT, bins.n.to_numpy())
@@ -598,7 +674,7 @@ def score_texts(docs: DataFrame, model_path: str | None = None, block_chars: int
 
 
 #: Kinds of rows of the table of packs.
-WORD, TUNED_WORD, IDS, BEGINS, SCORED, TUNED = range(6)
+WORDS, TUNED_WORDS, IDS, BEGINS, SCORED, TUNED = range(6)
 #: Bins on each side of 0, and bins of a unit, of the logarithm by which the mixture's weight is fitted.
 BINS, PER_UNIT = 1_000, 25
 

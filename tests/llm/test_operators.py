@@ -610,3 +610,31 @@ def test_attention_is_causal_and_normalised():
     changed[40:] = 7
     y = np.r_[ids[0], 2]
     assert np.allclose(model.log_probs(x, y, at, z)[:40], model.log_probs(changed, y, at, z)[:40], atol=1e-5)
+
+
+def test_words_are_sent_in_lists(spark, monkeypatch, tmp_path):
+    """A block's words go to each of their owners in one list, not in a row each."""
+    monkeypatch.setattr(lm_scoring, "STEPS", 2)
+    rng = np.random.default_rng(6)
+    words = np.array(["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(20_000)])
+    texts = [" ".join(words[rng.zipf(1.2, 400) % 20_000]) for _ in range(300)]
+    monkeypatch.setattr("satchel.llm.common.scratch_root", lambda _: str(tmp_path))
+    assert lm_scoring.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 300
+    rows = sum(spark.read.parquet(str(p)).where("kind < 2").count() for p in tmp_path.glob("packs-*"))  # the kinds of words
+    assert 0 < rows <= 2 * 8 * 8, rows  # scored and tuned packs, owners and blocks
+
+
+def test_lists_of_numbers_and_words_of_texts():
+    rng = np.random.default_rng(7)
+    for x in (np.zeros(0, np.int64), np.zeros(5, np.int32), rng.integers(0, 70_000, 999).astype(np.int32), rng.integers(0, 2**40, 99)):
+        kind = np.int64 if x.dtype == np.int64 else np.int32
+        assert (lm_scoring._unsqueezed(lm_scoring._squeezed(x), kind) == x).all()
+    texts = ["", " ", "  A b\x1c 　cÉ\t\n\x0b\x0c\rb A ", "x"]
+    b = lm_scoring.Block(texts)
+    want = [t.encode().lower().split() for t in texts]
+    b.order(b.hashes() % np.uint64(3))
+    assert b.sizes.tolist() == [len(w) for w in want] and [b.words[i] for i in b.w] == [w for t in want for w in t]
+    words, subwords = ["café".encode(), "▁x".encode(), "\U0001f600z".encode(), b"the"], lm_scoring._subwords(None)
+    whole = lambda i: subwords.MARK + words[i] == b"".join(subwords._bytes[k - subwords.FIRST] for k in p.flat[p.begin[i] : p.begin[i] + p.length[i]])
+    p = subwords.pieces(words)
+    assert p.spelled.tolist() == [0 if subwords.MARK not in w and whole(i) else len(w) for i, w in enumerate(words)]
