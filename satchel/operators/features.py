@@ -20,35 +20,53 @@ RELATION = [f"kp_{p}_{s}" for p in ("relative_weight", "relative_value_density",
 ]
 
 
-def _domain(w: np.ndarray, p: np.ndarray, c: np.ndarray) -> batches.Columns:
-    ratio = {"capacity_total_weight_ratio": c / batches.total(w)}
-    return batches.stats("weights", w) | batches.stats("profit", p) | batches.stats("capacity", c[:, None]) | ratio | batches.stats("profit_weight_ratio", p / w)
-
-
-def _relation(w: np.ndarray, p: np.ndarray, c: np.ndarray) -> batches.Columns:
+def _pairs(w: np.ndarray, p: np.ndarray, c: np.ndarray) -> batches.Columns:
     """Pairs are at most 19,900 per row."""
-    n = w.shape[1]
-    r, d = w / c[:, None], p / w
-    mean = batches.total(d) / n
-    d = np.divide(d, mean[:, None], out=np.zeros_like(d), where=mean[:, None] > 0)
+    r, n = w / c[:, None], w.shape[1]
     slack = 1.0 - r[:, :, None] - r[:, None, :]
     fits = (slack >= -1e-12).sum(2) - (np.diagonal(slack, axis1=1, axis2=2) >= -1e-12)
     i, j = np.triu_indices(n, 1)
     s = slack[:, i, j]
     wi, wj, pi, pj = w[:, i], w[:, j], p[:, i], p[:, j]
     ratio = lambda x: x.sum(1) / max(len(i), 1)
-    out = batches.seven("kp_relative_weight", r) | batches.seven("kp_relative_value_density", d) | batches.seven("kp_pair_slack", s) | batches.seven("kp_partner_fraction", fits / max(n - 1, 1))
-    return out | {
-        "kp_weight_gini": batches.gini(w), "kp_profit_gini": batches.gini(p), "kp_weight_profit_pearson": batches.pearson(w, p),
-        "kp_weight_profit_spearman": batches.pearson(batches.midranks(w), batches.midranks(p)),
-        "kp_weight_profit_correlation_undefined": (batches.constant(w) | batches.constant(p)).astype(float),
+    return batches.seven("kp_pair_slack", s) | batches.seven("kp_partner_fraction", fits / max(n - 1, 1)) | {
         "kp_pair_fit_ratio": ratio(s >= -1e-12), "kp_pair_exact_fit_ratio": ratio(np.abs(s) <= 1e-12),
         "kp_pair_lower_weight_higher_profit_ratio": ratio(((wi < wj) & (pi > pj)) | ((wi > wj) & (pi < pj))), "kp_identical_item_pair_ratio": ratio((wi == wj) & (pi == pj)),
-        "kp_oversize_item_ratio": (r > 1 + 1e-12).sum(1) / n, "kp_zero_profit_item_ratio": (p == 0).sum(1) / n,
     }
 
 
-def _features(instances: DataFrame, names: list[str], *parts: Callable[..., batches.Columns]) -> DataFrame:
+def _density(w: np.ndarray, p: np.ndarray, c: np.ndarray) -> batches.Columns:
+    d = p / w
+    mean = batches.total(d) / w.shape[1]
+    return batches.seven("kp_relative_value_density", np.divide(d, mean[:, None], out=np.zeros_like(d), where=mean[:, None] > 0))
+
+
+#: Features that are computed together: (beginning of their names, the step).
+STEPS: list[tuple[tuple[str, ...], Callable[..., batches.Columns]]] = [
+    (("weights_",), lambda w, p, c: batches.stats("weights", w)),
+    (("profit_weight_ratio_",), lambda w, p, c: batches.stats("profit_weight_ratio", p / w)),
+    (("profit_",), lambda w, p, c: batches.stats("profit", p)),
+    (("capacity_total_weight_ratio",), lambda w, p, c: {"capacity_total_weight_ratio": c / batches.total(w)}),
+    (("capacity_",), lambda w, p, c: batches.stats("capacity", c[:, None])),
+    (("kp_relative_weight_",), lambda w, p, c: batches.seven("kp_relative_weight", w / c[:, None])),
+    (("kp_relative_value_density_",), _density),
+    (("kp_pair_", "kp_partner_fraction_", "kp_identical_item_pair_ratio"), _pairs),
+    (("kp_weight_gini",), lambda w, p, c: {"kp_weight_gini": batches.gini(w)}),
+    (("kp_profit_gini",), lambda w, p, c: {"kp_profit_gini": batches.gini(p)}),
+    (("kp_weight_profit_pearson",), lambda w, p, c: {"kp_weight_profit_pearson": batches.pearson(w, p)}),
+    (("kp_weight_profit_spearman",), lambda w, p, c: {"kp_weight_profit_spearman": batches.pearson(batches.midranks(w), batches.midranks(p))}),
+    (("kp_weight_profit_correlation_undefined",), lambda w, p, c: {"kp_weight_profit_correlation_undefined": (batches.constant(w) | batches.constant(p)).astype(float)}),
+    (("kp_oversize_item_ratio",), lambda w, p, c: {"kp_oversize_item_ratio": (w / c[:, None] > 1 + 1e-12).sum(1) / w.shape[1]}),
+    (("kp_zero_profit_item_ratio",), lambda w, p, c: {"kp_zero_profit_item_ratio": (p == 0).sum(1) / p.shape[1]}),
+]
+
+
+def chosen_features(instances: DataFrame, names: list[str]) -> DataFrame:
+    """instance_id and the features ``names``, of the 100; only the steps that give them are taken. Nulls as in ``domain_features``."""
+    if unknown := set(names) - {*DOMAIN, *RELATION}:
+        raise ValueError(f"no such features: {sorted(unknown)}")
+    parts = [STEPS[k][1] for k in sorted({next(k for k, (begins, _) in enumerate(STEPS) if name.startswith(begins)) for name in names})]
+
     def compute(weights: pa.Array, profit: pa.Array, capacity: pa.Array) -> Iterator[tuple[np.ndarray, batches.Columns]]:
         c = capacity.to_numpy(zero_copy_only=False)
         for rows, (w, p) in batches.same_length([batches.Lists(weights), batches.Lists(profit)], ~np.isnan(c), lambda n: n * n):
@@ -68,7 +86,7 @@ def domain_features(instances: DataFrame) -> DataFrame:
     Features are null where a list or the capacity is null, where a list holds a null and
     where the lists differ in length; a weight or capacity of 0 raises.
     """
-    return _features(instances, DOMAIN, _domain)
+    return chosen_features(instances, DOMAIN)
 
 
 def pairs(x, f):
@@ -78,12 +96,12 @@ def pairs(x, f):
 
 def relation_features(instances: DataFrame) -> DataFrame:
     """instance_id and the 39 RELATION features; nulls as in ``domain_features``."""
-    return _features(instances, RELATION, _relation)
+    return chosen_features(instances, RELATION)
 
 
 def all_features(instances: DataFrame) -> DataFrame:
     """instance_id and all 100 features, in one pass."""
-    return _features(instances, DOMAIN + RELATION, _domain, _relation)
+    return chosen_features(instances, DOMAIN + RELATION)
 
 
 def feature_means(features: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: First candidates, candidates in a bracket of two steps, how often the bracket closes, and how often it may move beyond its end.
 GRID, CLOSER, ROUNDS, MOVES = np.linspace(-8, 8, 65), 33, 4, 32
+#: Values that go through the candidates at once, so that the matrix stays in the cache.
+CHUNK = 512
 
 Values = Callable[[str, np.ndarray], np.ndarray]
 
@@ -33,12 +35,14 @@ def column_moments(table: DataFrame, names: list[str], values: Values) -> dict[s
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, tuple] = {}
         for f in frames:
-            for name, x in zip(names, f.to_numpy(dtype=float).T, strict=True) if len(f) else ():
-                with np.errstate(all="ignore"):
-                    y = values(name, x)
-                    mean = y.mean(0)
-                    part = len(y), mean, ((y - mean) ** 2).sum(0)
-                    found[name] = merged(found[name], part) if name in found else part
+            for name, x in zip(names, f.to_numpy(dtype=float).T, strict=True):
+                for lo in range(0, len(x), CHUNK):
+                    with np.errstate(all="ignore"):
+                        y = values(name, x[lo : lo + CHUNK])
+                        mean = y.mean(0)
+                        y = y - mean
+                        part = len(y), mean, np.einsum("ij,ij->j", y, y)
+                        found[name] = merged(found[name], part) if name in found else part
         for name, (n, mean, squares) in found.items():
             yield pd.DataFrame({"feature": name, "k": np.arange(len(mean)), "n": n, "mean": mean, "m2": squares})
 
@@ -69,7 +73,11 @@ def fit_powers(table: DataFrame, names: list[str], positive: Values) -> dict[str
 
     def candidates(name: str, x: np.ndarray) -> np.ndarray:
         logs, lam = np.log(positive(name, x)) - centre[name], powers[name]
-        return np.where(lam == 0, logs[:, None], np.expm1(np.outer(logs, lam)) / np.where(lam == 0, 1, lam))
+        y = np.outer(logs, lam)
+        np.expm1(y, out=y)
+        y /= np.where(lam == 0, 1, lam)
+        y[:, lam == 0] = logs[:, None]
+        return y
 
     best, rounds = {}, dict.fromkeys(names, 0)
     for _ in range(ROUNDS + 1 + MOVES):

@@ -50,8 +50,8 @@ def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("cloud_id", "before_deficit", "after_deficit", F.array_join("tolerance_violations", ",").alias("tolerance_violations"), F.array_join("boundary_violations", ",").alias("boundary_violations"), "passed"))
 
 
-def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.all_features(instances(spark, sf_dir)).select("instance_id", *CHOSEN)
+def _table(spark: SparkSession, sf_dir: str, names: list[str] = CHOSEN) -> DataFrame:
+    return features.chosen_features(instances(spark, sf_dir), names)
 
 
 def frozen_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +80,10 @@ def feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plane_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The map to the plane that best reconstructs normalized features and one synthetic response: its coordinates' spread and its loss."""
-    table = _table(spark, sf_dir).persist()
+    names = ["weights_cv", "profit_cv", "capacity_total_weight_ratio", "kp_weight_gini"]
+    table = _table(spark, sf_dir, names).persist()
     try:
-        names = ["weights_cv", "profit_cv", "capacity_total_weight_ratio", "kp_weight_gini"]
-        fitted = {r.feature: r.asDict() for r in projection.fit_normalization(table.select("instance_id", *names)).collect()}
+        fitted = {r.feature: r.asDict() for r in projection.fit_normalization(table).collect()}
         x = projection.apply_normalization(table, fitted).withColumn("response", F.col("weights_cv") - F.col("profit_cv"))
         a, b, loss = projection.pilot(x, names, ["response"])
         z = projection.project(x, dict(zip(names, map(tuple, a.tolist()), strict=True)))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from satchel.operators import compatibility, families, packing, quadratic
+from satchel.operators import compatibility, families, features, packing, quadratic
 
 
 def rows_of(df):
@@ -54,3 +54,17 @@ def test_quadratic(spark):
     assert set(got) == set(made) and got["ring"]["high_pair_triangle_ratio"] == 0.25
     for name, d in made.items():
         assert {k: v for k, v in got[name].items() if k != "instance_id"} == {k: pytest.approx(v, abs=1e-7) for k, v in families.quadratic(d).items()}, d
+
+
+def test_chosen_features_take_only_their_steps(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"i{k}", [k + 1, 2, 5 + k], [3, 4 * k, 1], 4 + k) for k in range(6)], "instance_id string, weights array<long>, profit array<long>, capacity long")
+    names = ["kp_weight_gini", "weights_cv", "capacity_total_weight_ratio", "profit_cv"]
+    whole = features.all_features(rows)
+    assert set(whole.columns) == {"instance_id", *features.DOMAIN, *features.RELATION} and all(None not in r for r in whole.collect())
+    want = {tuple(r) for r in whole.select("instance_id", *names).collect()}
+
+    def refuse(*_):
+        raise AssertionError("pairs are not asked for")
+
+    monkeypatch.setattr(features, "STEPS", [(begins, refuse if "kp_pair_" in begins else step) for begins, step in features.STEPS])
+    assert {tuple(r) for r in features.chosen_features(rows, names).collect()} == want and len(want) == 6
