@@ -36,10 +36,11 @@ blocks' words); the vocabulary is never in one place, and a very common word is
 number in each list. Words are told apart by 64-bit hashes. Lists are kept compressed.
 
 The network is fitted on every training text but one in TUNE: each pack counts its ids'
-contexts, and in ROUNDS rounds takes steps over its own windows, each window in one round
-at least; after a round the packs' moves are averaged, weighted by how often each id was
-seen. Its size is set by the tokenizer's vocabulary. The mixture's weight comes from the
-texts left out, chosen by a hash of the text and packed on their own.
+contexts and deals its windows to ROUNDS rounds, each window to one at least; in each round
+it takes steps over that round's windows; after a round the packs' moves are averaged,
+weighted by how often each id was seen. Its size is set by the tokenizer's vocabulary. The
+mixture's weight comes from the texts left out, chosen by a hash of the text and packed on
+their own.
 """
 
 from __future__ import annotations
@@ -48,12 +49,13 @@ import io
 import uuid
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,8 +86,11 @@ class Subwords:
     PAD, START, END, FIRST = 0, 1, 2, 3
     #: What a piece that begins a word begins with.
     MARK = "\u2581".encode()
+    #: Words whose ids are kept.
+    KEPT = 2**19
 
     def __init__(self, processor):
+        self._known, self._kept = {}, tuple(np.zeros(0, np.int32) for _ in range(3))
         self._encode, self.size = processor.encode, processor.get_piece_size() + self.FIRST
         names = [processor.id_to_piece(i) for i in range(processor.get_piece_size())]
         self._bytes = [bytes([int(n[3:-1], 16)]) if processor.is_byte(i) else n.encode() for i, n in enumerate(names)]
@@ -110,15 +115,29 @@ class Subwords:
         return np.where(same, 0, size)
 
     def pieces(self, words: list[bytes]) -> Pieces:
+        """The words' ids; those of the first KEPT words that a worker meets are kept for its later blocks."""
+        at = np.fromiter(map(self._known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        some = [words[i] for i in new.tolist()]
+        at[new] = len(self._known) + np.arange(len(new))
+        both = Pieces(*map(np.concatenate, zip(self._kept, self._encoded(some), strict=True)))
+        if room := self.KEPT - len(self._known):
+            self._known.update(zip(some[:room], range(len(self._known), self.KEPT), strict=False))
+            n = len(self._known)
+            self._kept = both.length[:n].astype(np.int32), both.flat[: both.length[:n].sum()], both.spelled[:n]
+        return Pieces(both.length[at], both.flat[_spread(both.begin[at], both.length[at])], both.spelled[at])
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(how many ids each word has, the ids, the bytes of each word that its ids do not spell)."""
         lengths, flat, spelled = ([np.zeros(0, np.int32)] for _ in range(3))
         for lo in range(0, len(words), 20_000):
             some = words[lo : lo + 20_000]
-            got = self._encode([w.decode() for w in some], num_threads=1)
+            got = self._encode(some, num_threads=1)
             lengths.append(np.fromiter(map(len, got), np.int32, len(got)))
             ids = np.fromiter(chain.from_iterable(got), np.int32, int(lengths[-1].sum()))
             flat.append(ids + np.int32(self.FIRST))
             spelled.append(self._unspelled(some, lengths[-1], ids).astype(np.int32))
-        return Pieces(*map(np.concatenate, (lengths, flat, spelled)))
+        return tuple(map(np.concatenate, (lengths, flat, spelled)))
 
 
 @lru_cache(1)
@@ -135,7 +154,11 @@ def _subwords(path: str | None) -> Subwords:
 def _spread(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
     """The indices begin[0], begin[0] + 1, ... (many[0] of them), begin[1], ..."""
     last = np.cumsum(many)
-    return np.repeat(begin - last + many, many) + np.arange(last[-1] if len(last) else 0)
+    n = int(last[-1]) if len(last) else 0
+    kind = np.int32 if max(n, int(begin.max(initial=0)) + int(many.max(initial=0))) < 2**31 else np.int64
+    out = np.repeat((begin - last + many).astype(kind), many)
+    out += np.arange(n, dtype=kind)
+    return out
 
 
 def _squeezed(x: np.ndarray) -> bytes:
@@ -164,7 +187,7 @@ class Block:
         before = np.append(0, np.cumsum(some))
         found = flat.filter(pa.array(some)).dictionary_encode()
         self.w, self.sizes = np.asarray(found.indices).astype(np.int32), np.diff(before[ends]).astype(np.int32)
-        self.words = found.dictionary.cast(pa.large_binary()).to_pylist()
+        self.words = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
 
     def hashes(self) -> np.ndarray:
         import xxhash
@@ -191,29 +214,34 @@ class Pieces:
     @cached_property
     def ended(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(begin, length, flat) with the end as a last word, so that its index is -1."""
-        return np.append(self.begin, len(self.flat)), np.append(self.length, 1), np.append(self.flat, Subwords.END).astype(np.int64)
+        return np.append(self.begin, len(self.flat)), np.append(self.length, 1), np.append(self.flat, np.int32(Subwords.END))
+
+
+def _blocks(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """(texts' first blocks, number of blocks, own, place): texts in blocks of HALF, each after a block of pads; id own[i] is in place[i]."""
+    many = -(-sizes // HALF) + 1
+    first = np.cumsum(many) - many
+    return first, int(many.sum()), _spread(starts, sizes), _spread((first + 1) * HALF, sizes)
 
 
 def _windows(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys, own): indices into x of each window's 2 * HALF ids, -1 where there is none, and which of the second half count.
 
-    Texts begin at ``starts`` in x and have ``sizes`` ids.
+    Texts begin at ``starts`` in x and have ``sizes`` ids. A window is two neighbouring blocks.
     """
-    many = -(-sizes // HALF)
-    text = np.repeat(np.arange(len(sizes)), many)
-    k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    at = (k * HALF)[:, None] + np.arange(-HALF, HALF)
-    inside = (at >= 0) & (at < sizes[text][:, None])
-    return np.where(inside, at + starts[text][:, None], -1), inside[:, HALF:]
+    first, many, own, place = _blocks(starts, sizes)
+    at = np.full(many * HALF, -1)
+    at[place] = own
+    at = at.reshape(-1, HALF)
+    at = np.delete(np.concatenate([at[:-1], at[1:]], 1), first[1:] - 1, axis=0)
+    return at, at[:, HALF:] >= 0
 
 
-def _full_windows(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Windows for training: indices of 2 * HALF ids each, one window after another, -1 where there is none."""
+def _full_windows(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows for training: where each begins and how many ids it has, 2 * HALF at most, one window after another."""
     many = -(-sizes // (2 * HALF))
-    text = np.repeat(np.arange(len(sizes)), many)
-    k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    at = (k * 2 * HALF)[:, None] + np.arange(2 * HALF)
-    return np.where(at < sizes[text][:, None], at + starts[text][:, None], -1)
+    begin = np.repeat(starts - (np.cumsum(many) - many) * 2 * HALF, many) + np.arange(many.sum()) * 2 * HALF
+    return begin, np.minimum(np.repeat(starts + sizes, many) - begin, 2 * HALF)
 
 
 def _exp(x: np.ndarray) -> np.ndarray:
@@ -239,24 +267,26 @@ class AttentionModel:
 
     def tables(self) -> None:
         scale = np.float32(WIDTH**-0.5)
-        self.q, self.k, self.v, self.r = self.e @ self.wq * scale, self.e @ self.wk, self.e @ self.wv, self.e @ self.wr
-        self.qr, self.kv = np.concatenate([self.q, self.r], 1), np.concatenate([self.k, self.v], 1)  # one look-up each
+        self.table = self.e @ np.concatenate([self.wq * scale, self.wk, self.wv, self.wr], 1)  # one look-up
+        self.of_target = self.within + self.bias[self.cls]
+        self.of_class = np.exp(self.bias)[:, None] * np.stack([np.ones(CLASSES, "f4"), self.opens.astype("f4")], 1)
         i, j = np.arange(2 * HALF)[:, None], np.arange(2 * HALF)
         self.mask = np.where(j <= i, self.distance[np.clip(i - j, 0, 2 * HALF - 1)], np.float32(-1e9)).astype("f4")
 
-    def attend(self, ids: np.ndarray) -> np.ndarray:
-        """The attention's output with the residual for the second half of windows of ids."""
-        own = ids[:, HALF:]
-        (q, r), (k, v) = np.split(self.qr[own], 2, axis=2), np.split(self.kv[ids], 2, axis=2)
+    def attend(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The attention's output with the residual for ids in blocks of HALF, but the first block; the block before those in ``begins`` is no context."""
+        g = self.table.take(ids, axis=0)
+        row, item = g.strides
+        q, r = (g[HALF:].reshape(-1, HALF, 4 * WIDTH)[:, :, j : j + WIDTH] for j in (0, 3 * WIDTH))
+        k, v = (as_strided(g[:, j:], (len(q), 2 * HALF, WIDTH), (HALF * row, row, item), writeable=False) for j in (WIDTH, 2 * WIDTH))  # windows overlap
         a = q @ k.transpose(0, 2, 1)
         a += self.mask[HALF:]
-        if (pad := ids == Subwords.PAD).any():
-            a += np.where(pad, np.float32(-1e9), np.float32(0))[:, None, :]
         _exp(a)
+        a[begins, :, :HALF] = 0
         h = a @ v
         h /= _sums(a) + np.float32(1e-20)
         h += r
-        return h
+        return h.reshape(-1, WIDTH)
 
     def log_probs(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray, sizes: np.ndarray, batch: int = 256) -> np.ndarray:
         """log p(y[i] | x up to i in its window), each once."""
@@ -264,21 +294,22 @@ class AttentionModel:
 
     def log_probs_and_openings(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray, sizes: np.ndarray, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """(``log_probs``, the logarithm of the probability that the next id opens a token)."""
-        out, opening = np.empty(len(y), "f4"), np.empty(len(y), "f4")
-        at, own = _windows(x, starts, sizes)
-        padded, parts = np.append(x, Subwords.PAD), np.stack([np.ones(CLASSES, "f4"), self.opens.astype("f4")], 1)
-        for lo in range(0, len(at), batch):
-            part, mine = at[lo : lo + batch], own[lo : lo + batch]
-            h = self.attend(padded[part])[mine]
-            to = part[:, HALF:][mine]
-            target = y[to]
-            z = h @ self.wc
-            z += self.bias
-            wanted = np.minimum(z[np.arange(len(to)), self.cls[target]], np.float32(60))
-            total, opens = np.log(np.maximum(_exp(z) @ parts, np.float32(1e-30))).T
-            out[to] = wanted - total + self.within[target]
-            opening[to] = opens - total
-        return out, opening
+        first, many, own, place = _blocks(starts, sizes)
+        ids, target = (np.zeros(many * HALF, np.int32) for _ in range(2))
+        ids[place], target[place] = x[own], y[own]
+        cls, found, opening = self.cls.astype(np.int32)[target], np.empty(len(ids), "f4"), np.empty(len(ids), "f4")
+        for lo in range(HALF, len(ids), batch * HALF):
+            part, block = slice(lo, min(lo + batch * HALF, len(ids))), lo // HALF
+            begins = first[np.searchsorted(first, block - 1) : np.searchsorted(first, block + batch - 1)] + 1 - block
+            z = self.attend(ids[lo - HALF : part.stop], begins) @ self.wc
+            wanted = np.minimum(z.ravel().take(np.arange(0, z.size, CLASSES) + cls[part]), np.float32(60))
+            total, opens = np.log(np.maximum(_exp(z) @ self.of_class, np.float32(1e-30))).T
+            np.subtract(wanted, total, out=found[part])
+            np.subtract(opens, total, out=opening[part])
+        found += self.of_target[target]
+        out = np.empty((2, len(y)), "f4")
+        out[0, own], out[1, own] = found[place], opening[place]
+        return out[0], out[1]
 
     def rows(self) -> np.ndarray:
         """All weights in rows of WIDTH, first those of the ids."""
@@ -312,11 +343,12 @@ def _pairs(x: np.ndarray, size: int, frequent: np.ndarray) -> tuple[np.ndarray,
     """(keys, numbers) of pairs inside texts: key id * 2 * FREQUENT + place of the frequent id before it, or FREQUENT + place of that after it."""
     column = np.full(size, -1)
     column[frequent] = np.arange(len(frequent))
-    keys = []
+    keys, kind = [], np.int32 if size * 2 * FREQUENT < 2**31 else np.int64
     for a, b, at in ((x[1:], x[:-1], 0), (x[:-1], x[1:], FREQUENT)):
         seen = (column[b] >= 0) & (x[1:] != Subwords.START)
-        keys.append(a[seen] * (2 * FREQUENT) + at + column[b[seen]])
-    return np.unique(np.concatenate(keys), return_counts=True)
+        keys.append(a[seen].astype(kind) * kind(2 * FREQUENT) + (column[b[seen]] + at).astype(kind))
+    keys, n = np.unique(np.concatenate(keys), return_counts=True)
+    return keys.astype(np.int64), n
 
 
 def _contexts(m: np.ndarray) -> np.ndarray:
@@ -349,20 +381,11 @@ def _classes(features: np.ndarray, counts: np.ndarray, begins: np.ndarray, rng)
     return cls
 
 
-def _rows(ids: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(different ids, the sum of each one's rows of ``grads``)."""
-    order = np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 2**16 else ids, kind="stable")  # two bytes are sorted in linear time
-    ids = ids[order]
-    starts = np.flatnonzero(np.diff(ids, prepend=-1))
-    return ids[starts], np.add.reduceat(grads[order], starts, axis=0)
-
-
-def _targets(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(next ids, texts' starts, their sizes) of texts' ids one after another, each after a start."""
-    starts = np.flatnonzero(x == Subwords.START)
-    y = np.append(x[1:], Subwords.START)
-    y[y == Subwords.START] = Subwords.END
-    return y, starts, np.diff(np.append(starts, len(x)))
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different ids, each id's place among them)."""
+    seen = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    seen[ids] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[ids]
 
 
 def initial(m: np.ndarray, counts: np.ndarray, begins: np.ndarray, seed: int = 5, opening: np.ndarray | None = None) -> AttentionModel:
@@ -383,61 +406,96 @@ def initial(m: np.ndarray, counts: np.ndarray, begins: np.ndarray, seed: int = 5
     return AttentionModel(e, normal(WIDTH, WIDTH), normal(WIDTH, WIDTH), normal(WIDTH, WIDTH), normal(WIDTH, WIDTH), np.zeros(2 * HALF, "f4"), 0.1 * normal(WIDTH, CLASSES), (first - first.max()).astype("f4"), cls, within, 0.5, opens)
 
 
+def shares(x: np.ndarray, parts: int, seed: int = 5) -> list[np.ndarray]:
+    """The windows of texts' ids in ``parts`` shares, in random order; a window is its 2 * HALF ids, each text's first one a start, and the next id; pads fill it up."""
+    starts = np.flatnonzero(x == Subwords.START)
+    begin, many = _full_windows(starts, np.diff(np.append(starts, len(x))))
+    order = np.random.default_rng(seed).permutation(len(begin))
+    x = np.append(x, np.full(2 * HALF + 1, Subwords.START, x.dtype)).astype(np.int32)
+    out = []
+    for part in range(parts):
+        some = order[part::parts] if len(order) >= parts else order
+        at = begin[some][:, None] + np.arange(2 * HALF + 1)
+        own = np.where(np.arange(2 * HALF + 1) <= many[some][:, None], x[at], Subwords.PAD)
+        last = own[:, 1:]
+        last[last == Subwords.START] = Subwords.END
+        out.append(own)
+    return out
+
+
 def descend(m: AttentionModel, x: np.ndarray, steps: int, part: int = 0, parts: int = 1, seed: int = 5) -> tuple[np.ndarray, int]:
-    """Takes steps over share ``part`` of ``parts`` of the windows, each at least once; (how often each id was in them, next ids in them)."""
-    size, span = len(m.e), 2 * HALF
-    y, starts, sizes = _targets(x)
-    at = _full_windows(starts, sizes)
-    padded, shared = np.append(x, Subwords.PAD), ("wq", "wk", "wv", "wr", "distance", "wc", "bias")
-    order = np.random.default_rng(seed).permutation(len(at))
-    order = order[part::parts] if len(order) >= parts else order
-    seen = np.bincount(padded[at[order]].ravel(), minlength=size), int((at[order] >= 0).sum())
-    batch = max(BATCH, -(-len(order) // steps))
-    order = np.resize(order, steps * batch)
+    """``take_steps`` over share ``part`` of ``parts`` of the windows of texts' ids, each after a start."""
+    return take_steps(m, shares(x, parts, seed)[part], steps, part, parts)
+
+
+def take_steps(m: AttentionModel, windows: np.ndarray, steps: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, int]:
+    """Takes steps over a share of windows, each at least once; (how often each id was in them, next ids in them)."""
+    size, span, shared = len(m.e), 2 * HALF, ("wq", "wk", "wv", "wr", "distance", "wc", "bias")
+    inside, nexts = windows[:, 1:] != Subwords.PAD, windows[:, 1:]
+    windows = np.where(inside, windows[:, :-1], Subwords.PAD)
+    cls = m.cls[nexts]
+    seen = np.bincount(windows.ravel(), minlength=size), int(inside.sum())
+    batch = max(BATCH, -(-len(windows) // steps))
+    chunk = -(-batch // -(-batch // CHUNK))  # chunks of a step are alike
+    turns = np.resize(np.arange(len(windows)), steps * batch)
     mean = {n: np.zeros_like(getattr(m, n)) for n in ("e", *shared)}
     square = {n: np.zeros_like(getattr(m, n)) for n in ("e", *shared)}
     scale, lag = np.float32(WIDTH**-0.5), np.clip(np.arange(span)[:, None] - np.arange(span), 0, span - 1).ravel()
-    dot = lambda a, b: np.einsum("nij,nij->ni", a, b)[:, :, None]
-
-    def gradients(part_at: np.ndarray, four: np.ndarray, bias: np.ndarray, count: int) -> tuple[dict, np.ndarray, np.ndarray]:
-        """(of the shared weights, ids, of each id's place) for some windows of a step over ``count`` next ids."""
-        mine, w = (part_at >= 0).ravel(), padded[part_at]
-        flat_w, windows = w.ravel(), (len(w), span, WIDTH)
-        e = m.e[flat_w]
-        q, k, v, r = np.split((e @ four).reshape(len(w), span, 4 * WIDTH), 4, axis=2)
+
+    def add_gradients(sums: list[np.ndarray], table: np.ndarray, place: np.ndarray, own: np.ndarray, to: np.ndarray, weight: np.float32, bias: np.ndarray, pairs: np.ndarray, outs: np.ndarray, odds: np.ndarray) -> None:
+        """Adds those of some windows of a step to ``sums``: of table's e, pairs, outs, the attention's bias and the classes' one.
+
+        The matrices meet in products only, so gradients are taken of those: logits of the
+        attention are e pairs e', those of the classes (attention e, e) outs, with odds as
+        factors. Pads come last in a window, so no id attends to them.
+        """
+        g = table.take(place, axis=0)
+        q, k = g[:, :, :WIDTH], g[:, :, WIDTH:]
         a = q @ k.transpose(0, 2, 1)
         a += bias
-        if not mine.all():
-            a += np.where(w == Subwords.PAD, np.float32(-1e9), np.float32(0))[:, None, :]
         _exp(a)
         a *= 1 / (_sums(a) + np.float32(1e-20))
-        h = ((a @ v) + r).reshape(-1, WIDTH)
-        z = h @ m.wc
-        z += m.bias
-        _exp(z)
-        each = (mine / np.float32(max(count, 1))).astype("f4")
-        z *= each[:, None] / (_sums(z) + np.float32(1e-20))
-        z[np.arange(len(z)), m.cls[y[np.where(mine, part_at.ravel(), 0)]]] -= each
-        g = {"wc": h.T @ z, "bias": np.ones(len(z), "f4") @ z}
-        dh = z @ m.wc.T
-        dh3 = dh.reshape(windows)
-        da = dh3 @ v.transpose(0, 2, 1)
-        da -= dot(da, a)
+        h = np.empty_like(g)
+        np.matmul(a, k, out=h[:, :, :WIDTH])
+        h[:, :, WIDTH:] = k
+        h = h.reshape(-1, 2 * WIDTH)
+        z = _exp(h @ outs)
+        total = z @ odds + np.float32(1e-20)
+        z.ravel()[np.arange(0, z.size, CLASSES) + to.ravel()] -= total / odds[to.ravel()]
+        z *= (own.ravel() * weight / total)[:, None]
+        back = (z @ (outs * odds).T).reshape(g.shape)
+        da = back[:, :, :WIDTH] @ k.transpose(0, 2, 1)
+        da -= np.einsum("nij,nij->ni", da, a)[:, :, None]
         da *= a
-        g["distance"] = np.bincount(lag, weights=da.sum(0).ravel(), minlength=span).astype("f4")
-        d4 = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh3, dh3], 2).reshape(-1, 4 * WIDTH)
-        g["wq"], g["wk"], g["wv"], g["wr"] = (np.ascontiguousarray(p) for p in np.split(e.T @ d4, 4, axis=1))
-        g["wq"] *= scale
-        return g, flat_w, d4 @ four.T
+        dq = (da @ k).reshape(-1, WIDTH)
+        de = da.transpose(0, 2, 1) @ q
+        de += a.transpose(0, 2, 1) @ back[:, :, :WIDTH]
+        de += back[:, :, WIDTH:]
+        de = de.reshape(-1, WIDTH)
+        de += dq @ pairs.T
+        two = np.arange(WIDTH // 2)  # numbers are added in twos
+        np.add.at(sums[0].view(np.complex64).ravel(), (place.reshape(-1, 1) * len(two) + two).ravel(), de.view(np.complex64).ravel())
+        sums[1] += g.reshape(-1, 2 * WIDTH)[:, WIDTH:].T @ dq
+        sums[2] += h.T @ z
+        sums[3] += da.sum(0)
+        sums[4] += np.ones(len(z), "f4") @ z
 
     for step in range(1, steps + 1):
-        part_at = at[order[(step - 1) * batch : step * batch]]
-        four, bias = np.concatenate([m.wq * scale, m.wk, m.wv, m.wr], 1), np.where(np.tri(span, dtype=bool), m.distance[lag].reshape(span, span), np.float32(-1e9))
-        found = [gradients(part_at[lo : lo + CHUNK], four, bias, int((part_at >= 0).sum())) for lo in range(0, batch, CHUNK)]
-        g = {n: sum(f[0][n] for f in found) for n in shared}
-        ids, of_ids = _rows(np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]))
+        now = turns[(step - 1) * batch : step * batch]
+        ids, place = _numbered(windows[now])
+        own, to, weight = inside[now], cls[now], np.float32(1 / max(int(inside[now].sum()), 1))
+        e, query, bias = m.e[ids], m.wq * scale, np.where(np.tri(span, dtype=bool), m.distance[lag].reshape(span, span), np.float32(-1e9))
+        pairs, outs, odds = query @ m.wk.T, np.concatenate([m.wv @ m.wc, m.wr @ m.wc]), np.exp(m.bias)
+        table = np.concatenate([e @ pairs, e], 1)
+        sums = [np.zeros_like(x) for x in (e, pairs, outs, bias, odds)]
+        for lo in range(0, batch, chunk):
+            some = slice(lo, lo + chunk)
+            add_gradients(sums, table, place[some], own[some], to[some], weight, bias, pairs, outs, odds)
+        of_e, of_pairs, (of_v, of_r) = sums[0], sums[1], (sums[2] * odds).reshape(2, WIDTH, CLASSES)
+        g = {"wq": of_pairs @ m.wk * scale, "wk": of_pairs.T @ query, "wv": of_v @ m.wc.T, "wr": of_r @ m.wc.T, "wc": m.wv.T @ of_v + m.wr.T @ of_r, "bias": sums[4] * odds}
+        g["distance"] = np.bincount(lag, weights=sums[3].ravel(), minlength=span).astype("f4")
         rate = 0.02 * min(1, 2 * (1 - (part + step / (steps + 1)) / parts))
-        for n, some, grad in (("e", ids, of_ids), *((n, slice(None), g[n]) for n in shared)):  # rows of ids that are not in the batch stay
+        for n, some, grad in (("e", ids, of_e), *((n, slice(None), g[n]) for n in shared)):  # rows of ids that are not in the batch stay
             mean[n][some] = first = mean[n][some] + np.float32(0.1) * (grad - mean[n][some])
             square[n][some] = second = square[n][some] + np.float32(0.01) * (grad * grad - square[n][some])
             move = first / np.float32(1 - 0.9**step) / (np.sqrt(second / np.float32(1 - 0.99**step)) + np.float32(1e-8))
@@ -709,24 +767,38 @@ def _fit(texts: DataFrame, ids: pd.DataFrame, train_texts: int, model_path: str
         out[Subwords.END] = train_texts
         return out
 
-    def training(learn: bytes, *columns: bytes) -> np.ndarray:
-        return Pack.read(*columns).training(np.frombuffer(learn, bool))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A pack's windows in each round, as their ids; with the first, its pairs (keys as in a part's matrix) and their numbers, a list for each part of the ids."""
         c = counts()
         frequent = _frequent(c)
         for batch in batches:
-            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                k, n = _pairs(training(*row), len(c), frequent)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["k", "n"])
-
-    def dense(f: pd.DataFrame) -> pd.DataFrame:
-        """A part's contexts as one matrix: ids part, part + PARTS, ..."""
-        k = f.k.to_numpy()
-        row, column = k // (2 * FREQUENT), k % (2 * FREQUENT)
-        m = np.zeros((int(row.max()) // PARTS + 1, 2 * FREQUENT), "f4")
-        m[row // PARTS, column] = f.n
-        return pd.DataFrame({"part": [int(row[0]) % PARTS], "m": [m.tobytes()]})
+            for block, part, learn, *columns in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                x = Pack.read(*columns).training(np.frombuffer(learn, bool))
+                if not len(x):
+                    continue
+                k, n = _pairs(x, len(c), frequent)
+                id, column = np.divmod(k, 2 * FREQUENT)
+                of_part = [np.flatnonzero(id % PARTS == i) for i in range(PARTS)]
+                k = id // PARTS * (2 * FREQUENT) + column
+                for share, w in enumerate(shares(x, ROUNDS, block)):
+                    row = {"block": pa.array([block], pa.int32()), "part": pa.array([part], pa.int32()), "share": pa.array([share], pa.int32()), "windows": pa.array([_squeezed(w.ravel())], pa.binary())}
+                    row |= {name: pa.array([[_squeezed(y[at]) for at in of_part] if share == 0 else []], pa.list_(pa.binary())) for name, y in (("k", k), ("n", n))}
+                    yield pa.RecordBatch.from_pydict(row)
+
+    def dense(f: pd.DataFrame) -> np.ndarray:
+        """The sum of a part's pairs as one matrix: ids part, part + PARTS, ..."""
+        m = np.zeros((-(-_subwords(model_path).size // PARTS), 2 * FREQUENT))
+        for k, n in zip(f.k, f.n, strict=True):
+            m.ravel()[_unsqueezed(k)] += _unsqueezed(n, np.int64)  # the keys of one are different
+        return m
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        m = dense(f).ravel()
+        at = np.flatnonzero(m)
+        return f[["piece", "block"]].head(1).assign(k=[_squeezed(at)], n=[_squeezed(m[at].astype(np.int64))])
+
+    def matrix(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": f.piece.iloc[:1], "m": [dense(f).astype("f4").tobytes()]})
 
     def start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = counts()
@@ -735,20 +807,23 @@ def _fit(texts: DataFrame, ids: pd.DataFrame, train_texts: int, model_path: str
             some |= len(f) > 0
             for part, rows in zip(f.part, f.m, strict=True):
                 rows = np.frombuffer(rows, "f4").reshape(-1, 2 * FREQUENT)
-                m[part::PARTS][: len(rows)] = rows
+                m[part::PARTS] = rows[: len(m[part::PARTS])]
         begins[begin] = True
         if some:
             yield pd.DataFrame({"model": [initial(m, c, begins, opening=_subwords(model_path).opening).to_bytes()]})
 
-    part = F.pmod(F.floor(F.col("k") / (2 * FREQUENT)), F.lit(PARTS))
-    summed = texts.select("learn", *Pack.COLUMNS).mapInArrow(pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    found = summed.groupBy(part.alias("p")).applyInPandas(dense, "part int, m binary").repartition(1).mapInPandas(start, "model binary").head(1)  # PARTS rows
+    once = texts.select("block", "part", "learn", *Pack.COLUMNS).mapInArrow(windows, "block int, part int, share int, windows binary, k array<binary>, n array<binary>")
+    dealt = materialise(once, "windows")  # all rounds read these
+    blocks = (texts.agg(F.max("block")).head()[0] or 0) + 1
+    pairs = dealt.where("share = 0").select("block", F.posexplode(F.arrays_zip("k", "n")).alias("piece", "p")).select("piece", "block", "p.k", "p.n")
+    if blocks > MERGED:
+        pairs = pairs.groupBy("piece", F.pmod("block", F.lit(int(blocks**0.5)))).applyInPandas(add, "piece int, block int, k binary, n binary")
+    found = pairs.groupBy("piece").applyInPandas(matrix, "part int, m binary").repartition(1).mapInPandas(start, "model binary").head(1)  # PARTS rows
     if not found:
         size = _subwords(model_path).size
         data = AttentionModel(*(np.zeros(s, "f4") for s in ((size, WIDTH), *[(WIDTH, WIDTH)] * 4, 2 * HALF, (WIDTH, CLASSES), CLASSES)), np.zeros(size, np.int64), np.full(size, -np.log(size), "f4"), 0.5, np.full(CLASSES, _subwords(model_path).opening.mean(), "f4")).to_bytes()
         return {"id": uuid.uuid4().hex, "data": data}
     model, steps, rounds = AttentionModel.from_bytes(bytes(found[0][0])), max(1, STEPS // ROUNDS), ROUNDS
-    blocks = texts.agg(F.max("block")).head()[0] + 1
     moves = "piece int, block long, part long, rows binary, move binary, seen binary"
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
@@ -772,12 +847,9 @@ def _fit(texts: DataFrame, ids: pd.DataFrame, train_texts: int, model_path: str
             """A pack's moves in a round, times how often each row of weights was seen; only rows that were."""
             for f in batches:
                 for row in f.itertuples():
-                    x = training(row.learn, *(getattr(row, c) for c in Pack.COLUMNS))
-                    if not len(x):
-                        continue
                     net = AttentionModel.from_bytes(shared.value)
                     old = net.rows()
-                    ids, own = descend(net, x, steps, k, rounds, seed=int(row.block))
+                    ids, own = take_steps(net, _unsqueezed(row.windows).reshape(-1, 2 * HALF + 1), steps, k, rounds)
                     seen = np.full(len(old), own, "f4")
                     seen[: len(ids)] = ids
                     move = (net.rows() - old) * seen[:, None]
@@ -788,7 +860,7 @@ def _fit(texts: DataFrame, ids: pd.DataFrame, train_texts: int, model_path: str
                         out.append((i, row.block, row.part, at.tobytes(), move[at].tobytes(), seen[at].tobytes()))
                     yield pd.DataFrame(out, columns=["piece", "block", "part", "rows", "move", "seen"])
 
-        moved = texts.select("block", "part", "learn", *Pack.COLUMNS).mapInPandas(learn, moves)
+        moved = dealt.where(F.col("share") == k).select("block", "part", "windows").mapInPandas(learn, moves)
         if blocks > MERGED:
             moved = moved.groupBy("piece", F.pmod("block", F.lit(int(blocks**0.5)))).applyInPandas(merge, moves)
         weights = model.rows()

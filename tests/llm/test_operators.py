@@ -638,3 +638,57 @@ def test_lists_of_numbers_and_words_of_texts():
     whole = lambda i: subwords.MARK + words[i] == b"".join(subwords._bytes[k - subwords.FIRST] for k in p.flat[p.begin[i] : p.begin[i] + p.length[i]])
     p = subwords.pieces(words)
     assert p.spelled.tolist() == [0 if subwords.MARK not in w and whole(i) else len(w) for i, w in enumerate(words)]
+
+
+def test_each_round_reads_its_own_windows_only(spark, monkeypatch, tmp_path):
+    """Windows are dealt once, and a round reads no texts; all rounds together have each next id once."""
+    monkeypatch.setattr(lm_scoring, "STEPS", 3)
+    monkeypatch.setattr("satchel.llm.common.scratch_root", lambda _: str(tmp_path))
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(k, prose(rng, 80)) for k in range(200)], "doc_id long, text string")
+    assert lm_scoring.score_texts(docs).count() == 200
+    dealt = [r for p in tmp_path.glob("windows-*") for r in spark.read.parquet(str(p)).collect()]
+    packs = [r for p in tmp_path.glob("packs-*") for r in spark.read.parquet(str(p)).where(f"kind = {lm_scoring.SCORED}").collect()]
+    many = 0
+    for r in packs:
+        x = lm_scoring.Pack.read(*(getattr(r, c) for c in lm_scoring.Pack.COLUMNS)).training(np.frombuffer(r.learn, bool))
+        got = [lm_scoring._unsqueezed(d.windows).reshape(-1, 17) for d in sorted(dealt, key=lambda d: d.share) if (d.block, d.part) == (r.block, r.part)]
+        y = np.append(x[1:], 1)
+        want = Counter(zip(x.tolist(), np.where(y == 1, 2, y).tolist(), strict=True))
+        assert len(got) == lm_scoring.ROUNDS and Counter((a, b) for g in got for w in g.tolist() for a, b in zip(w, w[1:]) if b) == want
+        many += len(x)
+    assert many > 10_000
+
+
+def test_gradients_are_those_of_the_loss():
+    """The first step moves each weight against the slope of the mean loss of the next ids."""
+    rng = np.random.default_rng(3)
+    counts = np.r_[0, 0, 5, rng.integers(1, 50, 80)].astype(float)
+    x = np.concatenate([np.r_[1, rng.integers(3, len(counts), n)] for n in (40, 3, 15)])
+    m = np.zeros((len(counts), 2 * lm_scoring.FREQUENT), "f4")
+    keys, n = lm_scoring._pairs(x, len(counts), lm_scoring._frequent(counts))
+    m.ravel()[keys] = n
+    windows = lm_scoring.shares(x, 1)[0]
+
+    def loss(model):
+        total = 0.0
+        for w in windows:
+            w = w.astype(int)[: np.flatnonzero(w[1:])[-1] + 2]
+            e = model.e.astype(float)[w[:-1]]
+            lag = np.subtract.outer(np.arange(len(e)), np.arange(len(e)))
+            a = np.where(lag >= 0, (e @ model.wq) @ (e @ model.wk).T / 4 + model.distance[np.maximum(lag, 0)], -np.inf)
+            a = np.exp(a) / np.exp(a).sum(1, keepdims=True)
+            z = (a @ e @ model.wv + e @ model.wr) @ model.wc + model.bias
+            total += (np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), model.cls[w[1:]]]).sum()
+        return total / (windows[:, 1:] > 0).sum()
+
+    fresh = lambda: lm_scoring.initial(m, counts, np.arange(len(counts)) % 2 == 0)
+    before, after = fresh(), fresh()
+    lm_scoring.take_steps(after, windows, 1)
+    for name, at in (("e", (5, 3)), ("wq", (2, 7)), ("wk", (9, 1)), ("wv", (4, 4)), ("wr", (0, 15)), ("distance", (2,)), ("wc", (6, 20)), ("bias", (30,))):
+        up, down = fresh(), fresh()
+        getattr(up, name)[at] += 1e-2
+        getattr(down, name)[at] -= 1e-2
+        slope = loss(up) - loss(down)
+        moved = getattr(after, name)[at] - getattr(before, name)[at]
+        assert abs(slope) < 1e-7 or np.sign(moved) == -np.sign(slope), (name, slope, moved)
