@@ -341,12 +341,13 @@ def _frequent(counts: np.ndarray) -> np.ndarray:
 
 def _pairs(x: np.ndarray, size: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys, numbers) of pairs inside texts: key id * 2 * FREQUENT + place of the frequent id before it, or FREQUENT + place of that after it."""
-    column = np.full(size, -1)
+    kind = np.int32 if size * 2 * FREQUENT < 2**31 else np.int64
+    column, keys = np.full(size, -1, kind), []
     column[frequent] = np.arange(len(frequent))
-    keys, kind = [], np.int32 if size * 2 * FREQUENT < 2**31 else np.int64
-    for a, b, at in ((x[1:], x[:-1], 0), (x[:-1], x[1:], FREQUENT)):
-        seen = (column[b] >= 0) & (x[1:] != Subwords.START)
-        keys.append(a[seen].astype(kind) * kind(2 * FREQUENT) + (column[b[seen]] + at).astype(kind))
+    of, inner = column[x], x[1:] != Subwords.START
+    for a, b, at in ((x[1:], of[:-1], 0), (x[:-1], of[1:], FREQUENT)):
+        seen = (b >= 0) & inner
+        keys.append(a[seen].astype(kind) * kind(2 * FREQUENT) + (b[seen] + kind(at)))
     keys, n = np.unique(np.concatenate(keys), return_counts=True)
     return keys.astype(np.int64), n
 
@@ -717,8 +718,10 @@ def score_texts(docs: DataFrame, model_path: str | None = None, block_chars: int
             out = []
             for a, b in batches_of(pack.sizes):
                 each, w = _text_log_probs(net, pack, a, b)
-                mixed = np.log10(mix * np.exp(each) + share[w])
-                mixed = np.where(share[w] > 0, mixed, np.log10(mix) + each / np.log(10))
+                of_word = share[w]
+                mixed = np.log10(mix * np.exp(each) + of_word)
+                unseen = np.flatnonzero(of_word == 0)
+                mixed[unseen] = np.log10(mix) + each[unseen] / np.log(10)
                 starts = np.cumsum(pack.sizes[a:b] + 1) - pack.sizes[a:b] - 1
                 out.append(np.stack([np.add.reduceat(z, starts) for z in ((c[w] > 0).astype(float), base[w], mixed)], 1))
             out = np.concatenate(out)
